@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe_table, exact_dedup, token_counts, token_store
+from factloom.llm import bpe_table, decontaminate, exact_dedup, langid, simhash, token_counts, token_store, url_filter
 from factloom.llm.shared import table
 
 
@@ -25,7 +25,23 @@ def op5_bpe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_table.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_files, op4_token_counts, op5_bpe_table)}
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_files, op4_token_counts, op5_bpe_table, op6_url_filter, op7_simhash, op9_decontaminate, op10_language)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
