@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe_table, decontaminate, exact_dedup, langid, simhash, token_counts, token_store, url_filter
+from factloom.llm import bpe_table, decontaminate, exact_dedup, langid, simhash, token_counts, token_store, url_filter, warc_convert, wrapper_extract
 from factloom.llm.shared import table
 
 
@@ -13,6 +13,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_convert.archived(table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,6 +37,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_wrapper_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,7 +49,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_files, op4_token_counts, op5_bpe_table, op6_url_filter, op7_simhash, op9_decontaminate, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_files, op4_token_counts, op5_bpe_table, op6_url_filter, op7_simhash, op8_wrapper_extract, op9_decontaminate, op10_language)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
