@@ -1,0 +1,292 @@
+"""Queries of projections, joins, aggregates, windows, audits and stores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factloom.catalogue import query
+from factloom.functions import text as T
+from factloom.operators import chunking, facts, quality, store
+from factloom.session import table
+
+c = F.col
+
+
+def holdings(spark, sf):
+    """Line items as a supplier's holdings: sector is the part's type, weight the price (unknown for some), pos the order."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    weight = F.when(c("l_orderkey") % 11 != 0, c("l_extendedprice"))
+    sector = F.when(c("p_partkey") % 13 != 0, c("p_type"))
+    return lines.join(parts, c("l_partkey") == c("p_partkey")).select(c("l_suppkey").alias("scheme"), sector.alias("sector"), c("p_name").alias("company"), c("p_brand").alias("instrument"), weight.alias("weight"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("pos"))
+
+
+HOLD_SQL = """WITH h AS (SELECT l_suppkey AS scheme, CASE WHEN p_partkey % 13 <> 0 THEN p_type END AS sector, p_name AS company, p_brand AS instrument,
+    CASE WHEN l_orderkey % 11 <> 0 THEN l_extendedprice END AS weight, l_orderkey * 10 + l_linenumber AS pos FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+@query(HOLD_SQL + """, s AS (SELECT scheme, coalesce(sector, 'Unspecified') AS sector, sum(weight) AS w, min(pos) AS f FROM h WHERE weight IS NOT NULL GROUP BY ALL)
+    SELECT scheme, sector, round(w, 2) AS weight_pct, row_number() OVER (PARTITION BY scheme ORDER BY w DESC, f, sector) AS nth FROM s""")
+def sector_totals(spark, sf):
+    return facts.sector_totals(holdings(spark, sf), "scheme")
+
+
+@query(HOLD_SQL + "SELECT scheme, company, weight, nth FROM (SELECT *, row_number() OVER (PARTITION BY scheme ORDER BY coalesce(weight, -1) DESC, pos) AS nth FROM h) WHERE nth <= 5")
+def top5_per_group(spark, sf):
+    return facts.top_holdings(holdings(spark, sf), "scheme").select("scheme", "company", "weight", "nth")
+
+
+@query(HOLD_SQL + "SELECT scheme, count(*) AS holdings_count, arg_min(sector, pos) FILTER (WHERE sector IS NOT NULL) AS first_sector FROM h GROUP BY scheme")
+def group_first_nonnull(spark, sf):
+    first = F.min_by("sector", F.when(c("sector").isNotNull(), c("pos")))
+    return holdings(spark, sf).groupBy("scheme").agg(F.count(F.lit(1)).alias("holdings_count"), first.alias("first_sector"))
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) > 1 AS historical FROM orders")
+def version_history(spark, sf):
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("on"))
+    return facts.versions(rows, "o_custkey", "on", "o_orderkey").drop("on")
+
+
+@query("WITH v AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) > 1 AS historical FROM orders) SELECT o_custkey, count(*) FILTER (WHERE historical) AS n_historical FROM v GROUP BY 1")
+def historical_counts(spark, sf):
+    rows = facts.versions(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey")
+    return rows.groupBy("o_custkey").agg(F.count_if("historical").alias("n_historical"))
+
+
+def payloads(spark, sf):
+    """Page payloads as JSON, one for each supplier: its master data, its part types as holdings, its nation's history."""
+    held = holdings(spark, sf).groupBy("scheme", "sector", "instrument").agg(F.max("weight").alias("weight"), F.min("pos").alias("pos"))
+    lists = held.groupBy("scheme").agg(F.array_sort(F.collect_list(F.struct("pos", "sector", "instrument", "weight"))).alias("h"))
+    rows = table(spark, sf, "supplier").join(lists, c("s_suppkey") == c("scheme"), "left").join(F.broadcast(table(spark, sf, "nation")), c("s_nationkey") == c("n_nationkey"))
+    k = c("s_suppkey")
+    day = F.format_string("20%02d-%02d-%02dT20:00:00.000Z", k % 20 + 5, k % 12 + 1, k % 28 + 1)
+    payload = F.struct(
+        F.concat(F.lit(" "), c("s_name"), F.lit("\n")).alias("scheme_name"),
+        F.when(k % 3 == 0, "Regular").when(k % 3 == 1, "").alias("plan_type"),
+        c("n_name").alias("category"),
+        F.when(k % 2 == 0, "Cap").alias("sub_category"),
+        F.round(c("s_acctbal"), 2).alias("nav"),
+        day.alias("nav_date"),
+        (k * 1000 + 113606).cast("double").alias("aum"),
+        F.concat((k % 5).cast("string"), F.lit(".25")).alias("expense_ratio"),
+        (k % 5 + 1).cast("int").alias("rating"),
+        F.lit(100.0).alias("min_investment_amount"),
+        F.when(k % 4 != 0, F.lit(250.5)).alias("min_sip_investment"),
+        F.concat(F.lit("Exit load of "), k.cast("string"), F.lit("%.")).alias("exit_load"),
+        F.lit("0.005%").alias("stamp_duty"),
+        F.struct((k % 3).cast("int").alias("years"), F.lit(0).alias("months"), (k % 2).cast("int").alias("days")).alias("lock_in"),
+        F.concat(F.lit("INDEX "), c("n_name")).alias("benchmark_name"),
+        F.date_format(F.to_timestamp(F.regexp_replace(day, "T.*", "")), "dd-MMM-yyyy").alias("launch_date"),
+        F.struct(F.lit("House One").alias("name"), F.lit(1234567.5).alias("aum")).alias("amc_info"),
+        F.array(F.struct(F.lit("").alias("risk")), F.struct(F.when(k % 7 != 0, "High").alias("risk"))).alias("return_stats"),
+        F.array(F.struct(F.lit("2013-01-01").alias("as_on_date"), F.lit("Nil").alias("note")), F.struct(F.lit("2015-05-08").alias("as_on_date"), F.lit("Exit load: 1%").alias("note"))).alias("historic_exit_loads"),
+        F.array(F.struct(F.concat(F.lit("Manager "), k.cast("string")).alias("person_name"), day.alias("date_from"), F.when(k % 2 == 0, "MBA").alias("education")), F.struct(F.lit("").alias("person_name"), day.alias("date_from"), F.lit("x").alias("education"))).alias("fund_manager_details"),
+        F.transform("h", lambda x: F.struct(F.concat_ws(" ", x["sector"], x["instrument"]).alias("company_name"), x["sector"].alias("sector_name"), F.lit("").alias("instrument_name"), x["instrument"].alias("nature_name"), x["weight"].alias("corpus_per"), F.lit("2024-03-31").alias("portfolio_date"))).alias("holdings"),
+    )
+    return rows.select(F.concat(F.lit("s"), k.cast("string")).alias("scheme_id"), k.alias("supplier"), F.to_json(payload).alias("payload"))
+
+
+@query("""WITH b AS (SELECT s_suppkey AS k, s_name, n_name, s_acctbal AS nav FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    f AS (SELECT *, printf('%.2f', abs(nav)) AS s, make_date((2000 + k % 20 + 5)::INT, (k % 12 + 1)::INT, (k % 28 + 1)::INT) AS d FROM b),
+    g AS (SELECT *, split_part(s, '.', 1) AS w, rtrim(split_part(s, '.', 2), '0') AS fr FROM f)
+    SELECT 's' || k AS scheme_id, s_name AS scheme_name, CASE WHEN k % 3 = 0 THEN 'Regular' ELSE 'Direct' END AS plan_type, n_name || CASE WHEN k % 2 = 0 THEN ' Cap' ELSE '' END AS category,
+      '₹' || CASE WHEN nav < 0 THEN '-' ELSE '' END || CASE WHEN length(w) > 3 THEN reverse(rtrim(regexp_replace(reverse(left(w, -3)), '(\\d{2})', '\\1,', 'g'), ',')) || ',' || right(w, 3) ELSE w END || CASE WHEN fr <> '' THEN '.' || fr ELSE '' END AS nav,
+      strftime(d + INTERVAL 1 DAY, '%d %b %Y') AS nav_date, '₹12,34,567.5 Cr' AS amc_aum_total, (k % 5) || '.25%' AS expense_ratio, (k % 5 + 1)::INT AS rating,
+      CASE WHEN k % 7 <> 0 THEN 'High' ELSE 'Not available' END AS risk_rating, CASE WHEN k % 4 <> 0 THEN '₹250.5' ELSE 'Not available' END AS min_sip, k || '%.' AS exit_load,
+      '2015-05-08 1%, 2013-01-01 Nil' AS history,
+      coalesce(nullif(concat_ws(' ', CASE WHEN k % 3 > 0 THEN (k % 3) || CASE WHEN k % 3 = 1 THEN ' year' ELSE ' years' END END, CASE WHEN k % 2 > 0 THEN '1 day' END), ''), 'None') AS lock_in,
+      'INDEX ' || n_name AS benchmark, strftime(d, '%d-%b-%Y') AS scheme_launch_date, 'Manager ' || k || ' ' || strftime(d + INTERVAL 1 DAY, '%b %Y') AS managers FROM g""".replace("\\\\", "\\"))
+def facts_projection(spark, sf):
+    made = facts.facts(facts.parsed(payloads(spark, sf), "payload"))
+    history = F.array_join(F.transform("exit_load_history", lambda h: F.concat_ws(" ", h["as_on_date"], h["note"])), ", ")
+    managers = F.array_join(F.transform("fund_managers", lambda m: F.concat_ws(" ", m["name"], m["tenure_from"])), ", ")
+    return made.select("scheme_id", "scheme_name", "plan_type", "category", "nav", "nav_date", "amc_aum_total", "expense_ratio", "rating", "risk_rating", "min_sip", "exit_load", history.alias("history"), "lock_in", "benchmark", "scheme_launch_date", managers.alias("managers"))
+
+
+@query(HOLD_SQL + """, m AS (SELECT scheme, sector, instrument, max(weight) AS w, min(pos) AS pos FROM h GROUP BY ALL),
+    t AS (SELECT scheme, sector, instrument, w, row_number() OVER (PARTITION BY scheme ORDER BY coalesce(w, -1) DESC, pos) AS nth FROM m),
+    n AS (SELECT scheme, count(*) AS holdings_count FROM m GROUP BY scheme)
+    SELECT 's' || scheme AS scheme_id, holdings_count::INT AS holdings_count, string_agg(concat_ws(' ', sector, instrument) || '|' || coalesce(sector, 'Unspecified') || '|' || instrument || '|' || coalesce(printf('%.2f%%', w), 'Not available'), ';' ORDER BY nth) AS top_lines
+    FROM t JOIN n USING (scheme) WHERE nth <= 5 GROUP BY scheme, holdings_count""")
+def facts_holdings(spark, sf):
+    made = facts.facts(facts.parsed(payloads(spark, sf), "payload"))
+    line = F.transform("top_holdings", lambda h: F.concat_ws("|", h["company"], h["sector"], h["instrument"], facts.weight_text(h["weight_pct"])))
+    return made.where("holdings_count > 0").select("scheme_id", "holdings_count", F.array_join(line, ";").alias("top_lines"))
+
+
+def fact_documents(spark, sf):
+    made = facts.facts(facts.parsed(payloads(spark, sf), "payload"))
+    url = F.concat(F.lit("https://facts.example/"), c("scheme_id"))
+    keys = [r[0] for r in chunking.REGISTRY]
+    as_map = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*[c(k).cast("string") for k in keys]))
+    return facts.documents(made.withColumn("source_url", url), facts.facts_text(url)).withColumns({"facts": as_map, "doc_id": c("scheme_id")})
+
+
+@query()
+def facts_text(spark, sf):
+    return fact_documents(spark, sf).select("scheme_id", "text", "text_sha256")
+
+
+@query("""WITH b AS (SELECT s_suppkey AS k FROM supplier), f AS (SELECT k, unnest([CASE WHEN k % 4 = 0 THEN 'min_sip missing' END, CASE WHEN k % 7 = 0 THEN 'risk_rating missing' END, 'custodian missing']) AS failure FROM b) SELECT 's' || k AS scheme_id, failure FROM f WHERE failure IS NOT NULL""")
+def document_failures(spark, sf):
+    return facts.document_failures(fact_documents(spark, sf))
+
+
+#: A small registry over orders: field, section, label, value type, scope, is a fact, value pattern.
+ORDER_REGISTRY = (("status", "order", "Order status", "enum", "fund", True, r"[A-Z]"), ("total", "order", "Total of {amc_name}", "currency", "amc", True, r"[\d.]+"), ("priority", "order", "Priority", "text", "fund", True, r"[^\n]+"), ("clerk", "order", "Clerk", "text", "fund", False, r"[^\n]+"))
+
+
+def order_documents(spark, sf):
+    """Orders as labelled texts, with a map of facts that is missing or different for some."""
+    k = c("o_orderkey")
+    text = F.concat(F.lit("Order status : "), c("o_orderstatus"), F.lit("\nTotal of House: "), F.format_string("%.2f", "o_totalprice"), F.lit("\npriority:  "), c("o_orderpriority"), F.lit(".\nend"))
+    known = F.create_map(F.lit("status"), F.when(k % 3 != 0, c("o_orderstatus")), F.lit("total"), F.when(k % 5 == 0, F.lit("0")), F.lit("priority"), F.lit(None).cast("string"))
+    return table(spark, sf, "orders").select(k.alias("scheme_id"), F.lit("House").alias("amc_name"), text.alias("text"), known.alias("facts"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS scheme_id, 'status' AS field, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS from_facts, o_orderstatus AS from_text FROM orders
+    UNION ALL SELECT o_orderkey, 'total', CASE WHEN o_orderkey % 5 = 0 THEN '0' END, printf('%.2f', o_totalprice) FROM orders
+    UNION ALL SELECT o_orderkey, 'priority', NULL, o_orderpriority || '.' FROM orders UNION ALL SELECT o_orderkey, 'clerk', NULL, NULL FROM orders)
+    SELECT *, coalesce(from_facts, from_text) AS value, coalesce(from_facts <> from_text, false) AS disagrees FROM r""")
+def registry_cross_join(spark, sf):
+    rows = chunking.registry_values(order_documents(spark, sf), chunking.registry(spark, ORDER_REGISTRY))
+    return rows.select("scheme_id", "field", "from_facts", "from_text", "value", "disagrees")
+
+
+@query("""SELECT o_orderkey AS scheme_id, 'status' AS field, 'O — Order status: ' || o_orderstatus || '.' AS body FROM orders
+    UNION ALL SELECT o_orderkey, 'total', 'O — Total of House: AMC-level figure, not this scheme. ' || CASE WHEN o_orderkey % 5 = 0 THEN '0' ELSE printf('%.2f', o_totalprice) END || '.' FROM orders
+    UNION ALL SELECT o_orderkey, 'priority', 'O — Priority: ' || o_orderpriority || '.' FROM orders""")
+def fact_bodies(spark, sf):
+    rows = chunking.registry_values(order_documents(spark, sf), chunking.registry(spark, ORDER_REGISTRY)).where(facts.present(c("value")))
+    return rows.select("scheme_id", "field", chunking.fact_body(F.lit("O"), c("label"), c("scope"), c("value")).alias("body"))
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, l.toxic IS NULL AS unlabelled FROM documents d LEFT JOIN labels l USING (doc_id)")
+def dim_left_join(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), c("toxic").isNull().alias("unlabelled"))
+
+
+GOLD_SQL = """WITH g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'X' ELSE o_orderstatus END AS value FROM orders), r AS (SELECT o_orderkey, ' ' || o_orderstatus || ' ' AS got FROM orders WHERE o_orderkey % 89 <> 0),
+    f AS (SELECT g.o_orderkey::VARCHAR AS key, CASE WHEN got IS NULL THEN 'missing' ELSE 'expected ' || value || ', got ' || got END AS detail FROM g LEFT JOIN r USING (o_orderkey) WHERE got IS NULL OR trim(got) <> value)"""
+
+
+def _gold(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", c("o_orderstatus").alias("value"))
+    gold = orders.withColumn("value", F.when(c("o_orderkey") % 97 == 0, "X").otherwise(c("value")))
+    return quality.gold_mismatches(gold, orders.where("o_orderkey % 89 <> 0").withColumn("value", F.concat(F.lit(" "), c("value"), F.lit(" "))), ["o_orderkey"])
+
+
+@query(GOLD_SQL + "SELECT 'gold' AS rule, key, detail FROM f")
+def gold_mismatch(spark, sf):
+    return _gold(spark, sf)
+
+
+ORPHAN_SQL = "SELECT 'orphan' AS rule, l_orderkey::VARCHAR AS key, l_suppkey::VARCHAR AS detail FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)"
+
+
+def _orphans(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    return quality.orphans(lines, table(spark, sf, "supplier").where("s_acctbal > 0"), "l_suppkey", "s_suppkey", row_key="l_orderkey")
+
+
+@query(ORPHAN_SQL)
+def orphan_anti(spark, sf):
+    return _orphans(spark, sf)
+
+
+@query("""WITH a AS (SELECT doc_id, text, lang FROM documents WHERE doc_id % 10 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE text END AS text, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE lang END AS lang FROM documents WHERE doc_id % 9 <> 0)
+    SELECT doc_id, change FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'added' WHEN a.text IS DISTINCT FROM b.text THEN 'changed text' WHEN a.lang IS DISTINCT FROM b.lang THEN 'changed lang' END AS change
+    FROM a FULL JOIN b ON a.doc_id = b.doc_id) WHERE change IS NOT NULL""")
+def drift_full_outer(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    fresh = docs.where("doc_id % 9 <> 0").withColumns({"text": F.when(c("doc_id") % 7 == 0, "x").otherwise(c("text")), "lang": F.when(c("doc_id") % 11 != 0, c("lang"))})
+    return quality.drift(docs.where("doc_id % 10 <> 0"), fresh, "doc_id", ["text", "lang"])
+
+
+@query("SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def id_set_difference(spark, sf):
+    return quality.id_difference(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("SELECT 'unique' AS rule, sha256(text) AS key, count(*) || ' rows' AS detail FROM documents GROUP BY text HAVING count(*) > 1")
+def key_uniqueness(spark, sf):
+    return quality.repeated_keys(table(spark, sf, "documents").select(F.sha2("text", 256).alias("k")), "k")
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS n_distinct, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1")
+def distinct_per_field(spark, sf):
+    return quality.distinct_values(table(spark, sf, "lineitem"), "l_returnflag", "l_partkey", c("l_linestatus") == "O")
+
+
+MARKERS = ("MIT License", "All rights reserved")
+MARKER_SQL = " UNION ALL ".join(f"SELECT 'noise' AS rule, doc_id::VARCHAR AS key, '{m}' AS detail FROM documents WHERE contains(text, '{m}')" for m in MARKERS)
+
+
+@query(MARKER_SQL)
+def noise_marker_audit(spark, sf):
+    return quality.noisy(table(spark, sf, "documents"), "doc_id", "text", MARKERS)
+
+
+@query("SELECT 'accepted' AS rule, event_id::VARCHAR AS key, event_type AS detail FROM events WHERE event_type NOT IN ('click', 'view')")
+def accepted_values(spark, sf):
+    return quality.outside(table(spark, sf, "events"), "event_id", "event_type", ["click", "view"])
+
+
+@query(f"""{GOLD_SQL}, every AS (SELECT 'gold' AS rule FROM f UNION ALL SELECT rule FROM ({ORPHAN_SQL}) UNION ALL SELECT rule FROM ({MARKER_SQL})),
+    rules AS (SELECT unnest(['gold', 'orphan', 'noise', 'unique']) AS rule)
+    SELECT rules.rule, count(every.rule) AS failures, CASE WHEN count(every.rule) = 0 THEN 'ok' ELSE 'fail' END AS status FROM rules LEFT JOIN every USING (rule) GROUP BY rules.rule""")
+def audit_summary(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = quality.together([_gold(spark, sf), _orphans(spark, sf), quality.noisy(docs, "doc_id", "text", MARKERS), quality.repeated_keys(docs, "doc_id")])
+    return quality.summary(found, ["gold", "orphan", "noise", "unique"])
+
+
+@query("""WITH old AS (SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT doc_id, 'new' AS lang, source FROM documents WHERE doc_id % 2 = 0)
+    SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT * FROM new""")
+def upsert_merge(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    return store.upsert(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 2 = 0").withColumn("lang", F.lit("new")), ["doc_id"])
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 6 = 1 OR doc_id % 10 = 3""")
+def cache_validity(spark, sf):
+    """Documents whose cached vector is missing, of another text or of another model."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    text = F.when(c("doc_id") % 6 == 1, "old").otherwise(c("text"))
+    cached = docs.where("doc_id % 4 <> 0").select("doc_id", F.sha2(text, 256).alias("text_hash"), F.when(c("doc_id") % 10 == 3, "m0").otherwise("m1").alias("model"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    return store.stale(docs, cached, "doc_id", "text", "m1", 2).select("doc_id")
+
+
+@query("SELECT l_orderkey::VARCHAR AS l_orderkey, l_linenumber::VARCHAR AS l_linenumber, CASE WHEN l_linenumber = 3 THEN '' ELSE l_returnflag END AS flag, strftime(l_shipdate, '%Y-%m-%d') AS shipped FROM lineitem")
+def store_records(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(c("l_linenumber") != 3, c("l_returnflag")).alias("flag"), c("l_shipdate").cast("date").alias("shipped"))
+    return store.records(rows)
+
+
+@query("SELECT source, count(*) AS n_chunks, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean, string_agg(DISTINCT lang, ', ' ORDER BY lang) AS langs FROM documents GROUP BY source")
+def chunk_counts(spark, sf):
+    rows = table(spark, sf, "documents").groupBy("source")
+    return rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 6).alias("mean"), F.array_join(F.array_sort(F.collect_set("lang")), ", ").alias("langs"))
+
+
+@query("SELECT bool_and(n_chars > 0) AS all_long, bool_or(contains(text, 'MIT License')) AS any_license, count(DISTINCT source) = 1 AS one_source, min(length(text)) AS shortest FROM documents")
+def all_any_checks(spark, sf):
+    return table(spark, sf, "documents").agg(F.bool_and(c("n_chars") > 0).alias("all_long"), F.bool_or(c("text").contains("MIT License")).alias("any_license"), (F.countDistinct("source") == 1).alias("one_source"), F.min(F.length("text")).alias("shortest"))
+
+
+@query()
+def chunk_families(spark, sf):
+    """Chunks of the suppliers' documents, all five families, ids unique."""
+    from factloom.plans.ingest import chunk_rows
+
+    return chunk_rows(fact_documents(spark, sf))
+
+
+@query()
+def ingest_pipeline(spark, sf):
+    """Documents to stored chunks: audit gate, embedding, records."""
+    from factloom.plans.ingest import ingest
+
+    return ingest(fact_documents(spark, sf)).select("chunk_id", "scheme_id", "section", "field", "value", "token_count", "embedding")

@@ -1,0 +1,40 @@
+"""Documents to an audited store of chunks and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from factloom.config import Settings
+from factloom.operators import chunking, quality, store
+from factloom.operators.vectors import leader_clusters
+from factloom.session import staged
+
+
+def chunk_rows(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Chunks of documents (columns of facts, text, facts map, doc_id, source_url); the allowlist is the documents' own entities."""
+    spark = docs.sparkSession
+    docs = staged(docs, "documents")  # five families read them
+    categories = docs.select("scheme_id", "category").distinct()
+    return chunking.chunks(chunking.bodies(docs, chunking.registry(spark), settings.holdings_mode), categories, settings)
+
+
+def semantic_chunks(chunks: DataFrame, settings: Settings = Settings(), dim: int = 64, embedder=None) -> DataFrame:
+    """Chunks of an entity merged by leader clustering of their vectors."""
+    rows = store.embed(chunks.withColumn("_id", F.row_number().over(_order()).cast("long")), "text", dim, embedder=embedder)
+    return leader_clusters(rows, "_id", "embedding", "scheme_id", "text", settings.cluster_distance)
+
+
+def _order():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("scheme_id").orderBy("chunk_id")
+
+
+def ingest(docs: DataFrame, settings: Settings = Settings(), dim: int = 64, embedder=None, allowlist: DataFrame | None = None) -> DataFrame:
+    """Chunks with vectors, after the audit found nothing: a failure raises before anything is embedded or stored."""
+    docs = staged(docs, "documents")
+    chunks = staged(chunk_rows(docs, settings), "chunks")  # every rule of the audit reads them
+    sources = allowlist if allowlist is not None else docs.select(F.col("source_url").alias("url"))
+    quality.gate(quality.audit(chunks, sources, settings.chunk_tokens))
+    return store.embed(chunks, "embed_input", dim, embedder=embedder)
