@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.shared import fresh
 from factloom.llm.tokens import gather, slices
 
 Q = 12
@@ -156,11 +157,11 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str):
         yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == part).sort("item", "text").collect()]
 
 
-def _searched(rows: DataFrame, items: list[tuple], q: int, budget: float) -> DataFrame:
-    """Adds what one part of the benchmark finds to _items and _edits; the text is the column _text."""
+def _searched(rows: DataFrame, columns: list[str], items: list[tuple], q: int, budget: float) -> DataFrame:
+    """Adds what one part of the benchmark finds to the last two of ``columns`` (text, items, edits)."""
     told = rows.sparkSession.sparkContext.broadcast(items)
     names = rows.columns
-    text_at, items_at, edits_at = names.index("_text"), names.index("_items"), names.index("_edits")
+    text_at, items_at, edits_at = map(names.index, columns)
 
     def run(batches):
         import pyarrow as pa
@@ -173,18 +174,20 @@ def _searched(rows: DataFrame, items: list[tuple], q: int, budget: float) -> Dat
                 for d, own in index.search([plain(t) for t in texts.slice(start, stop - start).to_pylist()]).items():
                     both = sorted([*zip(items[start + d], edits[start + d], strict=True), *own.items()])
                     items[start + d], edits[start + d] = [i for i, _ in both], [e for _, e in both]
-            columns = list(batch.columns)
-            columns[items_at], columns[edits_at] = pa.array(items, pa.list_(pa.int64())), pa.array(edits, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            arrays = list(batch.columns)
+            arrays[items_at], arrays[edits_at] = pa.array(items, pa.list_(pa.int64())), pa.array(edits, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def _marked(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, q: int, budget: float) -> DataFrame:
-    rows = rows.withColumns({"_items": F.array().cast("array<long>"), "_edits": F.array().cast("array<int>")})
-    for items in _parts(benchmark, item_col, item_text):
-        rows = _searched(rows, items, q, budget)
-    return rows
+def _marked(rows: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text: str, q: int, budget: float) -> tuple[DataFrame, str, str]:
+    """``rows`` with two more columns, ids and edits of the items found, and their names."""
+    text, items, edits = fresh(rows, "_text", "_items", "_edits")
+    found = rows.withColumns({text: F.col(text_col).cast("string"), items: F.array().cast("array<long>"), edits: F.array().cast("array<int>")})
+    for part in _parts(benchmark, item_col, item_text):
+        found = _searched(found, [text, items, edits], part, q, budget)
+    return found.drop(text), items, edits
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q, budget: float = BUDGET) -> DataFrame:
@@ -199,12 +202,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts once. Other columns are not read. An empty benchmark leaves all
     documents clean; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    marked = _marked(rows, benchmark, item_col, item_text, q, budget)
-    return marked.select(F.col("_id").alias(id_col), (F.size("_items") > 0).alias("contaminated"), F.size("_items").alias("n_items"), F.col("_items").alias("item_ids"), F.col("_edits").alias("edits"))
+    marked, items, edits = _marked(docs.select(id_col, text_col), text_col, benchmark, item_col, item_text, q, budget)
+    n = F.size(items)
+    return marked.select(id_col, (n > 0).alias("contaminated"), n.alias("n_items"), F.col(items).alias("item_ids"), F.col(edits).alias("edits"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q, budget: float = BUDGET) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
-    marked = _marked(docs.withColumn("_text", F.col(text_col).cast("string")), benchmark, item_col, item_text, q, budget)
-    return marked.where(F.size("_items") == 0).select(*docs.columns)
+    marked, items, _ = _marked(docs, text_col, benchmark, item_col, item_text, q, budget)
+    return marked.where(F.size(items) == 0).select(*docs.columns)

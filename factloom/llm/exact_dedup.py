@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.shared import fresh
+
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -55,9 +57,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Join and removal of repeated rows share one exchange of the texts.
     """
 
+    k, sha = fresh(docs, "_key", "_sha")
+
     def key(column: str) -> Column:
         return F.coalesce(F.col(column).cast("string"), F.lit("\u0000none"))
 
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(key(id_col).alias("_key"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumns({"_key": key(id_col), "_sha": F.sha2(normalised(F.col(text_col)), 256)})
-    return rows.join(keep, ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"]).select(*docs.columns)
+    keep = exact_groups(docs, id_col, text_col).where("kept").select(key(id_col).alias(k), F.col("text_sha256").alias(sha))
+    rows = docs.withColumns({k: key(id_col), sha: F.sha2(normalised(F.col(text_col)), 256)})
+    return rows.join(keep, [k, sha], "left_semi").dropDuplicates([k, sha]).select(*docs.columns)

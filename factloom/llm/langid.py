@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from factloom.llm.shared import fresh
 from factloom.llm.tokens import slices
 
 BUCKETS = 1 << 12
@@ -214,19 +215,20 @@ def _predicted(batch_texts, model: Model) -> tuple[list[str], list[float]]:
 def with_language(docs: DataFrame, model: Model, text_col: str, to: tuple[str, str]) -> DataFrame:
     """Adds the language and the score, computed from the text alone; a row's other columns pass through."""
     told = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("_text", F.col(text_col).cast("string")).withColumns({to[0]: F.lit("").cast("string"), to[1]: F.lit(0.0)})
+    (text,) = fresh(docs, "_text")
+    rows = docs.withColumn(text, F.col(text_col).cast("string")).withColumns({to[0]: F.lit("").cast("string"), to[1]: F.lit(0.0)})
     schema, names = rows.schema, rows.columns
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            languages, scores = _predicted(batch.column(names.index("_text")), told.value)
+            languages, scores = _predicted(batch.column(names.index(text)), told.value)
             columns = list(batch.columns)
             columns[-2:] = [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, schema).drop("_text")
+    return rows.mapInArrow(run, schema).drop(text)
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -245,5 +247,6 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def identified(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose language is determined with a score of ``least`` or more, all columns kept."""
-    rows = with_language(docs, train(training, id_col, text_col, lang_col), text_col, ("_lang_pred", "_score"))
-    return rows.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_score") >= least)).select(*docs.columns)
+    lang, score = fresh(docs, "_lang_pred", "_score")
+    rows = with_language(docs, train(training, id_col, text_col, lang_col), text_col, (lang, score))
+    return rows.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)

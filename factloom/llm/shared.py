@@ -57,3 +57,14 @@ def write_atomically(uri: str, write) -> None:
     with store.open_output_stream(own, compression=None) as out:
         write(out)
     store.move(own, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
