@@ -24,6 +24,11 @@ NOISE_HEADINGS = ("Compare similar funds", "Return calculator", "Understand term
 TOKEN = r"\w+|[^\w\s]"
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with ``value`` evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

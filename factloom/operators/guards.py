@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import lowered
+from factloom.functions.text import let, lowered
 
 # Personal-data patterns in order of precedence (on the raw text), then the bare long number.
 PII = (
@@ -92,14 +92,17 @@ def literal(phrase: str) -> str:
 
 def pii(text: Column) -> Column:
     """struct(kind, start, end) of the first pattern in order that hits (not the leftmost); never the text; null if none."""
-    text = F.coalesce(text, F.lit(""))
-    out = F.lit(None).cast("struct<kind:string,start:int,end:int>")
-    for kind, pattern in reversed(PII):
-        pattern = f"(?U){pattern}"
-        at = F.regexp_instr(text, F.lit(pattern))
-        hit = F.struct(F.lit(kind).alias("kind"), (at - 1).alias("start"), (at - 1 + F.length(F.regexp_extract(text, pattern, 0))).alias("end"))
-        out = F.when(text.rlike(pattern), hit).otherwise(out)
-    return out
+
+    def first(t: Column) -> Column:
+        out = F.lit(None).cast("struct<kind:string,start:int,end:int>")
+        for kind, pattern in reversed(PII):
+            pattern = f"(?U){pattern}"
+            at = F.regexp_instr(t, F.lit(pattern))
+            hit = F.struct(F.lit(kind).alias("kind"), (at - 1).alias("start"), (at - 1 + F.length(F.regexp_extract(t, pattern, 0))).alias("end"))
+            out = F.when(t.rlike(pattern), hit).otherwise(out)
+        return out
+
+    return let(F.coalesce(text, F.lit("")), first)
 
 
 def has_pii(text: Column) -> Column:
@@ -120,21 +123,20 @@ def performance(text: Column) -> Column:
 
 def foreign_name(text: Column, names=FOREIGN) -> Column:
     """The first name in list order that stands as a word, else null."""
-    low = lowered(text)
-    out = F.lit(None).cast("string")
-    for name in reversed(names):
-        out = F.when(low.rlike(rf"(?U)\b{literal(name)}\b"), F.lit(name)).otherwise(out)
-    return out
+    every = any_of(rf"\b{literal(n)}\b" for n in names)
+    listed = F.array(*map(F.lit, names))
+    one = lambda low: F.get(F.filter(listed, lambda n: F.rlike(low, F.concat(F.lit(r"(?U)\b\Q"), n, F.lit(r"\E\b")))), F.lit(0))
+    return let(lowered(text), lambda low: F.when(low.rlike(every), one(low)))
 
 
 def structural_intent(text: Column, names=FOREIGN) -> Column:
     """out_of_scope, advice, performance or factual, by grammar rather than phrases."""
-    low = lowered(text)
-    return (
-        F.when(low.rlike("(?U)" + "|".join(rf"\b{literal(n)}\b" for n in names)), "out_of_scope")
+    return let(
+        lowered(text),
+        lambda low: F.when(low.rlike(any_of(rf"\b{literal(n)}\b" for n in names)), "out_of_scope")
         .when(low.rlike(any_of(ADVICE_SIGNALS)), "advice")
         .when(low.rlike(any_of(PERFORMANCE_SIGNALS)), "performance")
-        .otherwise("factual")
+        .otherwise("factual"),
     )
 
 
@@ -155,21 +157,23 @@ def two_layer_performance(text: Column, classifier=None) -> Column:
 
 
 def _two_layer(first: Column, second: Column, label: str, alone: Column) -> Column:
-    reason = (
-        F.when(~first, f"{label} phrases: no match")
-        .when(alone, f"{label} phrases: match; no classifier, blocked on phrases alone")
-        .when(second == label, f"{label} phrases: match; second layer agreed")
-        .otherwise(F.concat(F.lit(f"{label} phrases: match; second layer said "), second))
-    )
-    return F.struct((first & (alone | (second == label))).alias("blocked"), reason.alias("reason"))
+    def decide(both: Column) -> Column:
+        one, two = both["one"], both["two"]
+        reason = (
+            F.when(~one, f"{label} phrases: no match")
+            .when(alone, f"{label} phrases: match; no classifier, blocked on phrases alone")
+            .when(two == label, f"{label} phrases: match; second layer agreed")
+            .otherwise(F.concat(F.lit(f"{label} phrases: match; second layer said "), two))
+        )
+        return F.struct((one & (alone | (two == label))).alias("blocked"), reason.alias("reason"))
+
+    return let(F.struct(first.alias("one"), second.alias("two")), decide)
 
 
 def out_of_corpus(text: Column, resolved: Column, names=FOREIGN) -> Column:
     """struct(hit, detail): a foreign name hits; else a resolved entity clears; else a scope word hits."""
-    name, low = foreign_name(text, names), lowered(text)
-    word = low.rlike("|".join(literal(w) for w in SCOPE_WORDS))
-    hit = name.isNotNull() | (~resolved & word)
-    return F.struct(hit.alias("hit"), F.when(name.isNotNull(), name).when(hit, "nothing in scope matched").alias("detail"))
+    told = F.struct(foreign_name(text, names).alias("name"), (~resolved & lowered(text).rlike("|".join(literal(w) for w in SCOPE_WORDS))).alias("word"))
+    return let(told, lambda t: F.struct((t["name"].isNotNull() | t["word"]).alias("hit"), F.when(t["name"].isNotNull(), t["name"]).when(t["word"], "nothing in scope matched").alias("detail")))
 
 
 def scope_refusal(scheme_names: list[str]) -> str:
@@ -178,18 +182,21 @@ def scope_refusal(scheme_names: list[str]) -> str:
 
 def guard_chain(text: Column, resolved: Column, classifier=None, names=FOREIGN) -> Column:
     """array of struct(guard, triggered, reason, loggable) up to the first that triggers: pii, advice, performance, out_of_corpus."""
-    a, p, s = two_layer_advice(text, classifier), two_layer_performance(text, classifier), out_of_corpus(text, resolved, names)
-    kind = pii(text)["kind"]
+    found = F.struct(pii(text)["kind"].alias("kind"), two_layer_advice(text, classifier).alias("a"), two_layer_performance(text, classifier).alias("p"), out_of_corpus(text, resolved, names).alias("s"))
 
     def decision(guard: str, triggered: Column, reason: Column, loggable: bool = True) -> Column:
         return F.struct(F.lit(guard).alias("guard"), F.coalesce(triggered, F.lit(False)).alias("triggered"), reason.alias("reason"), F.lit(loggable).alias("loggable"))
 
-    every = F.array(decision("pii", kind.isNotNull(), kind, False), decision("advice", a["blocked"], a["reason"]), decision("performance", p["blocked"], p["reason"]), decision("out_of_corpus", s["hit"], s["detail"]))
-    first = F.array_position(F.transform(every, lambda d: d["triggered"]), True)
-    return F.when(first > 0, F.slice(every, 1, first.cast("int"))).otherwise(every)
+    def chain(f: Column) -> Column:
+        return F.array(decision("pii", f["kind"].isNotNull(), f["kind"], False), decision("advice", f["a"]["blocked"], f["a"]["reason"]), decision("performance", f["p"]["blocked"], f["p"]["reason"]), decision("out_of_corpus", f["s"]["hit"], f["s"]["detail"]))
+
+    def cut(every: Column) -> Column:
+        first = F.array_position(F.transform(every, lambda d: d["triggered"]), True)
+        return F.when(first > 0, F.slice(every, F.lit(1), first.cast("int"))).otherwise(every)
+
+    return let(let(found, chain), cut)
 
 
 def refusal_type(chain: Column) -> Column:
     """The guard that triggered, else null."""
-    last = F.element_at(chain, -1)
-    return F.when(last["triggered"], last["guard"])
+    return let(F.element_at(chain, -1), lambda last: F.when(last["triggered"], last["guard"]))

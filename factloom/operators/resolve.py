@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import lowered
+from factloom.functions.text import let, lowered
 from factloom.operators.guards import FOREIGN, foreign_name
 
-EMPTY = "struct<scheme_ids:array<string>,matched_alias:string,confidence:double,ambiguous:boolean>"
-
 
 def ordered_aliases(aliases: dict[str, list[str]]) -> list[tuple[str, str]]:
     """(alias, scheme) by falling length; equal lengths keep their order. An alias of two schemes is the later one's."""
@@ -23,7 +21,10 @@ def resolve(text: Column, aliases: dict[str, list[str]], in_scope: list[str], fo
     The longest alias claims its span first; an alias takes its first place that no
     earlier span touches. A foreign name empties the result.
     """
-    low = lowered(text)
+    return let(lowered(text), lambda low: _resolve(low, aliases, in_scope, foreign))
+
+
+def _resolve(low: Column, aliases: dict[str, list[str]], in_scope: list[str], foreign) -> Column:
     table = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(rf"(?<![a-z0-9])\Q{a}\E(?![a-z0-9])").alias("pattern"), F.lit(s).alias("scheme")) for a, s in ordered_aliases(aliases)])
     start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("schemes"), F.array().cast("array<string>").alias("aliases"))
 
@@ -48,11 +49,15 @@ def resolve(text: Column, aliases: dict[str, list[str]], in_scope: list[str], fo
 
 def _result(state: Column, low: Column, in_scope: list[str], foreign) -> Column:
     kept = F.filter(state["schemes"], lambda s: s.isin(in_scope)) if in_scope else F.array().cast("array<string>")
-    known = foreign_name(low, foreign).isNull() & (F.size(kept) > 0)
-    one = F.size(kept) == 1
-    return F.struct(
-        F.when(known, kept).otherwise(F.array().cast("array<string>")).alias("scheme_ids"),
-        F.when(known & one, F.get(state["aliases"], F.lit(0))).when(known, F.array_join(state["aliases"], ",")).alias("matched_alias"),
-        F.when(known & one, 0.95).when(known, 0.6).otherwise(0.0).alias("confidence"),
-        (~(known & one)).alias("ambiguous"),
-    )
+    kept = F.when(foreign_name(low, foreign).isNull(), kept).otherwise(F.array().cast("array<string>"))
+
+    def shape(ids: Column) -> Column:
+        one, known = F.size(ids) == 1, F.size(ids) > 0
+        return F.struct(
+            ids.alias("scheme_ids"),
+            F.when(one, F.get(state["aliases"], F.lit(0))).when(known, F.array_join(state["aliases"], ",")).alias("matched_alias"),
+            F.when(one, 0.95).when(known, 0.6).otherwise(0.0).alias("confidence"),
+            (~one).alias("ambiguous"),
+        )
+
+    return let(kept, shape)

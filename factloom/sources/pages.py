@@ -111,7 +111,7 @@ def allowed(pages: DataFrame, allowlist: DataFrame, url: str = "url") -> DataFra
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """(scheme_id, text, fetched_at) of ``<scheme_id>.txt`` files; the date is the file's."""
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
-    return spark.read.option("wholetext", True).text(folder, pathGlobFilter="*.txt").select(name.alias("scheme_id"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").cast("date").alias("fetched_at"))
+    return spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(name.alias("scheme_id"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").cast("date").alias("fetched_at"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -129,5 +129,5 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def json_map(spark: SparkSession, path: str) -> DataFrame:
     """(key, record) of a JSON object of objects; records stay JSON text."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "record"))

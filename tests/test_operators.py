@@ -1,0 +1,204 @@
+"""Chunking, audits, stores, search, re-ranking, clustering, answers."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from factloom import config
+from factloom.operators import answer, chunking, quality, rerank, store, trace, vectors
+from factloom.plans import ingest
+from factloom.sources import pages
+
+
+def test_settings(tmp_path):
+    made = config.settings_from({"sources": [{"scheme_id": "a_b", "category": "C", "scheme_name": "N", "url": "u"}], "top_k": 2})
+    assert made.candidate_k == 6 and made.token_budget == 230 and made.render_prefix("N", "C", "t") == "N (C). t"
+    with pytest.raises(ValueError):
+        config.Source("a-b", "", "", "")
+    with pytest.raises(ValueError):
+        config.settings_from({"sources": [made.sources[0], made.sources[0]]})
+    with pytest.raises(ValueError):
+        config.settings_from({"nope": 1})
+    path = tmp_path / "s.json"
+    path.write_text(json.dumps({"top_k": 9}))
+    assert config.load_settings(str(path)).top_k == 9
+    path.write_text(json.dumps({"top_k": 8}))
+    assert config.load_settings(str(path)).top_k == 9
+    config.clear_settings_cache()
+    assert config.load_settings(str(path)).top_k == 8
+    with pytest.raises(ValueError):
+        chunking.strategy(None, config.Settings(strategy="semantic", semantic_available=False))
+
+
+def test_splitter():
+    text = "\n\n".join(" ".join(f"w{i}" for i in range(n)) for n in (30, 10, 50, 5))
+    parts = chunking.split_recursively(text, 20, 5, ("\n\n", "\n", ". ", " ", ""), lambda t: len(t.split()))
+    assert all(len(p.split()) <= 20 for p in parts) and len(parts) > 4
+    assert {w for p in parts for w in p.split()} == set(text.split())
+    assert chunking.split_recursively("abc", 20, 5, (" ", ""), len) == ["abc"]
+    assert all(len(p) <= 7 for p in chunking.split_recursively("abcdefghij" * 3, 7, 2, ("",), len))
+
+
+def fact_docs(spark, sf):
+    from factloom.catalogue import shaping
+
+    return shaping.fact_documents(spark, sf)
+
+
+def test_ingest_and_gate(spark, sf):
+    docs = fact_docs(spark, sf).checkpoint()
+    chunks = ingest.chunk_rows(docs).cache()
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() > 100
+    assert chunks.where("token_count > 200").count() == 0
+    assert {r[0] for r in chunks.select("section").distinct().collect()} == {"overview", "fees_and_minimums", "portfolio", "fund_management"}
+    stored = ingest.ingest(docs, dim=16).cache()
+    assert stored.count() == chunks.count() and vectors.norm_report(stored, F.col("embedding"), 16).first()["all_dim"]
+    with pytest.raises(quality.AuditFailed, match="allowlist"):
+        ingest.ingest(docs, allowlist=spark.createDataFrame([("https://other.example",)], "url string"))
+    merged = ingest.semantic_chunks(chunks.where("scheme_id = 's1'"), dim=16)
+    assert sorted(i for r in merged.collect() for i in r["members"]) == list(range(1, chunks.where("scheme_id = 's1'").count() + 1))
+
+
+def test_audit_rules(spark):
+    row = {"chunk_id": "c1", "scheme_id": "s", "field": "nav", "text": "S — NAV: 5.", "source_url": "https://a/", "value": "5", "scope": "fund", "historical": False, "is_fact": True, "token_count": 5}
+    faults = [row, {**row, "chunk_id": "c2", "token_count": 500}, {**row, "chunk_id": "c3", "text": "NAV: 5 Return calculator"}, {**row, "chunk_id": "c4", "text": "5"}, {**row, "chunk_id": "c5", "value": "6"}, {**row, "chunk_id": "c6", "source_url": "https://b"}, {**row, "chunk_id": "c7", "scope": "amc"}, {**row, "chunk_id": "c8"}, {**row, "chunk_id": "c8"}]
+    chunks = spark.createDataFrame(faults)
+    gold = spark.createDataFrame([("nav", "s", "7"), ("nav", "t", "1")], "field string, scheme_id string, value string")
+    found = quality.audit(chunks, spark.createDataFrame([("HTTPS://A",)], "url string"), 200, gold=gold, distinct={"nav": 1}, historical=spark.createDataFrame([("s", 1)], "scheme_id string, expected int"))
+    got = sorted((r["rule"], r["key"]) for r in found.collect())
+    assert got == [("allowlist", "c6"), ("distinct", "nav"), ("gold", "nav.s"), ("gold", "nav.t"), ("historical", "s"), ("label_value_atomic", "c4"), ("label_value_atomic", "c5"), ("noise", "c3"), ("scope", "c7"), ("token_budget", "c2"), ("unique", "c8")]
+    status = {r["rule"]: r["status"] for r in quality.summary(found, ["gold", "scope", "orphan"]).collect()}
+    assert status == {"gold": "fail", "scope": "fail", "orphan": "ok"}
+    quality.gate(found.limit(0))
+
+
+def test_upsert_twice_is_once(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    once = store.upsert(old, new, ["k"])
+    assert sorted(map(tuple, once.collect())) == [(1, "a"), (2, "c"), (3, "d")] == sorted(map(tuple, store.upsert(once, new, ["k"]).collect()))
+
+
+def test_embeddings_are_cached(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "id int, text string")
+    first = store.cached_embeddings(rows, None, "id", "text", "m", 8).checkpoint()
+    changed = rows.withColumn("text", F.when(F.col("id") == 2, "new").otherwise(F.col("text")))
+    assert [r["id"] for r in store.stale(changed, first, "id", "text", "m", 8).collect()] == [2]
+    assert store.stale(rows, first, "id", "text", "other", 8).count() == 3
+    second = store.cached_embeddings(changed, first, "id", "text", "m", 8)
+    assert {r["id"]: r["embedding"] for r in second.where("id <> 2").collect()} == {r["id"]: r["embedding"] for r in first.where("id <> 2").collect()}
+    assert second.count() == 3
+    assert store.fingerprint(rows, "id", "text", "m").first()[0] != store.fingerprint(changed, "id", "text", "m").first()[0]
+
+
+def test_run_log_and_files(spark, tmp_path):
+    log = str(tmp_path / "log")
+    assert store.read_run_log(spark, log) == {}
+    store.write_run_log(spark, log, "ingest", 1.23456, {"stage": "other"}, audit={"passed": True})
+    entry = store.read_run_log(spark, log)
+    assert entry["stage"] == "other" and entry["duration_s"] == 1.235 and entry["audit"] == {"passed": True}
+    (tmp_path / "x.jsonl").write_text('{"a":1}\n\n{"a":2}\n')
+    assert [r["a"] for r in pages.json_lines(spark, str(tmp_path / "x.jsonl"), "a int").collect()] == [1, 2]
+    assert pages.json_lines(spark, str(tmp_path / "none.jsonl"), "a int").count() == 0
+    (tmp_path / "m.json").write_text('{"k": {"v": 1}, "l": {"v": 2}}')
+    assert {r["key"]: json.loads(r["record"])["v"] for r in pages.json_map(spark, str(tmp_path / "m.json")).collect()} == {"k": 1, "l": 2}
+    (tmp_path / "snap").mkdir()
+    (tmp_path / "snap" / "s_1.txt").write_text("two\nlines")
+    assert [(r["scheme_id"], r["text"]) for r in pages.snapshots(spark, str(tmp_path / "snap")).collect()] == [("s_1", "two\nlines")]
+    store.write_records(spark.createDataFrame([(1, "a")], "v int, p string"), str(tmp_path / "r"), "p")
+    store.write_records(spark.createDataFrame([(2, "b")], "v int, p string"), str(tmp_path / "r"), "p", rebuild=False)
+    assert sorted((r["v"], r["p"]) for r in spark.read.parquet(str(tmp_path / "r")).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_nearest(spark):
+    rows = [(i, [float(i % 5), float(i % 3), 1.0 if i else 0.0], str(i % 2)) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<float>, label string").repartition(3)
+    queries = spark.createDataFrame([(7, [1.0, 2.0, 3.0], ["1"]), (8, [0.0, 0.0, 0.0], None)], "qid long, embedding array<float>, allowed array<string>")
+    got = vectors.nearest(corpus, queries, 6, label_col="label", allowed_col="allowed").collect()
+
+    def distance(a, b):
+        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return 1.0 if size == 0 else 1 - sum(x * y for x, y in zip(a, b, strict=True)) / size
+
+    for qid, vector, allowed in ((7, [1.0, 2.0, 3.0], {"1"}), (8, [0.0] * 3, {"0", "1"})):
+        want = sorted((round(distance(vector, v), 12), i) for i, v, label in rows if label in allowed)[:6]
+        assert [(round(r["distance"], 12), r["id"]) for r in sorted((r for r in got if r["qid"] == qid), key=lambda r: r["rank"])] == want
+    assert vectors.nearest(corpus.limit(0), queries, 6).count() == 0
+    floor = {r["qid"]: r["grounded"] for r in vectors.grounded(vectors.nearest(corpus, queries.where("qid = 7"), 3), queries).collect()}
+    assert floor == {7: True, 8: False}
+
+
+def candidate(i, distance, field="f", value="v", historical=False, embedding=(1.0, 0.0)):
+    return {"id": i, "distance": distance, "field": field, "value": value, "historical": historical, "embedding": list(embedding) if embedding else None, "rank": i}
+
+
+def test_rerank_tiers():
+    rows = [candidate(i, 0.1 * i, "f", str(i)) for i in range(1, 5)] + [candidate(5, 0.9, "g", "x"), candidate(6, 0.95, "g", "x")]
+    assert [r["id"] for r in rerank.select_diverse(rows, 4, 0.0, 3, "distance")] == [1, 2, 3, 5]
+    assert [r["id"] for r in rerank.select_diverse(rows, 9, 0.0, 3, "distance")] == [1, 2, 3, 5, 6, 4]
+    apart = [candidate(1, 0.1, value="a"), candidate(2, 0.2, value="b", embedding=(0.0, 1.0)), candidate(3, 0.25, value="c")]
+    assert [r["id"] for r in rerank.select_diverse(apart, 2, 0.3, 3, "distance")] == [1, 3]
+    assert [r["id"] for r in rerank.select_diverse(apart, 2, 0.3, 3, "similarity")] == [1, 2]
+    assert [r["id"] for r in rerank.select_diverse([candidate(1, 0.5), candidate(2, 0.5)], 1, 0.3, None, "distance")] == [1]
+
+
+def test_superseded(spark):
+    rows = [(1, "exit_load_historical", True), (2, "exit_load", False), (3, "nav_historical", True)]
+    df = spark.createDataFrame([(q, *r) for q in (1, 2) for r in rows if q == 1 or r[2]], "qid long, id long, field string, historical boolean")
+    assert sorted(map(tuple, rerank.without_superseded(df).select("qid", "id").collect())) == [(1, 2), (1, 3), (2, 1), (2, 3)]
+
+
+def test_leader_clusters(spark):
+    rows = [(1, [1.0, 0.0], "a", "x"), (2, [0.9, 0.1], "a", "y"), (3, [0.0, 1.0], "a", "z"), (4, [1.0, 0.0], "b", None)]
+    got = vectors.leader_clusters(spark.createDataFrame(rows, "id long, v array<double>, label string, t string"), "id", "v", "label", "t").collect()
+    assert sorted((r["label"], r["cluster"], r["members"], r["text"]) for r in got) == [("a", 0, [1, 2], "x y"), ("a", 1, [3], "z"), ("b", 0, [4], "")]
+    pairs = vectors.close_pairs(spark.createDataFrame(rows, "id long, v array<double>, label string, t string"), "id", "v", "label")
+    assert [(r["a"], r["b"]) for r in pairs.collect()] == [(1, 2)]
+
+
+SOURCES = (config.Source("s_large_cap", "Large Cap", "Large Cap Fund", "https://facts.example/a"),)
+
+
+class Second:
+    """Fails the first time, or raises."""
+
+    def __init__(self, first):
+        self.first = first
+
+    def chat(self, system, user, temperature, max_tokens):
+        good = "The large cap load is 1.5%. https://facts.example/a\nLast updated from sources: 2024-01-02"
+        if self.first == "raise":
+            raise RuntimeError("no")
+        return good if "previous answer failed" in system else good.replace(*self.first)
+
+
+@pytest.mark.parametrize(
+    ("first", "status", "retries"), [(("1.5%", "1.5%"), "answered", 0), (("1.5%", "9.5%"), "answered", 1), (("facts.example", "x.example"), "fallback", 0), ("raise", "generator_failed", 0)]
+)
+def test_answer_rounds(spark, first, status, retries):
+    schema = "qid long, query string, context string, evidence array<struct<scheme_id:string,text:string>>, resolution struct<scheme_ids:array<string>,matched_alias:string,confidence:double,ambiguous:boolean>, refusal_type string, refusal_text string, grounded boolean, history array<struct<question:string,answer:string>>"
+    row = ("q", "ctx", [("s_large_cap", "load 1.5%")], (["s_large_cap"], "large cap", 0.95, False))
+    rows = spark.createDataFrame([(1, *row, None, None, True, []), (2, *row, "pii", "no", False, []), (3, *row, None, None, False, [])], schema)
+    got = {r["qid"]: r for r in answer.answered(rows, Second(first), config.Settings(sources=SOURCES), "2024-01-01", "s_").collect()}
+    assert (got[1]["status"], got[1]["retries"]) == (status, retries)
+    assert got[2]["status"] == "refused" and got[2]["text"] == "no" and got[3]["status"] == "not_available"
+    assert "x.example" not in got[1]["text"]
+    with pytest.raises(ValueError):
+        answer.generator("nobody")
+
+
+def test_answers_never_hold_personal_data(spark, sf):
+    from factloom.catalogue import answering
+    from factloom.plans import answering as plan
+
+    turns = answering.turns(spark, sf).where("role = 'user'")
+    asked = plan.retrieve(turns, answering.SETTINGS, answering.ALIASES)
+    text = " ".join(f"{r['query']} {r['question']} {r['search_text']}" for r in asked.where("refusal_type = 'pii'").collect())
+    assert text and "ABCDE1234F" not in text and "9876543210" not in text and "@" not in text
+
+
+def test_trace(spark):
+    t = trace.trace(stage1=F.lit(1), stage5=F.struct(F.lit("x").alias("a")))
+    row = spark.range(1).select(trace.is_complete(t).alias("c"), trace.to_text(t).alias("j")).first()
+    assert not row["c"] and json.loads(row["j"])["stage5"] == {"a": "x"} and json.loads(row["j"])["stage2"] is None
