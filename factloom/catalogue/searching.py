@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.catalogue import query
-from factloom.functions import vectors as V
 from factloom.operators import answer, rerank, trace
 from factloom.operators import vectors as ops
 from factloom.session import table
@@ -64,10 +63,8 @@ def vector_delta(spark, sf):
 def close_pairs(spark, sf):
     """Close pairs of the stated queries and later rows of their label."""
     rows = table(spark, sf, "embeddings")
-    corpus = rows.select(c("vec_id").alias("b"), c("embedding").alias("vb"), "label")
-    asked = rows.where("vec_id % 50 = 0").select(c("vec_id").alias("a"), c("embedding").alias("va"), "label")
-    pairs = asked.join(corpus, "label").where("a < b").withColumn("distance", V.cosine_distance(c("va"), c("vb"))).where("distance <= 0.75")
-    return pairs.select("label", "a", "b", F.round("distance", 6).alias("distance"))
+    pairs = ops.close_pairs(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", "label", 0.75)
+    return pairs.withColumn("distance", F.round("distance", 6))
 
 
 CANDIDATE_SQL = ALL_SQL + ", c AS (SELECT k.qid, k.id, k.rank AS r, k.distance AS dq, CASE WHEN id % 7 = 0 THEN 'f' || (label % 3) || '_historical' ELSE 'f' || (label % 3) END AS field, (id % 5)::VARCHAR AS value, id % 7 = 0 AS historical FROM k)"
@@ -133,6 +130,6 @@ def trace_rows(spark, sf):
 
 @query()
 def leader_clusters(spark, sf):
-    """Greedy clusters of each label's vectors."""
-    rows = table(spark, sf, "embeddings").withColumn("text", F.concat(F.lit("v"), c("vec_id").cast("string")))
-    return ops.leader_clusters(rows, "vec_id", "embedding", "label", "text", 0.75)
+    """Greedy clusters of the vectors of each entity; an entity is a hundred ids of one label."""
+    rows = table(spark, sf, "embeddings").withColumns({"text": F.concat(F.lit("v"), c("vec_id").cast("string")), "entity": F.concat_ws("-", "label", F.floor(c("vec_id") / 100))})
+    return ops.leader_clusters(rows, "vec_id", "embedding", "entity", "text", 0.75)

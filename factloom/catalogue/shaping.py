@@ -290,3 +290,18 @@ def ingest_pipeline(spark, sf):
     from factloom.plans.ingest import ingest
 
     return ingest(fact_documents(spark, sf)).select("chunk_id", "scheme_id", "section", "field", "value", "token_count", "embedding")
+
+
+@query()
+def verify_store(spark, sf):
+    """A store with planted faults against its documents: changed texts, vanished chunks, moved vectors."""
+    from factloom.plans.ingest import ingest
+    from factloom.plans.verify import verify
+    from factloom.session import staged
+
+    docs = staged(fact_documents(spark, sf), "documents")
+    stored = ingest(docs).where(~c("chunk_id").like("s3\\_about%"))
+    stored = stored.withColumn("text", F.when((c("scheme_id") == "s5") & (c("field") == "nav"), "other").otherwise(c("text")))
+    moved = F.transform("embedding", lambda x: (x * 2).cast("float"))
+    stored = stored.withColumn("embedding", F.when((c("scheme_id") == "s7") & (c("field") == "nav"), moved).otherwise(c("embedding")))
+    return verify(docs, stored, docs.select(c("source_url").alias("url")))

@@ -98,9 +98,15 @@ def text_collapse_lower(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(T.lowered(F.col("text")), 256).alias("low_sha256"))
 
 
-@query("SELECT sha256('model-1' || string_agg(sha256(doc_id::VARCHAR || text), '' ORDER BY doc_id::VARCHAR)) AS fingerprint FROM documents WHERE text IS NOT NULL")
+@query("""WITH r AS (SELECT sha256(doc_id::VARCHAR || chr(10) || coalesce(text, '')) AS h FROM documents)
+    SELECT sha256(concat_ws(',', 'model-1', count(*)::VARCHAR, sum(('0x' || substr(h, 1, 15))::UBIGINT::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 16, 15))::UBIGINT::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 31, 15))::UBIGINT::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 46, 15))::UBIGINT::HUGEINT)::VARCHAR)) AS fingerprint FROM r""")
 def corpus_fingerprint(spark, sf):
-    return store.fingerprint(table(spark, sf, "documents").where("text is not null"), "doc_id", "text", "model-1")
+    return store.fingerprint(table(spark, sf, "documents"), "doc_id", "text", "model-1")
+
+
+@query("SELECT sha256('m' || string_agg(r_regionkey::VARCHAR || r_name, '' ORDER BY r_regionkey::VARCHAR)) AS fingerprint FROM region")
+def manifest_fingerprint(spark, sf):
+    return store.ordered_fingerprint(table(spark, sf, "region"), "r_regionkey", "r_name", "m")
 
 
 STATS_SQL = r"""

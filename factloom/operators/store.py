@@ -27,13 +27,25 @@ def records(rows: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, key: str, text: str, model: str) -> DataFrame:
-    """One row: SHA-256 over the model and, in key order, each row's key and text.
+    """One row: a fingerprint of the model and the rows' keys and texts, whatever their order.
 
-    Rows are hashed on their own first, so what is put in order in one place is a
-    fixed 64 characters a row.
+    Each row is hashed on its own and the hashes are added up in four parts, so rows
+    are never brought together: partial sums meet, not texts.
     """
-    own = rows.select(F.col(key).cast("string").alias("k"), F.sha2(F.concat(F.col(key).cast("string"), F.coalesce(F.col(text), F.lit(""))), 256).alias("h"))
-    return own.agg(F.sha2(F.concat(F.lit(model), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda s: s["h"]), "")), 256).alias("fingerprint"))
+    h = F.sha2(F.concat(F.col(key).cast("string"), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), 256)
+    parts = [F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    sums = rows.select(h.alias("_h")).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(p), F.lit(0).cast("decimal(38,0)")).cast("string").alias(f"s{i}") for i, p in enumerate(parts)])
+    return sums.select(F.sha2(F.concat_ws(",", F.lit(model), "n", "s0", "s1", "s2", "s3"), 256).alias("fingerprint"))
+
+
+def ordered_fingerprint(rows: DataFrame, key: str, text: str, model: str) -> DataFrame:
+    """One row: SHA-256 over the model and then each row's key and text in key order, as one text.
+
+    Everything comes together in one row, so it is for manifests of a few thousand
+    short rows; ``fingerprint`` is for a corpus.
+    """
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))))
+    return rows.agg(F.sha2(F.concat(F.lit(model), F.array_join(F.transform(pairs, lambda s: F.concat(s["k"], s["t"])), "")), 256).alias("fingerprint"))
 
 
 def stale(rows: DataFrame, cached: DataFrame, key: str, text: str, model: str, dim: int) -> DataFrame:

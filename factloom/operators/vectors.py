@@ -92,25 +92,31 @@ def norm_report(rows: DataFrame, vector: Column, dim: int) -> DataFrame:
     )
 
 
-def close_pairs(rows: DataFrame, id_col: str, vector_col: str, label_col: str, most: float = 0.25) -> DataFrame:
-    """(label, a, b, distance), a < b, of the rows of one label within ``most``: the pairs that clustering looks at."""
-    a = rows.select(F.col(label_col).alias("label"), F.col(id_col).alias("a"), F.col(vector_col).alias("va"))
-    b = rows.select(F.col(label_col).alias("label"), F.col(id_col).alias("b"), F.col(vector_col).alias("vb"))
+def close_pairs(corpus: DataFrame, asked: DataFrame, id_col: str, vector_col: str, label_col: str, most: float = 0.25) -> DataFrame:
+    """(label, a, b, distance), a < b: rows of the corpus within ``most`` of an asked row of their label."""
+    a = asked.select(F.col(label_col).alias("label"), F.col(id_col).alias("a"), F.col(vector_col).alias("va"))
+    b = corpus.select(F.col(label_col).alias("label"), F.col(id_col).alias("b"), F.col(vector_col).alias("vb"))
     return a.join(b, "label").where("a < b").withColumn("distance", V.cosine_distance(F.col("va"), F.col("vb"))).where(F.col("distance") <= most).select("label", "a", "b", "distance")
 
 
+#: Rows of one label that ``leader_clusters`` takes; its pass depends on order and can't be divided.
+MOST_ROWS = 50_000
+
+
 def leader_clusters(rows: DataFrame, id_col: str, vector_col: str, label_col: str, text_col: str, most: float = 0.25) -> DataFrame:
     """(label, cluster, seed, members, text): greedy leader clustering within each label, in id order.
 
-    The first unseen row leads and takes every unseen row within ``most`` of it. The
-    pass depends on order, so a label is one group; labels are documents' entities,
-    whose chunks the audit keeps few.
+    The first unseen row leads and takes every unseen row within ``most`` of it. A
+    label is one group of MOST_ROWS rows at most, else an error: labels are single
+    entities with some dozens of chunks each, not classes that grow with the corpus.
     """
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
+        if table.num_rows > MOST_ROWS:
+            raise ValueError(f"a label of {table.num_rows} rows; leader clustering takes {MOST_ROWS} at most")
         rows = sorted(zip(*[table.column(c).to_pylist() for c in ("id", "vector", "text", "label")], strict=True), key=lambda r: r[0])
         x = np.array([r[1] for r in rows], float)
         size = np.sqrt((x * x).sum(1))

@@ -153,7 +153,8 @@ def test_leader_clusters(spark):
     rows = [(1, [1.0, 0.0], "a", "x"), (2, [0.9, 0.1], "a", "y"), (3, [0.0, 1.0], "a", "z"), (4, [1.0, 0.0], "b", None)]
     got = vectors.leader_clusters(spark.createDataFrame(rows, "id long, v array<double>, label string, t string"), "id", "v", "label", "t").collect()
     assert sorted((r["label"], r["cluster"], r["members"], r["text"]) for r in got) == [("a", 0, [1, 2], "x y"), ("a", 1, [3], "z"), ("b", 0, [4], "")]
-    pairs = vectors.close_pairs(spark.createDataFrame(rows, "id long, v array<double>, label string, t string"), "id", "v", "label")
+    df = spark.createDataFrame(rows, "id long, v array<double>, label string, t string")
+    pairs = vectors.close_pairs(df, df, "id", "v", "label")
     assert [(r["a"], r["b"]) for r in pairs.collect()] == [(1, 2)]
 
 
