@@ -42,7 +42,8 @@ def op8_wrapper_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The leaks: a row for each contaminated document."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("contaminated")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
