@@ -209,14 +209,14 @@ def text_of(page: str, reference: str | None, template: frozenset) -> str:
     """The page's text; ``template`` holds (slot, text hash) pairs of its host."""
     tree, blocks = parse(page)
     kept = [b for b in blocks if not b[2]]
-    if any(b[3] for b in kept):
-        kept = [b for b in kept if b[3]]
-    else:
-        kept = [b for b in kept if b[4] < 0.5]
+    marked = any(b[3] for b in kept)
+    kept = [b for b in kept if (b[3] if marked else b[4] < 0.5)]
     if template and reference:
         paths = aligned_paths(dumped(tree), reference)
         varying = [b for b in kept if not (b[0] in paths and (b[0], text_hash(b[1])) in template)]
-        kept = varying or kept
+        # copies of one article on a host are constant too: of a marked article the template is never the larger part
+        least = sum(len(b[1]) for b in kept) / 2 if marked else 1
+        kept = varying if sum(len(b[1]) for b in varying) >= least else kept
     return "\n".join(b[1] for b in kept)
 
 

@@ -370,6 +370,13 @@ def test_wrapper_learns_the_template(spark):
     assert got == {**{i: f"Story {i} tells of {i * i}." for i in range(8)}, 100: "Welcome to the site\nAlone."}
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    story = "<p>The same long story is on this host many times, with all of its words.</p>"
+    pages = [(i, f"http://copies.host/{i}", f"<body><article><h1>Copy {i}</h1>{story}<p>By the editors</p></article><div>foot {i}</div></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrapper_extract.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Copy 3\nThe same long story is on this host many times, with all of its words.\nBy the editors"
+
+
 def test_simple_tree_matching():
     def tree(page):
         return wrapper_extract.dumped(wrapper_extract.parse(page)[0])
