@@ -40,7 +40,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("group_size", F.when(F.col("_texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share their MD5 and their SHA-256")).cast("long")))
         .drop("_texts")
     )
-    joined = rows.select("_id", "_hash", "_sha").join(groups, ["_hash", "_sha"])
+    # The key is made anew on both sides: each side then has an exchange of its own for the join, and a key that very many rows share can be split.
+    key = F.concat("_hash", "_sha").alias("_key")
+    joined = rows.select("_id", key).join(groups.select(key, "_sha", "keep_id", "group_size"), "_key")
     return joined.select(
         F.col("_id").alias(id_col),
         "keep_id",
