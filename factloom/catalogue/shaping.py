@@ -13,16 +13,16 @@ c = F.col
 
 
 def holdings(spark, sf):
-    """Line items as a supplier's holdings: sector is the part's type, weight the price (unknown for some), pos the order."""
+    """Line items as a supplier's holdings: sector is the part's type, weight the price (unknown for some), pos the order (line numbers repeat, so the part is in it)."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     weight = F.when(c("l_orderkey") % 11 != 0, c("l_extendedprice"))
     sector = F.when(c("p_partkey") % 13 != 0, c("p_type"))
-    return lines.join(parts, c("l_partkey") == c("p_partkey")).select(c("l_suppkey").alias("scheme"), sector.alias("sector"), c("p_name").alias("company"), c("p_brand").alias("instrument"), weight.alias("weight"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("pos"))
+    return lines.join(parts, c("l_partkey") == c("p_partkey")).select(c("l_suppkey").alias("scheme"), sector.alias("sector"), c("p_name").alias("company"), c("p_brand").alias("instrument"), weight.alias("weight"), ((c("l_orderkey") * 10 + c("l_linenumber")) * 10_000_000 + c("l_partkey")).alias("pos"))
 
 
 HOLD_SQL = """WITH h AS (SELECT l_suppkey AS scheme, CASE WHEN p_partkey % 13 <> 0 THEN p_type END AS sector, p_name AS company, p_brand AS instrument,
-    CASE WHEN l_orderkey % 11 <> 0 THEN l_extendedprice END AS weight, l_orderkey * 10 + l_linenumber AS pos FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+    CASE WHEN l_orderkey % 11 <> 0 THEN l_extendedprice END AS weight, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS pos FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 @query(HOLD_SQL + """, s AS (SELECT scheme, coalesce(sector, 'Unspecified') AS sector, sum(weight) AS w, min(pos) AS f FROM h WHERE weight IS NOT NULL GROUP BY ALL)
