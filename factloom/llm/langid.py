@@ -24,9 +24,11 @@ from pyspark.sql import Window
 from factloom.llm.shared import fresh
 from factloom.llm.tokens import slices
 
-BUCKETS = 1 << 12
+BUCKETS = 1 << 11
 #: Rows of each language that the machines are fitted on, and the most languages learned.
-PER_LANGUAGE, LANGUAGES = 500, 64
+PER_LANGUAGE, LANGUAGES = 300, 64
+#: Times PER_LANGUAGE that are ranked; so many that the first PER_LANGUAGE hashes are among them but for a chance beyond any machine's.
+SPARE = 4
 BLOCK_BYTES = 1 << 20
 UNDETERMINED = "und"
 
@@ -71,8 +73,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # the last two places of a text are its gap, so no gram of letters spans two texts
     n = len(codes)
     out = np.zeros((2, n), np.int32)
-    out[0, : n - 1] = two >> np.uint32(20)
-    out[1, : n - 2] = three >> np.uint32(20)
+    out[0, : n - 1] = two >> np.uint32(21)
+    out[1, : n - 2] = three >> np.uint32(21)
     return out, starts, np.logical_or.reduceat(is_letter, starts) if len(starts) else np.zeros(0, bool)
 
 
@@ -92,19 +94,20 @@ SCALE = 30.0
 
 def fit_linear(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 30, seed: int = 0) -> np.ndarray:
     """Weights (bias last) of a linear support vector machine, squared hinge loss, by dual coordinate ascent; y is 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w, alpha, rng = np.zeros(x.shape[1]), np.zeros(len(x)), np.random.default_rng(seed)
+    w, bias, alpha, rng = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(x)), np.random.default_rng(seed)
     weight = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())) * len(y) / 2  # classes count alike
     diagonal = 1 / (2 * c * weight)
-    norms = (x * x).sum(1) + diagonal
+    norms = np.einsum("ij,ij->i", x, x) + 1 + diagonal
     for _ in range(rounds):
         for i in rng.permutation(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1 + diagonal[i] * alpha[i]
+            gradient = y[i] * (float(x[i] @ w) + bias) - 1 + diagonal[i] * alpha[i]
             new = max(0.0, alpha[i] - gradient / norms[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += np.float32(step) * x[i]
+                bias += step
                 alpha[i] = new
-    return w
+    return np.append(w.astype(np.float64), bias)
 
 
 @dataclass
@@ -184,9 +187,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     ranked = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col)).alias("_hash"))
-    common = rows.groupBy(F.col(lang_col).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).select("_lang")
+    common = rows.groupBy(F.col(lang_col).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES)
+    # of a frequent language only hashes low enough to be among the first are ranked, a few times as many as are taken
+    share = F.least(F.lit(1.0), F.lit(SPARE * per_language) / F.col("count"))
+    low = (F.col("_hash") / F.lit(2.0**64) + 0.5) <= share
     nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id"))
-    chosen = ranked.join(F.broadcast(common), "_lang", "left_semi").withColumn("_n", nth).where(F.col("_n") <= per_language).select("_id").distinct()
+    chosen = ranked.join(F.broadcast(common), "_lang").where(low).withColumn("_n", nth).where(F.col("_n") <= per_language).select("_id").distinct()
     sample = rows.join(F.broadcast(chosen), rows[id_col] == chosen["_id"], "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def features(batches):
@@ -197,9 +203,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 x = shares(batch.column(1).slice(start, stop - start).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    got = sorted((r["lang"], bytes(r["x"])) for r in sample.mapInArrow(features, "lang string, x binary").collect())
-    x = np.array([np.frombuffer(b, "<f2") for _, b in got], np.float32).reshape(len(got), 2 * BUCKETS)
-    return fit(x, [lang for lang, _ in got])
+    got = sample.mapInArrow(features, "lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), "<f2").astype(np.float32).reshape(len(got), 2 * BUCKETS)
+    return fit(x, got["lang"].to_pylist())
 
 
 def _predicted(batch_texts, model: Model) -> tuple[list[str], list[float]]:
