@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass, field, fields, is_dataclass, replace
+from dataclasses import dataclass, fields, is_dataclass, replace
 from functools import lru_cache
 from pathlib import Path
 
@@ -106,9 +106,3 @@ def load_settings(path: str) -> Settings:
 
 def clear_settings_cache() -> None:
     _loaded.cache_clear()
-
-
-@dataclass(frozen=True)
-class Question:
-    text: str
-    history: tuple[tuple[str, str], ...] = field(default=())

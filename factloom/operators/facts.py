@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from factloom.functions.formats import MISSING, day, inr, lock_in, month, percent
-from factloom.functions.text import cleaned, normalized, or_else, strip, without_exit_load_label
+from factloom.functions.text import cleaned, let, normalized, or_else, strip, without_exit_load_label
 
 PAYLOAD = (
     "scheme_name string, plan_type string, category string, sub_category string, sub_sub_category string, fund_house string, nav double, nav_date string, aum double, expense_ratio string, rating int,"
@@ -66,9 +66,12 @@ def facts(rows: DataFrame, id_col: str = "scheme_id", fallback_tax_note: str = M
         ),
     )
     known = F.filter(rows_of, lambda h: h["weight_pct"].isNotNull())
-    sectors = F.transform(
-        F.array_distinct(F.transform(known, lambda h: h["sector"])),
-        lambda s: F.struct(s.alias("sector"), F.aggregate(F.filter(known, lambda h: h["sector"] == s), lit(0.0), lambda t, h: t + h["weight_pct"]).alias("weight_pct")),
+    sectors = let(
+        known,
+        lambda rows: F.transform(
+            F.array_distinct(F.transform(rows, lambda h: h["sector"])),
+            lambda s: F.struct(s.alias("sector"), F.aggregate(F.filter(rows, lambda h: h["sector"] == s), lit(0.0), lambda t, h: t + h["weight_pct"]).alias("weight_pct")),
+        ),
     )
     history = F.transform(F.filter("historic_exit_loads", lambda h: h.isNotNull()), lambda h: F.struct(cleaned(h["as_on_date"]).alias("as_on_date"), without_exit_load_label(h["note"]).alias("note")))
     dated = F.transform(history, lambda h, i: F.struct(F.coalesce(h["as_on_date"], lit("")).alias("d"), (-i).alias("i"), h.alias("h")))
