@@ -18,6 +18,7 @@ tokenizer file fixes.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 
 import numpy as np
@@ -83,6 +84,8 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: st
                         out.write(p)
 
                 write_atomically(path, fill)
+                del codes, rank, parts
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([pa.array([(part << 24) + n]), pa.array([path]), pa.array([len(words)])], names=["block", "path", "words"])
                 n += 1
 
@@ -170,10 +173,16 @@ def encoded_words(pairs: DataFrame, tokenizer_path: str) -> DataFrame:
     return by_word.mapInArrow(encode, "block long, codes binary, lengths binary, ids binary")
 
 
+def vocabulary(tokenizer_path: str) -> dict[int, str]:
+    """The piece of each id, special ones too."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        file = json.load(f)
+    return {i: p for p, i in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
+
+
 def pieces(spark: SparkSession, tokenizer_path: str) -> DataFrame:
     """The vocabulary as a table: id, piece."""
-    vocabulary = WordTokenizer(tokenizer_path).tokenizer.get_vocab(with_added_tokens=True)
-    return spark.createDataFrame([(i, p) for p, i in vocabulary.items()], "id int, piece string")
+    return spark.createDataFrame(list(vocabulary(tokenizer_path).items()), "id int, piece string")
 
 
 def decode(rows: DataFrame, tokenizer_path: str, key: str, ids_col: str = "ids") -> DataFrame:
@@ -194,7 +203,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
     spark = docs.sparkSession
     blocks = write_blocks(docs, tokenizer_path, id_col, text_col)
     packets = encoded_words(block_words(blocks), tokenizer_path)
-    table = spark.sparkContext.broadcast(dict(pieces(spark, tokenizer_path).collect()))  # the vocabulary: bounded by the tokenizer file
+    table = spark.sparkContext.broadcast(vocabulary(tokenizer_path))  # the vocabulary: bounded by the tokenizer file
 
     def assemble(key, left, right):
         import pyarrow as pa
@@ -223,7 +232,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
         words = [" ".join(piece[a:b]) for a, b in zip(starts.tolist(), (starts + total).tolist(), strict=True)]
         known = np.frombuffer(known, np.uint8)
         doc_ids = [i if k else None for i, k in zip(np.frombuffer(ids, "<i8").tolist(), known.tolist(), strict=True)]
-        in_order = _codes(planes).astype(np.int64)
+        in_order = _codes(planes).astype(np.int32)
         rows, at = [], 0
         for doc, n in zip(doc_ids, counts.tolist(), strict=True):
             own = in_order[at : at + n]

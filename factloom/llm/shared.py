@@ -56,7 +56,11 @@ def write_atomically(uri: str, write) -> None:
     own = f"{path}.{uuid.uuid4().hex}.part"
     with store.open_output_stream(own, compression=None) as out:
         write(out)
-    store.move(own, path)
+    try:
+        store.move(own, path)
+    except OSError:  # a store that does not replace: an earlier attempt's file is in the way
+        store.delete_file(path)
+        store.move(own, path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

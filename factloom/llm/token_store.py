@@ -161,7 +161,7 @@ def encode_texts(tokenizer_path: str, texts):
     for start, stop in slices(texts, BLOCK_BYTES):
         if tokenizer_path not in _workers:
             _workers[tokenizer_path] = WordTokenizer(tokenizer_path), {}
-        codes, counts, words = _workers[tokenizer_path][0].split(texts.slice(start, stop - start))
+        codes, counts, words = _workers[tokenizer_path][0].split(texts.slice(start, stop - start), BLOCK_BYTES)
         packed = encoded_words(tokenizer_path, words)
         lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         ids, each = gather(np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(packed), "<u4"), codes)

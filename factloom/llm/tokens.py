@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import os
-import unicodedata
 
 import numpy as np
 
@@ -47,10 +46,10 @@ def spelled(word: str) -> str:
 def gather(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[starts[i] : starts[i] + lengths[i]] of each item in turn, and each item's length."""
     each = lengths[items]
-    ends = np.cumsum(each)
-    total = int(ends[-1]) if len(ends) else 0
-    at = np.repeat(starts[items] - (ends - each), each)
-    at += np.arange(total)
+    total = int(each.sum())
+    kind = np.int32 if max(total, len(values)) < 2**31 - 1 else np.int64
+    at = np.repeat((starts[items] - (np.cumsum(each) - each)).astype(kind), each)
+    at += np.arange(total, dtype=kind)
     return values[at], each
 
 
@@ -108,12 +107,22 @@ class WordTokenizer:
                 words += [w for w, _ in self.splitter.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(part))]
         return words
 
-    def split(self, texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Of an Arrow string array without nulls: all words' codes in order, the number of words of each text, and the distinct words by code."""
+    def split(self, texts, part_bytes: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Of an Arrow string array without nulls: all words' codes in order, the number of words of each text, and the distinct words by code.
+
+        Texts are cut in parts of about ``part_bytes``, which bounds what is held beside the result.
+        """
+        index: dict[str, int] = {}
+        parts = [self._split(texts.slice(a, b - a), index) for a, b in slices(texts, part_bytes)]
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), []
+        codes, counts = zip(*parts, strict=True)
+        return np.concatenate(codes), np.concatenate(counts), list(index)
+
+    def _split(self, texts, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        index: dict[str, int] = {}
         slow = pc.match_substring_regex(texts, NOT_PLAIN)
         for special in self.specials:
             slow = pc.or_(slow, pc.match_substring(texts, special))
@@ -123,9 +132,10 @@ class WordTokenizer:
         chunks = lists.flatten().dictionary_encode()
         find, code = self.pattern.findall, index.setdefault
         parts = [[code(w, len(index)) for w in find(chunk.lower())] for chunk in chunks.dictionary.to_pylist()]
-        codes, each = gather(*flattened(parts, np.int32), chunks.indices.to_numpy())
-        upto = np.concatenate([[0], np.cumsum(each)])
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        indices = chunks.indices.to_numpy()
+        codes, each = gather(*flattened(parts, np.int32), indices)
+        upto = np.concatenate([[0], np.cumsum(each)])
         counts = upto[offsets[1:]] - upto[offsets[:-1]]
         if slow.any():
             at, pieces = np.cumsum(counts) - counts, []
@@ -137,13 +147,9 @@ class WordTokenizer:
                 else:
                     pieces.append(codes[at[i] : at[i] + counts[i]])
             codes = np.concatenate(pieces)
-        return codes, counts, list(index)
+        return codes, counts
 
     def ids(self, word: str) -> list[int]:
         if word in self.specials:
             return [self.specials[word]]
         return [t.id for t in self.model.tokenize(spelled(word))]
-
-
-def has_letter(text: str | None) -> bool:
-    return bool(text) and any(unicodedata.category(c)[0] == "L" for c in text)
