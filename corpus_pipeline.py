@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe_table, decontaminate, exact_dedup, langid, simhash
+from factloom.llm import bpe_table, decontaminate, exact_dedup, langid, near_copies
 from factloom.llm.shared import stored, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,7 +22,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.dedup(docs)
+    return near_copies.dedup(docs, words=5, least=0.8)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ STAGES = [
     ("bpe_round_trip", bpe),
 ]
 
-#: SimHash components and the language machines are beyond SQL; tests hold the stages against brute force.
+#: Near-copy components and the language machines are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
