@@ -93,10 +93,11 @@ def norm_report(rows: DataFrame, vector: Column, dim: int) -> DataFrame:
 
 
 def close_pairs(corpus: DataFrame, asked: DataFrame, id_col: str, vector_col: str, label_col: str, most: float = 0.25) -> DataFrame:
-    """(label, a, b, distance), a < b: rows of the corpus within ``most`` of an asked row of their label."""
-    a = asked.select(F.col(label_col).alias("label"), F.col(id_col).alias("a"), F.col(vector_col).alias("va"))
-    b = corpus.select(F.col(label_col).alias("label"), F.col(id_col).alias("b"), F.col(vector_col).alias("vb"))
-    return a.join(b, "label").where("a < b").withColumn("distance", V.cosine_distance(F.col("va"), F.col("vb"))).where(F.col("distance") <= most).select("label", "a", "b", "distance")
+    """(label, a, b, distance), a < b: each pair of an asked row and a row of the corpus of its label within ``most``, once."""
+    q = asked.select(F.col(label_col).alias("label"), F.col(id_col).alias("q"), F.col(vector_col).alias("vq"))
+    r = corpus.select(F.col(label_col).alias("label"), F.col(id_col).alias("r"), F.col(vector_col).alias("vr"))
+    near = q.join(r, "label").where("q <> r").withColumn("distance", V.cosine_distance(F.col("vq"), F.col("vr"))).where(F.col("distance") <= most)
+    return near.select("label", F.least("q", "r").alias("a"), F.greatest("q", "r").alias("b"), "distance").dropDuplicates(["label", "a", "b"])
 
 
 #: Rows of one label that ``leader_clusters`` takes; its pass depends on order and can't be divided.

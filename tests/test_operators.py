@@ -158,6 +158,13 @@ def test_leader_clusters(spark):
     assert [(r["a"], r["b"]) for r in pairs.collect()] == [(1, 2)]
 
 
+def test_close_pairs_to_smaller_ids(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [0.9, 0.1], "a"), (3, [1.0, 0.1], "a"), (4, [0.0, 1.0], "a"), (5, [1.0, 0.0], "b")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label string")
+    pairs = vectors.close_pairs(df, df.where("id in (2, 3, 5)"), "id", "v", "label").collect()
+    assert sorted((r["label"], r["a"], r["b"]) for r in pairs) == [("a", 1, 2), ("a", 1, 3), ("a", 2, 3)]
+
+
 SOURCES = (config.Source("s_large_cap", "Large Cap", "Large Cap Fund", "https://facts.example/a"),)
 
 
