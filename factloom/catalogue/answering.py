@@ -187,9 +187,21 @@ def answers(spark, sf):
     return table(spark, sf, "orders").select(k, text.alias("answer"), F.lit("what is it in 2024?").alias("query"), evidence.alias("evidence"), found.alias("resolution"))
 
 
-ANSWER_SQL = """WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS k, o_orderkey % 4 = 0 AS vague, o_orderkey % 10 = 0 AS other, printf('%.2f', o_totalprice) AS total, printf('%.2f', o_totalprice + 1000) AS wrong FROM orders),
-    f AS (SELECT o_orderkey, list_filter([CASE WHEN k = 8 THEN 'citation_present' END, CASE WHEN k IN (1, 8) THEN 'citation_allowed' END, CASE WHEN k = 2 AND NOT contains(total, wrong) THEN 'grounded' END, CASE WHEN other AND NOT vague THEN 'evidence_scheme_match' END,
-      CASE WHEN k = 4 AND NOT vague THEN 'scheme_named' END, CASE WHEN k = 5 THEN 'no_advice' END, CASE WHEN k = 6 THEN 'no_pii' END, CASE WHEN k = 7 THEN 'sentence_budget' END, CASE WHEN k = 3 THEN 'has_last_updated' END], lambda x: x IS NOT NULL) AS failed FROM o)"""
+#: The same answers, and every check worked out from their text.
+ANSWER_TEXT_SQL = f"""WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS k, o_orderkey % 4 = 0 AS vague, CASE WHEN o_orderkey % 10 = 0 THEN 'alpha_balanced' ELSE 'alpha_large_cap' END AS scheme, printf('%.2f', o_totalprice) AS total, printf('%.2f', o_totalprice + 1000) AS wrong FROM orders),
+    a AS (SELECT o_orderkey, vague, scheme, 'NAV ₹ ' || total AS evidence, 'what is it in 2024?' AS asked,
+      CASE WHEN k = 4 THEN 'The order total is ' ELSE 'The large cap total is ' END || '₹' || CASE WHEN k = 2 THEN wrong ELSE total END || '. ' || CASE k WHEN 5 THEN 'You should buy it. ' WHEN 6 THEN 'Mail a@b.org now. ' WHEN 7 THEN 'One. Two. Three. Four. ' ELSE '' END
+      || CASE WHEN k = 8 THEN '' ELSE CASE WHEN k = 1 THEN 'https://elsewhere.example/x' ELSE '{SOURCES[0].url}' END || ' ' END || CASE WHEN k = 3 THEN '' ELSE chr(10) || 'Last updated from sources: 2024-01-02' END AS answer FROM o)"""
+URL_RE = "https?://[^\\s)\\]}>\"'']+"
+TOKEN_RE = "₹\\s?\\d[\\d,]*(?:\\.\\d+)?|\\d[\\d,]*(?:\\.\\d+)?\\s?%|\\d{1,2}-[A-Za-z]{3}-\\d{4}|\\d{4}-\\d{2}-\\d{2}|\\d[\\d,]*(?:\\.\\d+)?\\s?(?:Cr|crore|crores|BPS|bps)|\\b\\d[\\d,]*(?:\\.\\d+)?\\b"
+ANSWER_LOW_SQL = LOW_SQL.replace("question", "answer")
+UNGROUNDED_SQL = f"""list_filter(regexp_extract_all(regexp_replace(regexp_replace(answer, '{URL_RE}', ' ', 'g'), '(?i)last updated from sources:[^\\n]*', ' ', 'g'), '{TOKEN_RE}'),
+    lambda x: NOT contains(lower(regexp_replace(evidence, '\\s+', '', 'g')), lower(regexp_replace(x, '\\s+', '', 'g'))) AND NOT contains(lower(regexp_replace(asked, '\\s+', '', 'g')), lower(regexp_replace(x, '\\s+', '', 'g'))))"""
+ANSWER_SQL = ANSWER_TEXT_SQL + f""", c AS (SELECT *, regexp_extract_all(answer, '{URL_RE}') AS cited, trim(regexp_replace(answer, '{URL_RE}', ' ', 'g'), ' ' || chr(10)) AS masked, {UNGROUNDED_SQL} AS ungrounded FROM a),
+    f AS (SELECT o_orderkey, list_filter([CASE WHEN len(cited) <> 1 THEN 'citation_present' END, CASE WHEN len(cited) <> 1 OR cited[1] NOT IN ({", ".join(f"'{x.url}'" for x in SOURCES)}) THEN 'citation_allowed' END, CASE WHEN len(ungrounded) > 0 THEN 'grounded' END,
+      CASE WHEN NOT vague AND scheme <> 'alpha_large_cap' THEN 'evidence_scheme_match' END, CASE WHEN NOT vague AND NOT regexp_matches(lower(answer), 'large[ _]cap') THEN 'scheme_named' END,
+      CASE WHEN {ADVICE_SQL.replace(LOW_SQL, ANSWER_LOW_SQL)} OR {INTENT_SQL.replace(LOW_SQL, ANSWER_LOW_SQL)} = 'advice' THEN 'no_advice' END, CASE WHEN {pii_sql('answer')} IS NOT NULL THEN 'no_pii' END,
+      CASE WHEN 1 + len(regexp_extract_all(masked, '[.!?]\\s+[A-Z"''(\\[]')) > 3 THEN 'sentence_budget' END, CASE WHEN NOT contains(lower(answer), 'last updated from sources:') THEN 'has_last_updated' END], lambda x: x IS NOT NULL) AS failed FROM c)"""
 
 
 @query(ANSWER_SQL + " SELECT o_orderkey, array_to_string(failed, ',') AS failures, len(failed) = 0 AS passed, list_has_any(failed, ['citation_allowed', 'no_advice', 'no_pii']) AS discardable FROM f")
@@ -198,14 +210,19 @@ def validate_answers(spark, sf):
     return rows.select("o_orderkey", F.array_join("failures", ",").alias("failures"), "passed", "discardable")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 2 AND NOT contains(printf('%.2f', o_totalprice), printf('%.2f', o_totalprice + 1000)) THEN '₹' || printf('%.2f', o_totalprice + 1000) ELSE '' END AS ungrounded FROM orders")
+@query(ANSWER_TEXT_SQL + f" SELECT o_orderkey, array_to_string({UNGROUNDED_SQL}, ',') AS ungrounded FROM a")
 def grounding(spark, sf):
     return answers(spark, sf).select("o_orderkey", F.array_join(validate.ungrounded(c("answer"), c("evidence"), c("query")), ",").alias("ungrounded"))
 
 
-@query(f"SELECT o_orderkey, '{SOURCES[0].url}' AS citation FROM orders")
+@query(f"""WITH a AS (SELECT o_orderkey, (['{SOURCES[1].url}/', 'https://elsewhere.example/x', '{SOURCES[2].url}?a=1', 'no link', '{SOURCES[0].url}'])[o_orderkey % 5 + 1] AS u FROM orders),
+    t AS (SELECT o_orderkey, 'See ' || u || ' or https://elsewhere.example/y' AS t FROM a), f AS (SELECT o_orderkey, regexp_extract(t, 'https?://[^\s)\]}}>"'']+') AS own FROM t)
+    SELECT o_orderkey, CASE WHEN rtrim(split_part(own, '?', 1), '/') IN ({", ".join(f"'{x.url}'" for x in SOURCES)}) THEN own ELSE '{SOURCES[0].url}' END AS citation FROM f""")
 def safe_citation(spark, sf):
-    return answers(spark, sf).select("o_orderkey", validate.safe_citation(c("answer"), [s.url for s in SOURCES]).alias("citation"))
+    """The answer's own first link where it is an allowed one (written in several ways), else the first allowed one."""
+    own = F.get(F.array(F.lit(SOURCES[1].url + "/"), F.lit("https://elsewhere.example/x"), F.lit(SOURCES[2].url + "?a=1"), F.lit("no link"), F.lit(SOURCES[0].url)), (c("o_orderkey") % 5).cast("int"))
+    text = F.concat(F.lit("See "), own, F.lit(" or https://elsewhere.example/y"))
+    return table(spark, sf, "orders").select("o_orderkey", validate.safe_citation(text, [s.url for s in SOURCES]).alias("citation"))
 
 
 @query(f"WITH t AS ({QUESTION_SQL}) SELECT conv_id, turn, left(trim(regexp_replace(question, '\\s+', ' ', 'g')), 500) AS query FROM t")

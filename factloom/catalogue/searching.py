@@ -49,7 +49,11 @@ def vector_norms(spark, sf):
     return report.withColumns({"min_norm": F.round("min_norm", 6), "max_norm": F.round("max_norm", 6)})
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 8 = 0 THEN 'not stored' WHEN vec_id % 9 = 0 THEN 'not fresh' ELSE 'differs' END AS failure FROM embeddings WHERE vec_id % 8 = 0 OR vec_id % 9 = 0 OR vec_id % 10 = 1")
+@query("""WITH stored AS (SELECT vec_id, embedding AS a FROM embeddings WHERE vec_id % 8 <> 0),
+    fresh AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN vec_id % 10 = 1 AND i = 6 THEN (x::DOUBLE + 0.01)::FLOAT ELSE x END) AS b FROM embeddings WHERE vec_id % 9 <> 0 OR vec_id % 8 = 0),
+    j AS (SELECT coalesce(stored.vec_id, fresh.vec_id) AS vec_id, a, b FROM stored FULL JOIN fresh ON stored.vec_id = fresh.vec_id),
+    f AS (SELECT vec_id, CASE WHEN b IS NULL THEN 'not fresh' WHEN a IS NULL THEN 'not stored' WHEN len(a) <> 64 OR len(b) <> 64 THEN 'length' WHEN list_max(list_transform(list_zip(a, b), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) >= 0.0001 THEN 'differs' END AS failure FROM j)
+    SELECT * FROM f WHERE failure IS NOT NULL""")
 def vector_delta(spark, sf):
     from factloom.operators import store
 
@@ -59,9 +63,9 @@ def vector_delta(spark, sf):
     return store.vector_failures(rows.where("vec_id % 8 <> 0"), fresh, "vec_id", 64)
 
 
-@query("SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 50 = 0 AND 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 0.75")
+@query("SELECT DISTINCT a.label, least(a.vec_id, b.vec_id) AS a, greatest(a.vec_id, b.vec_id) AS b, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 0.75")
 def close_pairs(spark, sf):
-    """Close pairs of the stated queries and later rows of their label."""
+    """Close pairs of the stated queries and all other rows of their label."""
     rows = table(spark, sf, "embeddings")
     pairs = ops.close_pairs(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", "label", 0.75)
     return pairs.withColumn("distance", F.round("distance", 6))
@@ -128,8 +132,13 @@ def trace_rows(spark, sf):
     return rows.select("qid", told.alias("t")).select("qid", "t.rank", "t.chunk_id", "t.field", "t.value", "t.cosine_distance")
 
 
-@query()
+#: One step for each cluster of a label: the first row left leads, the rows that are not near it are left to the next.
+LEADERS_SQL = """WITH RECURSIVE s AS (SELECT label, list({'id': vec_id, 'e': embedding::DOUBLE[]} ORDER BY vec_id) AS left_rows FROM embeddings GROUP BY label
+    UNION ALL SELECT label, list_filter(left_rows, lambda r: r.id <> left_rows[1].id AND 1 - list_cosine_similarity(r.e, left_rows[1].e) > 0.75) FROM s WHERE len(left_rows) > 0)
+    SELECT label, left_rows[1].id AS seed, unnest(list_filter(left_rows, lambda r: r.id = left_rows[1].id OR 1 - list_cosine_similarity(r.e, left_rows[1].e) <= 0.75)).id AS id FROM s WHERE len(left_rows) > 0"""
+
+
+@query(LEADERS_SQL)
 def leader_clusters(spark, sf):
-    """Greedy clusters of the vectors of each entity; an entity is a hundred ids of one label."""
-    rows = table(spark, sf, "embeddings").withColumns({"text": F.concat(F.lit("v"), c("vec_id").cast("string")), "entity": F.concat_ws("-", "label", F.floor(c("vec_id") / 100))})
-    return ops.leader_clusters(rows, "vec_id", "embedding", "entity", "text", 0.75)
+    """Greedy clusters of the vectors of each label: every row with its leader."""
+    return ops.leaders(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", 0.75)

@@ -150,7 +150,7 @@ def order_documents(spark, sf):
     UNION ALL SELECT o_orderkey, 'priority', NULL, o_orderpriority || '.' FROM orders UNION ALL SELECT o_orderkey, 'clerk', NULL, NULL FROM orders)
     SELECT *, coalesce(from_facts, from_text) AS value, coalesce(from_facts <> from_text, false) AS disagrees FROM r""")
 def registry_cross_join(spark, sf):
-    rows = chunking.registry_values(order_documents(spark, sf), chunking.registry(spark, ORDER_REGISTRY))
+    rows = chunking.registry_values(order_documents(spark, sf), ORDER_REGISTRY)
     return rows.select("scheme_id", "field", "from_facts", "from_text", "value", "disagrees")
 
 
@@ -158,7 +158,7 @@ def registry_cross_join(spark, sf):
     UNION ALL SELECT o_orderkey, 'total', 'O — Total of House: AMC-level figure, not this scheme. ' || CASE WHEN o_orderkey % 5 = 0 THEN '0' ELSE printf('%.2f', o_totalprice) END || '.' FROM orders
     UNION ALL SELECT o_orderkey, 'priority', 'O — Priority: ' || o_orderpriority || '.' FROM orders""")
 def fact_bodies(spark, sf):
-    rows = chunking.registry_values(order_documents(spark, sf), chunking.registry(spark, ORDER_REGISTRY)).where(facts.present(c("value")))
+    rows = chunking.registry_values(order_documents(spark, sf), ORDER_REGISTRY).where(facts.present(c("value")))
     return rows.select("scheme_id", "field", chunking.fact_body(F.lit("O"), c("label"), c("scope"), c("value")).alias("body"))
 
 

@@ -104,15 +104,15 @@ def corpus_fingerprint(spark, sf):
     return store.fingerprint(table(spark, sf, "documents"), "doc_id", "text", "model-1")
 
 
-@query("SELECT sha256('m' || string_agg(r_regionkey::VARCHAR || r_name, '' ORDER BY r_regionkey::VARCHAR)) AS fingerprint FROM region")
+@query("SELECT sha256('m' || string_agg(s_suppkey::VARCHAR || s_name, '' ORDER BY s_suppkey::VARCHAR)) AS fingerprint FROM supplier")
 def manifest_fingerprint(spark, sf):
-    return store.ordered_fingerprint(table(spark, sf, "region"), "r_regionkey", "r_name", "m")
+    return store.ordered_fingerprint(table(spark, sf, "supplier"), "s_suppkey", "s_name", "m")
 
 
 STATS_SQL = r"""
     WITH l AS (SELECT doc_id, text, len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+', '', 'g') <> '')) AS lines,
       len(regexp_extract_all(text, '(?m)^[A-Z][^\n:]{2,60}\s*:\s*\S')) AS labelled FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Fund house: x' || chr(10) || text ELSE text END AS text FROM documents)),
-    s AS (SELECT count(*) AS doc_count, round(avg(length(text)), 1) AS mean_doc_chars, sum(lines)::BIGINT AS total_lines, sum(labelled)::BIGINT AS labelled_lines, round(sum(labelled) / sum(lines), 4) AS labelled_line_ratio FROM l)"""
+    s AS (SELECT count(*) AS doc_count, round_even(avg(length(text)), 1) AS mean_doc_chars, sum(lines)::BIGINT AS total_lines, sum(labelled)::BIGINT AS labelled_lines, round_even(sum(labelled) / sum(lines), 4) AS labelled_line_ratio FROM l)"""
 
 
 def _labelled(spark, sf):
@@ -144,7 +144,7 @@ def min_length_filter(spark, sf):
     return rows.where(F.col("n_chars") >= 1500)
 
 
-NOISE_TEXT_SQL = "CASE WHEN page_id % 2 = 0 THEN 'a' || chr(10) || 'Return calculator' || chr(10) || left(html, (100 + page_id % 500)::INT) || repeat(chr(10), 3) || 'end' ELSE html END"
+NOISE_TEXT_SQL = "CASE WHEN page_id % 2 = 0 THEN 'a' || chr(10) || 'Return calculator' || chr(10) || left(html, (100 + page_id % 500)::INT) || repeat(chr(10), 3) || html ELSE html END"
 
 
 @query(f"""WITH t AS (SELECT page_id, regexp_replace({NOISE_TEXT_SQL}, '\\r\\n?', chr(10), 'g') AS x FROM pages),
@@ -152,8 +152,8 @@ NOISE_TEXT_SQL = "CASE WHEN page_id % 2 = 0 THEN 'a' || chr(10) || 'Return calcu
       THEN left(x, (position('Return calculator' IN x) - 1)::INT) || substr(x, position(chr(10) || chr(10) IN x)) ELSE x END AS x FROM t)
     SELECT page_id, sha256({STRIP.format("regexp_replace(x, '\\n{3,}', chr(10) || chr(10), 'g')")}) AS text_sha256 FROM a""")
 def noise_strip(spark, sf):
-    """Noise blocks of pages' source; every second page gets one, some longer than the window."""
-    block = F.concat(F.lit("a\nReturn calculator\n"), F.expr("left(html, cast(100 + page_id % 500 as int))"), F.lit("\n\n\nend"))
+    """Noise blocks of pages' whole source; every second page gets one before it, some longer than the window."""
+    block = F.concat(F.lit("a\nReturn calculator\n"), F.expr("left(html, cast(100 + page_id % 500 as int))"), F.lit("\n\n\n"), F.col("html"))
     text = F.when(F.col("page_id") % 2 == 0, block).otherwise(F.col("html"))
     return table(spark, sf, "pages").select("page_id", F.sha2(T.without_noise(text), 256).alias("text_sha256"))
 
@@ -203,12 +203,12 @@ def prose_pieces(spark, sf):
     return rows.select("doc_id", "nth", T.token_count(F.col("piece")).alias("n_tokens"), F.sha2("piece", 256).alias("piece_sha256"))
 
 
-@query("""SELECT doc_id, source || '_' || lang || '_' || (row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1) AS chunk_id, 'Doc ' || doc_id || ' (' || lang || '). ' || left(text, 20) AS embed_input FROM documents""")
+@query("""SELECT doc_id, source || '_' || lang || '_' || (row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1) AS chunk_id, sha256('Doc ' || doc_id || ' (' || lang || '). ' || text) AS embed_input_sha256 FROM documents""")
 def chunk_ids(spark, sf):
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")) - 1
-    return table(spark, sf, "documents").select("doc_id", F.concat_ws("_", "source", "lang", nth).alias("chunk_id"), F.format_string("%s (%s). %s", F.concat(F.lit("Doc "), F.col("doc_id")), "lang", F.expr("left(text, 20)")).alias("embed_input"))
+    """Keys numbered within source and language, groups of any size, and a digest of the whole embedding input."""
+    made = F.sha2(F.format_string("%s (%s). %s", F.concat(F.lit("Doc "), F.col("doc_id")), "lang", "text"), 256)
+    rows = table(spark, sf, "documents").select("doc_id", "source", "lang", made.alias("embed_input_sha256"))
+    return chunking.numbered(rows, ["source", "lang"], ["doc_id"]).select("doc_id", F.concat_ws("_", "source", "lang", "nth").alias("chunk_id"), "embed_input_sha256")
 
 
 @query("""WITH f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN -o_totalprice ELSE o_totalprice END AS v FROM orders), p AS (SELECT o_orderkey, v, printf('%.2f', abs(v)) AS s FROM f),
@@ -270,3 +270,10 @@ def slug_check(spark, sf):
 def last_updated(spark, sf):
     text = F.concat(F.lit("A load of 1%.\nLast Updated from sources:  "), F.date_format("o_orderdate", "yyyy-MM-dd"))
     return table(spark, sf, "orders").select("o_orderkey", T.last_updated(text).alias("updated"))
+
+
+@query("SELECT o_orderkey, round_even(o_orderkey / 8.0, 2) AS to_2, round_even(o_orderkey / 2.0, 0) AS to_0 FROM orders")
+def half_even_rounding(spark, sf):
+    """Every second value is a tie, which goes to the even digit."""
+    n = F.col("o_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey", F.bround(n / 8.0, 2).alias("to_2"), F.bround(n / 2.0, 0).alias("to_0"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Every white-space run, as str.split and the re module's \\s see it.
 WS = r"(?U)\s+"
+#: Fixed value: what counts as a URL in a text.
 URL = r"https?://[^\s)\]}>\"']+"
 #: Fixed value: what counts as a fact token, longest forms first.
 FACT_TOKEN = (
@@ -17,8 +18,11 @@ FACT_TOKEN = (
     r"|\d[\d,]*(?:\.\d+)?\s?(?:Cr|crore|crores|BPS|bps)"
     r"|\b\d[\d,]*(?:\.\d+)?\b"
 )
+#: A labelled line, the line that tells the date, the end of a sentence, an exit load's label.
 LABEL_LINE = r"(?m)^[A-Z][^\n:]{2,60}\s*:\s*\S"
 UPDATED_PREFIX = "Last updated from sources:"
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z\"'(\[]|$)"
+EXIT_LOAD_LABEL = r"(?i)^exit\s*load\s*(of\s*)?(for\s*units\s*in\s*)?[:\-]?\s*"
 #: Fixed value: headings whose block is page noise.
 NOISE_HEADINGS = ("Compare similar funds", "Return calculator", "Understand terms", "Check past data")
 TOKEN = r"\w+|[^\w\s]"
@@ -82,13 +86,17 @@ def normalized_url(c: Column) -> Column:
 
 def without_exit_load_label(c: Column) -> Column:
     text = cleaned(c)
-    rest = strip(F.regexp_replace(text, r"(?i)^exit\s*load\s*(of\s*)?(for\s*units\s*in\s*)?[:\-]?\s*", ""))
+    rest = strip(F.regexp_replace(text, EXIT_LOAD_LABEL, ""))
     return or_else(rest, text, F.lit("Not available"))
 
 
-def labelled_value(text: Column, label: Column, value_pattern: Column) -> Column:
-    """The value behind ``label:`` at a line's start, collapsed; null where there is none."""
-    pattern = F.concat(F.lit(r"(?im)^\Q"), label, F.lit(r"\E\s*:\s*("), value_pattern, F.lit(")"))
+def labelled_value(text: Column, label: Column | str, value_pattern: str) -> Column:
+    """The value behind ``label:`` at a line's start, collapsed; null where there is none.
+
+    A label given as text makes a literal pattern, which a task compiles once.
+    """
+    head, tail = r"(?im)^\Q", rf"\E\s*:\s*({value_pattern})"
+    pattern = F.lit(f"{head}{label}{tail}") if isinstance(label, str) else F.concat(F.lit(head), label, F.lit(tail))
     return F.nullif(collapse(F.call_function("regexp_extract", text, pattern, F.lit(1))), F.lit(""))
 
 
@@ -102,7 +110,7 @@ def urls(c: Column) -> Column:
 
 def sentence_count(c: Column) -> Column:
     masked = strip(without_urls(c))
-    parts = F.split(masked, r"(?<=[.!?])\s+(?=[A-Z\"'(\[]|$)")
+    parts = F.split(masked, SENTENCE_END)
     return F.when(masked == "", F.lit(0)).otherwise(F.size(F.filter(parts, lambda p: strip(p) != "")))
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from factloom.config import Settings
 from factloom.functions.formats import parsed_date
-from factloom.functions.text import collapse, label_lines, labelled_value, nonblank_lines, strip, token_count, tokens
+from factloom.functions.text import collapse, label_lines, labelled_value, let, nonblank_lines, strip, token_count, tokens
 from factloom.operators.facts import present, weight_text
+from factloom.session import staged
 
 CURRENCY = r"₹[\d,]+(?:\.\d+)?(?:\s*Cr)?"
 # Field, section, label, value type, scope, is a fact, value pattern; the order is the chunks' order.
@@ -39,24 +40,29 @@ REGISTRY = (
     ("rta", "about", "Registrar & Transfer Agent", "text", "fund", True, r"[^\n]+"),
     ("holdings_count", "portfolio", "Holdings count", "int", "fund", True, r"\d+"),
 )
-REGISTRY_SCHEMA = "pos int, field string, section string, label string, value_type string, scope string, is_fact boolean, value_pattern string"
-
-
-def registry(spark: SparkSession, rows=REGISTRY) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], REGISTRY_SCHEMA)
+#: What a rule adds to a document's row.
+RULE = ("pos", "field", "section", "label", "value_type", "scope", "is_fact", "from_facts", "from_text")
 
 
 def resolved_label(label: Column, house: Column) -> Column:
     return F.replace(label, F.lit("{amc_name}"), F.coalesce(F.nullif(house, F.lit("")), F.lit("the AMC")))
 
 
-def registry_values(docs: DataFrame, fields: DataFrame) -> DataFrame:
-    """Documents (scheme_id, text, amc_name, facts: map) by registry rows: from_facts, from_text, value (facts first), disagrees.
+def registry_values(docs: DataFrame, rules=REGISTRY) -> DataFrame:
+    """Documents (scheme_id, text, amc_name, facts: map) by registry rules: from_facts, from_text, value (facts first), disagrees.
 
-    The registry has a row for each rule, so it is broadcast.
+    The rules are configuration, so their product with the documents is an array of
+    one struct a rule in each row: patterns are literals (but where a label holds
+    the house's name) and nothing is joined.
     """
-    rows = docs.crossJoin(F.broadcast(fields)).withColumn("label", resolved_label(F.col("label"), F.col("amc_name")))
-    rows = rows.withColumns({"from_facts": F.try_element_at("facts", F.col("field")), "from_text": labelled_value(F.col("text"), F.col("label"), F.col("value_pattern"))})
+
+    def rule(pos: int, field: str, section: str, label: str, value_type: str, scope: str, is_fact: bool, value_pattern: str) -> Column:
+        shown = resolved_label(F.lit(label), F.col("amc_name")) if "{" in label else F.lit(label)
+        found = labelled_value(F.col("text"), shown if "{" in label else label, value_pattern)
+        values = {"pos": F.lit(pos), "field": F.lit(field), "section": F.lit(section), "label": shown, "value_type": F.lit(value_type), "scope": F.lit(scope), "is_fact": F.lit(is_fact), "from_facts": F.try_element_at("facts", F.lit(field)), "from_text": found}
+        return F.struct(*[v.alias(n) for n, v in values.items()])
+
+    rows = docs.withColumn("_rule", F.explode(F.array(*[rule(i, *r) for i, r in enumerate(rules)]))).select(*[c for c in docs.columns if c not in RULE], *[f"_rule.{n}" for n in RULE])
     both = F.col("from_facts").isNotNull() & F.col("from_text").isNotNull()
     return rows.withColumns({"value": strip(F.coalesce("from_facts", "from_text")), "disagrees": both & (collapse(F.col("from_facts")) != collapse(F.col("from_text")))})
 
@@ -69,7 +75,7 @@ def fact_body(name: Column, label: Column, scope: Column, value: Column) -> Colu
 BODY = ("scheme_id", "doc_id", "scheme_name", "source_url", "section", "field", "value", "body", "value_type", "scope", "is_fact", "historical", "effective_date", "family", "pos")
 
 
-def bodies(docs: DataFrame, fields: DataFrame, holdings_mode: str = "sector_summary") -> DataFrame:
+def bodies(docs: DataFrame, rules=REGISTRY, holdings_mode: str = "sector_summary") -> DataFrame:
     """Chunk bodies of five families: registry facts, superseded exit loads, top holdings, sector summary, managers."""
     lit, c = F.lit, F.col
     base = ["scheme_id", "doc_id", "scheme_name", "source_url"]
@@ -78,9 +84,9 @@ def bodies(docs: DataFrame, fields: DataFrame, holdings_mode: str = "sector_summ
         values = [section, name, value, body, kind, scope, fact, lit(old), lit(None).cast("date") if date is None else date, lit(n), pos]
         return rows.select(*base, *[v.alias(a) for v, a in zip(values, BODY[4:], strict=True)])
 
-    told = registry_values(docs, fields).where(present(c("value")))
+    told = registry_values(docs, rules).where(present(c("value")))
     known = family(0, told, c("section"), c("field"), c("value"), fact_body(c("scheme_name"), c("label"), c("scope"), c("value")), c("value_type"), c("pos"), c("scope"), c("is_fact"))
-    old = docs.select(*base, F.posexplode(F.slice("exit_load_history", 2, 1_000_000)).alias("pos", "h"))
+    old = docs.select(*base, F.posexplode(F.filter("exit_load_history", lambda h, i: i > 0)).alias("pos", "h"))
     old = family(
         1, old, lit("fees_and_minimums"), lit("exit_load_historical"), c("h.note"),
         F.concat(c("scheme_name"), lit(" — historical exit load, effective "), F.coalesce(c("h.as_on_date"), lit("None")), lit(": "), c("h.note"), lit(". Superseded, not the current exit load.")),
@@ -166,7 +172,7 @@ def chunks(body_rows: DataFrame, categories: DataFrame, settings: Settings) -> D
     cut = body_rows.where(~short).withColumn("_pieces", pieces(F.col("body"), settings))
     rows = whole.unionByName(cut).select("*", F.posexplode("_pieces").alias("piece", "text")).drop("_pieces", "body")
     nth = F.row_number().over(Window.partitionBy("scheme_id", "section", "field").orderBy("family", "pos", "piece")) - 1
-    rows = rows.join(F.broadcast(categories), "scheme_id").withColumn("_nth", nth)
+    rows = rows.join(categories, "scheme_id").withColumn("_nth", nth)
     template = settings.prefix_template.replace("%", "%%").replace("{scheme_name}", "%1$s").replace("{category}", "%2$s").replace("{text}", "%3$s")
     return rows.select(
         F.concat_ws("_", "scheme_id", "section", "field", "_nth").alias("chunk_id"), "doc_id", "scheme_id", "section", "field", "text",
@@ -175,12 +181,35 @@ def chunks(body_rows: DataFrame, categories: DataFrame, settings: Settings) -> D
     )
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "nth") -> DataFrame:
+    """Adds the place of each row within its group, from 0, where a group may be of any size.
+
+    Rows are dealt by ranges of group and order, so a large group spans tasks; rows
+    are numbered within their task, after the rows that earlier tasks have of the
+    group. ``order`` must tell the rows of a group apart.
+    """
+    ranged = rows.repartitionByRange(*by, *order).withColumn("_task", F.spark_partition_id())
+    told = staged(ranged, "numbered")  # the tasks' bounds are fixed by what is written
+    counts = told.groupBy(*by, "_task").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    before = counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_task").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*by, "_task").orderBy(*order)) - 1
+    same = F.col("_task") == F.col("_of")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return told.withColumn("_own", own).join(before, same).select(*rows.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
 def windows(text: Column, size: int = 200, overlap: int = 40) -> Column:
     """Overlapping token windows as array of struct(nth, n, text); one window for a short text."""
-    words = tokens(text)
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - overlap - 1, F.lit(0)), F.lit(step))
-    return F.transform(starts, lambda s, i: F.struct(i.alias("nth"), F.size(F.slice(words, s + 1, size)).alias("n"), F.array_join(F.slice(words, s + 1, size), " ").alias("text")))
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - overlap - 1, F.lit(0)), F.lit(step))
+        own = F.transform(starts, lambda s: F.slice(words, s + 1, size))
+        return F.transform(own, lambda w, i: F.struct(i.alias("nth"), F.size(w).alias("n"), F.array_join(w, " ").alias("text")))
+
+    return let(tokens(text), cut)  # the text is cut into tokens once, not for each window
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -188,7 +217,8 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     c = F.col(text)
     sums = docs.agg(F.count(F.lit(1)).alias("doc_count"), F.avg(F.length(c)).alias("_mean"), F.coalesce(F.sum(nonblank_lines(c)), F.lit(0)).alias("total_lines"), F.coalesce(F.sum(label_lines(c)), F.lit(0)).alias("labelled_lines"))
     ratio = F.when(F.col("total_lines") > 0, F.col("labelled_lines") / F.col("total_lines")).otherwise(0.0)
-    return sums.select("doc_count", F.round(F.coalesce("_mean", F.lit(0.0)), 1).alias("mean_doc_chars"), "total_lines", "labelled_lines", F.round(ratio, 4).alias("labelled_line_ratio"))
+    # ties go to the even digit
+    return sums.select("doc_count", F.bround(F.coalesce("_mean", F.lit(0.0)), 1).alias("mean_doc_chars"), "total_lines", "labelled_lines", F.bround(ratio, 4).alias("labelled_line_ratio"))
 
 
 def strategy(stats: DataFrame, settings: Settings, single_fact_ratio: float = 1.0) -> DataFrame:

@@ -36,6 +36,24 @@ def _falling(rows: Column, key) -> Column:
     return F.transform(F.array_sort(at), lambda s: s["x"])
 
 
+def _sector_sums(rows: Column) -> Column:
+    """array of struct(sector, weight_pct) in order of first appearance: rows are sorted by sector and each run is summed in one pass."""
+    run = "struct<sector:string,first:int,weight_pct:double>"
+    by_sector = F.array_sort(F.transform(rows, lambda h, i: F.struct(h["sector"].alias("sector"), i.alias("first"), h["weight_pct"].alias("weight_pct"))))
+    start = F.struct(F.lit(None).cast(run).alias("now"), F.array().cast(f"array<{run}>").alias("done"))
+
+    def step(state: Column, h: Column) -> Column:
+        now = state["now"]
+        grown = F.struct(now["sector"].alias("sector"), now["first"].alias("first"), (now["weight_pct"] + h["weight_pct"]).alias("weight_pct"))
+        same = F.struct(grown.alias("now"), state["done"].alias("done"))
+        other = F.struct(h.alias("now"), F.when(now.isNull(), state["done"]).otherwise(F.array_append(state["done"], now)).alias("done"))
+        return F.when(now["sector"] == h["sector"], same).otherwise(other)
+
+    runs = F.aggregate(by_sector, start, step, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["now"])))
+    in_order = F.array_sort(F.transform(runs, lambda r: F.struct(r["first"].alias("first"), r["sector"].alias("sector"), r["weight_pct"].alias("weight_pct"))))
+    return F.transform(in_order, lambda r: F.struct(r["sector"].alias("sector"), r["weight_pct"].alias("weight_pct")))
+
+
 def sector_totals(holdings: DataFrame, by: str, sector: str = "sector", weight: str = "weight", place: str = "pos") -> DataFrame:
     """(by, sector, weight_pct, nth): sums of the known weights, sectors by falling unrounded sum, then first seen."""
     known = holdings.where(F.col(weight).isNotNull()).groupBy(by, or_else(F.col(sector), F.lit("Unspecified")).alias("sector")).agg(F.sum(weight).alias("_sum"), F.min(place).alias("_first"))
@@ -66,13 +84,7 @@ def facts(rows: DataFrame, id_col: str = "scheme_id", fallback_tax_note: str = M
         ),
     )
     known = F.filter(rows_of, lambda h: h["weight_pct"].isNotNull())
-    sectors = let(
-        known,
-        lambda rows: F.transform(
-            F.array_distinct(F.transform(rows, lambda h: h["sector"])),
-            lambda s: F.struct(s.alias("sector"), F.aggregate(F.filter(rows, lambda h: h["sector"] == s), lit(0.0), lambda t, h: t + h["weight_pct"]).alias("weight_pct")),
-        ),
-    )
+    sectors = _sector_sums(known)
     history = F.transform(F.filter("historic_exit_loads", lambda h: h.isNotNull()), lambda h: F.struct(cleaned(h["as_on_date"]).alias("as_on_date"), without_exit_load_label(h["note"]).alias("note")))
     dated = F.transform(history, lambda h, i: F.struct(F.coalesce(h["as_on_date"], lit("")).alias("d"), (-i).alias("i"), h.alias("h")))
     managers = F.filter(

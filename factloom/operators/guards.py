@@ -123,9 +123,9 @@ def performance(text: Column) -> Column:
 
 def foreign_name(text: Column, names=FOREIGN) -> Column:
     """The first name in list order that stands as a word, else null."""
+    # a literal pattern a name, which a task compiles once; only texts that one of them hits are asked for which
     every = any_of(rf"\b{literal(n)}\b" for n in names)
-    listed = F.array(*map(F.lit, names))
-    one = lambda low: F.get(F.filter(listed, lambda n: F.rlike(low, F.concat(F.lit(r"(?U)\b\Q"), n, F.lit(r"\E\b")))), F.lit(0))
+    one = lambda low: F.coalesce(*[F.when(low.rlike(any_of([rf"\b{literal(n)}\b"])), n) for n in names])
     return let(lowered(text), lambda low: F.when(low.rlike(every), one(low)))
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from factloom.functions.text import let, lowered
 from factloom.operators.guards import FOREIGN, foreign_name
 
+#: Stands for each character of a claimed span: no alias has it.
+BLANK = "\u0001"
+
 
 def ordered_aliases(aliases: dict[str, list[str]]) -> list[tuple[str, str]]:
     """(alias, scheme) by falling length; equal lengths keep their order. An alias of two schemes is the later one's."""
@@ -25,26 +28,31 @@ def resolve(text: Column, aliases: dict[str, list[str]], in_scope: list[str], fo
 
 
 def _resolve(low: Column, aliases: dict[str, list[str]], in_scope: list[str], foreign) -> Column:
-    table = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(rf"(?<![a-z0-9])\Q{a}\E(?![a-z0-9])").alias("pattern"), F.lit(s).alias("scheme")) for a, s in ordered_aliases(aliases)])
-    start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("schemes"), F.array().cast("array<string>").alias("aliases"))
+    """A claimed span is blanked out of the text, so that no later alias touches it; texts without any alias are not looked at by alias."""
+    ordered = ordered_aliases(aliases)
+    if not ordered:
+        return _result(_nothing(low), low, in_scope, foreign)
+    word = r"(?<![a-z0-9])\Q{}\E(?![a-z0-9])"
+    table = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit("(?s)^(.*?)" + word.format(a)).alias("pattern"), F.lit("$1" + BLANK * len(a)).alias("blank"), F.lit(s).alias("scheme")) for a, s in ordered])
 
     def claim(state: Column, row: Column) -> Column:
-        size, hits = F.length(row["alias"]), F.regexp_count(low, row["pattern"])
-        # the hits' places: the text is cut at each of them
-        pieces = F.split(low, row["pattern"])
-        places = F.transform(F.sequence(F.lit(1), hits), lambda n: F.aggregate(F.slice(pieces, F.lit(1), n), F.lit(0), lambda total, p: total + F.length(p)) + (n - 1) * size)
-        free = F.filter(F.when(hits > 0, places), lambda at: ~F.exists(state["spans"], lambda x: (at < x["end"]) & (x["start"] < at + size)))
-        claimed = F.transform(
-            F.slice(free, 1, 1),
-            lambda at: F.struct(
-                F.concat(state["spans"], F.array(F.struct(at.alias("start"), (at + size).alias("end")))).alias("spans"),
-                F.array_distinct(F.concat(state["schemes"], F.array(row["scheme"]))).alias("schemes"),
-                F.concat(state["aliases"], F.array(row["alias"])).alias("aliases"),
-            ),
-        )
-        return F.coalesce(F.get(claimed, F.lit(0)), state)
+        def taken(left: Column) -> Column:
+            hit = left != state["left"]
+            return F.struct(
+                left.alias("left"),
+                F.when(hit & ~F.array_contains(state["schemes"], row["scheme"]), F.array_append(state["schemes"], row["scheme"])).otherwise(state["schemes"]).alias("schemes"),
+                F.when(hit, F.array_append(state["aliases"], row["alias"])).otherwise(state["aliases"]).alias("aliases"),
+            )
+
+        return let(F.regexp_replace(state["left"], row["pattern"], row["blank"]), taken)
+
+    every = "|".join(word.format(a) for a, _ in ordered)
+    found = F.when(low.rlike(every), F.aggregate(table, _nothing(low), claim)).otherwise(_nothing(low))
+    return let(found, lambda state: _result(state, low, in_scope, foreign))
+
 
-    return F.aggregate(table, start, claim, lambda state: _result(state, low, in_scope, foreign))
+def _nothing(low: Column) -> Column:
+    return F.struct(low.alias("left"), F.array().cast("array<string>").alias("schemes"), F.array().cast("array<string>").alias("aliases"))
 
 
 def _result(state: Column, low: Column, in_scope: list[str], foreign) -> Column:

@@ -26,6 +26,10 @@ def records(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(n) if t.startswith("array") else record(F.col(n), t).alias(n) for n, t in rows.dtypes])
 
 
+#: Characters that ``ordered_fingerprint`` puts in one row.
+MANIFEST_CHARS = 64_000_000
+
+
 def fingerprint(rows: DataFrame, key: str, text: str, model: str) -> DataFrame:
     """One row: a fingerprint of the model and the rows' keys and texts, whatever their order.
 
@@ -41,9 +45,13 @@ def fingerprint(rows: DataFrame, key: str, text: str, model: str) -> DataFrame:
 def ordered_fingerprint(rows: DataFrame, key: str, text: str, model: str) -> DataFrame:
     """One row: SHA-256 over the model and then each row's key and text in key order, as one text.
 
-    Everything comes together in one row, so it is for manifests of a few thousand
-    short rows; ``fingerprint`` is for a corpus.
+    Everything comes together in one row, so it is for manifests: rows of more than
+    MANIFEST_CHARS in all are an error before anything is brought together.
+    ``fingerprint`` is for a corpus.
     """
+    size = rows.agg(F.coalesce(F.sum(F.length(F.col(key).cast("string")) + F.length(F.coalesce(F.col(text), F.lit("")))), F.lit(0))).first()[0]
+    if size > MANIFEST_CHARS:
+        raise ValueError(f"a manifest of {size} characters; fingerprint() takes any number of rows")
     pairs = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))))
     return rows.agg(F.sha2(F.concat(F.lit(model), F.array_join(F.transform(pairs, lambda s: F.concat(s["k"], s["t"])), "")), 256).alias("fingerprint"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import UPDATED_PREFIX, fact_tokens, last_updated, normalized_url, sentence_count, squeezed, urls
+from factloom.functions.text import UPDATED_PREFIX, fact_tokens, last_updated, let, normalized_url, sentence_count, squeezed, urls
 from factloom.operators.guards import advice, pii, structural_intent
 
 CHECKS = ("citation_present", "citation_allowed", "grounded", "evidence_scheme_match", "scheme_named", "no_advice", "no_pii", "sentence_budget", "has_last_updated")
@@ -26,10 +26,10 @@ def ungrounded(answer: Column, evidence: Column, query: Column, exact: bool = Fa
     texts = F.transform(evidence, lambda e: F.coalesce(e["text"], F.lit("")))
     if exact:
         known = F.array_union(F.flatten(F.transform(texts, fact_tokens)), fact_tokens(query))
-        known = F.transform(known, squeezed)
-        return F.filter(fact_tokens(answer), lambda t: ~F.array_contains(known, squeezed(t)))
-    told, asked = squeezed(F.array_join(texts, " ")), squeezed(F.coalesce(query, F.lit("")))
-    return F.filter(fact_tokens(answer), lambda t: ~F.contains(told, squeezed(t)) & ~F.contains(asked, squeezed(t)))
+        return let(F.transform(known, squeezed), lambda own: F.filter(fact_tokens(answer), lambda t: ~F.array_contains(own, squeezed(t))))
+    # squeezed once, not for each token; a zero byte is in no token, so none spans evidence and question
+    told = squeezed(F.concat(F.array_join(texts, " "), F.lit("\0"), F.coalesce(query, F.lit(""))))
+    return let(told, lambda own: F.filter(fact_tokens(answer), lambda t: ~F.contains(own, squeezed(t))))
 
 
 def _skipped(resolution: Column) -> Column:
@@ -42,18 +42,16 @@ def evidence_conflicts(evidence: Column, resolution: Column) -> Column:
 
 
 def scheme_named(answer: Column, resolution: Column, prefix: str = "") -> Column:
-    low = F.lower(F.coalesce(answer, F.lit("")))
     short = F.transform(resolution["scheme_ids"], lambda s: F.replace(s, F.lit(prefix), F.lit("")) if prefix else s)
     names = F.concat(F.array(F.coalesce(resolution["matched_alias"], F.lit(""))), short, F.transform(short, lambda s: F.replace(s, F.lit("_"), F.lit(" "))))
-    return _skipped(resolution) | F.exists(names, lambda n: (n != "") & F.contains(low, F.lower(n)))
+    return _skipped(resolution) | let(F.lower(F.coalesce(answer, F.lit(""))), lambda low: F.exists(names, lambda n: (n != "") & F.contains(low, F.lower(n))))
 
 
 def checks(answer: Column, query: Column, evidence: Column, resolution: Column, allowlist: Column, max_sentences: int = 3, prefix: str = "") -> dict[str, Column]:
     cited = urls(answer)
-    one = F.size(cited) == 1
     return {
-        "citation_present": one,
-        "citation_allowed": F.coalesce(one & F.array_contains(allowlist, normalized_url(F.get(cited, F.lit(0)))), F.lit(False)),
+        "citation_present": F.size(cited) == 1,
+        "citation_allowed": F.coalesce(let(cited, lambda own: (F.size(own) == 1) & let(F.get(own, F.lit(0)), lambda u: F.array_contains(allowlist, normalized_url(u)))), F.lit(False)),
         "grounded": F.size(ungrounded(answer, evidence, query)) == 0,
         "evidence_scheme_match": F.size(evidence_conflicts(evidence, resolution)) == 0,
         "scheme_named": F.coalesce(scheme_named(answer, resolution, prefix), F.lit(False)),
@@ -68,19 +66,15 @@ def validated(rows: DataFrame, allowlist: list[str], max_sentences: int = 3, pre
     """Adds checks (map), failures (in order), passed, discardable, sentences, ungrounded_tokens, pii_kind, cited_date."""
     c = F.col
     known = F.array(*[normalized_url(F.lit(u)) for u in allowlist]) if allowlist else F.array().cast("array<string>")
+    # what several results are made of is computed once, and the checks that follow from it read it
+    parts = {"sentences": sentence_count(c("answer")), "ungrounded_tokens": ungrounded(c("answer"), c("evidence"), c("query")), "pii_kind": pii(c("answer"))["kind"], "cited_date": last_updated(c("answer"))}
+    rows = rows.withColumn("_told", let(F.struct(*[v.alias(n) for n, v in parts.items()]), lambda t: t))
     made = checks(c("answer"), c("query"), c("evidence"), c("resolution"), known, max_sentences, prefix)
-    failed = F.array_compact(F.array(*[F.when(~made[n], n) for n in CHECKS]))
-    rows = rows.withColumns({"checks": F.map_from_arrays(F.array(*map(F.lit, made)), F.array(*made.values())), "failures": failed})
-    return rows.withColumns(
-        {
-            "passed": F.size("failures") == 0,
-            "discardable": F.arrays_overlap("failures", F.array(*map(F.lit, DISCARD))),
-            "sentences": sentence_count(c("answer")),
-            "ungrounded_tokens": ungrounded(c("answer"), c("evidence"), c("query")),
-            "pii_kind": pii(c("answer"))["kind"],
-            "cited_date": last_updated(c("answer")),
-        }
-    )
+    made |= {"grounded": F.size("_told.ungrounded_tokens") == 0, "no_pii": c("_told.pii_kind").isNull(), "sentence_budget": c("_told.sentences") <= max_sentences}
+    rows = rows.withColumn("checks", let(F.array(*[F.struct(F.lit(n).alias("key"), made[n].alias("value")) for n in CHECKS]), F.map_from_entries))
+    failed = F.filter(F.array(*map(F.lit, CHECKS)), lambda n: ~c("checks")[n])
+    rows = rows.select(*[x for x in rows.columns if x != "_told"], failed.alias("failures"), *[c(f"_told.{n}").alias(n) for n in parts])
+    return rows.withColumns({"passed": F.size("failures") == 0, "discardable": F.arrays_overlap("failures", F.array(*map(F.lit, DISCARD)))})
 
 
 def safe_citation(answer: Column, allowlist: list[str]) -> Column:

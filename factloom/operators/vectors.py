@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from factloom.functions import vectors as V
+from factloom.session import staged
 
 #: Rows and queries of one block product.
 BLOCK = 4096
 
 
 def _blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Packs rows (id, vector, allowed or label) into blocks: ids, vectors (packed doubles), dim, tags."""
+    """Packs rows (id, vector, array of tags) into blocks: ids (packed longs), vectors (packed doubles), dim, tags."""
 
     def pack(batches):
         import numpy as np
@@ -26,27 +27,22 @@ def _blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                 dim = len(flat) // max(1, part.num_rows)
                 if dim * part.num_rows != len(flat) or part.column(1).null_count:
                     raise ValueError("vectors of a block differ in length or are missing")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([np.ascontiguousarray(flat).tobytes()], pa.binary()), pa.array([dim], pa.int32()), pa.array([part.column(2).to_pylist()], pa.list_(pa.list_(pa.string())))],
-                    names=["ids", "packed", "dim", "tags"],
-                )
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+                tags = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(2))
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(flat).tobytes()], pa.binary()), pa.array([dim], pa.int32()), tags], names=["ids", "packed", "dim", "tags"])
 
-    return rows.mapInArrow(pack, "ids array<long>, packed binary, dim int, tags array<array<string>>")
+    return rows.mapInArrow(pack, "ids binary, packed binary, dim int, tags array<array<string>>")
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", label_col: str | None = None, query_id: str = "qid", query_vector: str = "embedding", allowed_col: str | None = None, skip_self: bool = False) -> DataFrame:
-    """(qid, id, distance, rank): the k rows of the corpus at the smallest cosine distance of each query, ties by id.
+def _products(corpus: DataFrame, queries: DataFrame, columns: list[Column], asked: list[Column], filtered: bool, skip_self: bool, keep) -> DataFrame:
+    """(qid, id, distance) of what ``keep(distances, ids)`` keeps (a mask) of the product of each block of queries with each block of rows.
 
-    With ``label_col`` and ``allowed_col`` (an array; null or empty allows all) rows of
-    other labels are left out before ranking. Blocks of queries meet blocks of rows;
-    each product passes on k rows a query at most, and those are ranked. Zero vectors
-    are at distance 1. With ``skip_self`` a row is no neighbour of the query of its id.
+    ``columns`` and ``asked`` are id, vector and tags of rows and queries; with
+    ``filtered`` a row is apart from a query whose tags, if it has any, lack the row's
+    first. A query without tags meets all. Zero vectors are at distance 1.
     """
-    label = F.array(F.col(label_col).cast("string")) if label_col else F.array().cast("array<string>")
-    allowed = F.coalesce(F.col(allowed_col).cast("array<string>"), F.array().cast("array<string>")) if allowed_col else F.array().cast("array<string>")
-    left = _blocks(corpus.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"), label))
-    right = _blocks(queries.select(F.col(query_id).cast("long"), F.col(query_vector).cast("array<double>"), allowed)).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "packed", "dim", "tags")])
-    filtered = bool(label_col and allowed_col)
+    left = _blocks(corpus.select(*columns))
+    right = _blocks(queries.select(*asked)).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "packed", "dim", "tags")])
 
     def product(batches):
         import numpy as np
@@ -54,26 +50,49 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", v
 
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, packed, dim, tags, q_ids, q_packed, q_dim, q_tags = (batch.column(j)[i].as_py() for j in range(8))
+                ids, packed, dim, tags, q_ids, q_packed, q_dim, q_tags = (batch.column(j)[i] for j in range(8))
                 if dim != q_dim:
                     raise ValueError(f"vectors of {dim} and {q_dim} numbers")
-                rows, asked = np.frombuffer(packed, "<f8").reshape(-1, dim), np.frombuffer(q_packed, "<f8").reshape(-1, dim)
-                size = np.outer(np.sqrt((asked * asked).sum(1)), np.sqrt((rows * rows).sum(1)))
-                distance = 1.0 - np.divide(asked @ rows.T, size, out=np.zeros_like(size), where=size > 0)
-                ids = np.array(ids, np.int64)
+                ids, q_ids = (np.frombuffer(x.as_buffer(), "<i8") for x in (ids, q_ids))
+                rows, other = (np.frombuffer(x.as_buffer(), "<f8").reshape(-1, dim.as_py()) for x in (packed, q_packed))
+                size = np.outer(np.sqrt((other * other).sum(1)), np.sqrt((rows * rows).sum(1)))
+                distance = 1.0 - np.divide(other @ rows.T, size, out=np.zeros_like(size), where=size > 0)
                 if filtered:
-                    own = np.array([t[0] for t in tags], object)
-                    for q, t in enumerate(q_tags):
+                    # tags as numbers: a row's own, and for each query which of them it takes
+                    names, own = np.unique(np.array(tags.values.flatten().to_pylist(), object).astype(str), return_inverse=True)
+                    for q, t in enumerate(q_tags.as_py()):
                         if t:
-                            distance[q, ~np.isin(own, np.array(t, object))] = np.inf
+                            distance[q, ~np.isin(names, t)[own]] = np.inf
                 if skip_self:
-                    distance[np.array(q_ids)[:, None] == ids[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
-                near = np.take_along_axis(distance, order, 1)
-                kept = np.isfinite(near)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, kept.sum(1)), pa.int64()), pa.array(ids[order[kept]], pa.int64()), pa.array(near[kept], pa.float64())], names=["qid", "id", "distance"])
+                    distance[q_ids[:, None] == ids[None, :]] = np.inf
+                q, at = np.nonzero(keep(distance, ids) & np.isfinite(distance))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(ids[at]), pa.array(distance[q, at])], names=["qid", "id", "distance"])
+
+    return right.crossJoin(left).select("ids", "packed", "dim", "tags", "q_ids", "q_packed", "q_dim", "q_tags").mapInArrow(product, "qid long, id long, distance double")
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", label_col: str | None = None, query_id: str = "qid", query_vector: str = "embedding", allowed_col: str | None = None, skip_self: bool = False) -> DataFrame:
+    """(qid, id, distance, rank): the k rows of the corpus at the smallest cosine distance of each query, ties by id.
+
+    With ``label_col`` and ``allowed_col`` (an array; null or empty allows all) rows of
+    other labels are left out before ranking. Blocks of queries meet blocks of rows;
+    each product passes on k rows a query at most, and those are ranked. Zero vectors
+    are at distance 1. With ``skip_self`` a row is no neighbour of the query of its id.
+    """
+    label = F.array(F.coalesce(F.col(label_col).cast("string"), F.lit(""))) if label_col else F.array().cast("array<string>")
+    allowed = F.coalesce(F.col(allowed_col).cast("array<string>"), F.array().cast("array<string>")) if allowed_col else F.array().cast("array<string>")
+
+    def first(distance, ids):
+        import numpy as np
 
-    found = right.crossJoin(left).select("ids", "packed", "dim", "tags", "q_ids", "q_packed", "q_dim", "q_tags").mapInArrow(product, "qid long, id long, distance double")
+        order = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
+        kept = np.zeros(distance.shape, bool)
+        np.put_along_axis(kept, order, True, 1)
+        return kept
+
+    rows = [F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"), label]
+    asked = [F.col(query_id).cast("long"), F.col(query_vector).cast("array<double>"), allowed]
+    found = _products(corpus, queries, rows, asked, bool(label_col and allowed_col), skip_self, first)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
     return ranked.where(F.col("rank") <= k)
 
@@ -93,45 +112,105 @@ def norm_report(rows: DataFrame, vector: Column, dim: int) -> DataFrame:
 
 
 def close_pairs(corpus: DataFrame, asked: DataFrame, id_col: str, vector_col: str, label_col: str, most: float = 0.25) -> DataFrame:
-    """(label, a, b, distance), a < b: each pair of an asked row and a row of the corpus of its label within ``most``, once."""
-    q = asked.select(F.col(label_col).alias("label"), F.col(id_col).alias("q"), F.col(vector_col).alias("vq"))
-    r = corpus.select(F.col(label_col).alias("label"), F.col(id_col).alias("r"), F.col(vector_col).alias("vr"))
-    near = q.join(r, "label").where("q <> r").withColumn("distance", V.cosine_distance(F.col("vq"), F.col("vr"))).where(F.col("distance") <= most)
-    return near.select("label", F.least("q", "r").alias("a"), F.greatest("q", "r").alias("b"), "distance").dropDuplicates(["label", "a", "b"])
+    """(label, a, b, distance), a < b: each pair of an asked row and a row of the corpus of its label within ``most``, once.
 
+    Blocks of asked rows meet blocks of rows, whatever their labels, so a label that
+    very many rows have is no task by itself. Rows without a label have no pairs.
+    """
+    columns = [F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"), F.array(F.col(label_col).cast("string"))]
+    known = F.col(label_col).isNotNull()
+    near = _products(corpus.where(known), asked.where(known), columns, columns, True, True, lambda distance, ids: distance <= most)
+    pairs = near.select("qid", F.least("qid", "id").alias("a"), F.greatest("qid", "id").alias("b"), "distance").groupBy("a", "b").agg(F.min("qid").alias("qid"), F.min("distance").alias("distance"))
+    return pairs.join(asked.select(F.col(id_col).cast("long").alias("qid"), F.col(label_col).alias("label")), "qid").select("label", "a", "b", "distance")
 
-#: Rows of one label that ``leader_clusters`` takes; its pass depends on order and can't be divided.
-MOST_ROWS = 50_000
 
+#: Rows of a label that are settled in one round of ``leaders``.
+BATCH = 256
 
-def leader_clusters(rows: DataFrame, id_col: str, vector_col: str, label_col: str, text_col: str, most: float = 0.25) -> DataFrame:
-    """(label, cluster, seed, members, text): greedy leader clustering within each label, in id order.
 
-    The first unseen row leads and takes every unseen row within ``most`` of it. A
-    label is one group of MOST_ROWS rows at most, else an error: labels are single
-    entities with some dozens of chunks each, not classes that grow with the corpus.
+def leaders(rows: DataFrame, id_col: str, vector_col: str, label_col: str, most: float = 0.25) -> DataFrame:
+    """(label, id, seed) of every row: greedy leader clustering within each label, in id order; ids are unique.
+
+    The first row that no cluster has leads and takes every such row within ``most`` of
+    it. That depends on order, so it goes by rounds: the first BATCH undecided rows
+    of each label are settled one after the other, and all undecided rows are then
+    compared with the new leaders, wherever they are. A label is never one task, and
+    no label is too large. Each round is a stored table; there are as many as the
+    leaders of a label, over BATCH.
     """
+    import numpy as np
+    import pyarrow as pa
 
-    def run(table):
-        import numpy as np
-        import pyarrow as pa
+    kind = rows.schema[label_col].dataType.simpleString()
+    left = staged(rows.select(F.col(label_col).alias("label"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")), "undecided")
+    decided: list[DataFrame] = []
 
-        if table.num_rows > MOST_ROWS:
-            raise ValueError(f"a label of {table.num_rows} rows; leader clustering takes {MOST_ROWS} at most")
-        rows = sorted(zip(*[table.column(c).to_pylist() for c in ("id", "vector", "text", "label")], strict=True), key=lambda r: r[0])
-        x = np.array([r[1] for r in rows], float)
+    def units(vectors) -> np.ndarray:
+        x = np.array(vectors, float).reshape(len(vectors), -1)
         size = np.sqrt((x * x).sum(1))
-        unit = x / np.where(size == 0, 1, size)[:, None]
-        seen, out = np.zeros(len(rows), bool), []
-        for i in range(len(rows)):
-            if not seen[i]:
-                own = np.flatnonzero(~seen & ((1 - unit @ unit[i] <= most) | (np.arange(len(rows)) == i)))
-                seen[own] = True
-                own = [i, *(j for j in own.tolist() if j != i)]
-                out.append((rows[i][3], len(out), rows[i][0], [rows[j][0] for j in own], " ".join(rows[j][2] or "" for j in own)))
-        kinds = (table.schema.field("label").type, pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["label", "cluster", "seed", "members", "text"])
+        return x / np.where(size == 0, 1, size)[:, None]
 
-    kind = rows.schema[label_col].dataType.simpleString()
-    own = rows.select(F.col(label_col).alias("label"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(text_col).cast("string").alias("text"))
-    return own.groupBy("label").applyInArrow(run, f"label {kind}, cluster int, seed long, members array<long>, text string")
+    def lowest(batches):
+        """The BATCH first rows of each label of a task."""
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            place = held.select(["label", "id"]).append_column("at", pa.array(range(held.num_rows))).to_pandas().sort_values("id")
+            held = held.take(pa.array(np.sort(place.groupby("label", dropna=False).head(BATCH)["at"].to_numpy())))
+        if held is not None:
+            yield from held.to_batches()
+
+    def settle(table):
+        """The leaders among the first rows of a label, with their vectors in id order."""
+        table = table.sort_by("id")
+        unit, own = units(table["vector"].to_pylist()), []
+        for i in range(len(unit)):
+            if not own or not (1 - unit[own] @ unit[i] <= most).any():
+                own.append(i)
+        return pa.table({"label": table["label"][:1], "ids": pa.array([[table["id"][i].as_py() for i in own]], pa.list_(pa.int64())), "packed": pa.array([unit[own].astype("<f8").tobytes()], pa.binary())})
+
+    def take(batches):
+        for batch in batches:
+            seeds = [None] * batch.num_rows
+            unit = units(batch.column(2).to_pylist())
+            packed, ids = batch.column(4), batch.column(3)
+            for key in set(packed.to_pylist()):
+                own = np.flatnonzero(np.array([p == key for p in packed.to_pylist()]))
+                names = ids[int(own[0])].as_py()
+                lead = np.frombuffer(key, "<f8").reshape(len(names), -1)
+                near = 1 - unit[own] @ lead.T <= most
+                near |= batch.column(1).to_numpy()[own][:, None] == np.array(names)[None, :]
+                for r, row in zip(own.tolist(), near, strict=True):
+                    seeds[r] = names[int(row.argmax())] if row.any() else None
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(seeds, pa.int64())], names=["label", "id", "vector", "seed"])
+
+    while left.limit(1).count():
+        some = left.mapInArrow(lowest, left.schema)
+        nth = F.row_number().over(Window.partitionBy("label").orderBy("id"))  # BATCH rows for each task and label
+        new = some.withColumn("_n", nth).where(F.col("_n") <= BATCH).drop("_n").groupBy("label").applyInArrow(settle, f"label {kind}, ids array<long>, packed binary")
+        new = staged(new, "leaders")
+        met = left.join(new.withColumnRenamed("label", "_label"), F.col("label").eqNullSafe(F.col("_label"))).select("label", "id", "vector", "ids", "packed")
+        told = staged(met.mapInArrow(take, f"label {kind}, id long, vector array<double>, seed long"), "told")
+        decided.append(told.where("seed is not null").select("label", "id", "seed"))
+        left = staged(told.where("seed is null").select("label", "id", "vector"), "undecided")
+    if not decided:
+        return left.select("label", "id", F.lit(None).cast("long").alias("seed"))
+    out = decided[0]
+    for part in decided[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def leader_clusters(rows: DataFrame, id_col: str, vector_col: str, label_col: str, text_col: str, most: float = 0.25) -> DataFrame:
+    """(label, seed, members, text): the clusters of ``leaders`` put together, the seed first, then by id.
+
+    A cluster is one row here, so this is for labels that are single entities with
+    some chunks each; ``leaders`` is the form for clusters of any size.
+    """
+    told = leaders(rows, id_col, vector_col, label_col, most)
+    texts = rows.select(F.col(label_col).alias("_label"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    own = told.join(texts, F.col("label").eqNullSafe(F.col("_label")) & (F.col("id") == F.col("_id")))
+    member = F.struct((F.col("id") != F.col("seed")).alias("after"), "id", F.col("_text").alias("text"))
+    lists = own.groupBy("label", "seed").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    return lists.select("label", "seed", F.transform("m", lambda x: x["id"]).alias("members"), F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("text"))

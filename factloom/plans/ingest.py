@@ -13,10 +13,9 @@ from factloom.session import staged
 
 def chunk_rows(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Chunks of documents (columns of facts, text, facts map, doc_id, source_url); the allowlist is the documents' own entities."""
-    spark = docs.sparkSession
     docs = staged(docs, "documents")  # five families read them
     categories = docs.select("scheme_id", "category").distinct()
-    return chunking.chunks(chunking.bodies(docs, chunking.registry(spark), settings.holdings_mode), categories, settings)
+    return chunking.chunks(chunking.bodies(docs, holdings_mode=settings.holdings_mode), categories, settings)
 
 
 def semantic_chunks(chunks: DataFrame, settings: Settings = Settings(), dim: int = 64, embedder=None) -> DataFrame:

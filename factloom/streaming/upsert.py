@@ -1,40 +1,78 @@
-"""Streaming sink of keyed rows: the last row of a key stays, batch after batch."""
+"""Streaming sink of keyed rows: the last row of a key stays, batch after batch.
+
+The table lies in buckets of the key, each with a version for each batch that
+touched it: ``<path>/bucket=<n>/v=<epoch>``. A batch reads and writes the buckets of
+its own keys alone, so its cost follows the batch, not the table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators.store import upsert
 
+BUCKETS = 64
+#: Versions of a bucket that stay behind the newest: a batch that runs again needs the one before its own.
+KEPT = 1
+
 
-def upserting(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: each batch makes version ``<path>/v=<epoch>`` of the table.
+def upserting(path: str, keys: list[str], order: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function.
 
     Of a batch's rows of one key the one with the largest ``order`` counts. A batch
-    that runs again writes its version again from the version before it, so rows are
-    applied once; readers take the latest version (``latest``).
+    that runs again writes its versions again from those before it, so rows are
+    applied once; readers take each bucket's latest version (``latest``). Older
+    versions are removed, KEPT of them stay.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        out = f"{path}/v={epoch:012d}"
-        old = latest(spark, path, before=epoch)
-        (last if old is None else upsert(old, last, keys)).write.mode("overwrite").parquet(out)
+        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*").withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = sorted(r["_bucket"] for r in last.select("_bucket").distinct().collect())  # ``buckets`` rows at most
+        for bucket in touched:
+            new, folder = last.where(F.col("_bucket") == bucket).drop("_bucket"), f"{path}/bucket={bucket:04d}"
+            before = _versions(spark, folder, epoch)
+            old = spark.read.parquet(f"{folder}/{before[-1]}") if before else None
+            (new if old is None else upsert(old, new, keys)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{_name(epoch)}")
+            for name in before[: -KEPT or None]:
+                _remove(spark, f"{folder}/{name}")
+        last.unpersist()
 
     return run
 
 
-def latest(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version (older than ``before``), or None."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
-    if not fs.exists(folder):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    done = sorted(n for n in names if n.startswith("v=") and (before is None or int(n[2:]) < before) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-    return spark.read.parquet(f"{path}/{done[-1]}") if done else None
+def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest rows (of versions older than ``before``, which must still be there), or None."""
+    paths = []
+    for bucket in _names(spark, path):
+        if bucket.startswith("bucket=") and (found := _versions(spark, f"{path}/{bucket}", before)):
+            paths.append(f"{path}/{bucket}/{found[-1]}")
+    return spark.read.parquet(*paths) if paths else None
+
+
+def _name(epoch: int) -> str:
+    return f"v={epoch:012d}"
+
+
+def _versions(spark: SparkSession, folder: str, before: int | None) -> list[str]:
+    """The whole versions of a bucket, oldest first."""
+    fs, _ = _folder(spark, folder)
+    return sorted(n for n in _names(spark, folder) if n.startswith("v=") and (before is None or int(n[2:]) < before) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, folder = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, folder = _folder(spark, path)
+    fs.delete(folder, True)

@@ -52,8 +52,9 @@ def test_sentences_and_tokens(spark):
 
 def test_labelled_value(spark):
     text = "x\nNAV: \n ₹1,234.50 Cr\nRisk rating : Very High (x)\n"
-    df = spark.createDataFrame([("NAV", r"₹[\d,]+(?:\.\d+)?(?:\s*Cr)?"), ("risk rating", r"[^\n(]+"), ("Other", ".+")], "l string, p string")
-    assert [r[0] for r in df.select(T.labelled_value(F.lit(text), F.col("l"), F.col("p"))).collect()] == ["₹1,234.50 Cr", "Very High", None]
+    rules = [("NAV", r"₹[\d,]+(?:\.\d+)?(?:\s*Cr)?"), ("risk rating", r"[^\n(]+"), ("Other", ".+")]
+    for label in (lambda x: x, F.lit, lambda x: F.concat(F.lit(x), F.substring(F.uuid(), 1, 0))):  # as text, as a literal, as a column
+        assert list(spark.range(1).select(*[T.labelled_value(F.lit(text), label(name), pattern).alias(name) for name, pattern in rules]).first()) == ["₹1,234.50 Cr", "Very High", None]
 
 
 def test_formats(spark):

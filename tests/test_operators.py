@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,12 +153,31 @@ def test_superseded(spark):
 def test_leader_clusters(spark):
     rows = [(1, [1.0, 0.0], "a", "x"), (2, [0.9, 0.1], "a", "y"), (3, [0.0, 1.0], "a", "z"), (4, [1.0, 0.0], "b", None)]
     got = vectors.leader_clusters(spark.createDataFrame(rows, "id long, v array<double>, label string, t string"), "id", "v", "label", "t").collect()
-    assert sorted((r["label"], r["cluster"], r["members"], r["text"]) for r in got) == [("a", 0, [1, 2], "x y"), ("a", 1, [3], "z"), ("b", 0, [4], "")]
+    assert sorted((r["label"], r["seed"], r["members"], r["text"]) for r in got) == [("a", 1, [1, 2], "x y"), ("a", 3, [3], "z"), ("b", 4, [4], "")]
     df = spark.createDataFrame(rows, "id long, v array<double>, label string, t string")
     pairs = vectors.close_pairs(df, df, "id", "v", "label")
     assert [(r["a"], r["b"]) for r in pairs.collect()] == [(1, 2)]
 
 
+def test_leaders_by_rounds(spark, monkeypatch):
+    """Batches far smaller than the leaders give what one pass over a label gives."""
+    rnd = np.random.default_rng(4)
+    rows = [(i, rnd.normal(size=3).tolist() if i % 17 else [0.0, 0.0, 0.0], None if i % 5 == 4 else f"l{i % 2}") for i in range(150)]
+    want = {}
+    for label in {r[2] for r in rows}:
+        lead = []
+        for i, v, _ in sorted(r for r in rows if r[2] == label):
+            size = np.linalg.norm(v) or 1.0
+            near = [s for s, u in lead if 1 - np.dot(np.array(v) / size, u) <= 0.3]
+            want[i] = near[0] if near else i
+            if not near:
+                lead.append((i, np.array(v) / size))
+    monkeypatch.setattr(vectors, "BATCH", 4)
+    got = vectors.leaders(spark.createDataFrame(rows, "id long, v array<double>, label string").repartition(5), "id", "v", "label", 0.3)
+    assert {r["id"]: r["seed"] for r in got.collect()} == want
+    assert vectors.leaders(spark.createDataFrame([], "id long, v array<double>, label string"), "id", "v", "label").count() == 0
+
+
 def test_close_pairs_to_smaller_ids(spark):
     rows = [(1, [1.0, 0.0], "a"), (2, [0.9, 0.1], "a"), (3, [1.0, 0.1], "a"), (4, [0.0, 1.0], "a"), (5, [1.0, 0.0], "b")]
     df = spark.createDataFrame(rows, "id long, v array<double>, label string")

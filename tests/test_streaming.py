@@ -25,3 +25,8 @@ def test_upserting_stream(spark, tmp_path):
     assert sorted((r["k"], r["v"]) for r in upsert.latest(spark, path).collect()) == [(1, "b"), (2, "d"), (3, "e")]
     assert sorted((r["k"], r["v"]) for r in upsert.latest(spark, path, before=1).collect()) == [(1, "b"), (2, "c")]
     assert upsert.latest(spark, f"file://{tmp_path}/none") is None
+    for epoch in range(2, 6):
+        apply(spark.createDataFrame([(3, f"e{epoch}", epoch)], "k int, v string, at int"), epoch)
+    assert sorted((r["k"], r["v"]) for r in upsert.latest(spark, path).collect()) == [(1, "b"), (2, "d"), (3, "e5")]
+    versions = {b.name: len(list(b.glob("v=*"))) for b in (tmp_path / "table").iterdir()}
+    assert len(versions) == 3 and max(versions.values()) <= 2  # old ones are removed; batches of key 3 left the other buckets alone
