@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.shared import filesystem, shared_folder, stored, write_atomically
-from factloom.llm.tokens import WordTokenizer, gather, slices
+from factloom.llm.tokens import CachedEncoder, slices
 
 MAGIC = b"PLNSTOR1"
 BLOCK_IDS = 1 << 16
-BLOCK_BYTES = 8 << 20
-#: Words that a worker keeps encoded; beyond it the cache starts anew.
-CACHE_WORDS = 200_000
+BLOCK_BYTES = 16 << 20
+#: White-space chunks that a worker keeps encoded; beyond it the cache starts anew.
+CACHE_CHUNKS = 400_000
 
 
 def planes_of(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -136,53 +136,58 @@ class PlaneReader:
 _workers: dict = {}
 
 
-def encoded_words(tokenizer_path: str, words: list[str]) -> list[bytes]:
-    """The ids of each word as little-endian 32-bit integers, kept between the batches of a worker."""
-    tokenizer, cache = _workers.setdefault(tokenizer_path, (None, {}))
-    if tokenizer is None:
-        tokenizer = WordTokenizer(tokenizer_path)
-        _workers[tokenizer_path] = tokenizer, cache
-    out = []
-    for w in words:
-        ids = cache.get(w)
-        if ids is None:
-            if len(cache) >= CACHE_WORDS:
-                cache.clear()
-            cache[w] = ids = np.array(tokenizer.ids(w), "<u4").tobytes()
-        out.append(ids)
-    return out
-
-
-def encode_texts(tokenizer_path: str, texts):
-    """Each text's ids (numpy) of an Arrow string array, null as empty; blocks of texts at a time."""
-    import pyarrow.compute as pc
-
-    texts = pc.fill_null(texts, "")
-    for start, stop in slices(texts, BLOCK_BYTES):
-        if tokenizer_path not in _workers:
-            _workers[tokenizer_path] = WordTokenizer(tokenizer_path), {}
-        codes, counts, words = _workers[tokenizer_path][0].split(texts.slice(start, stop - start), BLOCK_BYTES)
-        packed = encoded_words(tokenizer_path, words)
-        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        ids, each = gather(np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(packed), "<u4"), codes)
-        upto, ends = np.concatenate([[0], np.cumsum(each)]), np.cumsum(counts)
-        for first, last in zip(ends - counts, ends, strict=True):
-            yield ids[upto[first] : upto[last]]
+def _encoder(tokenizer_path: str) -> CachedEncoder:
+    if tokenizer_path not in _workers:
+        _workers[tokenizer_path] = CachedEncoder(tokenizer_path, CACHE_CHUNKS)
+    return _workers[tokenizer_path]
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1) -> DataFrame:
+    """_id, _hash (of the text) and _ids of each row: little-endian integers of 16 bits where the vocabulary fits in them, else of 32.
+
+    A null text is empty. Texts are encoded where they are read; nothing moves.
+    """
+    with open(tokenizer_path, encoding="utf-8") as f:
+        file = json.load(f)
+    most = max([end_id or 0, *file["model"]["vocab"].values(), *(t["id"] for t in file["added_tokens"])])
+    kind = "<u2" if most < 1 << 16 else "<u4"
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            texts = pc.fill_null(batch.column(2), "")
+            packed = []
+            for start, stop in slices(texts, BLOCK_BYTES):
+                ids, ends = _encoder(tokenizer_path).encode(texts.slice(start, stop - start))
+                ids, ends = ids.astype(kind), ends.tolist()
+                end = np.array([end_id], kind).tobytes() if end_id is not None else b""
+                packed += [ids[a:b].tobytes() + end for a, b in zip([0, *ends], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["_id", "_hash", "_ids"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
+    return rows.mapInArrow(run, "_id long, _hash long, _ids binary").withColumn("_wide", F.lit(kind == "<u4"))
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, planes: str = "byte", block: int = BLOCK_IDS) -> DataFrame:
     """Encodes every text and writes the files; returns their list: file_no, path, n_docs, n_ids.
 
-    Files hold ascending ids, and a later file_no holds later ids: rows are dealt
-    by ranges of the id (nulls first; equal ids meet in one file, by text). A null
-    text is empty and gets the end id alone. Other columns are not read. An empty
-    table gives no files. The list is stored: files are written once, by whole
-    files, and an attempt that is run again replaces its own.
+    Texts are encoded first and the ids stored, so a text is encoded once and only
+    ids are dealt out. Files hold ascending ids, and a later file_no holds later ids:
+    rows are dealt by ranges of the id (nulls first; equal ids by a hash of their
+    text, so that an id which very many rows have may span files). A null text is
+    empty and gets the end id alone. Other columns are not read. An empty table
+    gives no files. The list is stored: files are written by whole files, and an
+    attempt that is run again replaces its own.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "tokens")
 
     def write(batches):
+        import pyarrow as pa
+
         part, made = TaskContext.get().partitionId(), []
         first = next(batches, None)
         if first is None:
@@ -196,20 +201,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
             writer = PlaneWriter(out, planes, block)
             total = 0
             for batch in rows():
-                for doc, ids in zip(batch.column(0).to_pylist(), encode_texts(tokenizer_path, batch.column(1)), strict=True):
-                    if end_id is not None:
-                        ids = np.append(ids, np.uint32(end_id))
+                for doc, ids, wide in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    ids = np.frombuffer(ids, "<u4" if wide else "<u2").astype(np.uint32)
                     writer.add(doc, ids)
                     total += len(ids)
             writer.close()
             made.append((part, f"{folder}/part-{part:06d}.planes", len(writer.docs), total))
 
         write_atomically(f"{folder}/part-{part:06d}.planes", fill)
-        import pyarrow as pa
-
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made]) for i in range(4)], names=["file_no", "path", "n_docs", "n_ids"])
 
-    ranged = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    ids = stored(encoded(docs, tokenizer_path, id_col, text_col, end_id), "token-ids")
+    ranged = ids.repartitionByRange("_id", "_hash").sortWithinPartitions("_id", "_hash").select("_id", "_ids", "_wide")
     return stored(ranged.mapInArrow(write, "file_no long, path string, n_docs long, n_ids long"), "token-files")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 
@@ -23,6 +24,8 @@ PLAIN = (
     r"\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20AC}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}"
 )
 NOT_PLAIN = f"[^{PLAIN}]"
+#: Marks of which one behind letters is a word of its own.
+MARKS = frozenset(".,;:!?)\"")
 
 
 def byte_letters() -> dict[int, str]:
@@ -119,7 +122,11 @@ class WordTokenizer:
         codes, counts = zip(*parts, strict=True)
         return np.concatenate(codes), np.concatenate(counts), list(index)
 
-    def _split(self, texts, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    def chunks(self, texts) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct white-space chunks, their codes in text order, each text's first and end place in the codes, which texts must be taken whole).
+
+        Texts that must be taken whole have no chunks.
+        """
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -129,11 +136,13 @@ class WordTokenizer:
         slow = slow.to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(slow), "", texts) if slow.any() else texts
         lists = pc.utf8_split_whitespace(plain)
-        chunks = lists.flatten().dictionary_encode()
+        found = lists.flatten().dictionary_encode()
+        return found.dictionary.to_pylist(), found.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), slow
+
+    def _split(self, texts, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        names, indices, offsets, slow = self.chunks(texts)
         find, code = self.pattern.findall, index.setdefault
-        parts = [[code(w, len(index)) for w in find(chunk.lower())] for chunk in chunks.dictionary.to_pylist()]
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        indices = chunks.indices.to_numpy()
+        parts = [[code(w, len(index)) for w in find(chunk.lower())] for chunk in names]
         codes, each = gather(*flattened(parts, np.int32), indices)
         upto = np.concatenate([[0], np.cumsum(each)])
         counts = upto[offsets[1:]] - upto[offsets[:-1]]
@@ -153,3 +162,59 @@ class WordTokenizer:
         if word in self.specials:
             return [self.specials[word]]
         return [t.id for t in self.model.tokenize(spelled(word))]
+
+
+class CachedEncoder:
+    """Encodes blocks of texts through a cache from white-space chunks to their ids.
+
+    The cache outlives batches and tasks of a worker; it starts anew before a block
+    once it holds ``most`` chunks, so it is bounded by that and one block's chunks.
+    What it holds bears on speed alone.
+    """
+
+    def __init__(self, path: str, most: int):
+        self.tokenizer, self.most = WordTokenizer(path), most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.code: dict[str, int] = {}
+        self.of_word: dict[str, list[int]] = {}
+        self.ids, self.ends = array("I"), array("q", [0])
+
+    def _words(self, chunk: str) -> tuple[str, ...] | list[str]:
+        """The words of a chunk: letters alone or with one mark behind them need no pattern."""
+        if chunk.isalpha():
+            return (chunk.lower(),)
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+            return chunk[:-1].lower(), chunk[-1]
+        return self.tokenizer.pattern.findall(chunk.lower())
+
+    def _learn(self, chunks: list[str]) -> None:
+        words, known, tokenize = self._words, self.of_word, self.tokenizer.model.tokenize
+        ids, ends, code = self.ids, self.ends, self.code
+        for chunk in chunks:
+            for word in words(chunk):
+                own = known.get(word)
+                if own is None:  # no special token and no white space is in a chunk
+                    own = known[word] = [t.id for t in tokenize(word if word.isascii() else spelled(word))]
+                ids.extend(own)
+            ends.append(len(ids))
+            code[chunk] = len(code)
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Of an Arrow string array without nulls: all ids in order, and the place in them where each text ends."""
+        if len(self.code) >= self.most:
+            self._clear()
+        names, indices, offsets, slow = self.tokenizer.chunks(texts)
+        known = self.code
+        self._learn([c for c in names if c not in known])
+        codes = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+        ends = np.frombuffer(self.ends, np.int64)
+        ids, each = gather(ends[:-1], np.diff(ends), np.frombuffer(self.ids, np.uint32), codes[indices])
+        upto = np.concatenate([[0], np.cumsum(each)])[offsets]
+        if not slow.any():
+            return ids, upto[1:]
+        parts = []
+        for i, whole in enumerate(slow):
+            parts.append(np.array([x for w in self.tokenizer.words_slowly(texts[i].as_py()) for x in self.tokenizer.ids(w)], np.uint32) if whole else ids[upto[i] : upto[i + 1]])
+        return np.concatenate(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
