@@ -1,35 +1,41 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
 1. Each page's DOM becomes a tree in which same-label siblings of one parent are
-   one node (a list slot); its text blocks hang on the nodes' paths. What a page
-   passes on is its tree and, for each block, slot and text hash - no text.
+   one node (a list slot); its text blocks hang on nodes. What a page passes on is
+   its tree and, for each block, slot and text hash - no text.
 2. A host's most common tree is its reference. Every page's tree is aligned with
    it by simple tree matching; a block counts for the slot its node is aligned
-   with. Counts are taken over the host's different pages, by partial sums, so a
-   host that holds a third of all pages is no single task.
-3. A text that fills an aligned slot on half of the pages that have the slot, and
-   on SUPPORT pages at least, is template; what varies is content.
-4. Each page is read again with its host's reference and template: template
-   blocks go, as do elements that are never article text (menus, forms, scripts,
-   comments and so on); what is left of the article, or of the whole page where
-   nothing is marked as one, is the text.
+   with. Counts are taken over pages of different content (copies of an article
+   are one page), by partial sums, so a host that holds a third of all pages is no
+   single task. The hosts of a site (the last two labels) count together as well,
+   for hosts whose own pages are too few to tell.
+3. Constant nodes are template: a text that fills an aligned slot on half of the
+   pages that have the slot, and on SUPPORT pages at least. So are slots that are
+   filled from a stock, where half of what they hold or more stands on several
+   pages (menus, adverts, notices). Slots that vary are content.
+4. Each page is read again with its host's wrapper. Template goes, menus and the
+   like of the markup too; where the page marks an article the rest outside of it
+   goes, else link lists.
 """
 
 from __future__ import annotations
 
 import html as html_codes
-import json
 import re
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import stored
+from factloom.llm.shared import fresh, stored
 from factloom.llm.url_filter import host_of
 
 #: Different pages that must share a text in a slot, and their share of the pages that have the slot.
 SUPPORT, SHARE = 4, 0.5
+#: Different pages a slot must be on to be told stock from content; pages from which a text counts as stock.
+LEAST_PAGES, STOCK = 8, 2
+#: Words from which a block counts as content when pages are told apart.
+LONG = 12
 
 #: HTML's element kinds, and names that mark what is not article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,45 +45,101 @@ CLOSES_P = frozenset("address article aside blockquote details dir div dl fields
 CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("ul ol dl table article main section body html div".split())
 NEVER = frozenset("head nav footer aside form button select option datalist dialog menu object canvas svg audio video".split())
+#: Short texts that recur in articles too: their slots are template only where they are constant.
+RECURRING = frozenset("h1 h2 h3 h4 h5 h6 td th dt figcaption caption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|"
-    r"comments?|commentlist|disqus|repl(?:y|ies)|discussion|respond|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footer|related|recommend(?:ed|ations?)?|shar(?:e|ing)|social|widgets?|toolbar|pagination|pager|login|signup|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|popups?|modals?|overlay|newsletter|subscribe|subscription|"
+    r"comments?|commentlist|disqus|repl(?:y|ies)|respond|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footer|shar(?:e|ing)|widgets?|toolbar|pagination|pager|login|signup|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Names that text of an article may have too: inside an article they mean nothing for prose that varies.
+WEAK_NAMES = re.compile(r"(?:^|[\s_-])(?:notices?|notifications?|alerts?|discussion|related|recommend(?:ed|ations?)?|social)(?:$|[\s_-])", re.I)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*?)>|[!?][^>]*>|/?[a-zA-Z][^<>]*\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Possessive throughout, and a quote opens a value only behind an equals sign: a tag that never ends is given up after one pass.
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+ATTRIBUTE = re.compile(r"([a-zA-Z_:][^\s=/>]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+NAME = re.compile(r"[a-zA-Z]")
+DIGITS = re.compile(r"[0-9]+")
 
+SIGN = 1 << 63
 
-class Element:
-    __slots__ = ("tag", "label", "drop", "article", "link")
 
-    def __init__(self, tag: str, label: str, drop: bool, article: bool, link: bool):
-        self.tag, self.label, self.drop, self.article, self.link = tag, label, drop, article, link
+def text_hash(text: str, seed: int = 0) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed) - SIGN
 
 
 @lru_cache(maxsize=20_000)
-def _start(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """(label, whether its text is dropped, whether it holds the article, whether only outside an article it is dropped)."""
+def _start(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """(label, whether its text is dropped, whether an article's prose is spared, whether it holds the article, whether only outside an article it is dropped)."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".strip()
     role = found.get("role", "").lower()
-    label = tag + (f".{names.split()[0]}" if names else "")
+    label = tag + (f".{DIGITS.sub('#', names.split()[0])}" if names else "")
     drop = tag in NEVER or role in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
     article = tag in ("article", "main") or role in ("main", "article")
-    if names and not article and tag not in ("html", "body"):
-        drop = drop or NAMES.search(names) is not None
-    outside = tag == "header" or (bool(names) and not article and tag not in ("html", "body") and HEADER_NAMES.search(names) is not None)
-    return label, drop, article, outside
-
-
-def parse(page: str) -> tuple[tuple, list[tuple[str, str, bool, bool, float]]]:
-    """(tree, blocks) of a page: tree is (label, children), same-label siblings one node; a block is (path, text, dropped, in article, share of link text)."""
-    root: dict = {}
-    blocks: list = []
-    stack: list[Element] = []
-    nodes: list[dict] = [root]
+    named = bool(names) and not article and tag not in ("html", "body")
+    drop = drop or (named and NAMES.search(names) is not None)
+    weak = named and not drop and WEAK_NAMES.search(names) is not None
+    outside = tag == "header" or (named and HEADER_NAMES.search(names) is not None)
+    return label, drop, weak, article, outside
+
+
+class Block:
+    """A run of text: its slot, words, and what its place says of it."""
+
+    __slots__ = ("slot", "text", "drop", "weak", "article", "links", "recurring")
+
+    def __init__(self, slot: int, text: str, drop: bool, weak: bool, article: bool, links: float, recurring: bool):
+        self.slot, self.text, self.drop, self.weak, self.article, self.links, self.recurring = slot, text, drop, weak, article, links, recurring
+
+
+class Open:
+    """An open element, with what holds for all that is in it."""
+
+    __slots__ = ("tag", "inline", "node", "drop", "weak", "article", "link")
+
+    def __init__(self, tag: str, inline: bool, node: int, drop: bool, weak: bool, article: bool, link: bool):
+        self.tag, self.inline, self.node, self.drop, self.weak, self.article, self.link = tag, inline, node, drop, weak, article, link
+
+
+class Tree:
+    """Nodes by number, parents before children; same-label siblings are one node. A node's slot is a hash of the labels from the root to it."""
+
+    __slots__ = ("parents", "labels", "slots", "_of")
+
+    def __init__(self):
+        self.parents, self.labels, self.slots, self._of = [-1], [""], [0], {}
+
+    def child(self, parent: int, label: str) -> int:
+        key = (parent, label)
+        node = self._of.get(key)
+        if node is None:
+            node = self._of[key] = len(self.labels)
+            self.parents.append(parent)
+            self.labels.append(label)
+            self.slots.append(text_hash(label, self.slots[parent] + SIGN if parent else 0))
+        return node
+
+    def dumped(self) -> str:
+        return "\n".join([f"{p} {label}" for p, label in zip(self.parents[1:], self.labels[1:], strict=True)])
+
+    @staticmethod
+    def loaded(text: str) -> Tree:
+        out = Tree()
+        for line in text.split("\n") if text else ():
+            parent, label = line.split(" ", 1)
+            out.child(int(parent), label)
+        return out
+
+
+def parse(page: str) -> tuple[Tree, list[Block]]:
+    """The tree and the text blocks of a page, in one pass over it however it is nested or cut off."""
+    tree, blocks = Tree(), []
+    root = Open("", False, 0, False, False, False, False)
+    stack: list[Open] = [root]
     pieces: list[str] = []
     linked = 0
 
@@ -86,45 +148,64 @@ def parse(page: str) -> tuple[tuple, list[tuple[str, str, bool, bool, float]]]:
         if pieces:
             text = " ".join(html_codes.unescape("".join(pieces)).split())
             if text:
-                path = "/".join([e.label for e in stack if e.tag not in INLINE])
-                blocks.append((path, text, any(e.drop for e in stack), any(e.article for e in stack), min(1.0, linked / len(text))))
+                top = stack[-1]
+                block = tree.labels[top.node].partition(".")[0]
+                blocks.append(Block(tree.slots[top.node], text, top.drop, top.weak, top.article, min(1.0, linked / len(text)), block in RECURRING))
             pieces.clear()
             linked = 0
 
-    def pop(n: int) -> None:
-        while len(stack) > n:
-            if stack.pop().tag not in INLINE:
-                nodes.pop()
-
     def say(text: str) -> None:
         nonlocal linked
         pieces.append(text)
-        if any(e.link for e in stack):
+        if stack[-1].link:
             linked += len(text.strip())
 
     at, n = 0, len(page)
+    find, match = page.find, TAG.match
+    # tags that may be open where a closing tag is looked up: without a count, unmatched ones would search the whole stack each time
+    open_tags: dict[str, int] = {}
+
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            open_tags[stack.pop().tag] -= 1
+
     while at < n:
-        m = TAG.search(page, at)
-        if m is None:
+        mark = find("<", at)
+        if mark < 0:
             say(page[at:])
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if mark > at:
+            say(page[at:mark])
+        follow = page[mark + 1 : mark + 2]
+        if follow == "!" or follow == "?":
+            comment = page.startswith("!--", mark + 1)
+            end = find("-->" if comment else ">", mark + (4 if comment else 2))
+            if end < 0:
+                break
+            at = end + (3 if comment else 1)
+            continue
+        if not (NAME.match(follow) or (follow == "/" and NAME.match(page[mark + 2 : mark + 3]))):
+            say("<")
+            at = mark + 1
             continue
+        m = match(page, mark + 1)
+        if m is None:  # cut off inside a tag
+            break
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
-            if tag == "br" or tag in VOID:
+            if tag in VOID:
                 continue
-            if tag not in INLINE:
+            inline = tag in INLINE
+            if not inline:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    pop(i)
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
+            if open_tags.get(tag):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        pop(i)
+                        break
+                    if inline and not stack[i].inline:
+                        break
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
@@ -135,99 +216,114 @@ def parse(page: str) -> tuple[tuple, list[tuple[str, str, bool, bool, float]]]:
             if tag == "hr":
                 flush()
             continue
-        if tag not in INLINE:
+        inline = tag in INLINE
+        if not inline:
             flush()
-            closing = CLOSES_SAME.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in closing or (stack[i].tag == "p" and tag in CLOSES_P):
+            closing = (*CLOSES_SAME.get(tag, ()), "p") if tag in CLOSES_P else CLOSES_SAME.get(tag, ())
+            left = sum(open_tags.get(c, 0) for c in closing)
+            for i in range(len(stack) - 1, 0, -1):
+                if not left:
+                    break
+                own = stack[i].tag
+                if own in closing:
                     pop(i)
-                elif stack[i].tag in SCOPES:
+                    left = sum(open_tags.get(c, 0) for c in closing)
+                elif own in SCOPES:
                     break
-        label, drop, article, outside = _start(tag, m[3])
-        if outside and not any(e.article for e in stack):
-            drop = True
-        stack.append(Element(tag, label, drop, article, tag == "a"))
-        if tag not in INLINE:
-            nodes.append(nodes[-1].setdefault(label, {}))
-        if m[3].rstrip().endswith("/") and tag not in INLINE and len(stack) == 1:
-            pop(0)
+        label, drop, weak, article, outside = _start(tag, m[3])
+        top = stack[-1]
+        node = top.node if inline else tree.child(top.node, label)
+        stack.append(Open(tag, inline, node, top.drop or drop or (outside and not top.article), top.weak or weak, top.article or article, top.link or tag == "a"))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
-
-    def tree(label: str, node: dict) -> tuple:
-        return label, tuple(tree(k, v) for k, v in node.items())
-
-    return tree("", root), blocks
-
-
-def dumped(tree: tuple) -> str:
-    return json.dumps(tree, separators=(",", ":"), ensure_ascii=False)
-
-
-@lru_cache(maxsize=2_000)
-def aligned_paths(page_tree: str, reference: str) -> frozenset[str]:
-    """The paths of a page's nodes that simple tree matching aligns with nodes of the reference."""
-    found: list[str] = []
-
-    def matching(a, b, memo: dict):
-        """(number of matched pairs of the largest matching that keeps order, how)"""
-        key = (id(a), id(b))
-        if key not in memo:
-            if a[0] != b[0]:
-                memo[key] = 0, []
-            else:
-                rows = [[0] * (len(b[1]) + 1)]
-                for x in a[1]:
-                    row = [0]
-                    for j, y in enumerate(b[1]):
-                        row.append(max(row[j], rows[-1][j + 1], rows[-1][j] + matching(x, y, memo)[0]))
-                    rows.append(row)
-                pairs, i, j = [], len(a[1]), len(b[1])
-                while i and j:
-                    own = matching(a[1][i - 1], b[1][j - 1], memo)[0]
-                    if own and rows[i][j] == rows[i - 1][j - 1] + own:
-                        pairs.append((a[1][i - 1], b[1][j - 1]))
-                        i, j = i - 1, j - 1
-                    elif rows[i][j] == rows[i - 1][j]:
-                        i -= 1
-                    else:
-                        j -= 1
-                memo[key] = 1 + rows[-1][-1], pairs
-        return memo[key]
-
-    memo: dict = {}
-    waiting = [(json.loads(page_tree), json.loads(reference), ())]
-    matching(waiting[0][0], waiting[0][1], memo)
+    return tree, blocks
+
+
+def _heaviest_rising(places: list[int], weights: list[int]) -> list[int]:
+    """The items, by number, of the heaviest subsequence with rising places (all places differ)."""
+    order = sorted(range(len(places)), key=places.__getitem__)
+    rank = [0] * len(places)
+    for r, i in enumerate(order, 1):
+        rank[i] = r
+    size = len(places)
+    best: list[tuple[int, int]] = [(0, -1)] * (size + 1)  # of a prefix of ranks: weight and last item
+    before = [-1] * size
+    for i, w in enumerate(weights):
+        top, r = (0, -1), rank[i] - 1
+        while r > 0:
+            if best[r][0] > top[0]:
+                top = best[r]
+            r -= r & -r
+        before[i] = top[1]
+        own, r = (top[0] + w, i), rank[i]
+        while r <= size:
+            if own[0] > best[r][0]:
+                best[r] = own
+            r += r & -r
+    top, r = (0, -1), size
+    while r > 0:
+        if best[r][0] > top[0]:
+            top = best[r]
+        r -= r & -r
+    out, i = [], top[1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def aligned(a: Tree, b: Tree) -> list[tuple[int, int]]:
+    """The node pairs of the largest matching of two trees that keeps roots, levels, labels and order (simple tree matching).
+
+    Siblings have different labels, so a node can only be matched with the one node
+    of its path in the other tree: children are chosen by the heaviest rising
+    subsequence, and the whole takes time in proportion to the smaller tree.
+    """
+    partner = {0: 0}
+    places = {(p, label): i for i, (p, label) in enumerate(zip(b.parents, b.labels, strict=True))}
+    children: dict[int, list[int]] = {}
+    for node in range(1, len(a.labels)):
+        other = partner.get(a.parents[node])
+        if other is not None and (match := places.get((other, a.labels[node]))) is not None:
+            partner[node] = match
+            children.setdefault(a.parents[node], []).append(node)
+    weight: dict[int, int] = {}
+    chosen: dict[int, list[int]] = {}
+    for node in reversed(list(partner)):  # children before parents
+        own = children.get(node, [])
+        kept = [own[i] for i in _heaviest_rising([partner[c] for c in own], [weight[c] for c in own])] if len(own) > 1 else own
+        chosen[node] = kept
+        weight[node] = 1 + sum(weight[c] for c in kept)
+    found, waiting = [], [0]
     while waiting:
-        a, b, above = waiting.pop()
-        path = (*above, a[0]) if a[0] else above
-        found.append("/".join(path))
-        waiting += [(x, y, path) for x, y in matching(a, b, memo)[1]]
-    return frozenset(found)
-
-
-def text_of(page: str, reference: str | None, template: frozenset) -> str:
-    """The page's text; ``template`` holds (slot, text hash) pairs of its host."""
-    tree, blocks = parse(page)
-    kept = [b for b in blocks if not b[2]]
-    marked = any(b[3] for b in kept)
-    kept = [b for b in kept if (b[3] if marked else b[4] < 0.5)]
-    if template and reference:
-        paths = aligned_paths(dumped(tree), reference)
-        varying = [b for b in kept if not (b[0] in paths and (b[0], text_hash(b[1])) in template)]
-        # copies of one article on a host are constant too: of a marked article the template is never the larger part
-        least = sum(len(b[1]) for b in kept) / 2 if marked else 1
-        kept = varying if sum(len(b[1]) for b in varying) >= least else kept
-    return "\n".join(b[1] for b in kept)
-
-
-def text_hash(text: str) -> int:
-    import xxhash
+        node = waiting.pop()
+        found.append((node, partner[node]))
+        waiting += chosen[node]
+    return found
 
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
+def aligned_slots(page_tree: str, reference: str) -> list[int]:
+    """The slots of a page's nodes that are aligned with nodes of the reference, ascending."""
+    a = Tree.loaded(page_tree)
+    return sorted({a.slots[x] for x, _ in aligned(a, Tree.loaded(reference)) if x})
 
-def induced(pages: DataFrame, host: str, html_col: str) -> DataFrame:
-    """host, reference (tree) and template (slots and hashes) of each host with enough pages to tell."""
+
+def text_of(page: str, template: frozenset, stock: frozenset) -> str:
+    """The page's text; ``template`` holds (slot, text hash) pairs of its wrapper, ``stock`` the slots filled from a stock."""
+    kept = []
+    for b in parse(page)[1]:
+        if b.drop or (b.slot in stock and not b.article) or (template and (b.slot, text_hash(b.text)) in template):
+            continue
+        if b.weak and not (b.article and b.links < 0.5 and b.slot not in stock and b.text.count(" ") >= LONG - 1):
+            continue
+        kept.append(b)
+    if any(b.article for b in kept):
+        return "\n".join([b.text for b in kept if b.article])
+    return "\n".join([b.text for b in kept if b.links < 0.5])
+
+
+def outlined(pages: DataFrame, host: str, html_col: str) -> DataFrame:
+    """host, content (a hash of what tells the page from others), page, tree_id, tree, and each block's slot, text hash and whether its slot may be stock."""
 
     def outline(batches):
         import pyarrow as pa
@@ -236,51 +332,97 @@ def induced(pages: DataFrame, host: str, html_col: str) -> DataFrame:
             rows = []
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tree, blocks = parse(page or "")
-                seen = sorted({(b[0], text_hash(b[1])) for b in blocks if not b[2]})
-                rows.append((name, text_hash(page or ""), dumped(tree), [s for s, _ in seen], [h for _, h in seen]))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "page", "tree", "slots", "hashes"])
-
-    read = pages.select(F.col(host).alias("host"), F.col(html_col).cast("string"))
-    # of equal pages of a host one counts
-    outlines = stored(read.mapInArrow(outline, "host string, page long, tree string, slots array<string>, hashes array<long>"), "outlines").dropDuplicates(["host", "page"])
-    trees = outlines.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"))
-    references = trees.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree")).alias("reference"), F.sum("n").alias("pages")).where(F.col("pages") >= SUPPORT).drop("pages")
-    # alignment is by tree, so each different tree of a host is aligned once
-    aligned = F.udf(lambda a, b: sorted(aligned_paths(a, b)), "array<string>")
-    paths = trees.select("host", "tree").join(references, "host").select("host", "tree", aligned("tree", "reference").alias("paths"))
-    blocks = outlines.join(paths, ["host", "tree"]).select("host", "paths", F.explode(F.arrays_zip("slots", "hashes")).alias("b")).where(F.array_contains("paths", F.col("b.slots")))
-    counts = blocks.groupBy("host", F.col("b.slots").alias("slot"), F.col("b.hashes").alias("hash")).agg(F.count(F.lit(1)).alias("n"))
-    # pages with the slot: at least as many as hold its most common text; a page with several texts in it counts once
-    having = outlines.join(paths, ["host", "tree"]).select("host", F.explode(F.array_intersect(F.array_distinct("slots"), "paths")).alias("slot")).groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages"))
-    constant = counts.where(F.col("n") >= SUPPORT).join(having, ["host", "slot"]).where(F.col("n") >= SHARE * F.col("pages"))
-    # at most (texts on a page) / SHARE rows for each host
-    template = constant.groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("template"))
-    return references.join(template, "host")
-
-
-def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+                seen = sorted({(b.slot, text_hash(b.text), not b.recurring) for b in blocks})
+                told = [b for b in blocks if not b.drop and b.text.count(" ") >= LONG - 1] or blocks
+                content = text_hash(",".join(map(str, sorted({text_hash(b.text) for b in told}))))
+                shape = tree.dumped()
+                rows.append((name, content, text_hash(page or ""), text_hash(shape), shape, [s for s, _, _ in seen], [h for _, h, _ in seen], [r for _, _, r in seen]))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "content", "page", "tree_id", "tree", "slots", "hashes", "open"])
+
+    return pages.select(F.col(host).alias("host"), F.col(html_col).cast("string")).mapInArrow(outline, "host string, content long, page long, tree_id long, tree string, slots array<long>, hashes array<long>, open array<boolean>")
+
+
+def site_of(host: Column) -> Column:
+    """The last two labels of a host."""
+    return F.coalesce(F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host)
+
+
+def _alignments(outlines: DataFrame, by: str) -> DataFrame:
+    """by, tree_id and the slots that the tree shares with the reference, for every tree of a host or site of SUPPORT different pages at least."""
+    trees = outlines.groupBy(by, "tree_id").agg(F.count(F.lit(1)).alias("n"), F.min("tree").alias("tree"))
+    references = trees.groupBy(by).agg(F.max_by("tree", F.struct("n", "tree_id")).alias("reference"), F.sum("n").alias("pages")).where(F.col("pages") >= SUPPORT).drop("pages")
+    pairs = trees.join(references, by).select(by, "tree_id", "tree", "reference")
+
+    def align(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [aligned_slots(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=[by, "tree_id", "aligned"])
+
+    return stored(pairs.mapInArrow(align, f"{by} string, tree_id long, aligned array<long>"), "alignments")
+
+
+def _wrapper(outlines: DataFrame, by: str) -> DataFrame:
+    """by, texts (constant texts with their slots) and stock (slots): only slots of the reference occur, so a wrapper is as large as some pages at most."""
+    placed = outlines.join(_alignments(outlines, by), [by, "tree_id"])
+    blocks = placed.select(by, "aligned", F.explode(F.arrays_zip("slots", "hashes", "open")).alias("b")).where(F.array_contains("aligned", F.col("b.slots")))
+    counts = stored(blocks.groupBy(by, F.col("b.slots").alias("slot"), F.col("b.hashes").alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.bool_and("b.open").alias("open")), "slot-texts")
+    # a page with several texts in a slot is one page that has the slot
+    having = placed.select(by, F.explode(F.array_intersect(F.array_distinct("slots"), "aligned")).alias("slot")).groupBy(by, "slot").agg(F.count(F.lit(1)).alias("pages"))
+    told = counts.join(having, [by, "slot"]).withColumn("constant", (F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("pages")))
+    texts = told.where("constant").groupBy(by).agg(F.collect_list(F.struct("slot", "hash")).alias("texts"))
+    # what constant texts leave of a slot is from a stock or varies
+    rest = told.where(~F.col("constant") & (F.col("pages") >= LEAST_PAGES)).groupBy(by, "slot")
+    filled = rest.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") >= STOCK, F.col("n")).otherwise(0)).alias("again"), F.bool_and("open").alias("open"))
+    from_stock = filled.where(F.col("open") & (F.col("again") >= SHARE * F.col("all")))
+    return texts.join(from_stock.groupBy(by).agg(F.collect_list("slot").alias("stock")), by, "full_outer")
+
+
+def induced(pages: DataFrame, host: str, html_col: str) -> DataFrame:
+    """host, texts and stock of each host that has a wrapper of its own or of its site."""
+    read = stored(outlined(pages.where(F.col(host) != ""), host, html_col), "outlines")
+    # of a host's pages of equal content the one with the smallest hash counts
+    one = F.min_by(F.struct("tree_id", "tree", "slots", "hashes", "open"), "page").alias("p")
+    outlines = stored(read.groupBy("host", "content").agg(one).select("host", site_of(F.col("host")).alias("site"), "p.*"), "outlines-told-apart")
+    own = _wrapper(outlines, "host").select("host", F.col("texts").alias("own_texts"), F.col("stock").alias("own_stock"))
+    sites = _wrapper(outlines, "site").select("site", F.col("texts").alias("site_texts"), F.col("stock").alias("site_stock"))
+    hosts = outlines.select("host", "site").distinct()
+    none, no_texts = F.array().cast("array<long>"), F.array().cast("array<struct<slot:long,hash:long>>")
+    both = hosts.join(own, "host", "left").join(sites, "site", "left")
+    wrappers = both.select("host", F.array_union(F.coalesce("own_texts", no_texts), F.coalesce("site_texts", no_texts)).alias("texts"), F.array_union(F.coalesce("own_stock", none), F.coalesce("site_stock", none)).alias("stock"))
+    return wrappers.where((F.size("texts") > 0) | (F.size("stock") > 0))
+
+
+def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", wrappers: bool = True) -> DataFrame:
     """A row for each row of ``pages``: id, url, text, n_chars.
 
     White space inside a block becomes one space, blocks are joined by a newline in
     page order. Null or empty html gives an empty text. Pages without a host are
-    extracted without a template, as are hosts with less than SUPPORT different
-    pages. Cut-off or badly nested html is read as far as it goes. Null ids and
-    repeated rows pass through; equal pages count once for the template; other
-    columns are not read; an empty table gives no rows.
+    extracted without a wrapper, as are hosts of whose pages and whose site's less
+    than SUPPORT differ. Badly nested html is read as it stands, html that is cut off
+    inside a tag up to that tag. Null ids and repeated rows pass through; pages of
+    equal content count once for the wrapper; other columns are not read; an empty
+    table gives no rows. ``wrappers=False`` goes by each page's own markup alone.
     """
-    rows = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("_html")).withColumn("_host", host_of(F.col("url")))
-    wrappers = stored(induced(rows, "_host", "_html"), "wrappers").withColumnRenamed("host", "_host")
-    joined = rows.join(wrappers, "_host", "left").select(id_col, "url", "_html", "reference", F.col("template.slot").alias("_slots"), F.col("template.hash").alias("_hashes"))
+    page_host, page_html, page_texts, page_stock = fresh(pages.select(id_col), "_host", "_html", "_texts", "_stock")
+    rows = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias(page_html)).withColumn(page_host, host_of(F.col("url")))
+    if wrappers:
+        made = stored(induced(rows, page_host, page_html), "wrappers").select(F.col("host").alias(page_host), F.col("texts").alias(page_texts), F.col("stock").alias(page_stock))
+        joined = rows.join(made, page_host, "left")
+    else:
+        joined = rows.withColumns({page_texts: F.lit(None).cast("array<struct<slot:long,hash:long>>"), page_stock: F.lit(None).cast("array<long>")})
+    joined = joined.select(id_col, "url", page_html, F.col(page_texts)["slot"].alias("_slots"), F.col(page_texts)["hash"].alias("_hashes"), page_stock)
 
     def extract(batches):
         import pyarrow as pa
 
         for batch in batches:
             texts = []
-            for page, reference, slots, hashes in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
-                texts.append(text_of(page or "", reference, frozenset(zip(slots or (), hashes or (), strict=True))))
+            for page, slots, hashes, stock in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
+                texts.append(text_of(page or "", frozenset(zip(slots or (), hashes or (), strict=True)), frozenset(stock or ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
     id_type = pages.schema[id_col].dataType.simpleString()
