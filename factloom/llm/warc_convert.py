@@ -244,14 +244,16 @@ def convert(arcs: DataFrame, least_bytes: int = 0) -> DataFrame:
     told = digests.select("path", "n", "row", F.concat("digest", F.col("bytes").cast("string").cast("binary")).alias("key")).join(first, "key", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("row")), F.col("first"))
     # at most FILE_RECORDS rows for each file; only revisits are told
-    by_file = told.select("path", F.when(refers.isNotNull(), F.struct("n", refers.alias("refers"))).alias("revisit")).groupBy("path").agg(F.collect_list("revisit").alias("revisits"))
+    lists = told.select("path", refers.alias("refers"), "n").where("refers is not null").groupBy("path").agg(F.collect_list(F.struct("n", "refers")).alias("revisits"))
+    # the files are dealt out before the small lists join them: lists alone would be put together in one task
+    by_file = _dealt(arcs.select("path")).join(lists, "path", "left").select("path", "revisits")
 
     def write(batches):
         import pyarrow as pa
 
         for batch in batches:
             for path, revisits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                refers_to = {r["n"]: r["refers"] for r in revisits}
+                refers_to = {r["n"]: r["refers"] for r in revisits or ()}
                 store, name = filesystem(path)
                 out_name = f"{path.rsplit('/', 1)[1].removesuffix('.arc.gz')}.warc.gz"
 
