@@ -215,7 +215,7 @@ def grounding(spark, sf):
     return answers(spark, sf).select("o_orderkey", F.array_join(validate.ungrounded(c("answer"), c("evidence"), c("query")), ",").alias("ungrounded"))
 
 
-@query(f"""WITH a AS (SELECT o_orderkey, (['{SOURCES[1].url}/', 'https://elsewhere.example/x', '{SOURCES[2].url}?a=1', 'no link', '{SOURCES[0].url}'])[o_orderkey % 5 + 1] AS u FROM orders),
+@query(rf"""WITH a AS (SELECT o_orderkey, (['{SOURCES[1].url}/', 'https://elsewhere.example/x', '{SOURCES[2].url}?a=1', 'no link', '{SOURCES[0].url}'])[o_orderkey % 5 + 1] AS u FROM orders),
     t AS (SELECT o_orderkey, 'See ' || u || ' or https://elsewhere.example/y' AS t FROM a), f AS (SELECT o_orderkey, regexp_extract(t, 'https?://[^\s)\]}}>"'']+') AS own FROM t)
     SELECT o_orderkey, CASE WHEN rtrim(split_part(own, '?', 1), '/') IN ({", ".join(f"'{x.url}'" for x in SOURCES)}) THEN own ELSE '{SOURCES[0].url}' END AS citation FROM f""")
 def safe_citation(spark, sf):

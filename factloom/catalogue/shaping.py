@@ -123,7 +123,34 @@ def fact_documents(spark, sf):
     return facts.documents(made.withColumn("source_url", url), facts.facts_text(url)).withColumns({"facts": as_map, "doc_id": c("scheme_id")})
 
 
-@query()
+def _inr_sql(v: str) -> str:
+    w, d = f"split_part(printf('%.2f', abs({v})), '.', 1)", f"rtrim(split_part(printf('%.2f', abs({v})), '.', 2), '0')"
+    pairs = f"CASE WHEN length({w}) > 3 THEN reverse(rtrim(regexp_replace(reverse(left({w}, -3)), '(\\d{{2}})', '\\1,', 'g'), ',')) || ',' || right({w}, 3) ELSE {w} END"
+    return f"('₹' || CASE WHEN {v} < 0 THEN '-' ELSE '' END || {pairs} || CASE WHEN {d} <> '' THEN '.' || {d} ELSE '' END)"
+
+
+#: The suppliers' facts: what of them has a value, and their holdings and sectors in order.
+FACTS_SQL = HOLD_SQL + f""", m AS (SELECT scheme, sector, instrument, max(weight) AS w, min(pos) AS pos FROM h GROUP BY ALL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY scheme ORDER BY coalesce(w, -1) DESC, pos) AS nth, concat_ws(' ', sector, instrument) || ' | sector ' || coalesce(sector, 'Unspecified') || ' | instrument ' || instrument || ' | weight ' || coalesce(printf('%.2f%%', w), 'Not available') AS line FROM m),
+    tops AS (SELECT scheme, list(line ORDER BY nth) AS tops FROM t WHERE nth <= 5 GROUP BY scheme),
+    s AS (SELECT scheme, coalesce(sector, 'Unspecified') AS sector, sum(w) AS w, min(pos) AS first FROM m WHERE w IS NOT NULL GROUP BY ALL),
+    sectors AS (SELECT scheme, list({{'sector': sector, 'weight': printf('%.2f%%', round(w, 2))}} ORDER BY w DESC, first) AS sectors FROM s GROUP BY scheme),
+    n AS (SELECT scheme, count(*) AS held FROM m GROUP BY scheme),
+    f AS (SELECT s_suppkey AS k, 's' || s_suppkey AS scheme_id, 'https://facts.example/s' || s_suppkey AS url, s_name AS name, n_name, make_date((2000 + s_suppkey % 20 + 5)::INT, (s_suppkey % 12 + 1)::INT, (s_suppkey % 28 + 1)::INT) AS d, CASE WHEN s_suppkey % 3 = 0 THEN 'Regular' ELSE 'Direct' END AS plan,
+      n_name || CASE WHEN s_suppkey % 2 = 0 THEN ' Cap' ELSE '' END AS category, {_inr_sql("round(s_acctbal, 2)")} AS nav, {_inr_sql("(s_suppkey * 1000 + 113606)::DOUBLE")} || ' Cr' AS aum, (s_suppkey % 5) || '.25%' AS expense, (s_suppkey % 5 + 1) AS rating, CASE WHEN s_suppkey % 7 <> 0 THEN 'High' ELSE 'Not available' END AS risk,
+      CASE WHEN s_suppkey % 4 <> 0 THEN '₹250.5' ELSE 'Not available' END AS min_sip, s_suppkey || '%.' AS exit_load, 'INDEX ' || n_name AS benchmark,
+      coalesce(nullif(concat_ws(' ', CASE WHEN s_suppkey % 3 > 0 THEN (s_suppkey % 3) || CASE WHEN s_suppkey % 3 = 1 THEN ' year' ELSE ' years' END END, CASE WHEN s_suppkey % 2 > 0 THEN '1 day' END), ''), 'None') AS lock_in, coalesce(held, 0) AS held, coalesce(tops, []) AS tops, coalesce(sectors, []) AS sectors
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN n ON n.scheme = s_suppkey LEFT JOIN tops ON tops.scheme = s_suppkey LEFT JOIN sectors ON sectors.scheme = s_suppkey)"""
+#: Their text, line by line.
+FACT_LINES_SQL = """[name, '', 'Fund category: ' || category, 'Fund house: House One', 'Plan: ' || plan || ' Growth', 'Source page: ' || url, '', 'Overview', 'NAV: ' || nav || ' (as on ' || strftime(d + INTERVAL 1 DAY, '%d %b %Y') || ')', 'Fund size (AUM): ' || aum, 'Expense ratio: ' || expense, 'Rating: ' || rating || ' out of 5',
+    'Risk rating: ' || risk, 'Fund benchmark: ' || benchmark, 'Scheme launch date: ' || strftime(d, '%d-%b-%Y'), 'Date of Incorporation of House One: Not available', 'Total AUM of House One (AMC level, not this fund): ₹12,34,567.5 Cr', '', 'Minimum investments', 'Min. for 1st investment: ₹100', 'Min. for 2nd investment: Not available', 'Min. for SIP: ' || min_sip,
+    'Purchase multiplier: Not available', '', 'Exit load, stamp duty and tax', 'Exit load: ' || exit_load, 'Exit load effective 08 May 2015 (current): 1%', 'Exit load effective 01 Jan 2013 (historical): Nil', 'Stamp duty on investment: 0.005%', 'Tax implication: Not available', 'Lock-in period: ' || lock_in, '', 'Fund management',
+    'Fund manager: Manager ' || k || ' (from ' || strftime(d + INTERVAL 1 DAY, '%b %Y') || ')', CASE WHEN k % 2 = 0 THEN 'Manager ' || k || ' education: MBA' END, '', 'About the scheme', 'Investment Objective: Not available', 'Category description: Not available', 'Custodian: Not available', 'Registrar & Transfer Agent: Not available', '', 'Holdings', 'Holdings count: ' || held,
+    CASE WHEN held > 0 THEN 'Holdings as on: 31 Mar 2024' END]"""
+FACT_TEXT_SQL = f"array_to_string(list_concat(list_filter({FACT_LINES_SQL}, lambda x: x IS NOT NULL), list_transform(tops, lambda x: 'Top holding: ' || x), list_transform(sectors, lambda x: 'Sector allocation: ' || x.sector || ' | weight ' || x.weight)), chr(10))"
+
+
+@query(FACTS_SQL + f" SELECT scheme_id, {FACT_TEXT_SQL} AS text, sha256({FACT_TEXT_SQL}) AS text_sha256 FROM f")
 def facts_text(spark, sf):
     return fact_documents(spark, sf).select("scheme_id", "text", "text_sha256")
 
@@ -276,7 +303,28 @@ def all_any_checks(spark, sf):
     return table(spark, sf, "documents").agg(F.bool_and(c("n_chars") > 0).alias("all_long"), F.bool_or(c("text").contains("MIT License")).alias("any_license"), (F.countDistinct("source") == 1).alias("one_source"), F.min(F.length("text")).alias("shortest"))
 
 
-@query()
+def _known_sql() -> str:
+    """A struct for each registry rule in order, with the fact's value where there is one."""
+    values = {
+        "category": "category", "fund_house": "'House One'", "nav": "nav", "fund_aum": "aum", "expense_ratio": "expense", "rating": "rating::VARCHAR", "risk_rating": "risk", "benchmark": "benchmark", "scheme_launch_date": "strftime(d, '%d-%b-%Y')",
+        "amc_aum_total": "'₹12,34,567.5 Cr'", "min_first_inv": "'₹100'", "min_sip": "min_sip", "exit_load": "exit_load", "stamp_duty": "'0.005%'", "lock_in": "lock_in", "holdings_count": "held::VARCHAR",
+    }
+    rules = [r for r in chunking.REGISTRY if r[0] in values]
+    label = {r[0]: r[2].replace("{amc_name}", "House One") for r in rules}
+    one = "{{'field': '{}', 'section': '{}', 'label': '{}', 'type': '{}', 'scope': '{}', 'fact': {}, 'value': {}}}"
+    return "[" + ", ".join(one.format(r[0], r[1], label[r[0]], r[3], r[4], str(r[5]).lower(), values[r[0]]) for r in rules) + "]"
+
+
+CHUNK_SQL = FACTS_SQL + f""", r AS (SELECT *, unnest({_known_sql()}) AS r FROM f), bodies AS (
+    SELECT k, r.section AS section, r.field AS field, name || ' — ' || r.label || ': ' || CASE WHEN r.scope = 'amc' THEN 'AMC-level figure, not this scheme. ' ELSE '' END || r.value || CASE WHEN ends_with(r.value, '.') THEN '' ELSE '.' END AS text, r.value AS value, r.type AS value_type, r.scope AS scope, NULL::DATE AS effective_date, false AS historical, r.fact AS is_fact FROM r WHERE r.value <> 'Not available'
+    UNION ALL SELECT k, 'fees_and_minimums', 'exit_load_historical', name || ' — historical exit load, effective 2013-01-01: Nil. Superseded, not the current exit load.', 'Nil', 'text', 'fund', DATE '2013-01-01', true, false FROM f
+    UNION ALL SELECT k, 'portfolio', 'top_holding', name || ' — top holdings as on 31 Mar 2024: ' || array_to_string(tops, '; ') || '.', tops[1], 'table', 'fund', NULL, false, false FROM f WHERE len(tops) > 0
+    UNION ALL SELECT k, 'portfolio', 'sector_allocation', name || ' — sector allocation: ' || array_to_string(list_transform(sectors, lambda x: x.sector || ' ' || x.weight), '; ') || '.', sectors[1].sector || ' ' || sectors[1].weight, 'table', 'fund', NULL, false, false FROM f WHERE len(sectors) > 0
+    UNION ALL SELECT k, 'fund_management', 'fund_manager', name || ' — fund manager: Manager ' || k || ' (from ' || strftime(d + INTERVAL 1 DAY, '%b %Y') || ').' || CASE WHEN k % 2 = 0 THEN ' MBA' ELSE '' END, 'Manager ' || k, 'text', 'fund', NULL, false, false FROM f),
+    chunks AS (SELECT scheme_id || '_' || section || '_' || field || '_0' AS chunk_id, scheme_id AS doc_id, scheme_id, section, field, text, name || ' (' || category || '). ' || text AS embed_input, url AS source_url, value, value_type, scope, effective_date, historical, is_fact, len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS token_count FROM bodies JOIN f USING (k))"""
+
+
+@query(CHUNK_SQL + " SELECT * FROM chunks")
 def chunk_families(spark, sf):
     """Chunks of the suppliers' documents, all five families, ids unique."""
     from factloom.plans.ingest import chunk_rows
@@ -284,24 +332,40 @@ def chunk_families(spark, sf):
     return chunk_rows(fact_documents(spark, sf))
 
 
-@query()
+@query(CHUNK_SQL + " SELECT chunk_id, scheme_id, section, field, value, token_count, 64 AS dim, 1.0 AS norm FROM chunks")
 def ingest_pipeline(spark, sf):
-    """Documents to stored chunks: audit gate, embedding, records."""
+    """Documents to stored chunks: audit gate, embedding, records; of a vector its length and norm."""
+    from factloom.functions import vectors as V
     from factloom.plans.ingest import ingest
 
-    return ingest(fact_documents(spark, sf)).select("chunk_id", "scheme_id", "section", "field", "value", "token_count", "embedding")
+    made = ingest(fact_documents(spark, sf))
+    return made.select("chunk_id", "scheme_id", "section", "field", "value", "token_count", F.size("embedding").alias("dim"), F.round(V.norm(c("embedding")), 4).alias("norm"))
 
 
-@query()
+@query(CHUNK_SQL + """, stored AS (SELECT *, CASE WHEN scheme_id = 's5' AND field = 'nav' THEN 'other' ELSE text END AS kept, scheme_id = 's7' AND field = 'nav' AS doubled, CASE WHEN scheme_id = 's2' AND field = 'rating' THEN '9' ELSE value END AS told, field = 'expense_ratio' AND scheme_id = 's4' AS old FROM chunks WHERE NOT chunk_id LIKE 's3\\_fees%' ESCAPE '\\'),
+    j AS (SELECT fresh.chunk_id, stored.chunk_id IS NULL AS lost, stored.kept <> fresh.text AS changed, coalesce(stored.doubled, false) AS doubled, stored.told <> fresh.value OR stored.old AS meta FROM chunks fresh LEFT JOIN stored USING (chunk_id)),
+    faults AS (SELECT count(*) FILTER (lost OR changed OR meta) AS drift, count(*) FILTER (NOT lost AND meta) AS meta, count(*) FILTER (lost) AS lost, count(*) FILTER (doubled) AS doubled FROM j),
+    u AS (SELECT unnest([{'rule': 'documents', 'n': 0}, {'rule': 'unique_documents', 'n': 0}, {'rule': 'text_hash', 'n': 0}, {'rule': 'chunk_drift', 'n': drift}, {'rule': 'metadata', 'n': meta}, {'rule': 'token_budget', 'n': 0}, {'rule': 'ids', 'n': lost}, {'rule': 'unit_vectors', 'n': doubled}, {'rule': 'vectors', 'n': lost + doubled}, {'rule': 'allowlist', 'n': 0}]) AS u FROM faults)
+    SELECT u.rule AS rule, u.n AS failures, CASE WHEN u.n = 0 THEN 'ok' ELSE 'fail' END AS status FROM u""")
 def verify_store(spark, sf):
-    """A store with planted faults against its documents: changed texts, vanished chunks, moved vectors."""
+    """A store with planted faults against its documents: changed texts and values, vanished chunks, moved vectors."""
     from factloom.plans.ingest import ingest
     from factloom.plans.verify import verify
     from factloom.session import staged
 
     docs = staged(fact_documents(spark, sf), "documents")
-    stored = ingest(docs).where(~c("chunk_id").like("s3\\_about%"))
-    stored = stored.withColumn("text", F.when((c("scheme_id") == "s5") & (c("field") == "nav"), "other").otherwise(c("text")))
+    stored = ingest(docs).where(~c("chunk_id").like("s3\\_fees%"))
+
+    def planted(scheme: str, field: str):
+        return (c("scheme_id") == scheme) & (c("field") == field)
+
     moved = F.transform("embedding", lambda x: (x * 2).cast("float"))
-    stored = stored.withColumn("embedding", F.when((c("scheme_id") == "s7") & (c("field") == "nav"), moved).otherwise(c("embedding")))
+    stored = stored.withColumns(
+        {
+            "text": F.when(planted("s5", "nav"), "other").otherwise(c("text")),
+            "value": F.when(planted("s2", "rating"), "9").otherwise(c("value")),
+            "historical": planted("s4", "expense_ratio") | c("historical"),
+            "embedding": F.when(planted("s7", "nav"), moved).otherwise(c("embedding")),
+        }
+    )
     return verify(docs, stored, docs.select(c("source_url").alias("url")))

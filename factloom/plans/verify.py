@@ -11,7 +11,8 @@ from factloom.operators import facts, quality, store
 from factloom.plans.ingest import chunk_rows
 from factloom.session import staged
 
-CHECKS = ("documents", "unique_documents", "text_hash", "chunk_drift", "token_budget", "ids", "unit_vectors", "vectors", "allowlist")
+METADATA = ("doc_id", "scheme_id", "section", "field", "source_url", "value", "value_type", "scope", "effective_date", "historical", "is_fact", "token_count")
+CHECKS = ("documents", "unique_documents", "text_hash", "chunk_drift", "metadata", "token_budget", "ids", "unit_vectors", "vectors", "allowlist")
 
 
 def verify(docs: DataFrame, stored: DataFrame, allowlist: DataFrame, settings: Settings = Settings(), dim: int = 64, embedder=None) -> DataFrame:
@@ -19,7 +20,8 @@ def verify(docs: DataFrame, stored: DataFrame, allowlist: DataFrame, settings: S
     c = F.col
     docs, stored = staged(docs, "verify-documents"), staged(stored, "verify-store")
     fresh = staged(store.embed(chunk_rows(docs, settings), "embed_input", dim, embedder=embedder), "verify-fresh")
-    changed = quality.drift(stored, fresh, "chunk_id", ["text", "value", "embed_input"])
+    changed = quality.drift(stored, fresh, "chunk_id", ["text", "value", "embed_input", "historical"])
+    told = quality.drift(stored, fresh, "chunk_id", list(METADATA)).where("change like 'changed%'")  # every stored column, where both sides have the chunk
     sides = quality.id_difference(stored, fresh, "chunk_id")
     apart = store.vector_failures(stored, fresh, "chunk_id", dim)
     lost = facts.document_failures(docs).where("failure like '%absent from text' or failure like 'noise%' or failure = 'scheme_name missing'")
@@ -29,6 +31,7 @@ def verify(docs: DataFrame, stored: DataFrame, allowlist: DataFrame, settings: S
         quality.repeated_keys(docs, "doc_id", "unique_documents"),
         quality.failures(docs, "text_hash", c("doc_id"), F.sha2("text", 256) != c("text_sha256"), F.lit("differs")),
         quality.failures(changed, "chunk_drift", key, F.lit(True), c("change")),
+        quality.failures(told, "metadata", key, F.lit(True), c("change")),
         quality.failures(stored, "token_budget", key, c("token_count") > settings.chunk_tokens, c("token_count")),
         quality.failures(sides, "ids", key, F.lit(True), c("side")),
         quality.failures(stored, "unit_vectors", key, ~V.is_unit(c("embedding")), F.lit("norm")),
