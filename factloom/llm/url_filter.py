@@ -5,10 +5,14 @@ model, blocked ones the rejected model. Both are variable-order Markov models
 over the characters of host and path: a character's probability after its longest
 seen context, smoothed towards the next shorter one (n + B * P(shorter)) / (N + B),
 down to a uniform distribution. For each gram the table holds the difference of
-the two models' log-probabilities; it is read by equi-joins on the gram, longest
-first. A URL's score is the mean difference over its characters (so length does
-not matter), and the threshold is the one that errs least on labelled URLs, with
-both classes weighted alike.
+the two models' log-probabilities. A URL's score is the mean difference over its
+characters (so length does not matter), and the threshold is the one that errs
+least on labelled URLs, with both classes weighted alike.
+
+The models count all distinct labelled URLs, by partial sums, and keep every gram;
+the threshold is set on all of them that are held back. Each distinct window of
+order + 1 characters is looked up once, longest gram first, and windows meet their
+differences in a join that Spark may split or broadcast by size.
 """
 
 from __future__ import annotations
@@ -22,10 +26,7 @@ from factloom.llm.shared import stored
 #: (rule, verdict): host and path of a rule as ``host/path``.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 ORDER = 4
-#: The model is fitted on this many distinct labelled URLs of each class at most (those with the smallest hash),
-#: and keeps this many grams at most (the most frequent).
-PER_CLASS, GRAMS = 10_000, 60_000
-SMOOTHING, ALPHABET, LEAST_SEEN, BINS = 2.0, 128, 3, 400
+SMOOTHING, ALPHABET, BINS = 2.0, 128, 400
 START = "\u0002"
 
 
@@ -50,25 +51,29 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _places(rows: DataFrame, keep: list[str], order: int) -> DataFrame:
-    """A row for each character of ``_url`` with the grams (context and character) of length 1 to order + 1 that end there."""
+def _windows(rows: DataFrame, keep: list[str], order: int) -> DataFrame:
+    """A row for each character of ``_url``: the character with the ``order`` ones before it."""
     padded = F.concat(F.lit(START * order), F.col("_url"))
     at = rows.select(*keep, padded.alias("_padded"), F.explode(F.sequence(F.lit(1), F.char_length("_url"))).alias("_at"))
-    window = F.substring("_padded", F.col("_at"), F.lit(order + 1))
-    return at.select(*keep, window.alias("_window")).select(*keep, *[F.expr(f"substring(_window, {order + 1 - k})").alias(f"g{k}") for k in range(order + 1)])
+    return at.select(*keep, F.substring("_padded", F.col("_at"), F.lit(order + 1)).alias("_window"))
 
 
-def gram_table(labelled: DataFrame, order: int = ORDER, most: int = GRAMS) -> DataFrame:
-    """gram, delta: the accepted model's log-probability less the rejected one's, of each gram kept.
+def _grams(window: str, order: int) -> Column:
+    """The grams (context and character) of length 1 to order + 1 that end a window."""
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"substring({window}, {order + 1 - k})").alias("gram")) for k in range(order + 1)]))
 
-    ``labelled`` has _url and accepted; grams seen less than LEAST_SEEN times are left
-    to their shorter contexts.
+
+def gram_table(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """k (the context's length), gram, delta: the accepted model's log-probability less the rejected one's, of every gram seen.
+
+    ``labelled`` has _url and accepted.
     """
-    places = _places(labelled.where("_url <> ''"), ["accepted"], order)
+    windows = _windows(labelled.where("_url <> ''"), ["accepted"], order)
     yes, no = F.sum(F.col("accepted").cast("long")), F.sum((~F.col("accepted")).cast("long"))
-    counts = places.select("accepted", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("gram")) for k in range(order + 1)])).alias("g")).groupBy("g.k", "g.gram").agg(yes.alias("yes"), no.alias("no"))
+    seen = windows.groupBy("_window").agg(yes.alias("yes"), no.alias("no"))
+    counts = seen.select("yes", "no", _grams("_window", order).alias("g")).groupBy("g.k", "g.gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     counts = counts.withColumns({"context": F.expr("left(gram, k)"), "shorter": F.expr("substring(gram, 2)")})
-    context = Window.partitionBy("k", "context")
+    context = Window.partitionBy("k", "context")  # as many rows as characters may follow
     counts = stored(counts.withColumns({"of_yes": F.sum("yes").over(context), "of_no": F.sum("no").over(context)}), "url-grams")
     level, tables = None, []
     for k in range(order + 1):
@@ -79,25 +84,25 @@ def gram_table(labelled: DataFrame, order: int = ORDER, most: int = GRAMS) -> Da
             own = own.join(level, own["shorter"] == level["up"]).drop("up")
         own = own.withColumns({"p": (F.col("yes") + SMOOTHING * F.col("p")) / (F.col("of_yes") + SMOOTHING), "q": (F.col("no") + SMOOTHING * F.col("q")) / (F.col("of_no") + SMOOTHING)})
         level = own.select(F.col("gram").alias("up"), "p", "q")
-        tables.append(own.select("gram", (F.col("yes") + F.col("no")).alias("n"), (F.log("p") - F.log("q")).alias("delta")))
+        tables.append(own.select("k", "gram", (F.log("p") - F.log("q")).alias("delta")))
     every = tables[0]
     for t in tables[1:]:
         every = every.unionAll(t)
-    return every.where(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "gram").limit(most).select("gram", "delta")
+    return every
 
 
 def scored(rows: DataFrame, grams: DataFrame, keep: list[str], order: int = ORDER) -> DataFrame:
     """keep and score: the mean difference over the characters of ``_url``, each after its longest context in ``grams``.
 
-    ``keep`` must tell the rows apart; rows with an empty ``_url`` give none. The
-    places of a row are summed in the task that made them before anything moves.
+    ``keep`` must tell the rows apart; rows with an empty ``_url`` give none.
     """
-    places = _places(rows.where("_url <> ''"), keep, order)
-    for k in range(order, -1, -1):
-        one = F.broadcast(grams.select(F.col("gram").alias(f"g{k}"), F.col("delta").alias(f"d{k}")))  # GRAMS rows at most
-        places = places.join(one, f"g{k}", "left")
-    longest = F.coalesce(*[F.col(f"d{k}") for k in range(order, -1, -1)], F.lit(0.0))
-    return places.groupBy(*keep).agg(F.avg(longest).alias("score"))
+    places = _windows(rows.where("_url <> ''"), keep, order)
+    asked = places.select("_window").distinct().select("_window", _grams("_window", order).alias("g")).select("_window", "g.k", "g.gram")
+    deltas = asked.join(grams, ["k", "gram"]).groupBy("_window").agg(F.max_by("delta", "k").alias("delta"))
+    # a window of which nothing was seen says nothing; the key is made anew, so that a window which nearly all URLs have can be split
+    key = F.concat("_window", F.lit("")).alias("_key")
+    told = places.select(*keep, key).join(deltas.select(key, "delta"), "_key", "left")
+    return told.groupBy(*keep).agg(F.avg(F.coalesce("delta", F.lit(0.0))).alias("score"))
 
 
 def threshold(scores: DataFrame) -> float:
@@ -118,7 +123,7 @@ def threshold(scores: DataFrame) -> float:
     return (cut[0] + cut[-1]) / 2 * 8 / BINS - 4
 
 
-def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, per_class: int = PER_CLASS) -> DataFrame:
+def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """A row for each row of ``pages``: id, host, path, rule, verdict, score.
 
     A rule's verdict stands; else the models decide: ``allow`` from the threshold on.
@@ -132,12 +137,11 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     rows = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     texts = rows.select(F.concat("host", "path").alias("_url"), F.col("_rule.verdict").alias("_verdict")).distinct()
     known = texts.where("_verdict is not null and _url <> ''").select("_url", (F.col("_verdict") == "allow").alias("accepted"))
-    nth = F.row_number().over(Window.partitionBy("accepted").orderBy(F.xxhash64("_url"), "_url"))
-    sample = stored(known.withColumn("_n", nth).where(F.col("_n") <= per_class).drop("_n"), "url-sample")
-    # every fourth labelled URL of the sample calibrates, the others train
+    known = stored(known, "url-labelled")
+    # every fourth labelled URL calibrates, the others train
     held = F.pmod(F.xxhash64("_url", F.lit(1)), F.lit(4)) == 0
-    grams = stored(gram_table(sample.where(~held)), "url-model")
-    cut = threshold(scored(sample.where(held), grams, ["_url", "accepted"]))
+    grams = stored(gram_table(known.where(~held)), "url-model")
+    cut = threshold(scored(known.where(held), grams, ["_url", "accepted"]))
     open_urls = scored(texts.where("_verdict is null").select("_url"), grams, ["_url"])
     joined = rows.withColumn("_url", F.concat("host", "path")).join(open_urls, "_url", "left")
     by_score = F.when(F.coalesce("score", F.lit(0.0)) >= F.lit(cut), "allow").otherwise("block")
