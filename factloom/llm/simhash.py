@@ -99,6 +99,15 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
     return left.join(right, ["chain", "key"]).where("a < b").where(chain).where(F.bit_count(differ) <= bits).select("a", "b")
 
 
+def _key(name: str) -> Column:
+    """A join key made anew: the join then has an exchange of its own, and the rows of a key that very many have (a star's centre) can be split."""
+    return F.bitwise_not(name)
+
+
+def _anew(name: str) -> Column:
+    return _key(name).alias("_key")
+
+
 def components(edges: DataFrame, name: str = "star") -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) but the roots; root is the component's smallest node.
 
@@ -113,10 +122,10 @@ def components(edges: DataFrame, name: str = "star") -> DataFrame:
     before = mark(now)
     while before[0]:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(_anew("a"), F.least("a", "m").alias("m"))
+        large = both.withColumns({"_key": _key("a")}).join(least, "_key").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m")).select(_anew("a"), "m")
+        small = large.withColumns({"_key": _key("a")}).join(least, "_key")
         small = small.select("a", F.col("m").alias("b")).unionAll(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         now = stored(small, name)
         after = mark(now)
@@ -140,12 +149,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(rows.groupBy("fp").agg(F.min(id_col).alias("_least")), "nodes")
     stars = components(links(nodes.select("fp"), bits))
     rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id")).select(_anew("root"), "component_id")
+    named = rooted.select("fp", _anew("root")).join(least, "_key").select(_anew("fp"), "component_id")
+    told = rows.select(id_col, "fp", _anew("fp")).join(named, "_key")
+    return told.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay, one id for each component: the smallest. Ids must not be null."""
-    keep = near_duplicates(docs, id_col, text_col, words, bits).select("component_id").where("component_id is not null").distinct()
-    return docs.join(keep, docs[id_col] == keep["component_id"], "left_semi")
+    """The rows of ``docs`` that stay, one id for each component: the smallest, all its rows.
+
+    Rows of null id take no part and stay: no id could say which of them another is
+    a copy of.
+    """
+    keep = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, bits).select("component_id").distinct()
+    return docs.where(F.col(id_col).isNull()).unionAll(docs.join(keep, docs[id_col] == keep["component_id"], "left_semi"))
