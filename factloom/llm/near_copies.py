@@ -3,17 +3,22 @@
 All shingles have one order. Two sets of similarity t or more then share a shingle
 among the first n - ceil(t n) + 1 of each, so those are the keys of an equi-join;
 sizes, the count of shared keys and their places prune what it finds, and the
-whole sets decide. Any order gives the same pairs: shingles that are frequent in a sample go
-last, so that they are seldom keys.
-
-Equal sets are one node, so copies never pair up.
+whole sets decide. Any order gives the same pairs: shingles that are frequent in a
+sample go last, so that they are seldom keys.
+
+What is asked for is components, so a group of g copies need not become g * g
+pairs. First the sets of a key are compared with the key's least and greatest set
+alone (two stars, 2 g pairs), which makes most of a group one component; then only
+sets of one key that are still in different components are compared. A link within
+a component changes nothing, so none is missed. Keys that a single set has are
+left out before anything is joined, and equal sets are one node.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.shared import fresh, stored
@@ -68,7 +73,7 @@ def frequent(docs: DataFrame, text_col: str, words: int) -> list[int]:
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
     """id, node (a hash of the whole set), n (its size) and keys (its first shingles in the common order)."""
-    late = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, words))
+    late = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, words))  # FREQUENT numbers at most
 
     def run(batches):
         import numpy as np
@@ -126,34 +131,85 @@ def _similar(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long")
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """(id, component_id) of the rows that go: all of a component but its smallest id.
+def _shared(rows: DataFrame) -> DataFrame:
+    """(key, node, n, at), once each, of the keys that several sets have."""
+    keys = rows.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    # least and greatest set of a key: partial, and a set that very many rows have counts once
+    ends = keys.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("key")
+    return keys.join(ends, "key", "left_semi").dropDuplicates(["key", "node"])
 
-    Rows link where the Jaccard similarity of their sets of ``words``-word shingles
-    is ``least`` or more; no pair is missed. Null ids take no part.
-    """
-    if not 0 < least <= 1:
-        raise ValueError("a similarity over 0 and up to 1")
-    docs = docs.where(F.col(id_col).isNotNull())
-    rows = stored(_prefixes(docs, id_col, text_col, words, least), "prefixes")
-    nodes = stored(rows.groupBy("node").agg(F.min(id_col).alias("_least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "prefix-nodes")
-    keys = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
-    left, right = (keys.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")) for x in "ab")
-    found = left.join(right, "key").where("a < b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9)
+
+def _pruned(found: DataFrame, least: float) -> DataFrame:
+    """The (a, b) of ``found`` (a row for each key that a and b share, with sizes and places) that may be similar enough."""
+    found = found.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9)
     shared = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     # What else the sets share comes after the last shared key in both, and after the end of the prefix that ends first.
     more = F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1, F.ceil(F.greatest("n_a", "n_b") * least - 1e-9) - 1)
-    pairs = stored(shared.where(F.col("both") + more >= (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9).select("a", "b"), "pairs")
+    return shared.where(F.col("both") + more >= (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9).select("a", "b")
+
+
+def _stars(shared: DataFrame, least: float) -> DataFrame:
+    """Pairs of each key's least and greatest set with the others of the key.
+
+    Only keys with these ends are counted for a pair, so a similar pair may be
+    pruned here; it is found where sets that are still apart are compared.
+    """
+    one = F.struct("node", "n", "at")
+    # the key is made anew, so that the rows of a key that very many sets have can be split in the join
+    centers = shared.groupBy("key").agg(F.min(one).alias("x"), F.max(one).alias("y")).select(F.bitwise_not("key").alias("_key"), F.explode(F.array("x", "y")).alias("c"))
+    found = shared.withColumn("_key", F.bitwise_not("key")).join(centers, "_key").where("node <> c.node")
+    first = F.col("node") < F.col("c.node")
+
+    def end(here: str, low: bool) -> Column:
+        return F.when(first if low else ~first, F.col(here)).otherwise(F.col(f"c.{here}"))
 
+    return _pruned(found.select(*[end(x, low).alias(name) for x, name, low in (("node", "a", True), ("node", "b", False), ("n", "n_a", True), ("n", "n_b", False), ("at", "at_a", True), ("at", "at_b", False))]), least)
+
+
+def _across(shared: DataFrame, stars: DataFrame, least: float) -> DataFrame:
+    """Pairs of sets that share a key and are in different components of ``stars`` (node, root)."""
+    rooted = shared.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # keys whose sets are all in one component have nothing left to compare
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
+    left = stored(rooted.join(open_keys, "key", "left_semi"), "near-open").withColumn("_key", F.bitwise_not("key"))
+    x, y = (left.select("_key", F.col("node").alias(s), F.col("root").alias(f"root_{s}"), F.col("n").alias(f"n_{s}"), F.col("at").alias(f"at_{s}")) for s in "ab")
+    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9
+    return _pruned(x.join(y, "_key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near), least)
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose whole sets, made from the texts once more, are similar enough."""
+    pairs = stored(pairs, "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     ids = nodes.join(asked, "node", "left_semi").select(F.col("_least").alias(id_col))
     sets = stored(_sets(docs.select(id_col, text_col).join(ids, id_col, "left_semi"), text_col, words), "sets")
     whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
-    stars = components(_similar(whole, least), "near-star")
+    return _similar(whole, least)
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """(id, component_id) of the rows that go: all of a component but its smallest id.
 
-    rooted = nodes.select("node", "_least").join(stars, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("node", "component_id")
-    return rows.select(id_col, "node").join(named, "node").where(F.col(id_col) != F.col("component_id")).select(id_col, "component_id")
+    Rows link where the Jaccard similarity of their sets of ``words``-word shingles
+    is ``least`` or more; no component is missed or cut in two. A text of fewer words
+    is one shingle, a null text is empty, and empty texts are copies of each other.
+    Null ids take no part.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("a similarity over 0 and up to 1")
+    docs = docs.where(F.col(id_col).isNotNull())
+    rows = stored(_prefixes(docs, id_col, text_col, words, least), "prefixes")
+    nodes = stored(rows.groupBy("node").agg(F.min(id_col).alias("_least")), "prefix-nodes")
+    shared = stored(_shared(rows), "shared-keys")
+    first = stored(_links(_stars(shared, least), nodes, docs, id_col, text_col, words, least), "links-of-stars")
+    rest = _links(_across(shared, components(first, "near-star"), least), nodes, docs, id_col, text_col, words, least)
+    roots = components(first.unionAll(rest), "near-star")
+
+    rooted = nodes.select("node", "_least").join(roots, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root"))
+    least_of = rooted.groupBy("root").agg(F.min("_least").alias("component_id")).select(F.bitwise_not("root").alias("_root"), "component_id")
+    named = rooted.select("node", F.bitwise_not("root").alias("_root")).join(least_of, "_root").select(F.bitwise_not("node").alias("_node"), "component_id")
+    own = rows.select(id_col, F.bitwise_not("node").alias("_node")).join(named, "_node")
+    return own.where(F.col(id_col) != F.col("component_id")).select(id_col, "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm import bpe_table, decontaminate, exact_dedup, langid, simhash, token_counts, token_store, url_filter, warc_convert, wrapper_extract
 from factloom.llm.shared import table
@@ -50,9 +51,32 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_files, op4_token_counts, op5_bpe_table, op6_url_filter, op7_simhash, op8_wrapper_extract, op9_decontaminate, op10_language)}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the URL filter: host, path and rule of every page, and the verdict where a rule gives it."""
+    out = op6_url_filter(spark, sf_dir)
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_files, op4_token_counts, op5_bpe_table, op6_url_filter, op7_simhash, op8_wrapper_extract, op9_decontaminate, op10_language, url_rules)}
+
+#: A SHA-1 in base 32: four times 40 bits, eight letters of five bits each.
+BASE32_SQL = "list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 8 * 10 + 1)::INT, 10))::UBIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)), 'string_agg', '')"
+_HOST = "translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FITS = " ".join(
+    f"WHEN (host = '{rule.partition('/')[0]}' OR ends_with(host, '.{rule.partition('/')[0]}')) AND starts_with(path, '/{rule.partition('/')[2]}') THEN '{{{n}}}'" for n, (rule, _) in enumerate(sorted(url_filter.RULES, key=lambda r: -len(r[0])))
+)
+_RULES = sorted(url_filter.RULES, key=lambda r: -len(r[0]))
 
 ORACLE_SQL = {
+    "op2_warc": f"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS t FROM pages), d AS (SELECT *, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS first FROM p)
+        SELECT page_id, strlen(t) AS payload_bytes, {BASE32_SQL} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+          CASE WHEN coalesce(url, '') = '' THEN 'urn:row:' || page_id ELSE replace(url, ' ', '%20') END AS url, strftime(TIMESTAMP '2001-01-01' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS date FROM d
+    """,
+    "url_rules": f"""
+        WITH h AS (SELECT page_id, CASE WHEN contains(url, '://') THEN {_HOST} ELSE '' END AS host, CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages)
+        SELECT page_id, host, path, CASE {_FITS.format(*[r for r, _ in _RULES])} END AS rule, CASE {_FITS.format(*[v for _, v in _RULES])} END AS rule_verdict FROM h
+    """,
     "op1_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)

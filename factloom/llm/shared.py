@@ -16,14 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors see.
 
-    It lies in the folder of ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder becomes the checkpoint folder.
+    It lies in the folder of ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder becomes the checkpoint folder on a single machine, as in tests;
+    on a cluster it is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = sc.getCheckpointDir()
         if not base:
+            if sc.master.split("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
             base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -38,14 +41,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Hadoop's names of stores that have another one in Arrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def filesystem(uri: str):
-    """(pyarrow filesystem, path in it) of a folder or file of the shared store."""
+    """(pyarrow filesystem, path in it) of a folder or file of the shared store, whose schemes are Hadoop's."""
     from pyarrow import fs
 
     if "://" not in uri:
         uri = uri.removeprefix("file:")
         return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    scheme, rest = uri.split("://", 1)
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def write_atomically(uri: str, write) -> None:
