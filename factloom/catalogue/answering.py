@@ -245,3 +245,52 @@ def history_stream(spark, sf):
 
     return replayed(spark, f"{sf}/conversations.parquet").select("conv_id", "turn", "n_before")
 
+
+#: What is expected of a lead by its place: a kind of personal data, or a refusal.
+EXPECTED = {3: "pan", 4: "email", 6: "phone", 11: "folio", 13: "aadhaar", 14: "otp", 15: "account_number", 1: "advice", 5: "performance", 7: "out_of_corpus", 9: "advice", 10: "performance"}
+PERSONAL = {k: v for k, v in EXPECTED.items() if v in dict(guards.PII)}
+
+
+def _case_sql(of: dict[int, str]) -> str:
+    return "CASE (conv_id * 7 + turn) % " + str(len(LEADS)) + " " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in of.items()) + " END"
+
+
+REFUSAL_SQL = f"CASE WHEN kind IS NOT NULL THEN 'pii' WHEN advice AND intent = 'advice' THEN 'advice' WHEN performance THEN 'performance' WHEN {SCOPE_SQL} THEN 'out_of_corpus' END"
+
+
+@query(RESOLVED_SQL + f""", e AS (SELECT 'pii' AS set, {_case_sql(PERSONAL)} AS expected, kind AS got FROM resolved UNION ALL SELECT 'refusal', {_case_sql({k: ("pii" if k in PERSONAL else v) for k, v in EXPECTED.items()})}, {REFUSAL_SQL} FROM resolved
+    UNION ALL SELECT 'golden', o_orderstatus, CASE WHEN o_orderkey % 4 <> 0 THEN CASE WHEN o_orderkey % 6 = 5 THEN 'X' ELSE 'status ' || o_orderstatus END END FROM orders)
+    SELECT set, count(*) AS n, count(*) FILTER (CASE WHEN set = 'golden' THEN coalesce(contains(got, expected), false) ELSE got IS NOT DISTINCT FROM expected END) AS passed FROM e WHERE set = 'golden' OR expected IS NOT NULL GROUP BY set""")
+def evaluation_totals(spark, sf):
+    """Golden, refusal and personal-data sets over the tables, with totals."""
+    from factloom.plans import evaluate
+
+    at = ((c("conv_id") * 7 + c("turn")) % len(LEADS)).cast("int")
+    told = F.create_map(*[F.lit(x) for kv in EXPECTED.items() for x in kv])
+    rows = turns(spark, sf).withColumns({"id": F.concat_ws("-", "conv_id", "turn"), "label": F.try_element_at(told, at)}).where("label is not null")
+    kinds = list(PERSONAL.values())
+    refused = rows.withColumn("expected_refusal_type", F.when(c("label").isin(kinds), "pii").otherwise(c("label"))).select("id", c("question").alias("query"), "expected_refusal_type")
+    orders = table(spark, sf, "orders").select(c("o_orderkey").alias("id"), c("o_orderkey").alias("scheme_id"), F.lit("status").alias("field"), c("o_orderstatus").alias("expected_value"))
+    facts = orders.where("id % 4 <> 0").select("scheme_id", "field", F.when(c("id") % 6 == 5, "X").otherwise(F.concat(F.lit("status "), "expected_value")).alias("value"))
+    results = evaluate.refusals(refused, SETTINGS, ALIASES).unionAll(evaluate.personal_data(rows.where(c("label").isin(kinds)), text="question")).unionAll(evaluate.golden(orders, facts))
+    return evaluate.totals(results)
+
+
+@query(RESOLVED_SQL + f""" SELECT conv_id, turn, {REFUSAL_SQL} AS reason_guard, (CASE WHEN kind IS NOT NULL THEN 1 WHEN advice AND intent = 'advice' THEN 2 WHEN performance THEN 3 ELSE 4 END)::INT AS n_decisions, scheme_ids, '{{"documents": 2}}' AS stage1, true AS stage2_missing, turn % 3 = 0 AS retried FROM resolved""")
+def full_trace(spark, sf):
+    """The whole trace of each turn as text, read back: recorded stages, guard decisions and resolution, generation."""
+    from factloom.operators import trace
+
+    rows = resolved(spark, sf).withColumn("chain", guards.guard_chain(c("question"), F.size("resolution.scheme_ids") > 0))
+    taken = F.array(trace.top_chunk(F.lit(1), F.lit("c"), F.lit("s"), F.lit("f"), F.lit("v"), F.lit(0.25), F.lit("u")))
+    wrote = F.when(c("turn") % 3 == 0, trace.generation(F.lit(SOURCES[0].url), F.struct(F.lit(True).alias("passed")), F.lit(1)))
+    whole = trace.trace(**trace.recorded({"trace": {"stage1": {"documents": 2}, "stage2": "none"}}), stage5=trace.retrieval(c("chain"), c("resolution"), taken), stage6=wrote)
+    text = rows.select("conv_id", "turn", trace.to_text(whole).alias("t"))
+    guard = F.get_json_object("t", "$.stage5.guard_decisions[*].guard")
+    n = F.size(F.from_json(F.get_json_object("t", "$.stage5.guard_decisions"), "array<struct<guard:string,triggered:boolean>>"))
+    last = F.element_at(F.from_json(F.get_json_object("t", "$.stage5.guard_decisions"), "array<struct<guard:string,triggered:boolean>>"), -1)
+    ids = F.array_join(F.from_json(F.get_json_object("t", "$.stage5.scheme_resolution.scheme_ids"), "array<string>"), ",")
+    return text.where(guard.isNotNull()).select(
+        "conv_id", "turn", F.when(last["triggered"], last["guard"]).alias("reason_guard"), n.alias("n_decisions"), ids.alias("scheme_ids"), F.get_json_object("t", "$.stage1").alias("stage1"), F.get_json_object("t", "$.stage2").isNull().alias("stage2_missing"),
+        (F.get_json_object("t", "$.stage6.retry_count") == "1").eqNullSafe(F.lit(True)).alias("retried"),
+    )

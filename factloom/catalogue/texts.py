@@ -278,3 +278,27 @@ def half_even_rounding(spark, sf):
     """Every second value is a tie, which goes to the even digit."""
     n = F.col("o_orderkey")
     return table(spark, sf, "orders").select("o_orderkey", F.bround(n / 8.0, 2).alias("to_2"), F.bround(n / 2.0, 0).alias("to_0"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang, make_date((2000 + doc_id % 20)::INT, 2, 3) AS on_day, sha256(text) AS text_sha256, doc_id % 3 = 0 AS null_kept FROM documents")
+def json_lines_round_trip(spark, sf):
+    """Documents as line-delimited JSON, written and read back; null fields keep their keys."""
+    from factloom.session import shared_folder
+
+    rows = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"), F.make_date((F.lit(2000) + F.col("doc_id") % 20).cast("int"), F.lit(2), F.lit(3)).alias("on_day"), "text")
+    path = shared_folder(spark, "json-lines")
+    P.write_json_lines(rows, path)
+    lines = spark.read.text(path).select(F.from_json("value", "doc_id long, lang string, on_day date, text string").alias("r"), F.col("value").contains('"lang":null').alias("null_kept"))
+    return lines.select("r.doc_id", "r.lang", "r.on_day", F.sha2("r.text", 256).alias("text_sha256"), "null_kept")
+
+
+@query("""SELECT 'c' || doc_id AS chunk_id, CASE WHEN doc_id % 3 <> 0 THEN 'stored' ELSE source END AS doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'nav' ELSE lang END AS field, CASE WHEN doc_id % 3 <> 0 THEN '1' WHEN doc_id % 2 = 0 THEN NULL ELSE 'v' END AS value,
+    CASE WHEN doc_id % 3 <> 0 THEN 'int' ELSE 'text' END AS value_type, CASE WHEN doc_id % 3 <> 0 THEN 'amc' ELSE 'fund' END AS scope, doc_id % 3 <> 0 AS is_fact, sha256(CASE WHEN doc_id % 3 <> 0 THEN 'row ' ELSE '' END || text) AS text_sha256 FROM documents""")
+def chunk_rebuild(spark, sf):
+    """Search hits as chunks: from the stored row for two of three, else from metadata and defaults."""
+    docs = table(spark, sf, "documents")
+    key = F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id")
+    hits = docs.select(key, F.col("source").alias("scheme_id"), F.col("lang").alias("field"), F.when(F.col("doc_id") % 2 == 0, "").otherwise("v").alias("value"), "text")
+    rows = docs.where("doc_id % 3 <> 0").select(key, F.lit("stored").alias("doc_id"), F.lit("nav").alias("field"), F.lit("1").alias("value"), F.lit("int").alias("value_type"), F.lit("amc").alias("scope"), F.lit(True).alias("is_fact"), F.concat(F.lit("row "), "text").alias("text"))
+    made = store.chunks_from_metadata(hits, rows)
+    return made.select("chunk_id", "doc_id", "field", "value", "value_type", "scope", "is_fact", F.sha2("text", 256).alias("text_sha256"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,6 +73,10 @@ PERFORMANCE_SIGNALS = (
     r"\bsafe\s+for\b[^?]{0,20}?\b\d+\s*(year|month)",
     r"\b(risk[- ]adjusted\s+)?returns?\b[^?]{0,20}?\bvs\b",
 )
+# Words of which every pattern above needs one, in collapsed text.
+RETURN_MARKS = ("return", "yield", "gain", "performance", "profit", "appreciation", "projected")
+ADVICE_MARKS = ("should", "can i ", "could i ", "would i ", "do i ", "will i ", "good ", "right ", "ideal ", "bad ", "poor ", "worth ", "best", "top", "better", "optimal", "safest", "most ", "which ", "go for", "opt for", "you can consider")
+PERFORMANCE_MARKS = ("return", "grow", "gain", "earn", "appreciate", "be worth", "performance", "profit", "loss", "yield", "compare", "versus", "vs", "outperform", "beat", "against", "how much", "how many", "safe for")
 SCOPE_WORDS = ("cap", "fund", "elss", "tax saver", "balanced", "advantage", "equity")
 
 REFUSALS = {
@@ -113,29 +119,38 @@ def redacted(text: Column, marker: str = "[redacted: personal identifier]") -> C
     return F.when(has_pii(text), F.lit(marker)).otherwise(text)
 
 
+def holds(low: Column, words) -> Column:
+    """Whether any of the words stands in the text, within longer ones too: a plain search, far cheaper than a pattern."""
+    return reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words])
+
+
+def matched(low: Column, patterns, words) -> Column:
+    """Whether a pattern matches; each of them needs one of the words, so most texts are told by these."""
+    return holds(low, words) & low.rlike(any_of(patterns))
+
+
 def advice(text: Column) -> Column:
-    return lowered(text).rlike(any_of(ADVICE))
+    return let(lowered(text), lambda low: holds(low, ADVICE))
 
 
 def performance(text: Column) -> Column:
-    return lowered(text).rlike(any_of((*PERFORMANCE, *PERFORMANCE_PATTERNS)))
+    return let(lowered(text), lambda low: holds(low, PERFORMANCE) | matched(low, PERFORMANCE_PATTERNS, RETURN_MARKS))
 
 
 def foreign_name(text: Column, names=FOREIGN) -> Column:
     """The first name in list order that stands as a word, else null."""
     # a literal pattern a name, which a task compiles once; only texts that one of them hits are asked for which
-    every = any_of(rf"\b{literal(n)}\b" for n in names)
     one = lambda low: F.coalesce(*[F.when(low.rlike(any_of([rf"\b{literal(n)}\b"])), n) for n in names])
-    return let(lowered(text), lambda low: F.when(low.rlike(every), one(low)))
+    return let(lowered(text), lambda low: F.when(matched(low, [rf"\b{literal(n)}\b" for n in names], names), one(low)))
 
 
 def structural_intent(text: Column, names=FOREIGN) -> Column:
     """out_of_scope, advice, performance or factual, by grammar rather than phrases."""
     return let(
         lowered(text),
-        lambda low: F.when(low.rlike(any_of(rf"\b{literal(n)}\b" for n in names)), "out_of_scope")
-        .when(low.rlike(any_of(ADVICE_SIGNALS)), "advice")
-        .when(low.rlike(any_of(PERFORMANCE_SIGNALS)), "performance")
+        lambda low: F.when(matched(low, [rf"\b{literal(n)}\b" for n in names], names), "out_of_scope")
+        .when(matched(low, ADVICE_SIGNALS, ADVICE_MARKS), "advice")
+        .when(matched(low, PERFORMANCE_SIGNALS, PERFORMANCE_MARKS), "performance")
         .otherwise("factual"),
     )
 
@@ -172,7 +187,7 @@ def _two_layer(first: Column, second: Column, label: str, alone: Column) -> Colu
 
 def out_of_corpus(text: Column, resolved: Column, names=FOREIGN) -> Column:
     """struct(hit, detail): a foreign name hits; else a resolved entity clears; else a scope word hits."""
-    told = F.struct(foreign_name(text, names).alias("name"), (~resolved & lowered(text).rlike("|".join(literal(w) for w in SCOPE_WORDS))).alias("word"))
+    told = F.struct(foreign_name(text, names).alias("name"), (~resolved & holds(lowered(text), SCOPE_WORDS)).alias("word"))
     return let(told, lambda t: F.struct((t["name"].isNotNull() | t["word"]).alias("hit"), F.when(t["name"].isNotNull(), t["name"]).when(t["word"], "nothing in scope matched").alias("detail")))
 
 

@@ -108,6 +108,39 @@ def write_records(rows: DataFrame, path: str, partition: str | None = None, rebu
     writer.parquet(path)
 
 
+def open_or_create(spark: SparkSession, path: str, schema: str, rebuild: bool = False) -> DataFrame:
+    """The rows stored at ``path``; an empty store is made where there is none, or anew with ``rebuild``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    if rebuild or not there:
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+#: What a chunk has where neither its row nor its metadata says so.
+CHUNK_DEFAULTS = {"section": "", "field": "", "source_url": "", "value_type": "text", "scope": "fund", "is_fact": "false", "historical": "false"}
+
+
+def chunks_from_metadata(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks of search hits (chunk_id, text and metadata as text): the stored row where there is one, else rebuilt from the metadata with defaults."""
+    own = [x for x in chunks.columns if x != "chunk_id"]
+    stored = chunks.select("chunk_id", *[F.col(x).alias(f"_{x}") for x in own], F.lit(True).alias("_there"))
+
+    def told(name: str, kind: str) -> Column:
+        if name == "doc_id":
+            made = F.coalesce(F.nullif("doc_id", F.lit("")), "scheme_id") if "doc_id" in hits.columns else F.col("scheme_id")
+        elif name == "embed_input":
+            made = F.col("text")
+        elif name in hits.columns:
+            made = F.nullif(F.col(name).cast("string"), F.lit("")) if name == "value" else F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit(CHUNK_DEFAULTS.get(name)))
+        else:
+            made = F.lit(CHUNK_DEFAULTS.get(name))
+        return F.when(F.col("_there"), F.col(f"_{name}")).otherwise(made.cast(kind)).alias(name)
+
+    kinds = dict(chunks.dtypes)
+    return hits.join(stored, "chunk_id", "left").select("chunk_id", *[told(x, kinds[x]) for x in own])
+
+
 def vector_failures(stored: DataFrame, fresh: DataFrame, key: str, dim: int, tolerance: float = 1e-4) -> DataFrame:
     """(key, failure) by id: missing on a side, other length, or a number further off than ``tolerance``."""
     a = stored.select(F.col(key), F.col("embedding").alias("_a"))

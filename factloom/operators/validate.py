@@ -72,7 +72,7 @@ def validated(rows: DataFrame, allowlist: list[str], max_sentences: int = 3, pre
     made = checks(c("answer"), c("query"), c("evidence"), c("resolution"), known, max_sentences, prefix)
     made |= {"grounded": F.size("_told.ungrounded_tokens") == 0, "no_pii": c("_told.pii_kind").isNull(), "sentence_budget": c("_told.sentences") <= max_sentences}
     rows = rows.withColumn("checks", let(F.array(*[F.struct(F.lit(n).alias("key"), made[n].alias("value")) for n in CHECKS]), F.map_from_entries))
-    failed = F.filter(F.array(*map(F.lit, CHECKS)), lambda n: ~c("checks")[n])
+    failed = F.transform(F.filter(F.map_entries("checks"), lambda e: ~e["value"]), lambda e: e["key"])
     rows = rows.select(*[x for x in rows.columns if x != "_told"], failed.alias("failures"), *[c(f"_told.{n}").alias(n) for n in parts])
     return rows.withColumns({"passed": F.size("failures") == 0, "discardable": F.arrays_overlap("failures", F.array(*map(F.lit, DISCARD)))})
 

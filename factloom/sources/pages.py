@@ -109,9 +109,21 @@ def allowed(pages: DataFrame, allowlist: DataFrame, url: str = "url") -> DataFra
 
 
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """(scheme_id, text, fetched_at) of ``<scheme_id>.txt`` files; the date is the file's."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
-    return spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(name.alias("scheme_id"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").cast("date").alias("fetched_at"))
+    """(scheme_id, text, fetched_at) of ``<scheme_id>.txt`` files; the date is that of ``<scheme_id>.json`` (fetched_at), else the file's."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.(?:txt|json)$", 1)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.{txt,json}").select(name.alias("scheme_id"), "value", F.col("_metadata.file_path").endswith(".txt").alias("_text"), F.col("_metadata.file_modification_time").cast("date").alias("_on"))
+    dates = files.where("not _text").select("scheme_id", F.get_json_object("value", "$.fetched_at").try_cast("date").alias("_told"))
+    return files.where("_text").join(dates, "scheme_id", "left").select("scheme_id", F.col("value").alias("text"), F.coalesce("_told", "_on").alias("fetched_at"))
+
+
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    """Line-delimited JSON in UTF-8, a line a row; nulls keep their keys, dates are ISO."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").option("dateFormat", "yyyy-MM-dd").json(path)
+
+
+def write_snapshots(rows: DataFrame, path: str) -> None:
+    """A partition for each scheme_id with its text and metadata; only those that occur are replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scheme_id").parquet(path)
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Text, format, guard, resolution and answer functions on rows of our own."""
 
+import random
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -155,3 +158,16 @@ def test_page_sources(spark):
     assert P.dom_text_of(page) == "long\ntext here" and P.dom_text_of("<main>only <b>this</b></main><div>not this long div</div>") == "only\nthis" and P.dom_text_of(None) == ""
     assert values(spark, lambda c: P.main_text(c, None, 5), [page, "<p>ab</p>"]) == ["long\ntext here", None]
     assert values(spark, P.tag_text, [page + "&lt;b&gt;&amp;amp;"]) == ["short long text here <b>&amp;"]
+
+
+def test_every_pattern_needs_one_of_its_marks():
+    """Texts put together of the patterns' own words: none is matched without a mark."""
+    words = (
+        "should can could would do will i buy sell hold redeem invest exit switch good right time idea worth it buying best top better most safe fund scheme plan option one which of these is you go for opt consider put money what how much many "
+        "return returns grow gain earn appreciate be performance profit loss yield growth in over after year month compare versus vs outperform beat against expected projected likely estimated make 5 risk-adjusted 12 % p.a. appreciation"
+    ).split()
+    rnd = random.Random(1)
+    for _ in range(20_000):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.randint(2, 9)))
+        for patterns, marks in ((guards.ADVICE_SIGNALS, guards.ADVICE_MARKS), (guards.PERFORMANCE_SIGNALS, guards.PERFORMANCE_MARKS), (guards.PERFORMANCE_PATTERNS, guards.RETURN_MARKS)):
+            assert any(m in text for m in marks) or not any(re.search(p, text) for p in patterns), text

@@ -107,6 +107,19 @@ def test_run_log_and_files(spark, tmp_path):
     (tmp_path / "snap").mkdir()
     (tmp_path / "snap" / "s_1.txt").write_text("two\nlines")
     assert [(r["scheme_id"], r["text"]) for r in pages.snapshots(spark, str(tmp_path / "snap")).collect()] == [("s_1", "two\nlines")]
+    (tmp_path / "snap" / "s_1.json").write_text('{"fetched_at": "2021-02-03"}')
+    (tmp_path / "snap" / "s_2.txt").write_text("other")
+    (tmp_path / "snap" / "s_2.json").write_text('{"fetched_at": null}')
+    got = {r["scheme_id"]: str(r["fetched_at"]) for r in pages.snapshots(spark, str(tmp_path / "snap")).collect()}
+    assert got["s_1"] == "2021-02-03" and got["s_2"] > "2021-02-03"
+    for text in ("old", "new"):
+        rows = [("s_1", text)] if text == "new" else [("s_1", text), ("s_2", text)]
+        pages.write_snapshots(spark.createDataFrame(rows, "scheme_id string, text string"), str(tmp_path / "stored"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "stored")).select("scheme_id", "text").collect())) == [("s_1", "new"), ("s_2", "old")]
+    path = str(tmp_path / "collection")
+    assert store.open_or_create(spark, path, "a int").count() == 0
+    spark.createDataFrame([(1,)], "a int").write.mode("append").parquet(path)
+    assert store.open_or_create(spark, path, "a int").count() == 1 and store.open_or_create(spark, path, "a int", rebuild=True).count() == 0
     store.write_records(spark.createDataFrame([(1, "a")], "v int, p string"), str(tmp_path / "r"), "p")
     store.write_records(spark.createDataFrame([(2, "b")], "v int, p string"), str(tmp_path / "r"), "p", rebuild=False)
     assert sorted((r["v"], r["p"]) for r in spark.read.parquet(str(tmp_path / "r")).collect()) == [(1, "a"), (2, "b")]
