@@ -3,12 +3,14 @@
 A text's features are the shares of its hashed character bigrams and trigrams
 over letters (everything else is a gap). A linear support vector machine for each
 family tells families apart, one against the rest; within the winning family a
-linear machine for each pair of languages votes. All machines are linear in the
-shares, so a text is scored by adding up, over its characters, the weights of
-the grams that start there: whole texts, in blocks, in one pass without a shuffle.
-
-The machines are fitted on a bounded sample of the labelled rows: ``PER_LANGUAGE``
-rows of each language, those with the smallest hash of their id.
+linear machine for each pair of languages votes. Whole texts are scored, in
+blocks, in one pass without a shuffle.
+
+The machines are fitted on a bounded sample of the labelled rows, each in a task of
+its own: ``PER_LANGUAGE`` rows of each language, those with the smallest hash of
+their id; the other side of a family's machine has ``OTHERS`` rows at most, dealt
+evenly over the other languages. Every language that occurs is learned; what comes
+to the driver are the languages and the machines' weights.
 """
 
 from __future__ import annotations
@@ -21,15 +23,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from factloom.llm.shared import fresh
+from factloom.llm.shared import fresh, stored
 from factloom.llm.tokens import slices
 
-BUCKETS = 1 << 11
-#: Rows of each language that the machines are fitted on, and the most languages learned.
-PER_LANGUAGE, LANGUAGES = 300, 64
+BITS = 12
+BUCKETS = 1 << BITS
+#: Rows of each language that the machines are fitted on, and rows of the other side of a family's machine.
+PER_LANGUAGE, OTHERS = 500, 2_000
 #: Times PER_LANGUAGE that are ranked; so many that the first PER_LANGUAGE hashes are among them but for a chance beyond any machine's.
 SPARE = 4
 BLOCK_BYTES = 1 << 20
+#: Texts whose features are held as rows at once.
+ROWS = 256
 UNDETERMINED = "und"
 
 #: Families of common languages; any other language is a family by itself.
@@ -62,31 +67,26 @@ def letters() -> np.ndarray:
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets of the grams from each character on, two rows; each text's first place; whether it has a letter)."""
-    whole = "".join(f" {t.lower()}  " for t in texts)
-    sizes = np.fromiter((len(t.lower()) + 3 for t in texts), np.int64, len(texts))
+    whole = "".join([f"  {t.lower()}  " for t in texts]) + "  "  # the last text's grams end in a gap like the others'
+    sizes = np.fromiter((len(t.lower()) + 4 for t in texts), np.int64, len(texts))
     codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
     is_letter = letters()[codes]
-    codes = np.where(is_letter, codes, 32).astype(np.uint32)
+    codes, is_letter = np.where(is_letter, codes, 32).astype(np.uint32), is_letter[:-2]
     starts = np.cumsum(sizes) - sizes
     two = codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA77)
     three = two[:-1] * np.uint32(0xC2B2AE3D) + codes[2:] * np.uint32(0x27D4EB2F)
-    # the last two places of a text are its gap, so no gram of letters spans two texts
-    n = len(codes)
-    out = np.zeros((2, n), np.int32)
-    out[0, : n - 1] = two >> np.uint32(21)
-    out[1, : n - 2] = three >> np.uint32(21)
+    # a text begins and ends with two gaps, so no gram has letters of two texts
+    out = np.stack([two[:-1] >> np.uint32(32 - BITS), three >> np.uint32(32 - BITS)]).astype(np.int32)
     return out, starts, np.logical_or.reduceat(is_letter, starts) if len(starts) else np.zeros(0, bool)
 
 
-def shares(texts: list[str]) -> np.ndarray:
-    """A row of 2 * BUCKETS gram shares for each text, scaled to be around one for common grams."""
-    at, starts, _ = grams(texts)
+def shares(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of 2 * BUCKETS gram shares for each text, scaled to be around one for common grams; whether it has a letter)."""
+    at, starts, lettered = grams(texts)
     sizes = np.diff(np.append(starts, at.shape[1]))
-    out = np.zeros((len(texts), 2 * BUCKETS), np.float32)
-    for i, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
-        for k in (0, 1):
-            out[i, k * BUCKETS : (k + 1) * BUCKETS] = np.bincount(at[k, s : s + n], minlength=BUCKETS) * (SCALE / n)
-    return out
+    row = np.repeat(np.arange(len(texts), dtype=np.int64) * BUCKETS, sizes)
+    counts = [np.bincount(row + at[k], minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS) for k in (0, 1)]
+    return (np.concatenate(counts, axis=1) * (SCALE / sizes)[:, None]).astype(np.float32), lettered
 
 
 SCALE = 30.0
@@ -112,66 +112,77 @@ def fit_linear(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 30, s
 
 @dataclass
 class Model:
-    """Machines as columns of ``weights``: families first, then pairs within families."""
+    """Machines as columns of ``weights``: one for each family, then one for each pair within a family."""
 
     families: list[str]
     members: dict[str, list[str]]
-    pairs: list[tuple[str, str]]
-    weights: np.ndarray
-    bias: np.ndarray
-
-    def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(margin of each machine for each text, whether the text has a letter)."""
-        at, starts, lettered = grams(texts)
-        sizes = np.diff(np.append(starts, at.shape[1]))
-        out = np.zeros((len(texts), self.weights.shape[1]))
-        for k in range(self.weights.shape[1]):
-            own = self.weights[:BUCKETS, k][at[0]] + self.weights[BUCKETS:, k][at[1]]
-            out[:, k] = np.add.reduceat(own, starts, dtype=np.float64) * (SCALE / sizes) + self.bias[k]
-        return out, lettered
+    pairs: dict[str, list[tuple[str, str]]]
+    weights: dict[str, np.ndarray]  # by family name: its pairs' columns; "" has the families'
+    bias: dict[str, np.ndarray]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        if not texts:
-            return []
-        margins, lettered = self.margins(texts)
-        return [self._decide(m) if known and self.families else (UNDETERMINED, 0.0) for m, known in zip(margins, lettered, strict=True)]
+        out: list[tuple[str, float]] = []
+        for at in range(0, len(texts), ROWS):
+            x, lettered = shares(texts[at : at + ROWS])
+            out += self._decide(x, lettered)
+        return out
 
-    def _decide(self, margins: np.ndarray) -> tuple[str, float]:
+    def _decide(self, x: np.ndarray, lettered: np.ndarray) -> list[tuple[str, float]]:
         """Language and score: the product of the family's and of the weakest pair's logistic confidence."""
-        first = int(np.argmax(margins[: len(self.families)]))
-        name = self.families[first]
-        score = _confidence(margins[first]) if len(self.families) > 1 else 1.0
-        own = self.members[name]
-        votes, least = dict.fromkeys(own, 0), dict.fromkeys(own, 1.0)
-        for (a, b), m in zip(self.pairs, margins[len(self.families) :], strict=True):
-            if a in votes:
-                won, c = (a, _confidence(m)) if m >= 0 else (b, _confidence(-m))
-                votes[won] += 1
-                least[won] = min(least[won], c)
-        best = max(own, key=lambda lang: (votes[lang], least[lang]))
-        return best, float(score * least[best])
-
-
-def _confidence(margin: float) -> float:
-    return float(1 / (1 + np.exp(-4 * np.clip(margin, -50, 50))))
-
-
-def fit(x: np.ndarray, languages: list[str]) -> Model:
-    known = sorted(set(languages))
+        told: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(x)
+        if not self.families:
+            return told
+        margins = x @ self.weights[""] + self.bias[""]
+        first = margins.argmax(1)
+        for f, name in enumerate(self.families):
+            rows = np.flatnonzero(lettered & (first == f))
+            if not len(rows):
+                continue
+            own = _confidence(margins[rows, f]) if len(self.families) > 1 else np.ones(len(rows))
+            members = self.members[name]
+            votes, least = np.zeros((len(rows), len(members)), np.int64), np.ones((len(rows), len(members)))
+            if self.pairs[name]:
+                against = x[rows] @ self.weights[name] + self.bias[name]
+                for k, pair in enumerate(self.pairs[name]):
+                    for sign, m in ((1, members.index(pair[0])), (-1, members.index(pair[1]))):
+                        won = against[:, k] >= 0 if sign > 0 else against[:, k] < 0
+                        votes[won, m] += 1
+                        least[won, m] = np.minimum(least[won, m], _confidence(sign * against[won, k]))
+            best = np.lexsort((least, votes), axis=1)[:, -1]
+            for r, b, o in zip(rows.tolist(), best.tolist(), own.tolist(), strict=True):
+                told[r] = members[b], o
+            for i, (r, b) in enumerate(zip(rows.tolist(), best.tolist(), strict=True)):
+                told[r] = told[r][0], float(told[r][1] * least[i, b])
+        return told
+
+
+def _confidence(margins: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-4 * np.clip(margins, -50, 50)))
+
+
+def plan(languages: list[str]) -> tuple[Model, list[tuple[str, str, bool, int]]]:
+    """(a model without weights, (machine, language, whether it is the machine's own side, rows of it)) for the languages that occur."""
     members: dict[str, list[str]] = {}
-    for lang in known:
+    for lang in sorted(languages):
         members.setdefault(family(lang), []).append(lang)
-    names, own = sorted(members), np.array(languages)
-    of = np.array([family(lang) for lang in languages])
-    columns = []
-    for name in names:
-        columns.append(fit_linear(x, np.where(of == name, 1.0, -1.0)) if len(names) > 1 else np.zeros(x.shape[1] + 1))
-    pairs = [(a, b) for name in names for i, a in enumerate(members[name]) for b in members[name][i + 1 :]]
-    for a, b in pairs:
-        rows = (own == a) | (own == b)
-        columns.append(fit_linear(x[rows], np.where(own[rows] == a, 1.0, -1.0)))
-    both = np.array(columns).T if columns else np.zeros((2 * BUCKETS + 1, 0))
-    return Model(names, members, pairs, np.ascontiguousarray(both[:-1].astype(np.float32)), both[-1])
+    names = sorted(members)
+    pairs = {name: [(a, b) for i, a in enumerate(members[name]) for b in members[name][i + 1 :]] for name in names}
+    rows: list[tuple[str, str, bool, int]] = []
+    for name in names if len(names) > 1 else []:
+        others = len(languages) - len(members[name])
+        rows += [(f"f {name}", lang, lang in members[name], PER_LANGUAGE if lang in members[name] else max(1, OTHERS // others)) for lang in languages]
+    rows += [(f"p {a}\t{b}", lang, lang == a, PER_LANGUAGE) for name in names for a, b in pairs[name] for lang in (a, b)]
+    return Model(names, members, pairs, {}, {}), rows
+
+
+def with_weights(model: Model, of: dict[str, np.ndarray]) -> Model:
+    """``of`` has a machine's weights, bias last, by its name in ``plan``; a lone family needs none."""
+    none = np.zeros(2 * BUCKETS + 1)
+    keys = {"": [f"f {name}" for name in model.families]} | {name: [f"p {a}\t{b}" for a, b in pairs] for name, pairs in model.pairs.items()}
+    for name, machines in keys.items():
+        both = np.array([of.get(m, none) for m in machines]).reshape(len(machines), 2 * BUCKETS + 1)
+        model.weights[name], model.bias[name] = np.ascontiguousarray(both[:, :-1].T.astype(np.float32)), both[:, -1]
+    return model
 
 
 def held_out(id_col: Column) -> Column:
@@ -180,32 +191,52 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fits the machines on ``per_language`` rows of each of the LANGUAGES most frequent languages at most.
+    """Fits the machines on ``per_language`` rows of each language at most.
 
-    Only rows with text, language and id that are not held out count. The texts stay
-    in the tasks; what comes to the driver are the sample's feature rows.
+    Only rows with text, language and id that are not held out count. A machine's
+    rows meet in one task, PER_LANGUAGE rows of each of its family's languages and
+    OTHERS more at most.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    ranked = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col)).alias("_hash"))
-    common = rows.groupBy(F.col(lang_col).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES)
+    ranked = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
+    counts = {r["lang"]: r["count"] for r in ranked.groupBy("lang").count().collect()}  # a row for each language
+    model, machines = plan(sorted(counts))
+    if not machines:
+        return with_weights(model, {})
+    spark = docs.sparkSession
+    # both tables are made of the languages, which the driver holds anyway, and are broadcast; texts must not be dealt by language.
     # of a frequent language only hashes low enough to be among the first are ranked, a few times as many as are taken
-    share = F.least(F.lit(1.0), F.lit(SPARE * per_language) / F.col("count"))
-    low = (F.col("_hash") / F.lit(2.0**64) + 0.5) <= share
-    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id"))
-    chosen = ranked.join(F.broadcast(common), "_lang").where(low).withColumn("_n", nth).where(F.col("_n") <= per_language).select("_id").distinct()
-    sample = rows.join(F.broadcast(chosen), rows[id_col] == chosen["_id"], "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    share = spark.createDataFrame([(lang, min(1.0, SPARE * per_language / n)) for lang, n in counts.items()], "lang string, _share double")
+    low = (F.col("_hash") / F.lit(2.0**64) + 0.5) <= F.col("_share")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "_id", "_text"))
+    sample = ranked.join(F.broadcast(share), "lang").where(low).withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "nth", "_text")
 
     def features(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for start, stop in slices(batch.column(1), BLOCK_BYTES):
-                x = shares(batch.column(1).slice(start, stop - start).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], names=["lang", "x"])
-
-    got = sample.mapInArrow(features, "lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), "<f2").astype(np.float32).reshape(len(got), 2 * BUCKETS)
-    return fit(x, got["lang"].to_pylist())
+            for start, stop in slices(batch.column(2), BLOCK_BYTES):
+                part = batch.slice(start, stop - start)
+                for at in range(0, part.num_rows, ROWS):
+                    own = part.slice(at, ROWS)
+                    x, _ = shares(own.column(2).to_pylist())
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], names=["lang", "nth", "x"])
+
+    told = stored(sample.mapInArrow(features, "lang string, nth int, x binary"), "language-sample")
+    sides = spark.createDataFrame(machines, "machine string, lang string, own boolean, quota int")
+    fitted = told.join(F.broadcast(sides), "lang").where(F.col("nth") <= F.col("quota")).select("machine", "own", "lang", "nth", "x").groupBy("machine").applyInArrow(_fitted, "machine string, weights binary")
+    return with_weights(model, {r["machine"]: np.frombuffer(r["weights"], "<f4").astype(np.float64) for r in fitted.collect()})  # a row for each machine
+
+
+def _fitted(table):
+    """A machine's weights from its rows (machine, own, lang, nth, x)."""
+    import pyarrow as pa
+
+    table = table.sort_by([("lang", "ascending"), ("nth", "ascending")])
+    x = np.frombuffer(b"".join(table["x"].to_pylist()), "<f2").reshape(table.num_rows, 2 * BUCKETS)
+    own = table["own"].to_numpy(zero_copy_only=False).astype(bool)
+    weights = fit_linear(x.astype(np.float32), np.where(own, 1.0, -1.0)).astype("<f4")
+    return pa.table({"machine": table["machine"][:1], "weights": pa.array([weights.tobytes()], pa.binary())})
 
 
 def _predicted(batch_texts, model: Model) -> tuple[list[str], list[float]]:
