@@ -8,8 +8,10 @@
    are dealt and sorted by word; a word's rows lie together, and it is encoded
    once, at the first of them. A word that all texts share has one row for each
    block of about 16 MB, so no word makes a task large.
-3. Back by position: each task packs the ids it made by block; a block's packets
-   meet, and its codes turn into ids by one gather.
+3. Ids to pieces: the distinct ids of each packet of words are joined with the
+   vocabulary, a table of ids and pieces, and go on with their pieces.
+4. Back by position: a block's packets meet; its codes turn into ids by one gather,
+   and its words into text by the pieces that came with them.
 
 Nothing is broadcast but the id-to-piece table of the vocabulary, whose size the
 tokenizer file fixes.
@@ -131,7 +133,7 @@ def spread(blocks: DataFrame) -> DataFrame:
 
 
 def encoded_words(pairs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Packets of (block; codes, numbers of ids, ids), each distinct word encoded once.
+    """Packets of (block; codes, numbers of ids, ids; distinct ids), each distinct word encoded once.
 
     ``pairs`` are dealt by word here; within a task a word's rows are neighbours.
     """
@@ -146,9 +148,10 @@ def encoded_words(pairs: DataFrame, tokenizer_path: str) -> DataFrame:
         def packets():
             rows = []
             for block, (codes, lengths, runs) in held.items():
-                rows.append((block, *_pack(_planes(np.array(codes)), np.array(lengths, "<u2").tobytes(), _planes(np.frombuffer(b"".join(runs), "<u4")))))
+                own = np.frombuffer(b"".join(runs), "<u4")
+                rows.append((block, *_pack(_planes(np.array(codes)), np.array(lengths, "<u2").tobytes(), _planes(own)), np.unique(own).astype(np.int32)))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], names=["block", "codes", "lengths", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)], pa.array([r[4] for r in rows], pa.list_(pa.int32()))], names=["block", "codes", "lengths", "ids", "distinct"])
 
         for batch in batches:
             for word, block, code in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
@@ -170,7 +173,7 @@ def encoded_words(pairs: DataFrame, tokenizer_path: str) -> DataFrame:
             yield packets()
 
     by_word = pairs.repartition("word").sortWithinPartitions("word")
-    return by_word.mapInArrow(encode, "block long, codes binary, lengths binary, ids binary")
+    return by_word.mapInArrow(encode, "block long, codes binary, lengths binary, ids binary, distinct array<int>")
 
 
 def vocabulary(tokenizer_path: str) -> dict[int, str]:
@@ -185,6 +188,52 @@ def pieces(spark: SparkSession, tokenizer_path: str) -> DataFrame:
     return spark.createDataFrame(list(vocabulary(tokenizer_path).items()), "id int, piece string")
 
 
+def with_pieces(rows: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Rows with an id, joined with their pieces: the vocabulary has as many rows as the tokenizer file has ids. Rows of ids outside of it are left out."""
+    return rows.join(F.broadcast(pieces(rows.sparkSession, tokenizer_path)), "id")
+
+
+def packets_with_pieces(packets: DataFrame, tokenizer_path: str) -> DataFrame:
+    """The packets with the pieces of their distinct ids: a row for each id is joined with the vocabulary where it is, then put back into its packet.
+
+    A packet's own columns go with its first id alone.
+    """
+    at = packets.select("*", F.posexplode_outer("distinct").alias("_pos", "id")).drop("distinct")
+    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+    told = at.select("block", *[F.when(first, F.col(c)).alias(c) for c in ("codes", "lengths", "ids")], F.coalesce("_pos", F.lit(0)).alias("_pos"), "id")
+    none = pieces(packets.sparkSession, tokenizer_path)
+    joined = told.join(F.broadcast(none), "id", "left").select("block", "codes", "lengths", "ids", "_pos", "id", "piece")
+
+    def put_back(batches):
+        import pyarrow as pa
+
+        held: list | None = None
+
+        def packet():
+            block, codes, lengths, ids, own, texts = held
+            known = _pack(np.array(own, "<u4").tobytes(), "\n".join(texts).encode())
+            columns = [pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in (codes, lengths, ids, *known)]]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "codes", "lengths", "ids", "known", "pieces"])
+
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(4).to_numpy() == 0).tolist()
+            own, texts, blocks = batch.column(5).to_pylist(), batch.column(6).to_pylist(), batch.column(0)
+            for a, b in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+                if a in starts and b > a:
+                    if held is not None:
+                        yield packet()
+                    held = [blocks[a].as_py(), *[batch.column(i)[a].as_py() for i in (1, 2, 3)], [], []]
+                if b > a and own[a] is not None:
+                    if held is None or batch.column(4)[a].as_py() != len(held[4]):
+                        raise RuntimeError("a packet's ids came apart")
+                    held[4] += own[a:b]
+                    held[5] += texts[a:b]
+        if held is not None:
+            yield packet()
+
+    return joined.mapInArrow(put_back, "block long, codes binary, lengths binary, ids binary, known binary, pieces binary")
+
+
 def decode(rows: DataFrame, tokenizer_path: str, key: str, ids_col: str = "ids") -> DataFrame:
     """(key, text) of rows with an array of ids, by a join with the id-to-piece table.
 
@@ -192,18 +241,15 @@ def decode(rows: DataFrame, tokenizer_path: str, key: str, ids_col: str = "ids")
     too; ids outside the vocabulary are left out, no ids or null give "". ``key``
     must be unique.
     """
-    at = rows.select(key, F.posexplode(ids_col).alias("_pos", "id"))
-    joined = at.join(F.broadcast(pieces(rows.sparkSession, tokenizer_path)), "id")  # as many rows as the tokenizer file has ids
+    joined = with_pieces(rows.select(key, F.posexplode(ids_col).alias("_pos", "id")), tokenizer_path)
     texts = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "piece"))).alias("_pieces")).select(key, F.array_join(F.col("_pieces.piece"), " ").alias("text"))
     return rows.select(key).join(texts, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
     """Runs ``finish(doc_ids, ids of all texts, ends, decoded words, their codes, code ends)`` on each block."""
-    spark = docs.sparkSession
     blocks = write_blocks(docs, tokenizer_path, id_col, text_col)
-    packets = encoded_words(block_words(blocks), tokenizer_path)
-    table = spark.sparkContext.broadcast(vocabulary(tokenizer_path))  # the vocabulary: bounded by the tokenizer file
+    packets = packets_with_pieces(encoded_words(block_words(blocks), tokenizer_path), tokenizer_path)
 
     def assemble(key, left, right):
         import pyarrow as pa
@@ -213,10 +259,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
         ids, known, counts, planes = _read_block(left.column("path")[0].as_py(), (0, 1, 2, 3))
         counts = np.frombuffer(counts, "<i8")
         codes, lengths, runs = [], [], []
-        for c, n, r in zip(right.column("codes").to_pylist(), right.column("lengths").to_pylist(), right.column("ids").to_pylist(), strict=True):
+        piece_of: dict[int, str] = {}
+        for c, n, r, i, p in zip(*[right.column(x).to_pylist() for x in ("codes", "lengths", "ids", "known", "pieces")], strict=True):
             codes.append(_codes(decompress(c)))
             lengths.append(np.frombuffer(decompress(n), "<u2").astype(np.int64))
             runs.append(_codes(decompress(r)))
+            if i := np.frombuffer(decompress(i), "<u4").tolist():
+                piece_of.update(zip(i, decompress(p).decode().split("\n"), strict=True))
         n_words = left.column("words")[0].as_py()
         if n_words:
             codes, lengths, runs = np.concatenate(codes), np.concatenate(lengths), np.concatenate(runs)
@@ -228,7 +277,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
         else:
             values, total = np.zeros(0, "<u4"), np.zeros(0, np.int64)
         starts = np.cumsum(total) - total
-        piece = list(map(table.value.__getitem__, values.tolist()))
+        piece = list(map(piece_of.__getitem__, values.tolist()))
         words = [" ".join(piece[a:b]) for a, b in zip(starts.tolist(), (starts + total).tolist(), strict=True)]
         known = np.frombuffer(known, np.uint8)
         doc_ids = [i if k else None for i, k in zip(np.frombuffer(ids, "<i8").tolist(), known.tolist(), strict=True)]
