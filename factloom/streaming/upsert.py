@@ -1,8 +1,8 @@
 """Streaming sink of keyed rows: the last row of a key stays, batch after batch.
 
-The table lies in buckets of the key, each with a version for each batch that
-touched it: ``<path>/bucket=<n>/v=<epoch>``. A batch reads and writes the buckets of
-its own keys alone, so its cost follows the batch, not the table.
+The table lies in buckets of the key, and each batch makes a version of the buckets
+that it touches: ``<path>/v=<epoch>/_bucket=<n>``. A batch reads and writes the
+buckets of its own keys alone, in one job, so its cost follows the batch, not the table.
 """
 
 from __future__ import annotations
@@ -30,15 +30,17 @@ def upserting(path: str, keys: list[str], order: str, buckets: int = BUCKETS) ->
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*").withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
-        touched = sorted(r["_bucket"] for r in last.select("_bucket").distinct().collect())  # ``buckets`` rows at most
-        for bucket in touched:
-            new, folder = last.where(F.col("_bucket") == bucket).drop("_bucket"), f"{path}/bucket={bucket:04d}"
-            before = _versions(spark, folder, epoch)
-            old = spark.read.parquet(f"{folder}/{before[-1]}") if before else None
-            (new if old is None else upsert(old, new, keys)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{_name(epoch)}")
-            for name in before[: -KEPT or None]:
-                _remove(spark, f"{folder}/{name}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*").withColumn("_bucket", bucket).persist()
+        touched = [r["_bucket"] for r in last.select("_bucket").distinct().collect()]  # ``buckets`` rows at most
+        before = _index(spark, path, epoch)
+        own = [before[b][-1] for b in touched if b in before]
+        rows = upsert(spark.read.parquet(*own).withColumn("_bucket", bucket), last, keys) if own else last
+        if touched:
+            rows.repartition(len(touched), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/v={epoch:012d}")
+        for b in touched:
+            for old in before.get(b, [])[: -KEPT or None]:
+                _remove(spark, old)
         last.unpersist()
 
     return run
@@ -46,21 +48,24 @@ def upserting(path: str, keys: list[str], order: str, buckets: int = BUCKETS) ->
 
 def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The newest rows (of versions older than ``before``, which must still be there), or None."""
-    paths = []
-    for bucket in _names(spark, path):
-        if bucket.startswith("bucket=") and (found := _versions(spark, f"{path}/{bucket}", before)):
-            paths.append(f"{path}/{bucket}/{found[-1]}")
+    paths = [versions[-1] for versions in _index(spark, path, before).values()]
     return spark.read.parquet(*paths) if paths else None
 
 
-def _name(epoch: int) -> str:
-    return f"v={epoch:012d}"
-
-
-def _versions(spark: SparkSession, folder: str, before: int | None) -> list[str]:
-    """The whole versions of a bucket, oldest first."""
-    fs, _ = _folder(spark, folder)
-    return sorted(n for n in _names(spark, folder) if n.startswith("v=") and (before is None or int(n[2:]) < before) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+def _index(spark: SparkSession, path: str, before: int | None) -> dict[int, list[str]]:
+    """The folders of each bucket, oldest first, of whole versions older than ``before``; versions without buckets are removed."""
+    found: dict[int, list[str]] = {}
+    for name in _names(spark, path):
+        if name.startswith("v=") and (before is None or int(name[2:]) < before):
+            inside = _names(spark, f"{path}/{name}")
+            if "_SUCCESS" not in inside:
+                continue
+            own = [x for x in inside if x.startswith("_bucket=")]
+            if not own:
+                _remove(spark, f"{path}/{name}")
+            for x in own:
+                found.setdefault(int(x.partition("=")[2]), []).append(f"{path}/{name}/{x}")
+    return found
 
 
 def _folder(spark: SparkSession, path: str):
