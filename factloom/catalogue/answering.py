@@ -294,3 +294,13 @@ def full_trace(spark, sf):
         "conv_id", "turn", F.when(last["triggered"], last["guard"]).alias("reason_guard"), n.alias("n_decisions"), ids.alias("scheme_ids"), F.get_json_object("t", "$.stage1").alias("stage1"), F.get_json_object("t", "$.stage2").isNull().alias("stage2_missing"),
         (F.get_json_object("t", "$.stage6.retry_count") == "1").eqNullSafe(F.lit(True)).alias("retried"),
     )
+
+
+SHOWN_SQL = f"SELECT conv_id, turn, role, text, left(trim(regexp_replace(question, '\\s+', ' ', 'g')), 500) AS question FROM ({QUESTION_SQL})"
+
+
+@query(HINT_SQL.replace(QUESTION_SQL, SHOWN_SQL) + f""", r AS (SELECT conv_id, turn, CASE WHEN kind IS NOT NULL THEN 'pii' WHEN advice AND intent = 'advice' THEN 'advice' WHEN performance THEN 'performance' WHEN foreign_name IS NOT NULL OR (len(ids) = 0 AND hint IS NULL AND {SCOPE_SQL}) THEN 'out_of_corpus' END AS refusal_type FROM h)
+    SELECT conv_id, turn, refusal_type, 'refused' AS status, 0 AS retries FROM r WHERE refusal_type IS NOT NULL""")
+def answer_refusals(spark, sf):
+    """Of all user turns answered: those that a guard stopped, which never reach the search."""
+    return answer_batch(spark, sf).where("refusal_type is not null and refusal_type <> 'ungrounded'").select("conv_id", "turn", "refusal_type", "status", "retries")
