@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import fresh, stored
+from factloom.llm.shared import fresh, stored, tidy
 from factloom.llm.tokens import gather, slices
 
 Q, SHORT_Q = 12, 8
@@ -234,7 +234,7 @@ def _searched(rows: DataFrame, columns: list[str], parts: list[list[tuple]], q:
             arrays[items_at], arrays[edits_at] = pa.array(items, pa.list_(pa.int64())), pa.array(edits, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)
 
 
 def _groups(parts, size: int):

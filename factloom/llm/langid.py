@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from factloom.llm.shared import fresh, stored
+from factloom.llm.shared import fresh, give_back, stored, tidy
 from factloom.llm.tokens import slices
 
 BITS = 12
@@ -33,8 +33,8 @@ PER_LANGUAGE, OTHERS = 500, 2_000
 #: Times PER_LANGUAGE that are ranked; so many that the first PER_LANGUAGE hashes are among them but for a chance beyond any machine's.
 SPARE = 4
 BLOCK_BYTES = 1 << 20
-#: Texts whose features are held as rows at once.
-ROWS = 256
+#: Texts whose features are held as rows at once, and characters that are counted at once: a longer text goes on in pieces.
+ROWS, PIECE = 128, 1 << 18
 UNDETERMINED = "und"
 
 #: Families of common languages; any other language is a family by itself.
@@ -65,28 +65,45 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets of the grams from each character on, two rows; each text's first place; whether it has a letter)."""
-    whole = "".join([f"  {t.lower()}  " for t in texts]) + "  "  # the last text's grams end in a gap like the others'
-    sizes = np.fromiter((len(t.lower()) + 4 for t in texts), np.int64, len(texts))
-    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
-    is_letter = letters()[codes]
-    codes, is_letter = np.where(is_letter, codes, 32).astype(np.uint32), is_letter[:-2]
-    starts = np.cumsum(sizes) - sizes
-    two = codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA77)
-    three = two[:-1] * np.uint32(0xC2B2AE3D) + codes[2:] * np.uint32(0x27D4EB2F)
-    # a text begins and ends with two gaps, so no gram has letters of two texts
-    out = np.stack([two[:-1] >> np.uint32(32 - BITS), three >> np.uint32(32 - BITS)]).astype(np.int32)
-    return out, starts, np.logical_or.reduceat(is_letter, starts) if len(starts) else np.zeros(0, bool)
+def _pieces(texts: list[str]):
+    """Lists of (text's number, its characters from a place on, grams that start there), of PIECE characters or one piece more; a gram is in one piece."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        text = f"  {text.lower()}    "  # begins and ends with two gaps, so no gram has letters of two texts; two more for the last grams
+        for at in range(0, len(text) - 2, PIECE):
+            part = text[at : at + PIECE + 2]
+            held.append((i, part, len(part) - 2))
+            size += len(part)
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def shares(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(a row of 2 * BUCKETS gram shares for each text, scaled to be around one for common grams; whether it has a letter)."""
-    at, starts, lettered = grams(texts)
-    sizes = np.diff(np.append(starts, at.shape[1]))
-    row = np.repeat(np.arange(len(texts), dtype=np.int64) * BUCKETS, sizes)
-    counts = [np.bincount(row + at[k], minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS) for k in (0, 1)]
-    return (np.concatenate(counts, axis=1) * (SCALE / sizes)[:, None]).astype(np.float32), lettered
+    counts, sizes, lettered = np.zeros((len(texts), 2 * BUCKETS), np.float32), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+    for pieces in _pieces(texts):
+        codes = np.frombuffer("".join([p for _, p, _ in pieces]).encode("utf-32-le", "surrogatepass"), "<u4")
+        is_letter = letters()[codes]
+        codes = np.where(is_letter, codes, 32).astype(np.uint32)
+        n = np.fromiter((x for _, _, x in pieces), np.int64, len(pieces))
+        which = np.fromiter((i for i, _, _ in pieces), np.int64, len(pieces))
+        starts_gram = np.ones(len(codes), bool)
+        ends = np.cumsum(n + 2)
+        starts_gram[ends - 1] = starts_gram[ends - 2] = False
+        at = np.flatnonzero(starts_gram)
+        two = codes[at] * np.uint32(0x9E3779B1) + codes[at + 1] * np.uint32(0x85EBCA77)
+        three = two * np.uint32(0xC2B2AE3D) + codes[at + 2] * np.uint32(0x27D4EB2F)
+        first, last = int(which[0]), int(which[-1]) + 1
+        row = np.repeat((which - first) * BUCKETS, n)
+        for k, grams in enumerate((two, three)):
+            found = np.bincount(row + (grams >> np.uint32(32 - BITS)), minlength=(last - first) * BUCKETS)
+            counts[first:last, k * BUCKETS : (k + 1) * BUCKETS] += found.reshape(last - first, BUCKETS)
+        np.add.at(sizes, which, n)
+        np.logical_or.at(lettered, which, np.logical_or.reduceat(is_letter, ends - n - 2))
+    return counts * (SCALE / np.maximum(sizes, 1)).astype(np.float32)[:, None], lettered
 
 
 SCALE = 30.0
@@ -97,14 +114,15 @@ def fit_linear(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 30, s
     w, bias, alpha, rng = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(x)), np.random.default_rng(seed)
     weight = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())) * len(y) / 2  # classes count alike
     diagonal = 1 / (2 * c * weight)
-    norms = np.einsum("ij,ij->i", x, x) + 1 + diagonal
+    norms = np.array([float(row @ row) for row in (r.astype(np.float32) for r in x)]) + 1 + diagonal
     for _ in range(rounds):
         for i in rng.permutation(len(x)):
-            gradient = y[i] * (float(x[i] @ w) + bias) - 1 + diagonal[i] * alpha[i]
+            row = x[i].astype(np.float32, copy=False)  # rows may be held in half precision
+            gradient = y[i] * (float(row @ w) + bias) - 1 + diagonal[i] * alpha[i]
             new = max(0.0, alpha[i] - gradient / norms[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w += np.float32(step) * x[i]
+                w += np.float32(step) * row
                 bias += step
                 alpha[i] = new
     return np.append(w.astype(np.float64), bias)
@@ -222,7 +240,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     x, _ = shares(own.column(2).to_pylist())
                     yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], names=["lang", "nth", "x"])
 
-    told = stored(sample.mapInArrow(features, "lang string, nth int, x binary"), "language-sample")
+    told = stored(sample.mapInArrow(tidy(features), "lang string, nth int, x binary"), "language-sample")
     sides = spark.createDataFrame(machines, "machine string, lang string, own boolean, quota int")
     fitted = told.join(F.broadcast(sides), "lang").where(F.col("nth") <= F.col("quota")).select("machine", "own", "lang", "nth", "x").groupBy("machine").applyInArrow(_fitted, "machine string, weights binary")
     return with_weights(model, {r["machine"]: np.frombuffer(r["weights"], "<f4").astype(np.float64) for r in fitted.collect()})  # a row for each machine
@@ -233,10 +251,14 @@ def _fitted(table):
     import pyarrow as pa
 
     table = table.sort_by([("lang", "ascending"), ("nth", "ascending")])
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), "<f2").reshape(table.num_rows, 2 * BUCKETS)
+    packed = table["x"].combine_chunks()
+    x = np.frombuffer(packed.buffers()[2], "<f2", table.num_rows * 2 * BUCKETS, packed.offset * 4 * BUCKETS).reshape(table.num_rows, 2 * BUCKETS)
     own = table["own"].to_numpy(zero_copy_only=False).astype(bool)
-    weights = fit_linear(x.astype(np.float32), np.where(own, 1.0, -1.0)).astype("<f4")
-    return pa.table({"machine": table["machine"][:1], "weights": pa.array([weights.tobytes()], pa.binary())})
+    weights = fit_linear(x, np.where(own, 1.0, -1.0)).astype("<f4")
+    out = pa.table({"machine": table["machine"][:1], "weights": pa.array([weights.tobytes()], pa.binary())})
+    del x, packed, table
+    give_back()
+    return out
 
 
 def _predicted(batch_texts, model: Model) -> tuple[list[str], list[float]]:
@@ -265,7 +287,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str, to: tuple[str, s
             columns[-2:] = [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, schema).drop(text)
+    return rows.mapInArrow(tidy(run), schema).drop(text)
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:

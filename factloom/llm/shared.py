@@ -38,13 +38,53 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what ``stored`` wrote: for tables that only other stored tables were made of."""
+    for df in tables:
+        remove(df.sparkSession, df.stored_at)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Hadoop's names of stores that have another one in Arrow.
 SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system: its worker lives on, beside others that need the memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library keeps what it keeps
+        return
+
+
+def tidy(run):
+    """A function of Arrow batches that gives back its memory at its end."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path in it) of a folder or file of the shared store, whose schemes are Hadoop's."""
     from pyarrow import fs

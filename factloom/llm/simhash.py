@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import stored
+from factloom.llm.shared import discard, stored
 
 SEED = 42
 #: Shingles hashed at once; a longer text goes on in parts.
@@ -61,41 +61,55 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, fp long")
 
 
+def ring(bits: int, m: int) -> tuple[list[int], list[int]]:
+    """(edges of m segments of 64 bits, the most bits that runs of 1 to m segments of a chain may differ in)."""
+    return [64 * i // m for i in range(m + 1)], [length * bits // m for length in range(1, m + 1)]
+
+
+def segment(fp: Column, edges: list[int], i: int) -> Column:
+    return F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+
+
+def chain_from(differ: Column, i: int, edges: list[int], share: list[int]) -> Column:
+    """Whether every run from segment i on, short of the whole ring, stays within its share; ``differ`` is two fingerprints' exclusive or."""
+    m = len(share)
+    good, total = F.lit(True), F.lit(0)
+    for length in range(m - 1):
+        total = total + F.bit_count(segment(differ, edges, (i + length) % m))
+        good = good & (total <= share[length])
+    return good
+
+
+def near(a: Column, b: Column, bits: int, m: int = 8) -> Column:
+    """Whether two fingerprints differ in at most ``bits`` bits: some chain of segments within its shares first, then all bits."""
+    edges, share = ring(bits, m)
+    differ = a.bitwiseXOR(b)
+    some = F.lit(False)
+    for i in range(m):
+        some = some | chain_from(differ, i, edges, share)
+    return some & (F.bit_count(differ) <= bits)
+
+
 def links(prints: DataFrame, bits: int = 3) -> DataFrame:
     """(a, b), a < b, of all fingerprints of ``prints`` (column fp, distinct) at 1 to ``bits`` bits; a pair may come more than once."""
     if not 0 <= bits <= 12:
         raise ValueError("from 0 to 12 bits")
     m = max(3, bits + 1)
-    edges = [64 * i // m for i in range(m + 1)]
+    edges, share = ring(bits, m)
     wide = [edges[i + 1] - edges[i] for i in range(m)]
-    share = [length * bits // m for length in range(1, m + 1)]
-
-    def segment(fp: Column, i: int) -> Column:
-        return F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << wide[i]) - 1))
-
     fp = F.col("fp")
-    ring = [(i, (i + 1) % m) for i in range(m)]
     keys, probes = [], []
-    for i, j in ring:
-        head = F.shiftleft(segment(fp, i), wide[j])
-        keys.append(F.struct(F.lit(i).alias("chain"), head.bitwiseOR(segment(fp, j)).alias("key")))
-        near = [0, *(1 << k for k in range(wide[j]))] if share[1] else [0]
-        probes += [F.struct(F.lit(i).alias("chain"), head.bitwiseOR(segment(fp, j).bitwiseXOR(F.lit(x))).alias("key")) for x in near]
+    for i, j in [(i, (i + 1) % m) for i in range(m)]:
+        head = F.shiftleft(segment(fp, edges, i), wide[j])
+        keys.append(F.struct(F.lit(i).alias("chain"), head.bitwiseOR(segment(fp, edges, j)).alias("key")))
+        flips = [0, *(1 << k for k in range(wide[j]))] if share[1] else [0]
+        probes += [F.struct(F.lit(i).alias("chain"), head.bitwiseOR(segment(fp, edges, j).bitwiseXOR(F.lit(x))).alias("key")) for x in flips]
     left = prints.select(fp.alias("a"), F.explode(F.array(*probes)).alias("k")).select("a", "k.chain", "k.key")
     right = prints.select(fp.alias("b"), F.explode(F.array(*keys)).alias("k")).select("b", "k.chain", "k.key")
     differ = F.col("a").bitwiseXOR(F.col("b"))
-
-    def within(i: int) -> Column:
-        """Every run from segment i on stays within its share."""
-        good, total = F.lit(True), F.lit(0)
-        for length in range(m - 1):
-            total = total + F.bit_count(segment(differ, (i + length) % m))
-            good = good & (total <= share[length])
-        return good
-
     chain = F.lit(False)
     for i in range(m):
-        chain = F.when(F.col("chain") == i, within(i)).otherwise(chain)
+        chain = F.when(F.col("chain") == i, chain_from(differ, i, edges, share)).otherwise(chain)
     return left.join(right, ["chain", "key"]).where("a < b").where(chain).where(F.bit_count(differ) <= bits).select("a", "b")
 
 
@@ -127,8 +141,9 @@ def components(edges: DataFrame, name: str = "star") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(_anew("a"), "m")
         small = large.withColumns({"_key": _key("a")}).join(least, "_key")
         small = small.select("a", F.col("m").alias("b")).unionAll(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        now = stored(small, name)
+        last, now = now, stored(small, name)
         after = mark(now)
+        discard(last)
         if after == before:
             break
         before = after

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import filesystem, shared_folder, stored, write_atomically
+from factloom.llm.shared import discard, filesystem, remove, shared_folder, stored, write_atomically
 
 #: A file ends after so many bytes of records, or so many records.
 FILE_BYTES, FILE_RECORDS = 32 << 20, 20_000
@@ -267,7 +267,9 @@ def convert(arcs: DataFrame, least_bytes: int = 0) -> DataFrame:
                 write_atomically(f"{folder}/{out_name}", fill)
                 yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{out_name}"])], names=["path"])
 
-    return stored(by_file.mapInArrow(write, "path string"), "warc-list")
+    warcs = stored(by_file.mapInArrow(write, "path string"), "warc-list")
+    discard(digests)
+    return warcs
 
 
 def read_warcs(warcs: DataFrame) -> DataFrame:
@@ -311,7 +313,10 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     largest. Repeated rows of the largest id are all responses. Other columns are
     not read. An empty table gives no rows.
     """
-    records = stored(read_warcs(convert(write_arcs(pages, id_col, url_col, html_col), least_bytes)), "warc-records")
+    arcs = write_arcs(pages, id_col, url_col, html_col)
+    records = stored(read_warcs(convert(arcs, least_bytes)), "warc-records")
+    for row in arcs.limit(1).collect():  # the ARC files were made here alone; the archives stay
+        remove(arcs.sparkSession, row["path"].rsplit("/", 1)[0])
     responses = records.where("record_type = 'response' and row is not null").select(F.col("record_id").alias("refers_to_id"), F.col("row").alias("refers_to")).distinct()
     referred = records.select("refers_to_id").where("refers_to_id is not null").distinct()
     targets = responses.join(referred, "refers_to_id", "left_semi")

@@ -27,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import fresh, stored
+from factloom.llm.shared import discard, fresh, stored
 from factloom.llm.url_filter import host_of
 
 #: Different pages that must share a text in a slot, and their share of the pages that have the slot.
@@ -365,11 +365,16 @@ def _alignments(outlines: DataFrame, by: str) -> DataFrame:
     return stored(pairs.mapInArrow(align, f"{by} string, tree_id long, aligned array<long>"), "alignments")
 
 
-def _wrapper(outlines: DataFrame, by: str) -> DataFrame:
-    """by, texts (constant texts with their slots) and stock (slots): only slots of the reference occur, so a wrapper is as large as some pages at most."""
-    placed = outlines.join(_alignments(outlines, by), [by, "tree_id"])
+def _wrapper(outlines: DataFrame, by: str, made: list[DataFrame]) -> DataFrame:
+    """by, texts (constant texts with their slots) and stock (slots): only slots of the reference occur, so a wrapper is as large as some pages at most.
+
+    ``made`` gets the tables that are stored on the way.
+    """
+    alignments = _alignments(outlines, by)
+    placed = outlines.join(alignments, [by, "tree_id"])
     blocks = placed.select(by, "aligned", F.explode(F.arrays_zip("slots", "hashes", "open")).alias("b")).where(F.array_contains("aligned", F.col("b.slots")))
     counts = stored(blocks.groupBy(by, F.col("b.slots").alias("slot"), F.col("b.hashes").alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.bool_and("b.open").alias("open")), "slot-texts")
+    made += [alignments, counts]
     # a page with several texts in a slot is one page that has the slot
     having = placed.select(by, F.explode(F.array_intersect(F.array_distinct("slots"), "aligned")).alias("slot")).groupBy(by, "slot").agg(F.count(F.lit(1)).alias("pages"))
     told = counts.join(having, [by, "slot"]).withColumn("constant", (F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("pages")))
@@ -387,13 +392,17 @@ def induced(pages: DataFrame, host: str, html_col: str) -> DataFrame:
     # of a host's pages of equal content the one with the smallest hash counts
     one = F.min_by(F.struct("tree_id", "tree", "slots", "hashes", "open"), "page").alias("p")
     outlines = stored(read.groupBy("host", "content").agg(one).select("host", site_of(F.col("host")).alias("site"), "p.*"), "outlines-told-apart")
-    own = _wrapper(outlines, "host").select("host", F.col("texts").alias("own_texts"), F.col("stock").alias("own_stock"))
-    sites = _wrapper(outlines, "site").select("site", F.col("texts").alias("site_texts"), F.col("stock").alias("site_stock"))
+    discard(read)
+    made: list[DataFrame] = [outlines]
+    own = _wrapper(outlines, "host", made).select("host", F.col("texts").alias("own_texts"), F.col("stock").alias("own_stock"))
+    sites = _wrapper(outlines, "site", made).select("site", F.col("texts").alias("site_texts"), F.col("stock").alias("site_stock"))
     hosts = outlines.select("host", "site").distinct()
     none, no_texts = F.array().cast("array<long>"), F.array().cast("array<struct<slot:long,hash:long>>")
     both = hosts.join(own, "host", "left").join(sites, "site", "left")
     wrappers = both.select("host", F.array_union(F.coalesce("own_texts", no_texts), F.coalesce("site_texts", no_texts)).alias("texts"), F.array_union(F.coalesce("own_stock", none), F.coalesce("site_stock", none)).alias("stock"))
-    return wrappers.where((F.size("texts") > 0) | (F.size("stock") > 0))
+    out = stored(wrappers.where((F.size("texts") > 0) | (F.size("stock") > 0)), "wrappers")
+    discard(*made)
+    return out
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", wrappers: bool = True) -> DataFrame:
@@ -410,7 +419,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     page_host, page_html, page_texts, page_stock = fresh(pages.select(id_col), "_host", "_html", "_texts", "_stock")
     rows = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias(page_html)).withColumn(page_host, host_of(F.col("url")))
     if wrappers:
-        made = stored(induced(rows, page_host, page_html), "wrappers").select(F.col("host").alias(page_host), F.col("texts").alias(page_texts), F.col("stock").alias(page_stock))
+        made = induced(rows, page_host, page_html).select(F.col("host").alias(page_host), F.col("texts").alias(page_texts), F.col("stock").alias(page_stock))
         joined = rows.join(made, page_host, "left")
     else:
         joined = rows.withColumns({page_texts: F.lit(None).cast("array<struct<slot:long,hash:long>>"), page_stock: F.lit(None).cast("array<long>")})
