@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import filesystem, shared_folder, stored, write_atomically
+from factloom.llm.shared import discard, filesystem, shared_folder, stored, write_atomically
 from factloom.llm.tokens import CachedEncoder, slices
 
 MAGIC = b"PLNSTOR1"
@@ -143,7 +143,7 @@ def _encoder(tokenizer_path: str) -> CachedEncoder:
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1) -> DataFrame:
-    """_id, _hash (of the text) and _ids of each row: little-endian integers of 16 bits where the vocabulary fits in them, else of 32.
+    """_id, _hash (of the text) and _ids of each row: a text's ids as byte planes of 16-bit integers where the vocabulary fits in them, else of 32-bit ones, packed.
 
     A null text is empty. Texts are encoded where they are read; nothing moves.
     """
@@ -155,15 +155,17 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
+        import zstandard
 
+        pack, end = zstandard.ZstdCompressor(level=1).compress, np.array([] if end_id is None else [end_id], kind)
         for batch in batches:
             texts = pc.fill_null(batch.column(2), "")
             packed = []
             for start, stop in slices(texts, BLOCK_BYTES):
                 ids, ends = _encoder(tokenizer_path).encode(texts.slice(start, stop - start))
                 ids, ends = ids.astype(kind), ends.tolist()
-                end = np.array([end_id], kind).tobytes() if end_id is not None else b""
-                packed += [ids[a:b].tobytes() + end for a, b in zip([0, *ends], ends, strict=False)]
+                for a, b in zip([0, *ends], ends, strict=False):
+                    packed.append(pack(np.append(ids[a:b], end).view(np.uint8).reshape(-1, end.itemsize).T.tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["_id", "_hash", "_ids"])
 
     text = F.col(text_col).cast("string")
@@ -198,11 +200,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
             yield from batches
 
         def fill(out):
+            import zstandard
+
+            unpack = zstandard.ZstdDecompressor().decompress
             writer = PlaneWriter(out, planes, block)
             total = 0
             for batch in rows():
                 for doc, ids, wide in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    ids = np.frombuffer(ids, "<u4" if wide else "<u2").astype(np.uint32)
+                    size = 4 if wide else 2
+                    ids = np.ascontiguousarray(np.frombuffer(unpack(ids), np.uint8).reshape(size, -1).T).view(f"<u{size}").reshape(-1).astype(np.uint32)
                     writer.add(doc, ids)
                     total += len(ids)
             writer.close()
@@ -213,7 +219,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
 
     ids = stored(encoded(docs, tokenizer_path, id_col, text_col, end_id), "token-ids")
     ranged = ids.repartitionByRange("_id", "_hash").sortWithinPartitions("_id", "_hash").select("_id", "_ids", "_wide")
-    return stored(ranged.mapInArrow(write, "file_no long, path string, n_docs long, n_ids long"), "token-files")
+    files = stored(ranged.mapInArrow(write, "file_no long, path string, n_docs long, n_ids long"), "token-files")
+    discard(ids)
+    return files
 
 
 def read_token_files(files: DataFrame, id_name: str = "doc_id") -> DataFrame:
