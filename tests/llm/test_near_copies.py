@@ -56,3 +56,21 @@ def test_order_does_not_change_pairs(spark, monkeypatch):
     for most in (0, 50_000):
         monkeypatch.setattr(near_copies, "FREQUENT", most)
         assert {r["doc_id"] for r in near_copies.dedup(rows).collect()} == brute_kept(texts) == set(range(0, 30, 2))
+
+
+def test_a_large_group_is_no_square_of_pairs(spark, monkeypatch):
+    """Three hundred copies of one text, each with a word of its own, and others that share a passage with it."""
+    base = [f"b{i}" for i in range(200)]
+    texts = {n: " ".join([*base[: n % 50 + 5], f"own{n}", *base[n % 50 + 5 :]]) for n in range(300)}
+    texts |= {1000 + n: " ".join([*base[:12], *(f"o{n}x{i}" for i in range(40))]) for n in range(5)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    seen = []
+    links = near_copies._links
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_links", counted)
+    assert {r["doc_id"] for r in near_copies.dedup(rows).collect()} == brute_kept(texts)
+    assert sum(seen) < 300 * 10
