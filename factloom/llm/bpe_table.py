@@ -8,7 +8,7 @@
    are dealt and sorted by word; a word's rows lie together, and it is encoded
    once, at the first of them. A word that all texts share has one row for each
    block of about 16 MB, so no word makes a task large.
-3. Ids to pieces: the distinct ids of each packet of words are joined with the
+3. Ids to pieces: the distinct ids of what a task encoded are joined with the
    vocabulary, a table of ids and pieces, and go on with their pieces.
 4. Back by position: a block's packets meet; its codes turn into ids by one gather,
    and its words into text by the pieces that came with them.
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import filesystem, shared_folder, stored, write_atomically
+from factloom.llm.shared import filesystem, give_back, shared_folder, stored, tidy, write_atomically
 from factloom.llm.tokens import WordTokenizer, gather, slices
 
 BLOCK_BYTES = 16 << 20
@@ -92,7 +92,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: st
                 n += 1
 
     rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return stored(rows.mapInArrow(split, "block long, path string, words long"), "block-list")
+    return stored(rows.mapInArrow(tidy(split), "block long, path string, words long"), "block-list")
 
 
 def _read_block(path: str, which: tuple[int, ...]) -> list[bytes]:
@@ -123,7 +123,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
                     own = words[i : i + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(np.full(len(own), block)), pa.array(np.arange(i, i + len(own), dtype=np.int32))], names=["word", "block", "code"])
 
-    return spread(blocks).select("block", "path").mapInArrow(read, "word string, block long, code int")
+    return spread(blocks).select("block", "path").mapInArrow(tidy(read), "word string, block long, code int")
 
 
 def spread(blocks: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def spread(blocks: DataFrame) -> DataFrame:
 
 
 def encoded_words(pairs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Packets of (block; codes, numbers of ids, ids; distinct ids), each distinct word encoded once.
+    """Packets of (block; codes, numbers of ids, ids, own distinct ids), each distinct word encoded once; the first of those that are passed on together has all their distinct ids too.
 
     ``pairs`` are dealt by word here; within a task a word's rows are neighbours.
     """
@@ -149,9 +149,12 @@ def encoded_words(pairs: DataFrame, tokenizer_path: str) -> DataFrame:
             rows = []
             for block, (codes, lengths, runs) in held.items():
                 own = np.frombuffer(b"".join(runs), "<u4")
-                rows.append((block, *_pack(_planes(np.array(codes)), np.array(lengths, "<u2").tobytes(), _planes(own)), np.unique(own).astype(np.int32)))
+                known = np.unique(own)
+                rows.append((block, *_pack(_planes(np.array(codes)), np.array(lengths, "<u2").tobytes(), _planes(own), known.tobytes()), known))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)], pa.array([r[4] for r in rows], pa.list_(pa.int32()))], names=["block", "codes", "lengths", "ids", "distinct"])
+            every = np.unique(np.concatenate([r[5] for r in rows])).astype(np.int32)
+            distinct = pa.array([every if n == 0 else [] for n in range(len(rows))], pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4)], distinct], names=["block", "codes", "lengths", "ids", "known", "distinct"])
 
         for batch in batches:
             for word, block, code in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
@@ -173,7 +176,7 @@ def encoded_words(pairs: DataFrame, tokenizer_path: str) -> DataFrame:
             yield packets()
 
     by_word = pairs.repartition("word").sortWithinPartitions("word")
-    return by_word.mapInArrow(encode, "block long, codes binary, lengths binary, ids binary, distinct array<int>")
+    return by_word.mapInArrow(tidy(encode), "block long, codes binary, lengths binary, ids binary, known binary, distinct array<int>")
 
 
 def vocabulary(tokenizer_path: str) -> dict[int, str]:
@@ -194,44 +197,51 @@ def with_pieces(rows: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def packets_with_pieces(packets: DataFrame, tokenizer_path: str) -> DataFrame:
-    """The packets with the pieces of their distinct ids: a row for each id is joined with the vocabulary where it is, then put back into its packet.
+    """The packets with the pieces of their ids: a row for each distinct id of a task is joined with the vocabulary where it is, then packets take theirs.
 
-    A packet's own columns go with its first id alone.
+    The columns of the packet that brings the ids go with the first of them alone.
     """
+    own = ("codes", "lengths", "ids", "known")
     at = packets.select("*", F.posexplode_outer("distinct").alias("_pos", "id")).drop("distinct")
     first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
-    told = at.select("block", *[F.when(first, F.col(c)).alias(c) for c in ("codes", "lengths", "ids")], F.coalesce("_pos", F.lit(0)).alias("_pos"), "id")
-    none = pieces(packets.sparkSession, tokenizer_path)
-    joined = told.join(F.broadcast(none), "id", "left").select("block", "codes", "lengths", "ids", "_pos", "id", "piece")
+    told = at.select("block", *[F.when(first, F.col(c)).alias(c) for c in own], F.coalesce("_pos", F.lit(0)).alias("_pos"), "id")
+    joined = told.join(F.broadcast(pieces(packets.sparkSession, tokenizer_path)), "id", "left").select("block", *own, "_pos", "id", "piece")
 
-    def put_back(batches):
+    def take(batches):
         import pyarrow as pa
+        import zstandard
 
-        held: list | None = None
+        decompress = zstandard.ZstdDecompressor().decompress
+        piece_of: dict[int, str] = {}
+        held: tuple | None = None
 
         def packet():
-            block, codes, lengths, ids, own, texts = held
-            known = _pack(np.array(own, "<u4").tobytes(), "\n".join(texts).encode())
-            columns = [pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in (codes, lengths, ids, *known)]]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "codes", "lengths", "ids", "known", "pieces"])
+            texts = [piece_of[i] for i in np.frombuffer(decompress(held[4]), "<u4").tolist()]
+            columns = [pa.array([held[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in (*held[1:], *_pack("\n".join(texts).encode()))]]
+            return pa.RecordBatch.from_arrays(columns, names=["block", *own, "pieces"])
 
         for batch in batches:
-            starts = np.flatnonzero(batch.column(4).to_numpy() == 0).tolist()
-            own, texts, blocks = batch.column(5).to_pylist(), batch.column(6).to_pylist(), batch.column(0)
-            for a, b in zip([0, *starts], [*starts, batch.num_rows], strict=True):
-                if a in starts and b > a:
+            places, ids, texts = batch.column(5).to_numpy(), batch.column(6).to_pylist(), batch.column(7).to_pylist()
+            starts = np.flatnonzero(places == 0).tolist()
+            if starts[:1] != [0]:
+                starts.insert(0, 0)
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if places[a] == 0:
                     if held is not None:
                         yield packet()
-                    held = [blocks[a].as_py(), *[batch.column(i)[a].as_py() for i in (1, 2, 3)], [], []]
-                if b > a and own[a] is not None:
-                    if held is None or batch.column(4)[a].as_py() != len(held[4]):
-                        raise RuntimeError("a packet's ids came apart")
-                    held[4] += own[a:b]
-                    held[5] += texts[a:b]
+                    held = tuple(batch.column(i)[a].as_py() for i in range(5))
+                    if ids[a] is not None:
+                        piece_of = {}
+                elif held is None or places[a] != len(piece_of):
+                    raise RuntimeError("the ids of a task came apart")
+                if ids[a] is not None:
+                    piece_of.update(zip(ids[a:b], texts[a:b], strict=True))
         if held is not None:
             yield packet()
 
-    return joined.mapInArrow(put_back, "block long, codes binary, lengths binary, ids binary, known binary, pieces binary")
+    return joined.mapInArrow(tidy(take), "block long, codes binary, lengths binary, ids binary, known binary, pieces binary")
 
 
 def decode(rows: DataFrame, tokenizer_path: str, key: str, ids_col: str = "ids") -> DataFrame:
@@ -287,7 +297,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
             own = in_order[at : at + n]
             at += n
             rows.append(finish(doc, gather(starts, total, values, own)[0], own, words))
-        return pa.Table.from_pylist(rows, schema=arrow_schema)
+        out = pa.Table.from_pylist(rows, schema=arrow_schema)
+        del rows, codes, lengths, runs, values, piece, words, in_order, left, right
+        give_back()
+        return out
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
