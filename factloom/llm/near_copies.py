@@ -14,8 +14,8 @@ whole sets decide. Any order gives the same pairs: shingles that are frequent in
 sample go last, so that they are seldom keys.
 
 What is asked for is components, so a group of g copies need not become g * g
-pairs. First the sets of a key are compared with the key's least and greatest set
-alone (two stars, 2 g pairs), which makes most of a group one component; then only
+pairs. First the sets of a key are compared with a few of them alone (CENTERS stars),
+which makes most of a group one component; then only
 sets of one key that are still in different components are compared. A link within
 a component changes nothing. Keys that a single set has are
 left out before anything is joined, and equal sets are one node.
@@ -31,8 +31,11 @@ from pyspark.sql import functions as F
 from factloom.llm.shared import fresh, stored, tidy
 from factloom.llm.simhash import PART, SEED, components, near
 
-#: Rows of the sample that tells frequent shingles, and the most shingles taken from it; they bear on speed alone.
-SAMPLE, FREQUENT = 10_000, 50_000
+#: Share of the rows that tells frequent shingles (a share, so that what escapes it is in a bounded number of texts at
+#: any size) and the most shingles taken from it, 8 bytes each in a broadcast; they bear on speed alone.
+SAMPLE, FREQUENT = 0.2, 500_000
+#: Sets of each key that all others of the key are compared with first.
+CENTERS = 6
 #: Bits that fingerprints of similar sets may differ in. Pairs at 0.8 differ in 9.7 bits (12 where a set has five
 #: shingles) with a deviation of 2.9 (3.1): 26 bits are more than four deviations off, unlike sets differ in 32.
 NEAR_BITS = 26
@@ -76,8 +79,8 @@ def _least(share: float, n: int) -> int:
     return math.ceil(share * n - 1e-9)
 
 
-def frequent(docs: DataFrame, text_col: str, words: int) -> list[int]:
-    """The shingles in several rows of a sample, the most frequent last."""
+def frequent(docs: DataFrame, text_col: str, words: int) -> bytes:
+    """The shingles in several rows of a sample, the most frequent last, as packed longs."""
 
     def run(batches):
         import pyarrow as pa
@@ -86,9 +89,12 @@ def frequent(docs: DataFrame, text_col: str, words: int) -> list[int]:
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words))], names=["key"])
 
-    sample = docs.select(text_col).sample(min(1.0, SAMPLE / max(1, docs.count())), SEED)
-    seen = sample.mapInArrow(run, "key long").groupBy("key").count().where("count > 2")
-    return [r["key"] for r in seen.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()][::-1]
+    import numpy as np
+
+    sample = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(1_000)) < SAMPLE * 1_000)
+    seen = sample.mapInArrow(tidy(run), "key long").groupBy("key").count().where("count > 2")
+    top = seen.orderBy(F.desc("count"), "key").limit(FREQUENT).select("key").toArrow()["key"].to_numpy()
+    return np.ascontiguousarray(top[::-1], "<i8").tobytes()
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
@@ -99,7 +105,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, least: fl
         import numpy as np
         import pyarrow as pa
 
-        told = np.array(late.value, np.int64)
+        told = np.frombuffer(late.value, "<i8")
         by = np.argsort(told)
         told = told[by]
         for batch in batches:
@@ -153,8 +159,8 @@ def _similar(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(key, node, n, at), once each, of the keys that several sets have."""
-    keys = rows.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    """(key, node, n, fp, at), once each, of the keys that several sets have."""
+    keys = rows.select("node", "n", "fp", F.posexplode("keys").alias("at", "key"))
     # least and greatest set of a key: partial, and a set that very many rows have counts once
     ends = keys.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("key")
     return keys.join(ends, "key", "left_semi").dropDuplicates(["key", "node"])
@@ -170,15 +176,15 @@ def _pruned(found: DataFrame, least: float) -> DataFrame:
 
 
 def _stars(shared: DataFrame, least: float) -> DataFrame:
-    """Pairs of each key's least and greatest set with the others of the key.
+    """Pairs of CENTERS sets of each key (those with the least of several hashes, the same ones wherever they occur) with the others of the key.
 
-    Only keys with these ends are counted for a pair, so a similar pair may be
+    Only keys with these centres are counted for a pair, so a similar pair may be
     pruned here; it is found where sets that are still apart are compared.
     """
-    one = F.struct("node", "n", "at")
+    least_of = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "fp", "at")).alias(f"c{i}") for i in range(CENTERS)]
     # the key is made anew, so that the rows of a key that very many sets have can be split in the join
-    centers = shared.groupBy("key").agg(F.min(one).alias("x"), F.max(one).alias("y")).select(F.bitwise_not("key").alias("_key"), F.explode(F.array("x", "y")).alias("c"))
-    found = shared.withColumn("_key", F.bitwise_not("key")).join(centers, "_key").where("node <> c.node")
+    centers = shared.groupBy("key").agg(*least_of).select(F.bitwise_not("key").alias("_key"), F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"c{i}.{x}").alias(x) for x in ("node", "n", "fp", "at")]) for i in range(CENTERS)]))).alias("c"))
+    found = shared.withColumn("_key", F.bitwise_not("key")).join(centers, "_key").where((F.col("node") != F.col("c.node")) & near(F.col("fp"), F.col("c.fp"), NEAR_BITS))
     first = F.col("node") < F.col("c.node")
 
     def end(here: str, low: bool) -> Column:
@@ -193,15 +199,14 @@ def _across(shared: DataFrame, stars: DataFrame, least: float) -> DataFrame:
     # keys whose sets are all in one component have nothing left to compare
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
     left = stored(rooted.join(open_keys, "key", "left_semi"), "near-open").withColumn("_key", F.bitwise_not("key"))
-    x, y = (left.select("_key", F.col("node").alias(s), F.col("root").alias(f"root_{s}"), F.col("n").alias(f"n_{s}"), F.col("at").alias(f"at_{s}")) for s in "ab")
-    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9
-    return _pruned(x.join(y, "_key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near), least)
+    x, y = (left.select("_key", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("root", "n", "fp", "at")]) for s in "ab")
+    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9
+    return _pruned(x.join(y, "_key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & sizes & near(F.col("fp_a"), F.col("fp_b"), NEAR_BITS)), least)
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose fingerprints are near and whose whole sets, made from the texts once more, are similar enough."""
-    prints = [nodes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab"]
-    pairs = stored(pairs.join(prints[0], "a").join(prints[1], "b").where(near(F.col("fp_a"), F.col("fp_b"), NEAR_BITS)).select("a", "b"), "pairs")
+    """The (a, b) of ``pairs`` whose whole sets, made from the texts once more, are similar enough."""
+    pairs = stored(pairs, "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     ids = nodes.join(asked, "node", "left_semi").select(F.col("_least").alias(id_col))
     sets = stored(_sets(docs.select(id_col, text_col).join(ids, id_col, "left_semi"), text_col, words), "sets")
@@ -222,7 +227,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         raise ValueError("a similarity over 0 and up to 1")
     docs = docs.where(F.col(id_col).isNotNull())
     rows = stored(_prefixes(docs, id_col, text_col, words, least), "prefixes")
-    nodes = stored(rows.groupBy("node").agg(F.min(id_col).alias("_least"), F.min("fp").alias("fp")), "prefix-nodes")
+    nodes = stored(rows.groupBy("node").agg(F.min(id_col).alias("_least")), "prefix-nodes")
     shared = stored(_shared(rows), "shared-keys")
     first = stored(_links(_stars(shared, least), nodes, docs, id_col, text_col, words, least), "links-of-stars")
     rest = _links(_across(shared, components(first, "near-star"), least), nodes, docs, id_col, text_col, words, least)
