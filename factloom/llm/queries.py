@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe_table, collocations, decontaminate, exact_dedup, langid, simhash, spelling, token_counts, token_store, url_filter, warc_convert, wrapper_extract
+from factloom.llm import bpe_table, collocations, decontaminate, exact_dedup, langid, simhash, spelling, token_counts, token_store, toxicity, url_filter, warc_convert, wrapper_extract
 from factloom.llm.shared import table
 
 
@@ -55,6 +55,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), spoil=199)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_files, op4_token_counts, op5_bpe_table, op6_url_filter, op7_simhash, op8_wrapper_extract, op9_decontaminate, op10_language, op11_spelling, op13_collocations, url_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_files, op4_token_counts, op5_bpe_table, op6_url_filter, op7_simhash, op8_wrapper_extract, op9_decontaminate, op10_language, op11_spelling, op12_toxicity, op13_collocations, url_rules)}
 
 #: A SHA-1 in base 32: four times 40 bits, eight letters of five bits each.
 BASE32_SQL = "list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 8 * 10 + 1)::INT, 10))::UBIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)), 'string_agg', '')"
