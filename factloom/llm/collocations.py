@@ -25,14 +25,14 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from factloom.llm.shared import stored, tidy
 
 #: Words and units whose ids are broadcast (words of at most LONGEST bytes), width of a tile, and tokens that are counted at once.
-TABLE, PAIRS, LONGEST, TILE, TOKENS = 1_000_000, 2_000_000, 64, 1_024, 2_000_000
+TABLE, PAIRS, LONGEST, TILE, TOKENS = 1_000_000, 2_000_000, 64, 1_024, 1_000_000
 #: Distinct words and phrases a task holds before it hands them on, and bytes of a text that are split at once.
 HELD, PART = 300_000, 1 << 22
 #: Parts in which the first rows of a language are looked for.
@@ -102,18 +102,18 @@ class Ids:
 
     def encoded(self, lang: str, found: list[bytes]) -> np.ndarray:
         """Word ids in order; -1 is a break, -2 a word without an id."""
-        return np.fromiter(map(self.words.get(lang, {BREAK: -1}).get, found, repeat(-2)), np.int64, len(found))
+        return np.fromiter(map(self.words.get(lang, {BREAK: -1}).get, found, repeat(-2)), np.int32, len(found))
 
     def units(self, lang: str, ids: np.ndarray) -> np.ndarray:
         """The id of the unit that starts at each place, in the units of the last round; -1 over a break, -2 without an id."""
         units = ids
         for known in self.rounds:
-            codes, rank = known.get(lang, (np.empty(0, np.int64), np.empty(0, np.int64)))
+            codes, rank = known.get(lang, (np.empty(0, np.int64), np.empty(0, np.int32)))
             left, right = units[:-1], ids[len(ids) - len(units) + 1 :]
-            code = (left << 32) | right
+            code = (left.astype(np.int64) << 32) | right
             at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
             hit = (codes[at] == code) & (left >= 0) & (right >= 0) if len(codes) else np.zeros(len(code), bool)
-            units = np.where((left == -1) | (right == -1), -1, -2)
+            units = np.where((left == -1) | (right == -1), np.int32(-1), np.int32(-2))
             units[hit] = rank[at[hit]]
         return units
 
@@ -150,7 +150,7 @@ def phrase_counts(docs: DataFrame, ids: Ids, text_col: str = "text", lang_col: s
 
         def batch_of(lang, unit, after, phrases, f):
             n = len(f)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(unit, pa.int32()), pa.array(after, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())], names=["lang", "unit", "next", "phrase", "f"])
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), n), pa.array(unit, pa.int32()), pa.array(after, pa.int32()), phrases, pa.array(f, pa.int64())], names=["lang", "unit", "next", "phrase", "f"])
 
         def counts(lang):
             row = np.concatenate(waiting.pop(lang))
@@ -160,10 +160,10 @@ def phrase_counts(docs: DataFrame, ids: Ids, text_col: str = "text", lang_col: s
             if size > 2:  # the phrase without its first word is frequent too, or is one without an id
                 full &= (units[1:] >= 0) | ((units[1:] == -2) & (not whole))
             if full.any():
-                a, b, n = tiled(left[full], right[full], tile)
+                a, b, n = tiled(left[full].astype(np.int64), right[full].astype(np.int64), tile)
                 for at in range(0, len(n), HELD):
                     part = slice(at, at + HELD)
-                    yield batch_of(lang, a[part], b[part], [None] * len(n[part]), n[part])
+                    yield batch_of(lang, a[part], b[part], pa.nulls(len(n[part]), pa.string()), n[part])
 
         def odd(lang, found, row):
             """Phrases without an id, as texts: only where not everything frequent has one."""
@@ -175,7 +175,7 @@ def phrase_counts(docs: DataFrame, ids: Ids, text_col: str = "text", lang_col: s
 
         def told():
             for lang, own in texts.items():
-                yield batch_of(lang, [-1] * len(own), [-1] * len(own), list(own), list(own.values()))
+                yield batch_of(lang, pa.repeat(pa.scalar(-1, pa.int32()), len(own)), pa.repeat(pa.scalar(-1, pa.int32()), len(own)), pa.array(list(own), pa.binary()).cast(pa.string()), list(own.values()))
             texts.clear()
 
         total = 0
@@ -190,7 +190,7 @@ def phrase_counts(docs: DataFrame, ids: Ids, text_col: str = "text", lang_col: s
                         odd(lang, part, row)
                         if sum(map(len, texts.values())) > HELD:
                             yield from told()
-                    waiting.setdefault(lang, []).extend((row, np.array([-1])))
+                    waiting.setdefault(lang, []).extend((row, np.array([-1], np.int32)))
                     total += len(row)
                     if total > TOKENS:
                         for one in list(waiting):
@@ -203,36 +203,22 @@ def phrase_counts(docs: DataFrame, ids: Ids, text_col: str = "text", lang_col: s
     return _language(docs, text_col, lang_col).mapInArrow(tidy(run), COUNTS).groupBy("lang", "unit", "next", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _word_ids(counts: DataFrame, table: int) -> tuple[dict[str, dict[bytes, int]], bool]:
-    """(ids by language, whether all frequent words have one) of ``counts`` (lang, word, f): the most frequent have the smallest ids."""
-    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("f"), "lang", "word").limit(table).toArrow()  # TABLE rows at most
-    ids: dict[str, dict[bytes, int]] = {}
-    for lang, word in zip(top["lang"].to_pylist(), top["word"].to_pylist(), strict=True):
-        own = ids.setdefault(lang, {BREAK: -1})
-        own[word.encode()] = len(own) - 1
-    return ids, counts.count() == len(top)
+def _ranked(counts: DataFrame, most: int, name: str, *columns: str) -> DataFrame:
+    """The ``most`` most frequent rows of ``counts`` with their rank in their language, from 0."""
+    order = [F.desc("f"), *columns]
+    top = counts.select("lang", *columns, "f").orderBy(F.desc("f"), "lang", *columns).limit(most)  # so no language has more rows than that
+    return stored(top.select("lang", *columns, (F.row_number().over(Window.partitionBy("lang").orderBy(*order)) - 1).alias("rank")), name)
 
 
-def _unit_ids(counts: DataFrame, most: int) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], bool]:
-    """((codes ascending, their ranks) by language, whether all frequent phrases have one) of ``counts`` (COUNTS)."""
-    top = counts.where("phrase is null").orderBy(F.desc("f"), "lang", "unit", "next").limit(most).select("lang", "unit", "next").toArrow()  # PAIRS rows at most
-    langs = np.array(top["lang"].to_pylist(), object)
-    code = (top["unit"].to_numpy().astype(np.int64) << 32) | top["next"].to_numpy()
-    known = {}
-    for lang in dict.fromkeys(langs.tolist()):
-        own = code[langs == lang]
-        by = np.argsort(own)
-        known[lang] = own[by], by.astype(np.int64)
-    return known, counts.count() == len(code)
+def _by_language(ranks: DataFrame, *columns: str) -> Iterator[tuple[str, list]]:
+    """(language, its values of ``columns`` in order of rank) of a table of ``_ranked``."""
+    import pyarrow.compute as pc
 
-
-def _table(spark: SparkSession, columns: list[tuple[str, str, list]], name: str) -> DataFrame:
-    """A stored table of (column, type, parts of its values)."""
-    import pyarrow as pa
-
-    kinds = {"string": pa.string(), "long": pa.int64()}
-    made = pa.table([pa.chunked_array([pa.array(x, kinds[kind]) for x in parts], kinds[kind]) for _, kind, parts in columns], names=[c for c, _, _ in columns])
-    return stored(spark.createDataFrame(made, ", ".join(f"{c} {kind}" for c, kind, _ in columns)), name)
+    told = ranks.select("lang", *columns).orderBy("lang", "rank").toArrow()  # TABLE or PAIRS rows at most
+    lang = told["lang"].combine_chunks().dictionary_encode()
+    for i, name in enumerate(lang.dictionary.to_pylist()):
+        own = told.filter(pc.equal(lang.indices, i))
+        yield name, [own[c].combine_chunks() for c in columns]
 
 
 def phrases(docs: DataFrame, words: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10, table: int = TABLE, most: int = PAIRS, tile: int = TILE) -> DataFrame:
@@ -240,12 +226,11 @@ def phrases(docs: DataFrame, words: DataFrame, text_col: str = "text", lang_col:
 
     ``words`` are the ``word_counts``.
     """
-    spark = docs.sparkSession
     frequent = stored(words.where(F.col("f") >= least), "phrase-frequent")
-    known, whole = _word_ids(frequent, table)
-    ids = [(lang, list(own)[1:]) for lang, own in known.items()]  # in order of their ids, after the break
-    names = _table(spark, [("lang", "string", [[lang] * len(own) for lang, own in ids]), ("next", "long", [range(len(own)) for _, own in ids]), ("word", "string", [[w.decode() for w in own] for _, own in ids])], "phrase-names")
-    held, units = Ids(known, [], whole), names.withColumnsRenamed({"next": "unit", "word": "start"})
+    names = _ranked(frequent.where(F.octet_length("word") <= LONGEST), table, "phrase-names", "word")
+    known = {lang: {BREAK: -1} | {w.encode(): i for i, w in enumerate(own.to_pylist())} for lang, (own,) in _by_language(names, "word")}
+    held = Ids(known, [], frequent.count() == names.count())
+    units, names = names.select("lang", F.col("rank").alias("unit"), F.col("word").alias("start")), names.select("lang", F.col("rank").alias("next"), "word")
     out = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f")
     for size in range(2, longest + 1):
         counts = stored(phrase_counts(docs, held, text_col, lang_col, tile).where(F.col("f") >= least), "phrase-counts")
@@ -253,11 +238,14 @@ def phrases(docs: DataFrame, words: DataFrame, text_col: str = "text", lang_col:
         named = stored(named.select("lang", "unit", "next", F.concat_ws(" ", "start", "word").alias("phrase"), "f"), "phrase-named")
         out = out.unionAll(named.select("lang", "phrase", F.lit(size), "f")).unionAll(counts.where("phrase is not null").select("lang", "phrase", F.lit(size), "f"))
         if size < longest:
-            ranks, whole = _unit_ids(counts, most)
-            held = Ids(known, [*held.rounds, ranks], held.whole and whole)
-            code = F.shiftleft(F.col("unit").cast("long"), 32).bitwiseOR(F.col("next").cast("long")).alias("code")
-            told = _table(spark, [("lang", "string", [[lang] * len(rank) for lang, (_, rank) in ranks.items()]), ("code", "long", [codes for codes, _ in ranks.values()]), ("unit", "long", [rank for _, rank in ranks.values()])], "phrase-ranks")
-            units = stored(named.select("lang", code, F.col("phrase").alias("start")).join(told, ["lang", "code"]).select("lang", "unit", "start"), "phrase-units")
+            ranks = _ranked(named, most, "phrase-ranks", "unit", "next")
+            coded = {}
+            for lang, (unit, after) in _by_language(ranks, "unit", "next"):
+                codes = (unit.to_numpy().astype(np.int64) << 32) | after.to_numpy()
+                by = np.argsort(codes)
+                coded[lang] = codes[by], by.astype(np.int32)
+            held = Ids(known, [*held.rounds, coded], held.whole and counts.count() == ranks.count())
+            units = stored(named.join(ranks, ["lang", "unit", "next"]).select("lang", F.col("rank").alias("unit"), F.col("phrase").alias("start")), "phrase-units")
     return out
 
 

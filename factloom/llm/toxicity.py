@@ -35,6 +35,8 @@ TOXIC, CLEAN, FEATURES = 6_000, 12_000, 4_096
 TELLING = 10.83
 #: Cost of a weight's size, times of the fit, first step.
 COST, ROUNDS, STEP = 1e-4, 600, 0.05
+#: The most a sentence's logit may be before its words count: what is toxic must be told by them.
+BIAS = -4.0
 #: Distinct words a worker remembers, and distinct features a task counts before it hands them on.
 HELD = 200_000
 #: Letters of a word's beginnings.
@@ -90,7 +92,7 @@ class Model:
 
     def score(self, spans: list[tuple[int, int, float]]) -> float:
         """The noisy-or of the leak and the sentences."""
-        return -math.expm1(math.log1p(-self.leak) + math.fsum(math.log1p(-min(p, 1 - 1e-15)) for _, _, p in spans))
+        return abs(math.expm1(math.log1p(-self.leak) + math.fsum(math.log1p(-min(p, 1 - 1e-15)) for _, _, p in spans)))
 
 
 def fit(bags: list[list[list[int]]], toxic: np.ndarray, weight: np.ndarray, n: int, start: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, float]:
@@ -102,7 +104,7 @@ def fit(bags: list[list[list[int]]], toxic: np.ndarray, weight: np.ndarray, n: i
     flat = [s for b in bags for s in b]
     of_sentence = np.repeat(np.arange(len(flat)), [len(s) for s in flat])
     feature = np.array([f for s in flat for f in s], np.int64)
-    at = np.concatenate([start, [-2.0, -5.0]])  # weights, bias, the leak's logit
+    at = np.concatenate([start, [BIAS, -5.0]])  # weights, bias, the leak's logit
     mean, spread = np.zeros(n + 2), np.zeros(n + 2)
     share = weight / max(weight.sum(), 1e-12)
     for step in range(1, rounds + 1):
@@ -118,7 +120,7 @@ def fit(bags: list[list[list[int]]], toxic: np.ndarray, weight: np.ndarray, n: i
         size = np.sqrt(spread / (1 - 0.99**step)) + 1e-6
         at -= rate * (mean / (1 - 0.9**step)) / size
         at[:n] = np.sign(at[:n]) * np.maximum(np.abs(at[:n]) - rate * COST / size[:n], 0)
-        at[n + 1] = min(at[n + 1], -1.0)
+        at[n], at[n + 1] = min(at[n], BIAS), min(at[n + 1], -1.0)
     return at[:n], float(at[n]), 1 / (1 + math.exp(-float(at[n + 1])))
 
 
