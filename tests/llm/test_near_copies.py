@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 
 from factloom.llm import near_copies
 
@@ -74,3 +75,55 @@ def test_a_large_group_is_no_square_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "_links", counted)
     assert {r["doc_id"] for r in near_copies.dedup(rows).collect()} == brute_kept(texts)
     assert sum(seen) < 300 * 10
+
+
+def edited(rng, words, share):
+    """``words`` with a share of them replaced, in runs, so that most shingles of the others stay."""
+    own, at = list(words), rng.randrange(max(1, len(words) - int(len(words) * share)))
+    for i in range(at, min(len(own), at + int(len(words) * share))):
+        own[i] = f"e{rng.random()}"
+    return own
+
+
+@pytest.mark.parametrize("least", [0.8, 0.5, 0.3])
+@pytest.mark.parametrize("exact", [False, True])
+def test_no_link_is_lost_at_any_similarity(spark, least, exact):
+    """Texts of all sizes at similarities around ``least``, with passages that many of them share."""
+    rng, texts = random.Random(round(least * 10)), {}
+    passage = [f"p{i}" for i in range(30)]
+    for n in range(60):
+        base = [f"n{n}w{i}" for i in range(rng.choice([6, 9, 15, 40, 120, 400]))] + (passage if n % 3 == 0 else [])
+        for k in range(3):
+            share = (1 - least) / (1 + least) * (0.6 + 0.4 * k)
+            texts[3 * n + k] = " ".join(edited(rng, base, share if k else 0))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in near_copies.dedup(rows, least=least, exact=exact).collect()}
+    want = brute_kept(texts, least)
+    assert kept == want and len(texts) * 0.4 < len(want) < len(texts) * 0.95
+
+
+def test_fingerprints_of_similar_sets_stay_within_their_bits(spark):
+    """Simulated: for each similarity and size, no pair of thousands comes within two deviations of the limit."""
+    import math
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    for least in (0.8, 0.5, 0.3):
+        for n in (5, 9, 20, 100):
+            m = n - 1 if n < 10 and least > 0.7 else n
+            both = min(m, math.ceil(least / (1 + least) * (n + m) - 1e-9))
+            limit = spark.range(1).select(near_copies.most_bits(least, F.lit(m))).first()[0]
+            for _ in range(250):
+                own = rng.integers(-(2**63), 2**63, n + m - both, dtype=np.int64)
+                a, b = near_copies._fingerprint(own[:n]), near_copies._fingerprint(np.append(own[:both], own[n:]))
+                assert sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b, strict=True)) < limit - 10
+
+
+def test_sets_of_one_hash_are_told_apart(spark, monkeypatch):
+    texts = {n: " ".join(f"t{n // 2}w{i}" for i in range(20 + n % 2)) for n in range(20)}
+    rows = spark.createDataFrame([*texts.items(), (7, "another text of the same id")], "doc_id long, text string")
+    plain = near_copies._told_apart
+    monkeypatch.setattr(near_copies, "_told_apart", lambda df: plain(df.selectExpr("doc_id", "node % 4 AS node", "twin", "n", *near_copies.PRINTS, "keys")))
+    assert {r["doc_id"] for r in near_copies.dedup(rows).collect()} == brute_kept(texts) == set(range(0, 20, 2))
