@@ -12,7 +12,8 @@ least on labelled URLs, with both classes weighted alike.
 The models count all distinct labelled URLs, by partial sums, and keep every gram;
 the threshold is set on all of them that are held back. Each distinct window of
 order + 1 characters is looked up once, longest gram first, and windows meet their
-differences in a join that Spark may split or broadcast by size.
+differences in a join that Spark may split or broadcast by size. A URL's rows carry its
+128-bit hash, never the URL, so what is shuffled grows with the URLs' length.
 """
 
 from __future__ import annotations
@@ -27,18 +28,25 @@ from factloom.llm.shared import stored
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 ORDER = 4
 SMOOTHING, ALPHABET, BINS = 2.0, 128, 400
+#: Characters of a URL that are cut into windows together.
+PIECE = 256
 START = "\u0002"
 
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased."""
-    host = F.regexp_extract(url, r"^(?s)(?:(?!://).)*://([^/?#]*)", 1)
-    return F.translate(F.coalesce(host, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(_after_scheme(url), "^[^/?#]*+", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
     """From the host's end up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"^(?s)(?:(?!://).)*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(_after_scheme(url), "^[^/?#]*+([^?#]*+)", 1)
+
+
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``, else an empty text. No pattern looks for it: one that repeats a group recurses for long URLs of mixed characters."""
+    at = F.locate("://", url)
+    return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
@@ -52,10 +60,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def _windows(rows: DataFrame, keep: list[str], order: int) -> DataFrame:
-    """A row for each character of ``_url``: the character with the ``order`` ones before it."""
+    """A row for each character of ``_url``: the character with the ``order`` ones before it.
+
+    A URL is first cut into pieces of PIECE characters, as finding a place takes time in proportion to it.
+    """
     padded = F.concat(F.lit(START * order), F.col("_url"))
-    at = rows.select(*keep, padded.alias("_padded"), F.explode(F.sequence(F.lit(1), F.char_length("_url"))).alias("_at"))
-    return at.select(*keep, F.substring("_padded", F.col("_at"), F.lit(order + 1)).alias("_window"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("_url") - 1) / PIECE).cast("int")), lambda i: F.substring(padded, i * PIECE + 1, F.lit(PIECE + order)))
+    cut = rows.select(*keep, F.explode(pieces).alias("_piece"))
+    at = cut.select(*keep, "_piece", F.explode(F.sequence(F.lit(1), F.char_length("_piece") - order)).alias("_at"))
+    return at.select(*keep, F.substring("_piece", F.col("_at"), F.lit(order + 1)).alias("_window"))
 
 
 def _grams(window: str, order: int) -> Column:
@@ -94,7 +107,7 @@ def gram_table(labelled: DataFrame, order: int = ORDER) -> DataFrame:
 def scored(rows: DataFrame, grams: DataFrame, keep: list[str], order: int = ORDER) -> DataFrame:
     """keep and score: the mean difference over the characters of ``_url``, each after its longest context in ``grams``.
 
-    ``keep`` must tell the rows apart; rows with an empty ``_url`` give none.
+    ``keep`` must tell the rows apart and is carried by each character, so it should be short; rows with an empty ``_url`` give none.
     """
     places = _windows(rows.where("_url <> ''"), keep, order)
     asked = places.select("_window").distinct().select("_window", _grams("_window", order).alias("g")).select("_window", "g.k", "g.gram")
@@ -135,15 +148,21 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    texts = rows.select(F.concat("host", "path").alias("_url"), F.col("_rule.verdict").alias("_verdict")).distinct()
-    known = texts.where("_verdict is not null and _url <> ''").select("_url", (F.col("_verdict") == "allow").alias("accepted"))
+    rows = rows.withColumn("_id", _digest(F.concat("host", "path")))
+    texts = rows.select("_id", F.concat("host", "path").alias("_url"), F.col("_rule.verdict").alias("_verdict")).where("_url <> ''").dropDuplicates(["_id"])
+    known = texts.where("_verdict is not null").select("_id", "_url", (F.col("_verdict") == "allow").alias("accepted"))
     known = stored(known, "url-labelled")
     # every fourth labelled URL calibrates, the others train
     held = F.pmod(F.xxhash64("_url", F.lit(1)), F.lit(4)) == 0
     grams = stored(gram_table(known.where(~held)), "url-model")
-    cut = threshold(scored(known.where(held), grams, ["_url", "accepted"]))
-    open_urls = scored(texts.where("_verdict is null").select("_url"), grams, ["_url"])
-    joined = rows.withColumn("_url", F.concat("host", "path")).join(open_urls, "_url", "left")
+    cut = threshold(scored(known.where(held), grams, ["_id", "accepted"]))
+    # the key is made anew on both sides, so that rows of a URL that very many pages have can be split; empty ones take no part
+    open_urls = scored(texts.where("_verdict is null"), grams, ["_id"]).select(F.concat("_id", F.lit(b"")).alias("_key"), "score")
+    joined = rows.withColumn("_key", F.when(F.concat("host", "path") != "", F.concat("_id", F.lit(b"")))).join(open_urls, "_key", "left")
     by_score = F.when(F.coalesce("score", F.lit(0.0)) >= F.lit(cut), "allow").otherwise("block")
-    by_score = F.when((F.col("_url") == "") & F.lit(cut != float("inf")), "allow").otherwise(by_score)
+    by_score = F.when((F.col("host") == "") & (F.col("path") == "") & F.lit(cut != float("inf")), "allow").otherwise(by_score)
     return joined.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", by_score).alias("verdict"), "score")
+
+
+def _digest(url: Column) -> Column:
+    return F.unhex(F.md5(url.cast("binary")))

@@ -458,6 +458,26 @@ def test_url_rules(spark):
             assert r["verdict"] == verdict if rule else r["verdict"] in ("allow", "block")
 
 
+def test_urls_of_any_length(spark):
+    """Very long ones of mixed characters, before and after the host; many null and repeated ones, without broadcasts."""
+    import time
+
+    long = "\U0001f600aé" * 70_000
+    urls = [f"http://good{i % 9}.net/en/{i}" for i in range(30)] + [f"http://x.example.net/en/{i}" for i in range(30)] + [long + "://h.net/p", "http://" + long, f"http://h.site/{long}?q", long, "http://same.site/a"] + [None, "http://same.site/a"] * 300
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        began = time.time()
+        got = {r["page_id"]: r for r in url_filter.judged(pages).collect()}
+        assert time.time() - began < 120 and len(got) == len(urls)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [(got[i]["host"], got[i]["path"]) for i in range(60, 64)] == [("h.net", "/p"), (long, ""), ("h.site", "/" + long), ("", "")]
+    assert got[60]["rule"] == "net/" and len({(r["score"], r["verdict"]) for r in got.values() if r["host"] == "same.site"}) == 1
+    assert {(r["host"], r["verdict"]) for i, r in got.items() if urls[i] is None} == {("", "allow")}
+
+
 def test_url_models(spark):
     """The table's numbers against a plain computation, and the ratio's direction."""
     import math
