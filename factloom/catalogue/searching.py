@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.catalogue import query
-from factloom.operators import answer, rerank, trace
+from factloom.operators import answer, cells, rerank, trace
 from factloom.operators import vectors as ops
 from factloom.session import table
 
@@ -23,8 +23,10 @@ def queries_of(spark, sf):
 
 
 def near(spark, sf, filtered: bool = False, k: int = 18):
+    """The stated queries' nearest rows, from an index of all rows."""
     corpus = table(spark, sf, "embeddings").select(c("vec_id").alias("id"), "embedding", "label")
-    return ops.nearest(corpus, queries_of(spark, sf), k, label_col="label" if filtered else None, allowed_col="allowed" if filtered else None)
+    index = cells.build(corpus, label_col="label" if filtered else None)
+    return cells.search(index, queries_of(spark, sf), k, allowed_col="allowed" if filtered else None)
 
 
 @query(ALL_SQL + "SELECT qid, id, round(distance, 6) AS distance, rank::INT AS rank FROM k")
