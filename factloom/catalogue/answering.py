@@ -126,6 +126,17 @@ def entity_resolve(spark, sf):
     return resolved(spark, sf).select("conv_id", "turn", F.array_join("resolution.scheme_ids", ",").alias("scheme_ids"), "resolution.matched_alias", "resolution.confidence", "resolution.ambiguous")
 
 
+@query(RESOLVED_SQL + " SELECT conv_id, turn, scheme_ids, matched_alias, confidence, ambiguous FROM resolved")
+def entity_resolve_table(spark, sf):
+    """The same with the aliases as a table, among those of every customer and part, which no question names."""
+    few = spark.createDataFrame([(alias, scheme, n) for n, (alias, scheme) in enumerate(resolve.ordered_aliases(ALIASES))], "alias string, scheme string, place long")
+    names = table(spark, sf, "customer").select(F.lower("c_name").alias("alias"), F.concat(F.lit("c"), "c_custkey").alias("scheme"), (c("c_custkey") + 100).cast("long").alias("place"))
+    parts = table(spark, sf, "part").select(F.lower("p_name").alias("alias"), F.concat(F.lit("p"), "p_partkey").alias("scheme"), (c("p_partkey") + 10**9).cast("long").alias("place"))
+    scope = spark.createDataFrame([(s,) for s in IN_SCOPE], "scheme string")
+    rows = resolve.resolve_rows(turns(spark, sf), "question", few.unionAll(names).unionAll(parts), scope)
+    return rows.select("conv_id", "turn", F.array_join("resolution.scheme_ids", ",").alias("scheme_ids"), "resolution.matched_alias", "resolution.confidence", "resolution.ambiguous")
+
+
 SCOPE_SQL = "(foreign_name IS NOT NULL OR (len(ids) = 0 AND regexp_matches(" + LOW_SQL + ", '" + "|".join(guards.SCOPE_WORDS) + "')))"
 
 
