@@ -13,9 +13,9 @@
    pages that have the slot, and on SUPPORT pages at least. So are slots that are
    filled from a stock, where half of what they hold or more stands on several
    pages (menus, adverts, notices). Slots that vary are content.
-4. Each page is read again with its host's wrapper. Template goes, menus and the
-   like of the markup too; where the page marks an article the rest outside of it
-   goes, else link lists.
+4. Each page is read again with its host's wrapper, which decides first. What it has
+   no word on goes by its markup (menus and the like); where the page marks an article
+   the rest outside of it goes, else link lists. ``removals`` counts what each rule took.
 """
 
 from __future__ import annotations
@@ -308,18 +308,39 @@ def aligned_slots(page_tree: str, reference: str) -> list[int]:
     return sorted({a.slots[x] for x, _ in aligned(a, Tree.loaded(reference)) if x})
 
 
+def judged(page: str, template: frozenset, stock: frozenset) -> list[tuple[Block, str | None]]:
+    """Each block of the page with the rule that removes it, None where it stays.
+
+    ``template`` holds (slot, text hash) pairs of the page's wrapper, ``stock`` the
+    slots filled from a stock. The wrapper decides first: its constant texts, then its
+    stock slots (inside a marked article where the article has varying prose beside
+    them, so that copies of an article don't empty it). What it has no word on goes by
+    the markup and its names, and what is left by the article's mark or, without one,
+    by links.
+    """
+    blocks = parse(page)[1]
+    long = [b for b in blocks if b.text.count(" ") >= LONG - 1]
+    constant = {id(b) for b in blocks if template and (b.slot, text_hash(b.text)) in template}
+    prose = any(b.article and not b.drop and b.slot not in stock and id(b) not in constant for b in long)
+    told: list[tuple[Block, str | None]] = []
+    for b in blocks:
+        rule = None
+        if id(b) in constant:
+            rule = "constant"
+        elif b.slot in stock and (prose or not b.article):
+            rule = "stock"
+        elif b.drop:
+            rule = "markup"
+        elif b.weak and not (b.article and b.links < 0.5 and b.slot not in stock and b.text.count(" ") >= LONG - 1):
+            rule = "names"
+        told.append((b, rule))
+    article = any(b.article for b, rule in told if rule is None)
+    return [(b, rule or (None if (b.article if article else b.links < 0.5) else "outside" if article else "links")) for b, rule in told]
+
+
 def text_of(page: str, template: frozenset, stock: frozenset) -> str:
-    """The page's text; ``template`` holds (slot, text hash) pairs of its wrapper, ``stock`` the slots filled from a stock."""
-    kept = []
-    for b in parse(page)[1]:
-        if b.drop or (b.slot in stock and not b.article) or (template and (b.slot, text_hash(b.text)) in template):
-            continue
-        if b.weak and not (b.article and b.links < 0.5 and b.slot not in stock and b.text.count(" ") >= LONG - 1):
-            continue
-        kept.append(b)
-    if any(b.article for b in kept):
-        return "\n".join([b.text for b in kept if b.article])
-    return "\n".join([b.text for b in kept if b.links < 0.5])
+    """The text of the page's blocks that stay."""
+    return "\n".join([b.text for b, rule in judged(page, template, stock) if rule is None])
 
 
 def outlined(pages: DataFrame, host: str, html_col: str) -> DataFrame:
@@ -416,23 +437,52 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     equal content count once for the wrapper; other columns are not read; an empty
     table gives no rows. ``wrappers=False`` goes by each page's own markup alone.
     """
-    page_host, page_html, page_texts, page_stock = fresh(pages.select(id_col), "_host", "_html", "_texts", "_stock")
-    rows = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias(page_html)).withColumn(page_host, host_of(F.col("url")))
-    if wrappers:
-        made = induced(rows, page_host, page_html).select(F.col("host").alias(page_host), F.col("texts").alias(page_texts), F.col("stock").alias(page_stock))
-        joined = rows.join(made, page_host, "left")
-    else:
-        joined = rows.withColumns({page_texts: F.lit(None).cast("array<struct<slot:long,hash:long>>"), page_stock: F.lit(None).cast("array<long>")})
-    joined = joined.select(id_col, "url", page_html, F.col(page_texts)["slot"].alias("_slots"), F.col(page_texts)["hash"].alias("_hashes"), page_stock)
+    joined = _with_wrappers(pages, id_col, url_col, html_col, wrappers)
 
     def extract(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = []
-            for page, slots, hashes, stock in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
-                texts.append(text_of(page or "", frozenset(zip(slots or (), hashes or (), strict=True)), frozenset(stock or ())))
+            texts = [text_of(*own) for own in _pages_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
     id_type = pages.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(extract, f"`{id_col}` {id_type}, url string, text string, n_chars long")
+
+
+def removals(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", wrappers: bool = True) -> DataFrame:
+    """rule, blocks, pages: how many blocks, of how many pages, each rule of ``judged`` removes, and how many stay (rule ``kept``)."""
+    joined = _with_wrappers(pages, id_col, url_col, html_col, wrappers)
+
+    def count(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        blocks, seen = Counter(), Counter()
+        for batch in batches:
+            for own in _pages_of(batch):
+                rules = [rule or "kept" for _, rule in judged(*own)]
+                blocks.update(rules)
+                seen.update(set(rules))
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.string()), pa.array(blocks.values(), pa.int64()), pa.array([seen[r] for r in blocks], pa.int64())], names=["rule", "blocks", "pages"])
+
+    return joined.mapInArrow(count, "rule string, blocks long, pages long").groupBy("rule").agg(F.sum("blocks").alias("blocks"), F.sum("pages").alias("pages"))
+
+
+def _pages_of(batch):
+    """(html, constant texts, stock slots) of each row of ``_with_wrappers``."""
+    for page, slots, hashes, stock in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
+        yield page or "", frozenset(zip(slots or (), hashes or (), strict=True)), frozenset(stock or ())
+
+
+def _with_wrappers(pages: DataFrame, id_col: str, url_col: str, html_col: str, wrappers: bool) -> DataFrame:
+    """id, url, html and the wrapper of the page's host: slots and hashes of its constant texts, and its stock slots."""
+    page_host, page_html, page_texts, page_stock = fresh(pages.select(id_col), "_host", "_html", "_texts", "_stock")
+    rows = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias(page_html)).withColumn(page_host, host_of(F.col("url")))
+    if wrappers:
+        made = induced(rows, page_host, page_html).select(F.col("host").alias(page_host), F.col("texts").alias(page_texts), F.col("stock").alias(page_stock))
+        joined = rows.join(made, page_host, "left")
+    else:
+        joined = rows.withColumns({page_texts: F.lit(None).cast("array<struct<slot:long,hash:long>>"), page_stock: F.lit(None).cast("array<long>")})
+    return joined.select(id_col, "url", page_html, F.col(page_texts)["slot"].alias("_slots"), F.col(page_texts)["hash"].alias("_hashes"), page_stock)

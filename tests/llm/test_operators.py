@@ -642,6 +642,29 @@ def test_wrapper_finds_the_article_without_its_marks(spark):
     assert share(on) >= 0.9 and share(off) <= 0.1, (share(on), share(off))
 
 
+def test_the_wrapper_decides_on_the_given_pages(spark):
+    """With wrappers every block that goes is one of a stock slot; markup is asked where there is no wrapper."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    on, off = ({r["rule"]: r["blocks"] for r in wrapper_extract.removals(pages, wrappers=w).collect()} for w in (True, False))
+    assert set(on) == {"kept", "stock"} and set(off) == {"kept", "markup"} and on["stock"] == off["markup"] > 10_000 and on["kept"] == off["kept"]
+
+
+def test_an_article_whose_marks_lie(spark):
+    """All of the page is marked as article: the wrapper tells its furniture by what repeats."""
+    stock = [f"{a} of {b}" for a in ("All the news", "The weather", "The shop", "A letter") for b in ("today", "this site")]
+
+    def page(i):
+        story = [f"Paragraph {k} of story {i} is told at length in words {i * 31 + k} of its own and no other page has them." for k in range(3)]
+        links = "".join(f"<li>{stock[(i + k) % 8]}</li>" for k in range(2))
+        return f"<body><article><ul class=top>{links}</ul><div class=promo2x>Subscribe today for half the price</div><div class=story>{''.join(f'<p>{p}</p>' for p in story)}</div><div class=end>All rights reserved</div></article></body>", "\n".join(story)
+
+    rows = [(i, f"http://lies.host/{i}", page(i)[0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrapper_extract.extracted(df).collect()} == {i: page(i)[1] for i in range(20)}
+    assert {r["rule"]: r["pages"] for r in wrapper_extract.removals(df).collect()} == {"constant": 20, "stock": 20, "kept": 20}
+    assert all(r["text"] != page(r["page_id"])[1] for r in wrapper_extract.extracted(df, wrappers=False).collect())
+
+
 def test_weak_names_in_an_article():
     none = frozenset()
     long = "This paragraph of the story happens to stand in a box that has a name of the usual kind."
