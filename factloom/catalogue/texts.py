@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.catalogue import query
+from factloom.config import Settings
 from factloom.functions import formats as fmt
 from factloom.functions import text as T
 from factloom.operators import chunking, store
@@ -67,6 +68,17 @@ def html_dom_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", P.main_text(F.col("html"), P.tag_text, 1500).alias("text")).select("page_id", "text", F.length("text").alias("n_chars"))
 
 
+SELECTED = Settings(min_text_chars=1, drop_selectors=("nav", "footer", "div.ad", "head > title", "[id*='none' i", "article > h1"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<nav>.*?</nav>|<footer>.*?</footer>|<div class="ad">.*?</div>|<title>.*?</title>|<h1>.*?</h1>', '<x>', 'g') AS h FROM pages),
+    t AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(h, '(?s)<!--.*?-->|<[^>]*>'), lambda x: regexp_replace(regexp_replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^\s+', ''), '\s+$', '')), lambda x: x <> '') AS parts FROM p)
+    SELECT page_id, nullif(array_to_string(parts, chr(10)), '') AS text FROM t""")
+def html_selected_text(spark, sf):
+    """The DOM's text with selectors from settings: tags, a class, children, and one that is no selector."""
+    return table(spark, sf, "pages").select("page_id", P.main_text(F.col("html"), None, SELECTED.min_text_chars, SELECTED.drop_selectors).alias("text"))
+
+
 @query("WITH p AS (SELECT page_id, CASE WHEN page_id % 5 = 4 THEN html WHEN page_id % 5 = 3 THEN '<script id=\"__NEXT_DATA__\" type=\"application/json\">{broken</script>' || html ELSE '' END AS h, page_id % 5 AS k, url FROM pages) SELECT page_id, CASE WHEN k < 3 THEN url END AS payload_url FROM p")
 def html_payload(spark, sf):
     """The embedded payload of pages that get one here (two of five have none or a broken one)."""

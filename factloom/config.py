@@ -9,6 +9,10 @@ from functools import lru_cache
 from pathlib import Path
 
 
+#: Elements of a page that are never main text.
+DROP_SELECTORS = ("nav", "header", "footer", "aside", "[data-testid*='compare']", "[class*='return-calculator']", "[class*='understand-terms']")
+
+
 @dataclass(frozen=True)
 class Source:
     """One allowed page and the entity it describes."""
@@ -28,6 +32,7 @@ class Settings:
     house: str = "the house"
     sources: tuple[Source, ...] = ()
     min_text_chars: int = 1500
+    drop_selectors: tuple[str, ...] = DROP_SELECTORS
     noise_window: int = 400
     chunk_tokens: int = 200
     overlap_tokens: int = 40
@@ -84,8 +89,9 @@ def settings_from(data: dict) -> Settings:
     made = dict(data)
     if "sources" in made:
         made["sources"] = tuple(s if is_dataclass(s) else Source(**s) for s in made["sources"])
-    if "separators" in made:
-        made["separators"] = tuple(made["separators"])
+    for name in ("separators", "drop_selectors"):
+        if name in made:
+            made[name] = tuple(made[name])
     return Settings(**made)
 
 

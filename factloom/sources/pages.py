@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from factloom.config import DROP_SELECTORS
 from factloom.functions.text import normalized_url, strip
+from factloom.sources.selectors import Element, Matcher
 
 PAYLOAD_PATH = "$.props.pageProps.mfServerSideData"
 DROPPED = ("nav", "header", "footer", "aside")
-DROPPED_ATTRIBUTES = (("data-testid", "compare"), ("class", "return-calculator"), ("class", "understand-terms"))
 
 
 def payload(html: Column, path: str = PAYLOAD_PATH) -> Column:
@@ -39,18 +41,19 @@ class _Dom(HTMLParser):
 
     VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-    def __init__(self):
+    def __init__(self, drop: Matcher):
         super().__init__(convert_charrefs=True)
+        self.drop = drop
         self.stack: list[list] = [["", False, []]]
+        self.path: list[Element] = []
         self.main: list[str] | None = None
         self.best: list[str] | None = None
 
     def handle_starttag(self, tag, attrs):
         if tag in self.VOID:
             return
-        found = dict(attrs)
-        drop = tag in (*DROPPED, "script", "style") or any(part in (found.get(name) or "") for name, part in DROPPED_ATTRIBUTES)
-        self.stack.append([tag, drop, []])
+        self.path.append((tag, dict(attrs)))
+        self.stack.append([tag, tag in ("script", "style") or self.drop.takes(self.path), []])
 
     def handle_endtag(self, tag):
         if any(e[0] == tag for e in self.stack[1:]):
@@ -60,6 +63,7 @@ class _Dom(HTMLParser):
 
     def _close(self):
         tag, drop, texts = self.stack.pop()
+        self.path.pop()
         if drop:
             return
         if tag == "main" and self.main is None:
@@ -78,26 +82,31 @@ class _Dom(HTMLParser):
         return "\n".join(t for t in (x.strip() for x in target) if t)
 
 
-def dom_text_of(html: str | None) -> str:
-    parser = _Dom()
+def dom_text_of(html: str | None, selectors: Sequence[str] = DROP_SELECTORS) -> str:
+    return _dom_text(html, Matcher(selectors))
+
+
+def _dom_text(html: str | None, drop: Matcher) -> str:
+    parser = _Dom(drop)
     parser.feed(html or "")
     parser.close()
     return parser.text()
 
 
-def dom_text(html: Column) -> Column:
-    """The DOM extraction, batched."""
+def dom_text(html: Column, selectors: Sequence[str] = DROP_SELECTORS) -> Column:
+    """The DOM extraction without what ``selectors`` take, batched."""
 
     @F.pandas_udf("string")
     def run(pages):
-        return pages.map(dom_text_of)
+        drop = Matcher(selectors)
+        return pages.map(lambda page: _dom_text(page, drop))
 
     return run(html)
 
 
-def main_text(html: Column, first=None, least: int = 1500) -> Column:
+def main_text(html: Column, first=None, least: int = 1500, selectors: Sequence[str] = DROP_SELECTORS) -> Column:
     """``first`` (an extractor, Column to Column) where it gives ``least`` characters, else the DOM's text; null where that is too short too."""
-    second = dom_text(html)
+    second = dom_text(html, selectors)
     text = second if first is None else F.when(F.length(strip(first(html))) >= least, first(html)).otherwise(second)
     return F.when(F.length(strip(text)) >= least, text)
 
