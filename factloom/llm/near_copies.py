@@ -18,7 +18,7 @@ last, so that they are seldom keys.
 
 What is asked for is components, so a group of g copies need not become g * g
 pairs. First the sets of a key are compared with a few of them alone (CENTERS stars, by
-the first STAR_KEYS keys of a set), which makes most of a group one component; then only
+the first STAR_KEYS shared keys of a set), which makes most of a group one component; then only
 sets of one key that are still in different components are compared. A link within
 a component changes nothing. Keys that a single set has are
 left out before anything is joined, and equal sets are one node: a hash of 64 bits,
@@ -31,6 +31,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from factloom.llm.shared import discard, fresh, stored, tidy
 from factloom.llm.simhash import PART, SEED, components
@@ -243,20 +244,21 @@ def _pruned(found: DataFrame, least: float) -> DataFrame:
     return shared.where(F.col("both") + more >= (F.col("n_x") + F.col("n_y")) * (least / (1 + least)) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _stars(shared: DataFrame, least: float, exact: bool) -> DataFrame:
-    """Pairs of CENTERS sets of each key (those with the least of several hashes, the same ones wherever they occur) with the others of the key.
+def _stars(shared: DataFrame, least: float, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs of CENTERS sets of each key (those with the least of several hashes, the same ones wherever they occur) with the others of the key; and the stored table they come from.
 
-    Only the first keys of a set count, so a similar pair may be missed here; it is
-    found where sets that are still apart are compared.
+    Only the first keys of a set that others have count, so a similar pair may be missed
+    here; it is found where sets that are still apart are compared.
     """
-    few = shared.where(F.col("at") < STAR_KEYS)
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("at"))  # as many rows as a set has keys
+    few = stored(shared.withColumn("_nth", nth).where(F.col("_nth") <= STAR_KEYS).drop("_nth"), "near-first-keys")
     held = ("node", "n", "at", *PRINTS)
     least_of = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), *held)).alias(f"c{i}") for i in range(CENTERS)]
     # the key is made anew, so that the rows of a key that very many sets have can be split in the join
     centers = few.groupBy("key").agg(*least_of).select(F.bitwise_not("key").alias("_key"), F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"c{i}.{x}").alias(x) for x in held]) for i in range(CENTERS)]))).alias("c")).select("_key", "c.*")
     others = few.withColumn("_key", F.bitwise_not("key"))
     pairs = [_side(x, "x", "_key").join(_side(y, "y", "_key"), "_key").where(_fits(least, exact)).select("x", "y") for x, y in ((others, centers), (centers, others))]
-    return pairs[0].unionAll(pairs[1]).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return pairs[0].unionAll(pairs[1]).distinct().select(F.col("x").alias("a"), F.col("y").alias("b")), few
 
 
 def _across(shared: DataFrame, stars: DataFrame, least: float, exact: bool) -> tuple[DataFrame, DataFrame]:
@@ -301,9 +303,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     discard(hashed)
     nodes = stored(rows.groupBy("node", "twin").agg(F.min(id_col).alias("_least")), "near-nodes")
     shared = stored(_shared(rows), "near-keys")
-    links, made = _links(_stars(shared, least, exact), nodes, docs, id_col, text_col, words, least)
+    pairs, few = _stars(shared, least, exact)
+    links, made = _links(pairs, nodes, docs, id_col, text_col, words, least)
     first = stored(links, "near-links")
-    discard(*made)
+    discard(few, *made)
     pairs, left = _across(shared, components(first, "near-star"), least, exact)
     rest, made = _links(pairs, nodes, docs, id_col, text_col, words, least)
     discard(left)
