@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.catalogue import query
+from factloom.config import Settings
 from factloom.functions import text as T
 from factloom.operators import chunking, facts, quality, store
+from factloom.operators.chunking import REGISTRY
 from factloom.session import table
 
 c = F.col
@@ -342,6 +344,24 @@ def ingest_pipeline(spark, sf):
     return made.select("chunk_id", "scheme_id", "section", "field", "value", "token_count", F.size("embedding").alias("dim"), F.round(V.norm(c("embedding")), 4).alias("norm"))
 
 
+FIELDS_SQL = ", ".join(f"'{f}'" for f in [*(r[0] for r in REGISTRY), "exit_load_historical", "top_holding", "sector_allocation", "fund_manager"])
+
+
+@query(CHUNK_SQL + f""", labelled AS (SELECT *, len(text) % 8 AS class, list_position([{FIELDS_SQL}], field) AS pos FROM chunks),
+    merged AS (SELECT scheme_id, class, min(pos) AS pos, string_agg(text, ' ' ORDER BY pos) AS text, arg_min(section, pos) AS section, arg_min(value, pos) AS value, arg_min(doc_id, pos) AS doc_id, arg_min(source_url, pos) AS source_url FROM labelled GROUP BY scheme_id, class),
+    numbered AS (SELECT merged.*, category, row_number() OVER (PARTITION BY scheme_id ORDER BY pos) - 1 AS nth FROM merged JOIN (SELECT DISTINCT scheme_id, category FROM f) USING (scheme_id))
+    SELECT scheme_id || '_' || section || '_semantic_' || nth AS chunk_id, doc_id, section, 'semantic_cluster' AS field, text, scheme_id || ' (' || category || '). ' || text AS embed_input, source_url, value, 'prose' AS value_type, false AS is_fact, len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS token_count FROM numbered""")
+def semantic_ingest(spark, sf):
+    """Ingest with the semantic strategy; the embedder tells texts apart by their length, so that SQL can say what is merged."""
+    from factloom.plans.ingest import ingest
+
+    def by_length(text):
+        return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (F.char_length(text) % 8 == i).cast("float"))
+
+    made = ingest(fact_documents(spark, sf), Settings(strategy="semantic", chunk_tokens=5000), embedder=by_length)
+    return made.select("chunk_id", "doc_id", "section", "field", "text", "embed_input", "source_url", "value", "value_type", "is_fact", "token_count")
+
+
 @query(CHUNK_SQL + """, stored AS (SELECT *, CASE WHEN scheme_id = 's5' AND field = 'nav' THEN 'other' ELSE text END AS kept, scheme_id = 's7' AND field = 'nav' AS doubled, CASE WHEN scheme_id = 's2' AND field = 'rating' THEN '9' ELSE value END AS told, field = 'expense_ratio' AND scheme_id = 's4' AS old FROM chunks WHERE NOT chunk_id LIKE 's3\\_fees%' ESCAPE '\\'),
     j AS (SELECT fresh.chunk_id, stored.chunk_id IS NULL AS lost, stored.kept <> fresh.text AS changed, coalesce(stored.doubled, false) AS doubled, stored.told <> fresh.value OR stored.old AS meta FROM chunks fresh LEFT JOIN stored USING (chunk_id)),
     faults AS (SELECT count(*) FILTER (lost OR changed OR meta) AS drift, count(*) FILTER (NOT lost AND meta) AS meta, count(*) FILTER (lost) AS lost, count(*) FILTER (doubled) AS doubled FROM j),

@@ -160,11 +160,12 @@ def pieces(text: Column, settings: Settings, tokenizer=None) -> Column:
     return split(text)
 
 
-def chunks(body_rows: DataFrame, categories: DataFrame, settings: Settings) -> DataFrame:
+def chunks(body_rows: DataFrame, categories: DataFrame, settings: Settings, *keep: str) -> DataFrame:
     """Bodies as chunks: long ones in pieces, ids numbered within (scheme, section, field), embedding input and token count.
 
     The categories table (scheme_id, category) is the allowlist's; a body without one
-    is left out and is the orphan check's to report.
+    is left out and is the orphan check's to report. ``keep`` are columns of the bodies
+    (or ``piece`` or ``category``) that come last.
     """
     short = token_count(F.col("body")) <= settings.chunk_tokens
     # rows are told apart before the Python function, which would see them all
@@ -177,7 +178,7 @@ def chunks(body_rows: DataFrame, categories: DataFrame, settings: Settings) -> D
     return rows.select(
         F.concat_ws("_", "scheme_id", "section", "field", "_nth").alias("chunk_id"), "doc_id", "scheme_id", "section", "field", "text",
         F.format_string(template, "scheme_name", "category", "text").alias("embed_input"),
-        "source_url", "value", "value_type", "scope", "effective_date", "historical", "is_fact", token_count(F.col("text")).alias("token_count"),
+        "source_url", "value", "value_type", "scope", "effective_date", "historical", "is_fact", token_count(F.col("text")).alias("token_count"), *keep,
     )
 
 

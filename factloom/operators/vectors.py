@@ -174,11 +174,12 @@ def leaders(rows: DataFrame, id_col: str, vector_col: str, label_col: str, most:
         for batch in batches:
             seeds = [None] * batch.num_rows
             unit = units(batch.column(2).to_pylist())
-            packed, ids = batch.column(4), batch.column(3)
-            for key in set(packed.to_pylist()):
-                own = np.flatnonzero(np.array([p == key for p in packed.to_pylist()]))
-                names = ids[int(own[0])].as_py()
-                lead = np.frombuffer(key, "<f8").reshape(len(names), -1)
+            # by label: two labels may have the same leaders' vectors, but never their ids
+            of = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            for label in np.unique(of):
+                own = np.flatnonzero(of == label)
+                names = batch.column(3)[int(own[0])].as_py()
+                lead = np.frombuffer(batch.column(4)[int(own[0])].as_buffer(), "<f8").reshape(len(names), -1)
                 near = 1 - unit[own] @ lead.T <= most
                 near |= batch.column(1).to_numpy()[own][:, None] == np.array(names)[None, :]
                 for r, row in zip(own.tolist(), near, strict=True):

@@ -6,34 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.config import Settings
+from factloom.functions.text import token_count
 from factloom.operators import chunking, quality, store
 from factloom.operators.vectors import leader_clusters
 from factloom.session import staged
 
 
-def chunk_rows(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+#: The order in which an entity's chunks come: by family, place in it and piece.
+ORDER = ("family", "pos", "piece")
+
+
+def chunk_rows(docs: DataFrame, settings: Settings = Settings(), *keep: str) -> DataFrame:
     """Chunks of documents (columns of facts, text, facts map, doc_id, source_url); the allowlist is the documents' own entities."""
     docs = staged(docs, "documents")  # five families read them
     categories = docs.select("scheme_id", "category").distinct()
-    return chunking.chunks(chunking.bodies(docs, holdings_mode=settings.holdings_mode), categories, settings)
-
-
-def semantic_chunks(chunks: DataFrame, settings: Settings = Settings(), dim: int = 64, embedder=None) -> DataFrame:
-    """Chunks of an entity merged by leader clustering of their vectors."""
-    rows = store.embed(chunks.withColumn("_id", F.row_number().over(_order()).cast("long")), "text", dim, embedder=embedder)
-    return leader_clusters(rows, "_id", "embedding", "scheme_id", "text", settings.cluster_distance)
-
-
-def _order():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("scheme_id").orderBy("chunk_id")
+    return chunking.chunks(chunking.bodies(docs, holdings_mode=settings.holdings_mode), categories, settings, *keep)
+
+
+def semantic_rows(docs: DataFrame, settings: Settings = Settings(), dim: int = 64, embedder=None) -> DataFrame:
+    """Chunks of documents, those of an entity merged by leader clustering of their texts' vectors.
+
+    The first chunk of an entity that no cluster has leads and takes every such chunk
+    within ``cluster_distance``, in the chunks' order. A cluster is a chunk of its
+    leader's section, source and value, whose text is its members'; the clusters of
+    an entity are numbered. Entities may have any number of chunks, a cluster is one row.
+    """
+    rows = chunking.numbered(chunk_rows(docs, settings, *ORDER, "category"), ["scheme_id"], [*ORDER, "chunk_id"], "_id")
+    rows = staged(store.embed(rows.withColumn("_id", F.col("_id").cast("long")), "text", dim, embedder=embedder), "semantic-chunks")
+    told = leader_clusters(rows, "_id", "embedding", "scheme_id", "text", settings.cluster_distance)
+    clusters = chunking.numbered(told.select(F.col("label").alias("scheme_id"), F.col("seed").alias("_id"), F.col("text").alias("_text")), ["scheme_id"], ["_id"], "_nth")
+    led = clusters.join(rows, ["scheme_id", "_id"])
+    template = settings.prefix_template.replace("%", "%%").replace("{scheme_name}", "%1$s").replace("{category}", "%2$s").replace("{text}", "%3$s")
+    none = F.lit(None).cast("date")
+    return led.select(
+        F.concat_ws("_", "scheme_id", "section", F.lit("semantic"), "_nth").alias("chunk_id"), "doc_id", "scheme_id", "section", F.lit("semantic_cluster").alias("field"), F.col("_text").alias("text"),
+        F.format_string(template, "scheme_id", "category", "_text").alias("embed_input"), "source_url", "value", F.lit("prose").alias("value_type"), F.lit("fund").alias("scope"), none.alias("effective_date"),
+        F.lit(False).alias("historical"), F.lit(False).alias("is_fact"), token_count(F.col("_text")).alias("token_count"),
+    )
 
 
 def ingest(docs: DataFrame, settings: Settings = Settings(), dim: int = 64, embedder=None, allowlist: DataFrame | None = None) -> DataFrame:
-    """Chunks with vectors, after the audit found nothing: a failure raises before anything is embedded or stored."""
+    """Chunks with vectors, after the audit found nothing: a failure raises before anything is embedded or stored.
+
+    ``settings.strategy`` decides how documents are cut: ``semantic`` merges an entity's
+    chunks (and is an error where it is not available), anything else keeps them by label.
+    """
     docs = staged(docs, "documents")
-    chunks = staged(chunk_rows(docs, settings), "chunks")  # every rule of the audit reads them
+    if settings.strategy == "semantic" and not settings.semantic_available:
+        raise ValueError("strategy is semantic but it is not available")
+    made = semantic_rows(docs, settings, dim, embedder) if settings.strategy == "semantic" else chunk_rows(docs, settings)
+    chunks = staged(made, "chunks")  # every rule of the audit reads them
     sources = allowlist if allowlist is not None else docs.select(F.col("source_url").alias("url"))
     quality.gate(quality.audit(chunks, sources, settings.chunk_tokens))
     return store.embed(chunks, "embed_input", dim, embedder=embedder)

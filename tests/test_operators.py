@@ -57,8 +57,35 @@ def test_ingest_and_gate(spark, sf):
     assert stored.count() == chunks.count() and vectors.norm_report(stored, F.col("embedding"), 16).first()["all_dim"]
     with pytest.raises(quality.AuditFailed, match="allowlist"):
         ingest.ingest(docs, allowlist=spark.createDataFrame([("https://other.example",)], "url string"))
-    merged = ingest.semantic_chunks(chunks.where("scheme_id = 's1'"), dim=16)
-    assert sorted(i for r in merged.collect() for i in r["members"]) == list(range(1, chunks.where("scheme_id = 's1'").count() + 1))
+
+
+def test_leaders_of_labels_with_equal_vectors(spark):
+    """Every label has the same vectors under ids of its own: no row goes to another label's leader."""
+    rows = spark.createDataFrame([(f"l{i % 5}", i, [float(i // 5 % 3 == k) for k in range(3)]) for i in range(60)], "label string, id long, v array<double>").coalesce(1)
+    got = {r["id"]: r["seed"] for r in vectors.leaders(rows, "id", "v", "label").collect()}
+    assert got == {i: i % 15 for i in range(60)}
+
+
+def test_semantic_strategy_is_what_ingest_stores(spark, sf):
+    """The merged chunks against a plain greedy loop over the entity's chunks and their vectors."""
+    docs = fact_docs(spark, sf).checkpoint()
+    settings = config.Settings(strategy="semantic", chunk_tokens=5000, cluster_distance=0.6)
+    stored = {r["chunk_id"]: r for r in ingest.ingest(docs, settings, dim=16).collect()}
+    plain = store.embed(ingest.chunk_rows(docs, settings, *ingest.ORDER), "text", 16).collect()
+    want = {}
+    for scheme in {r["scheme_id"] for r in plain}:
+        left, n = sorted((r for r in plain if r["scheme_id"] == scheme), key=lambda r: (r["family"], r["pos"], r["piece"])), 0
+        while left:
+            near = [1 - sum(x * y for x, y in zip(left[0]["embedding"], r["embedding"], strict=True)) <= 0.6 for r in left]
+            near[0] = True
+            want[f"{scheme}_{left[0]['section']}_semantic_{n}"] = (" ".join(r["text"] for r, own in zip(left, near, strict=True) if own), left[0]["value"])
+            left, n = [r for r, own in zip(left, near, strict=True) if not own], n + 1
+    assert {k: (r["text"], r["value"]) for k, r in stored.items()} == want and len(want) < len(plain)
+    assert {(r["field"], r["value_type"], r["is_fact"]) for r in stored.values()} == {("semantic_cluster", "prose", False)}
+    with pytest.raises(ValueError, match="not available"):
+        ingest.ingest(docs, settings.with_(semantic_available=False))
+    with pytest.raises(quality.AuditFailed, match="token_budget"):
+        ingest.ingest(docs, settings.with_(chunk_tokens=60, cluster_distance=2.0), dim=16)
 
 
 def test_audit_rules(spark):
