@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.catalogue import query
 from factloom.config import Settings, Source
 from factloom.functions import text as T
-from factloom.operators import guards, history, resolve, validate
+from factloom.operators import answer, guards, history, resolve, validate
 from factloom.session import table
 
 c = F.col
@@ -249,6 +249,41 @@ def answer_batch(spark, sf):
     return answer_turns(spark, turns(spark, sf).where("role = 'user'"), SETTINGS, ALIASES, table(spark, sf, "embeddings"))
 
 
+class Scripted:
+    """A generator whose first and second answer to "case N" have the fault that WRITES states, or that raises."""
+
+    def chat(self, system: str, user: str, temperature: float = 0.0, max_tokens: int = 220) -> str:
+        total = system.split("<context>\n", 1)[1].split("\n</context>", 1)[0].removeprefix("NAV ₹")
+        fault = WRITES.get(user.removeprefix("case "), ("", ""))["Your previous answer failed" in system]
+        if fault == "raise":
+            raise RuntimeError("no answer")
+        shown = f"{float(total) + 1000:.2f}" if fault == "number" else total
+        url = "https://elsewhere.example/x" if fault == "link" else SOURCES[0].url
+        return f"The large cap total is ₹{shown}. {url}" + ("" if fault == "date" else "\nLast updated from sources: 2024-01-02")
+
+
+#: Faults of the first and of the second answer, by case; the other cases never reach the generator or are right at once.
+WRITES = {"1": ("date", ""), "2": ("number", "number"), "3": ("link", ""), "4": ("raise", ""), "5": ("number", "link"), "6": ("date", "raise")}
+ROUNDS_SQL = f"""WITH o AS (SELECT o_orderkey, o_orderkey % 10 AS k, 'The large cap total is ₹' || printf('%.2f', o_totalprice) || '. {SOURCES[0].url}' || chr(10) || 'Last updated from sources: 2024-01-02' AS good FROM orders)
+    SELECT o_orderkey, CASE WHEN k IN (0, 1) THEN good WHEN k IN (2, 3, 5) THEN '{answer.FALLBACK}' || chr(10) || chr(10) || 'Source: {SOURCES[0].url}' || chr(10) || 'Last updated from sources: 2024-03-04' WHEN k IN (4, 6) THEN '{answer.FALLBACK}' WHEN k = 7 THEN 'refused ' || o_orderkey ELSE '{answer.NOT_AVAILABLE}' END AS text,
+      CASE WHEN k <> 7 THEN '{SOURCES[0].url}' END AS citation_url, CASE WHEN k IN (0, 1) THEN 'answered' WHEN k IN (2, 3, 5) THEN 'fallback' WHEN k IN (4, 6) THEN 'generator_failed' WHEN k = 7 THEN 'refused' ELSE 'not_available' END AS status,
+      CASE k WHEN 2 THEN 'grounded' WHEN 3 THEN 'citation_allowed' WHEN 5 THEN 'citation_allowed' ELSE '' END AS failures, (k IN (1, 2, 5, 6))::INT AS retries FROM o"""
+
+
+@query(ROUNDS_SQL)
+def answer_rounds(spark, sf):
+    """An answer for each order by a scripted generator: at once, after a retry, by the fallback, discarded, failed, refused, not grounded, without context."""
+    k = c("o_orderkey") % 10
+    text = F.concat(F.lit("NAV ₹"), F.format_string("%.2f", "o_totalprice"))
+    found = F.struct(F.array(F.lit("alpha_large_cap")).alias("scheme_ids"), F.lit("large cap").alias("matched_alias"), F.lit(0.95).alias("confidence"), F.lit(False).alias("ambiguous"))
+    rows = table(spark, sf, "orders").select(
+        c("o_orderkey").alias("qid"), F.concat(F.lit("case "), k).alias("query"), F.when(k != 9, text).alias("context"), F.array(F.struct(F.lit("alpha_large_cap").alias("scheme_id"), text.alias("text"))).alias("evidence"), found.alias("resolution"),
+        F.when(k == 7, "advice").alias("refusal_type"), F.when(k == 7, F.concat(F.lit("refused "), "o_orderkey")).alias("refusal_text"), (k != 8).alias("grounded"), F.array().cast("array<struct<question:string,answer:string>>").alias("history"),
+    )
+    out = answer.answered(rows, Scripted(), SETTINGS, "2024-03-04", "alpha_")
+    return out.select(c("qid").alias("o_orderkey"), "text", "citation_url", "status", F.array_join("failures", ",").alias("failures"), "retries")
+
+
 @query("SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS n_before FROM conversations WHERE role = 'user'")
 def history_stream(spark, sf):
     """The history window by a stream with state, replayed over the table."""
