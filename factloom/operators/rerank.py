@@ -1,7 +1,7 @@
 """Diversity re-ranking of candidate lists.
 
-Each query's candidates (a list bounded by the search's k) are one array; lists are
-re-ranked batch by batch in Arrow tasks.
+Each query's candidates (a list bounded by the search's k) are one array, which is
+re-ranked by a fold in the JVM.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from factloom.functions.text import let
+from factloom.functions.vectors import dot, doubles, norm
+
 CANDIDATE = ("id", "distance", "field", "value", "historical", "embedding")
 
 
@@ -25,42 +28,64 @@ def without_superseded(candidates: DataFrame) -> DataFrame:
     return marked.where(~F.col("_old") | (F.col("_left") == 0)).drop("_old", "_left")
 
 
-def select_diverse(rows: list[dict], k: int, weight: float, max_per_field: int | None, penalty: str) -> list[dict]:
-    """Greedy selection from candidates in rank order; see ``rerank``."""
-    import numpy as np
-
-    unit, distance = {}, [r["distance"] for r in rows]
-    for i, r in enumerate(rows):
-        if r["embedding"] is not None:
-            v = np.asarray(r["embedding"], float)
-            size = float(np.sqrt(v @ v))
-            unit[i] = v / size if size else v * 0
-
-    def apart(i: int, j: int) -> float:
-        if i not in unit or j not in unit:
-            return distance[i] if penalty == "distance" else 1.0 - distance[i]
-        cosine = float(unit[i] @ unit[j])
-        return 1.0 - cosine if penalty == "distance" else cosine
-
-    worst, left, chosen = [0.0] * len(rows), list(range(len(rows))), []
-    fields: dict = {}
-    pairs: set = set()
-    while left and len(chosen) < k:
-
-        def tier(i: int) -> int:
-            full = max_per_field is not None and fields.get(rows[i]["field"], 0) >= max_per_field
-            return 2 * full + ((rows[i]["field"], rows[i]["value"]) in pairs)
-
-        # the tiers only ever grow, so taking the lowest at each step is running them in turn
-        tiers = [tier(i) for i in left]
-        best = max((i for i, t in zip(left, tiers, strict=True) if t == min(tiers)), key=lambda i: ((1 - weight) * (1 - distance[i]) - weight * worst[i], -i))
-        chosen.append(best)
-        left.remove(best)
-        fields[rows[best]["field"]] = fields.get(rows[best]["field"], 0) + 1
-        pairs.add((rows[best]["field"], rows[best]["value"]))
-        for i in left:
-            worst[i] = max(worst[i], apart(i, best))
-    return [rows[i] for i in chosen]
+def _apart(rows: Column, penalty: str) -> Column:
+    """For each candidate its penalty to every one by place; each pair's product is made once.
+
+    A candidate without vector, or one beside it, counts by its own distance to the query.
+    """
+
+    def unit(r: Column) -> Column:
+        # a zero vector has cosine 0 with all
+        return let(norm(r["embedding"]), lambda n: F.transform(doubles(r["embedding"]), lambda x: F.when(n == 0, 0.0).otherwise(x / n)))
+
+    def below(units: Column) -> Column:
+        return F.transform(units, lambda u, i: F.transform(F.slice(units, 1, i), lambda v: dot(u, v)))
+
+    def whole(products: Column) -> Column:
+        def penalties(r: Column, i: Column) -> Column:
+            alone = r["distance"] if penalty == "distance" else 1.0 - r["distance"]
+
+            def one(j: Column) -> Column:
+                product = F.get(F.get(products, F.greatest(i, j)), F.least(i, j))
+                return F.coalesce(1.0 - product if penalty == "distance" else product, alone)
+
+            return F.transform(F.sequence(F.lit(0), F.size(rows) - 1), one)
+
+        return F.transform(rows, penalties)
+
+    return let(let(F.transform(rows, unit), below), whole)
+
+
+def select_diverse(rows: Column, k: int, weight: float, max_per_field: int | None, penalty: str) -> Column:
+    """Places (from 0) of up to k candidates of an array in rank order, chosen one by one; see ``rerank``.
+
+    A fold whose state is what was chosen and what is left; the list is bounded by the search's k.
+    """
+    left_type = "array<struct<i:int,worst:double>>"
+
+    def fold(apart: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("chosen"), F.transform(rows, lambda r, i: F.struct(i.alias("i"), F.lit(0.0).alias("worst"))).cast(left_type).alias("left"))
+
+        def step(state: Column, _: Column) -> Column:
+            def told(x: Column) -> Column:
+                r = F.get(rows, x["i"])
+                same = F.filter(state["chosen"], lambda j: F.get(rows, j)["field"].eqNullSafe(r["field"]))
+                seen = F.exists(same, lambda j: F.get(rows, j)["value"].eqNullSafe(r["value"])).cast("int")
+                tier = seen if max_per_field is None else F.when(F.size(same) >= max_per_field, 2).otherwise(0) + seen
+                score = (1 - weight) * (1 - r["distance"]) - weight * x["worst"]
+                return F.struct(tier.alias("tier"), (-score).alias("score"), x["i"].alias("i"))
+
+            # the tiers only ever grow, so taking the lowest at each step is running them in turn
+            def taken(best: Column) -> Column:
+                others = F.filter(state["left"], lambda x: x["i"] != best)
+                worse = F.transform(others, lambda x: F.struct(x["i"].alias("i"), F.greatest(x["worst"], F.get(F.get(apart, x["i"]), best)).alias("worst")))
+                return F.struct(F.concat(state["chosen"], F.array(best)).alias("chosen"), worse.cast(left_type).alias("left"))
+
+            return F.when(F.size(state["left"]) > 0, let(F.array_min(F.transform(state["left"], told))["i"], taken)).otherwise(state)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step)["chosen"]
+
+    return let(_apart(rows, penalty), fold)
 
 
 def rerank(candidates: DataFrame, k: int = 4, weight: float = 0.3, max_per_field: int | None = 3, penalty: str = "distance") -> DataFrame:
@@ -77,13 +102,6 @@ def rerank(candidates: DataFrame, k: int = 4, weight: float = 0.3, max_per_field
     own = without_superseded(candidates).withColumn("value", F.col("value").cast("string")).select("qid", F.struct("rank", *CANDIDATE).alias("c"))
     lists = own.groupBy("qid").agg(F.array_sort(F.collect_list("c")).alias("candidates"))
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for qid, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += [(qid, r["id"], r["distance"], n) for n, r in enumerate(select_diverse(rows, k, weight, max_per_field, penalty), 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int32()))], names=["qid", "id", "distance", "rank"])
-
-    return lists.mapInArrow(run, "qid long, id long, distance double, rank int")
+    chosen = F.transform(select_diverse(F.col("candidates"), k, weight, max_per_field, penalty), lambda i: F.get("candidates", i))
+    told = lists.select("qid", F.posexplode(chosen).alias("n", "c"))
+    return told.select("qid", "c.id", "c.distance", (F.col("n") + 1).alias("rank"))

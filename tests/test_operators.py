@@ -174,14 +174,65 @@ def candidate(i, distance, field="f", value="v", historical=False, embedding=(1.
     return {"id": i, "distance": distance, "field": field, "value": value, "historical": historical, "embedding": list(embedding) if embedding else None, "rank": i}
 
 
-def test_rerank_tiers():
+def chosen(spark, rows, k, weight, max_per_field, penalty):
+    schema = "rank int, id int, distance double, field string, value string, historical boolean, embedding array<double>"
+    df = spark.createDataFrame([tuple(r[n] for n in ("rank", "id", "distance", "field", "value", "historical", "embedding")) for r in rows], schema)
+    df = df.agg(F.array_sort(F.collect_list(F.struct("*"))).alias("c"))
+    return [rows[i]["id"] for i in df.select(rerank.select_diverse(F.col("c"), k, weight, max_per_field, penalty).alias("p")).first()["p"]]
+
+
+def test_rerank_tiers(spark):
     rows = [candidate(i, 0.1 * i, "f", str(i)) for i in range(1, 5)] + [candidate(5, 0.9, "g", "x"), candidate(6, 0.95, "g", "x")]
-    assert [r["id"] for r in rerank.select_diverse(rows, 4, 0.0, 3, "distance")] == [1, 2, 3, 5]
-    assert [r["id"] for r in rerank.select_diverse(rows, 9, 0.0, 3, "distance")] == [1, 2, 3, 5, 6, 4]
+    assert chosen(spark, rows, 4, 0.0, 3, "distance") == [1, 2, 3, 5]
+    assert chosen(spark, rows, 9, 0.0, 3, "distance") == [1, 2, 3, 5, 6, 4]
     apart = [candidate(1, 0.1, value="a"), candidate(2, 0.2, value="b", embedding=(0.0, 1.0)), candidate(3, 0.25, value="c")]
-    assert [r["id"] for r in rerank.select_diverse(apart, 2, 0.3, 3, "distance")] == [1, 3]
-    assert [r["id"] for r in rerank.select_diverse(apart, 2, 0.3, 3, "similarity")] == [1, 2]
-    assert [r["id"] for r in rerank.select_diverse([candidate(1, 0.5), candidate(2, 0.5)], 1, 0.3, None, "distance")] == [1]
+    assert chosen(spark, apart, 2, 0.3, 3, "distance") == [1, 3]
+    assert chosen(spark, apart, 2, 0.3, 3, "similarity") == [1, 2]
+    assert chosen(spark, [candidate(1, 0.5), candidate(2, 0.5)], 1, 0.3, None, "distance") == [1]
+
+
+def plain_choice(rows, k, weight, max_per_field, penalty):
+    """The same choice by loops."""
+
+    def apart(a, b):
+        if a["embedding"] is None or b["embedding"] is None:
+            return a["distance"] if penalty == "distance" else 1 - a["distance"]
+        x, y = np.array(a["embedding"]), np.array(b["embedding"])
+        size = np.linalg.norm(x) * np.linalg.norm(y)
+        return (1 - x @ y / size if size else 1.0) if penalty == "distance" else (x @ y / size if size else 0.0)
+
+    taken = []
+    while len(taken) < min(k, len(rows)):
+
+        def key(r):
+            same = [t for t in taken if t["field"] == r["field"]]
+            tier = 2 * (max_per_field is not None and len(same) >= max_per_field) + any(t["value"] == r["value"] for t in same)
+            return tier, -((1 - weight) * (1 - r["distance"]) - weight * max([0.0, *(apart(r, t) for t in taken)])), r["rank"]
+
+        taken.append(min((r for r in rows if r not in taken), key=key))
+    return [r["id"] for r in taken]
+
+
+@pytest.mark.parametrize("penalty", ["distance", "similarity"])
+def test_rerank_equals_loops(spark, penalty):
+    """Ties, nulls in every column, zero vectors and lists shorter than k."""
+    rnd = np.random.default_rng(5)
+    for n in (1, 3, 18, 30):
+        rows = [
+            candidate(i, round(float(rnd.uniform(0, 1)), 1), [None, "f", "g"][rnd.integers(3)], [None, "v", "w"][rnd.integers(3)], embedding=None if i % 7 == 3 else (0.0, 0.0, 0.0) if i % 11 == 5 else rnd.normal(size=3).tolist())
+            for i in range(n)
+        ]
+        for limit in (None, 2):
+            assert chosen(spark, rows, 6, 0.3, limit, penalty) == plain_choice(rows, 6, 0.3, limit, penalty)
+
+
+def test_rerank_stays_in_the_jvm(spark):
+    rows = [(1, i, float(i) / 10, i, "f", str(i), False, [1.0, float(i)]) for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "qid long, id long, distance double, rank int, field string, value string, historical boolean, embedding array<float>")
+    out = rerank.rerank(df, 3)
+    assert [(r["rank"], r["id"]) for r in sorted(out.collect(), key=lambda r: r["rank"])] == [(1, 1), (2, 2), (3, 3)]
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rerank.rerank(df.limit(0)).count() == 0
 
 
 def test_superseded(spark):
