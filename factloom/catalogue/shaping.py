@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from factloom.catalogue import query
@@ -344,6 +346,36 @@ def ingest_pipeline(spark, sf):
     return made.select("chunk_id", "scheme_id", "section", "field", "value", "token_count", F.size("embedding").alias("dim"), F.round(V.norm(c("embedding")), 4).alias("norm"))
 
 
+#: What the log of a run tells, by its path in the entry, and how SQL finds it out from the documents and chunks.
+LOGGED = {
+    "n_documents": ("stage_summary.documents", "(SELECT count(*) FROM f)"), "n_lines": ("decision.total_lines", f"(SELECT sum(len(list_filter(string_split({FACT_TEXT_SQL}, chr(10)), lambda x: trim(x) <> ''))) FROM f)"),
+    "n_chunks": ("stage_summary.chunks.n", "count(*)"), "tokens": ("stage_summary.chunks.tokens", "sum(token_count)"), "longest": ("stage_summary.chunks.longest", "max(token_count)"), "shortest": ("stage_summary.chunks.shortest", "min(token_count)"),
+    "n_facts": ("stage_summary.chunks.facts", "count(*) FILTER (is_fact)"), "n_historical": ("stage_summary.chunks.historical", "count(*) FILTER (historical)"),
+    **{f"n_{s}": (f"stage_summary.chunks_per_section.{s}", f"count(*) FILTER (section = '{s}')") for s in ("overview", "fees_and_minimums", "about", "portfolio", "fund_management")},
+    "n_of_s5": ("stage_summary.chunks_per_scheme.s5", "count(*) FILTER (scheme_id = 's5')"), "n_vectors": ("stage_summary.vectors.n", "count(*)"), "dim": ("stage_summary.vectors.longest", "64"),
+}
+
+
+@query(CHUNK_SQL + " SELECT " + ", ".join(f"({sql})::BIGINT AS {n}" for n, (_, sql) in LOGGED.items()) + ", 1.0 AS least_norm, 1.0 AS most_norm, 'label_aware_recursive' AS selected, true AS in_time, true AS same_stored FROM chunks")
+def ingest_run_log(spark, sf):
+    """A whole ingest into a store, and what its log tells: figures that the writing tasks took, read back."""
+    from factloom.config import Source
+    from factloom.plans.ingest import ingest_run
+    from factloom.session import shared_folder
+
+    stored, log = shared_folder(spark, "stored"), shared_folder(spark, "run-log")
+    began = time.monotonic()
+    ingest_run(fact_documents(spark, sf), stored, log, Settings(sources=(Source("s5", "", "", ""),)))
+    took = time.monotonic() - began
+
+    def told(path: str):
+        return F.get_json_object("value", f"$.{path}")
+
+    norms = [F.round(told(f"stage_summary.vectors.{x}").cast("double"), 4).alias(x) for x in ("least_norm", "most_norm")]
+    rows = spark.read.text(log).select(*[told(path).cast("long").alias(x) for x, (path, _) in LOGGED.items()], *norms, told("decision.selected").alias("selected"), told("duration_s").cast("double").between(0, took + 0.001).alias("in_time"))
+    return rows.withColumn("same_stored", c("n_chunks") == spark.read.parquet(stored).count())
+
+
 FIELDS_SQL = ", ".join(f"'{f}'" for f in [*(r[0] for r in REGISTRY), "exit_load_historical", "top_holding", "sector_allocation", "fund_manager"])
 
 

@@ -213,13 +213,23 @@ def windows(text: Column, size: int = 200, overlap: int = 40) -> Column:
     return let(tokens(text), cut)  # the text is cut into tokens once, not for each window
 
 
-def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: doc_count, mean_doc_chars, total_lines, labelled_lines, labelled_line_ratio."""
+def stat_figures(text: str = "text") -> dict[str, Column]:
+    """Sums over documents that ``stats_of`` makes statistics of."""
     c = F.col(text)
-    sums = docs.agg(F.count(F.lit(1)).alias("doc_count"), F.avg(F.length(c)).alias("_mean"), F.coalesce(F.sum(nonblank_lines(c)), F.lit(0)).alias("total_lines"), F.coalesce(F.sum(label_lines(c)), F.lit(0)).alias("labelled_lines"))
-    ratio = F.when(F.col("total_lines") > 0, F.col("labelled_lines") / F.col("total_lines")).otherwise(0.0)
+    return {"docs": F.count(F.lit(1)), "told": F.count(c), "chars": F.coalesce(F.sum(F.length(c)), F.lit(0)), "lines": F.coalesce(F.sum(nonblank_lines(c)), F.lit(0)), "labelled": F.coalesce(F.sum(label_lines(c)), F.lit(0))}
+
+
+def stats_of(sums: DataFrame) -> DataFrame:
+    """One row: doc_count, mean_doc_chars, total_lines, labelled_lines, labelled_line_ratio."""
+    mean = F.when(F.col("told") > 0, F.col("chars") / F.col("told")).otherwise(0.0)
+    ratio = F.when(F.col("lines") > 0, F.col("labelled") / F.col("lines")).otherwise(0.0)
     # ties go to the even digit
-    return sums.select("doc_count", F.bround(F.coalesce("_mean", F.lit(0.0)), 1).alias("mean_doc_chars"), "total_lines", "labelled_lines", F.bround(ratio, 4).alias("labelled_line_ratio"))
+    return sums.select(F.col("docs").alias("doc_count"), F.bround(mean, 1).alias("mean_doc_chars"), F.col("lines").alias("total_lines"), F.col("labelled").alias("labelled_lines"), F.bround(ratio, 4).alias("labelled_line_ratio"))
+
+
+def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Statistics of documents' texts, see ``stats_of``."""
+    return stats_of(docs.agg(*[v.alias(n) for n, v in stat_figures(text).items()]))
 
 
 def strategy(stats: DataFrame, settings: Settings, single_fact_ratio: float = 1.0) -> DataFrame:

@@ -156,12 +156,13 @@ def too_long(rows: DataFrame, key: str, tokens: str, budget: int) -> DataFrame:
     return rows.where(F.col(tokens) > budget).select(key, tokens)
 
 
-def write_run_log(spark: SparkSession, path: str, stage: str, duration_s: float, extra: dict | None = None, **parts) -> None:
-    """Appends one JSON row; ``extra`` is merged last and may replace anything."""
+def write_run_log(spark: SparkSession, path: str, stage: str, duration_s: float, extra: dict | None = None, **parts) -> dict:
+    """Appends one JSON row and gives it; ``extra`` is merged last and may replace anything."""
     from datetime import UTC, datetime
 
     entry = {"generated_at": datetime.now(UTC).isoformat(), "stage": stage, **parts, "duration_s": round(duration_s, 3), **(extra or {})}
     spark.createDataFrame([(json.dumps(entry, default=str, ensure_ascii=False),)], "value string").coalesce(1).write.mode("append").text(path)
+    return entry
 
 
 def read_run_log(spark: SparkSession, path: str) -> dict:

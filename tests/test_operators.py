@@ -59,6 +59,26 @@ def test_ingest_and_gate(spark, sf):
         ingest.ingest(docs, allowlist=spark.createDataFrame([("https://other.example",)], "url string"))
 
 
+def test_run_log_of_an_ingest(spark, sf, tmp_path):
+    docs = fact_docs(spark, sf).checkpoint()
+    path, log = f"file://{tmp_path}/stored", f"file://{tmp_path}/log"
+    entry = ingest.ingest_run(docs, path, log, config.Settings(sources=(config.Source("s3", "", "", ""), config.Source("none", "", "", ""))), dim=16)
+    assert json.loads(json.dumps(entry)) == store.read_run_log(spark, log) and entry["duration_s"] > 0
+    rows, told = spark.read.parquet(path).collect(), entry["stage_summary"]
+    assert told["chunks"]["n"] == told["vectors"]["n"] == len(rows) and told["documents"] == docs.count()
+    assert told["chunks"]["tokens"] == sum(r["token_count"] for r in rows) and told["chunks"]["longest"] == max(r["token_count"] for r in rows)
+    assert told["chunks_per_section"] == {s: sum(r["section"] == s for r in rows) for s in ingest.SECTIONS}
+    assert told["chunks_per_scheme"] == {"s3": sum(r["scheme_id"] == "s3" for r in rows), "none": 0}
+    assert told["vectors"]["shortest"] == told["vectors"]["longest"] == 16 and abs(told["vectors"]["least_norm"] - 1) < 1e-3
+    stats = chunking.corpus_stats(docs).first().asDict()
+    assert {n: entry["decision"][n] for n in stats} == stats
+    with pytest.raises(quality.AuditFailed):
+        ingest.ingest_run(docs, f"{path}-2", f"{log}-2", allowlist=spark.createDataFrame([("https://other.example",)], "url string"))
+    assert store.read_run_log(spark, f"{log}-2") == {} and not (tmp_path / "stored-2").exists()
+    none = ingest.ingest_run(docs.limit(0), f"{path}-3", f"{log}-3")
+    assert none["stage_summary"]["documents"] == 0 and none["stage_summary"]["vectors"] == {"n": 0, "shortest": None, "longest": None, "least_norm": None, "most_norm": None}
+
+
 def test_leaders_of_labels_with_equal_vectors(spark):
     """Every label has the same vectors under ids of its own: no row goes to another label's leader."""
     rows = spark.createDataFrame([(f"l{i % 5}", i, [float(i // 5 % 3 == k) for k in range(3)]) for i in range(60)], "label string, id long, v array<double>").coalesce(1)
