@@ -44,7 +44,10 @@ LOW_SQL = "lower(trim(regexp_replace(question, '\\s+', ' ', 'g')))"
 
 
 def turns(spark, sf):
-    rows = table(spark, sf, "conversations")
+    return led(table(spark, sf, "conversations"))
+
+
+def led(rows):
     lead = F.get(F.array(*map(F.lit, LEADS)), ((c("conv_id") * 7 + c("turn")) % len(LEADS)).cast("int"))
     return rows.withColumn("question", F.when(c("turn") % 3 == 0, lead).otherwise(F.concat(lead, F.lit(" "), c("text"))))
 
@@ -292,6 +295,18 @@ def history_stream(spark, sf):
     return replayed(spark, f"{sf}/conversations.parquet").select("conv_id", "turn", "n_before")
 
 
+@query(HINT_SQL + " SELECT conv_id, turn, hint FROM h")
+def history_hints_stream(spark, sf):
+    """The entities carried forward by a stream with a list as state, replayed over the table."""
+    from factloom.streaming.history import hints_replayed
+
+    def asked(rows):
+        told = led(rows.where("role = 'user'")).withColumn("r", resolve.resolve(c("question"), ALIASES, IN_SCOPE))
+        return told.select("conv_id", "turn", guards.redacted(c("question"), "[redacted]").alias("question"), F.when(~c("r.ambiguous"), c("r.scheme_ids")).alias("scheme_ids"))
+
+    return hints_replayed(spark, f"{sf}/conversations.parquet", asked).select("conv_id", "turn", F.array_join("hint", ",").alias("hint"))
+
+
 #: What is expected of a lead by its place: a kind of personal data, or a refusal.
 EXPECTED = {3: "pan", 4: "email", 6: "phone", 11: "folio", 13: "aadhaar", 14: "otp", 15: "account_number", 1: "advice", 5: "performance", 7: "out_of_corpus", 9: "advice", 10: "performance"}
 PERSONAL = {k: v for k, v in EXPECTED.items() if v in dict(guards.PII)}
