@@ -328,6 +328,45 @@ CHUNK_SQL = FACTS_SQL + f""", r AS (SELECT *, unnest({_known_sql()}) AS r FROM f
     chunks AS (SELECT scheme_id || '_' || section || '_' || field || '_0' AS chunk_id, scheme_id AS doc_id, scheme_id, section, field, text, name || ' (' || category || '). ' || text AS embed_input, url AS source_url, value, value_type, scope, effective_date, historical, is_fact, len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS token_count FROM bodies JOIN f USING (k))"""
 
 
+WHOLE_SQL = FACTS_SQL + """ SELECT scheme_id, name AS scheme_name, plan AS plan_type, category, n_name AS category_raw, CASE WHEN k % 2 = 0 THEN 'Cap' ELSE '' END AS sub_category, CASE k % 3 WHEN 0 THEN 'Sub Sub' WHEN 1 THEN '' END AS sub_sub_category,
+    CASE WHEN k % 3 = 1 THEN 'House Two' ELSE 'House One' END AS fund_house, nav, strftime(d + INTERVAL 1 DAY, '%d %b %Y') AS nav_date, aum AS fund_aum, '₹12,34,567.5 Cr' AS amc_aum_total, CASE WHEN k % 2 = 0 THEN '#' || k END AS amc_rank, expense AS expense_ratio,
+    rating::INT AS rating, risk AS risk_rating, '₹100' AS min_first_inv, CASE WHEN k % 2 = 0 THEN '₹1,00,000' ELSE 'Not available' END AS min_additional_inv, min_sip, CASE WHEN k % 3 = 0 THEN '₹1' ELSE 'Not available' END AS sip_multiplier,
+    CASE WHEN k % 5 = 0 THEN '₹0.25' ELSE 'Not available' END AS purchase_multiplier, CASE WHEN k % 4 = 0 THEN '₹1,000' ELSE 'Not available' END AS min_stp_in, exit_load, '2015-05-08 1%, 2013-01-01 Nil' AS exit_load_history, '0.005%' AS stamp_duty, lock_in, benchmark,
+    CASE WHEN k % 2 = 0 THEN 'IDX ' || n_name ELSE 'Not available' END AS benchmark_short, strftime(d, '%d-%b-%Y') AS scheme_launch_date, CASE k % 3 WHEN 0 THEN '31 Dec 1999' WHEN 1 THEN 'long ago' ELSE 'Not available' END AS amc_incorporation_date, 'House One' AS amc_name,
+    CASE WHEN k % 2 = 0 THEN 'Keeper ' || k ELSE 'Not available' END AS custodian, CASE WHEN k % 3 = 0 THEN 'Agent' ELSE 'their agent' END AS rta, CASE WHEN k % 4 <> 0 THEN 'Aims at ' || n_name ELSE 'Not available' END AS investment_objective, CASE WHEN k % 2 = 1 THEN 'Of many' ELSE 'Not available' END AS category_helper_text,
+    CASE WHEN k % 5 = 0 THEN 'Taxed' ELSE 'see the law' END AS tax_note, held::INT AS holdings_count, CASE WHEN held > 0 THEN '31 Mar 2024' END AS holdings_portfolio_date, array_to_string(tops, '; ') AS top_holdings,
+    array_to_string(list_transform(sectors, lambda x: x.sector || ' ' || x.weight), '; ') AS sector_allocation, 'Manager ' || k || '|' || strftime(d + INTERVAL 1 DAY, '%b %Y') || CASE WHEN k % 2 = 0 THEN '|MBA' ELSE '' END AS fund_managers, CASE WHEN k % 3 = 0 THEN 'Very High' ELSE 'Not available' END AS nfo_risk FROM f"""
+
+
+@query(WHOLE_SQL)
+def facts_whole(spark, sf):
+    """Every column of the facts, each present, empty and missing by turns; lists as text."""
+    k, lit = c("supplier"), F.lit
+
+    def told(every: int, value, kind: str = "string", other=None):
+        return F.when(k % every == 0, lit(value) if not hasattr(value, "cast") else value).otherwise(lit(other)).cast(kind)
+
+    rows = facts.parsed(payloads(spark, sf), "payload")
+    house = c("amc_info")
+    rows = rows.withColumns(
+        {
+            "sub_sub_category": F.when(k % 3 == 0, " Sub\nSub ").when(k % 3 == 1, " "), "fund_house": F.when(k % 3 == 1, "House\r\nTwo ").when(k % 3 == 0, ""), "mini_additional_investment": told(2, 100000.0, "double"), "sip_multiplier": told(3, 1.0, "double"),
+            "purchase_multiplier": told(5, 0.25, "double"), "stp_details": F.struct(told(4, 1000.0, "double").alias("stp_in_minimum_installment_amount")), "benchmark": told(2, F.regexp_replace("benchmark_name", "INDEX", "IDX"), other=" "),
+            "amc_info": F.struct(house["name"].alias("name"), house["aum"].alias("aum"), told(2, F.concat(lit(" #"), k)).alias("rank"), F.when(k % 3 == 0, "1999-12-31").when(k % 3 == 1, " long ago ").alias("launch_date")),
+            "rta_details": F.struct(told(2, F.concat(lit("Keeper "), k)).alias("custodian_name"), told(3, "Agent", other="").alias("rta_name")), "description": F.when(k % 4 != 0, F.concat(lit(" Aims\nat "), "category")),
+            "category_info": F.struct(F.when(k % 2 == 1, "Of\nmany").alias("category_helper_text"), told(5, "Taxed", other="").alias("tax_impact")), "nfo_risk": told(3, "Very High"),
+        }
+    )
+    made = facts.facts(rows, fallback_tax_note="see the law", fallback_rta="their agent")
+    lists = {
+        "exit_load_history": F.array_join(F.transform("exit_load_history", lambda h: F.concat_ws(" ", h["as_on_date"], h["note"])), ", "),
+        "top_holdings": F.array_join(F.transform("top_holdings", lambda h: F.concat(h["company"], lit(" | sector "), h["sector"], lit(" | instrument "), h["instrument"], lit(" | weight "), facts.weight_text(h["weight_pct"]))), "; "),
+        "sector_allocation": F.array_join(F.transform("sector_allocation", lambda x: F.concat(x["sector"], lit(" "), facts.weight_text(x["weight_pct"]))), "; "),
+        "fund_managers": F.array_join(F.transform("fund_managers", lambda m: F.concat_ws("|", m["name"], m["tenure_from"], m["education"])), ", "),
+    }
+    return made.withColumns(lists)
+
+
 @query(CHUNK_SQL + " SELECT * FROM chunks")
 def chunk_families(spark, sf):
     """Chunks of the suppliers' documents, all five families, ids unique."""
