@@ -207,6 +207,18 @@ def token_windows(spark, sf):
     return rows.select("doc_id", "w.nth", "w.n", F.sha2("w.text", 256).alias("text_sha256"))
 
 
+@query(r"""WITH i AS (SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN repeat(chr(10) || ' ', (doc_id % 5)::INT) || chr(160) WHEN 4 THEN ' .' ELSE text END AS t FROM documents)
+    SELECT 'blank_input' AS rule, doc_id::VARCHAR AS key, coalesce(length(t), 0) || ' blank characters' AS detail FROM i WHERE coalesce(regexp_matches(t, '^[\s\x{A0}]*$'), true)""")
+def blank_inputs(spark, sf):
+    """Inputs of the embedder that the gate refuses: planted null, empty and blank ones among all documents."""
+    from factloom.operators import quality
+
+    place = F.col("doc_id") % 9
+    spaces = F.concat(F.repeat(F.lit("\n "), (F.col("doc_id") % 5).cast("int")), F.lit("\u00a0"))
+    text = F.when(place == 1, None).when(place == 2, "").when(place == 3, spaces).when(place == 4, " .").otherwise(F.col("text"))
+    return quality.blank(table(spark, sf, "documents").withColumn("input", text), "doc_id", "input")
+
+
 @query()
 def prose_pieces(spark, sf):
     """The exact recursive splitter over whole documents."""

@@ -19,6 +19,11 @@ def failures(rows: DataFrame, rule: str, key: Column, bad: Column, detail: Colum
     return rows.where(F.coalesce(bad, F.lit(False))).select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
 
 
+def blank(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows whose input for the embedder is null or nothing but white space of any kind."""
+    return failures(rows, "blank_input", F.col(key), F.col(text).isNull() | (strip(F.col(text)) == ""), F.concat(F.coalesce(F.length(text), F.lit(0)), F.lit(" blank characters")))
+
+
 def together(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
@@ -89,6 +94,8 @@ def audit(chunks: DataFrame, allowlist: DataFrame, budget: int, markers: tuple[s
         failures(chunks, "scope", key, (c("field") == "amc_aum_total") & (c("scope") != "amc"), F.lit("must have scope amc")),
         repeated_keys(chunks, "chunk_id"),
     ]
+    if "embed_input" in chunks.columns:
+        parts.append(blank(chunks, "chunk_id", "embed_input"))
     if gold is not None:
         parts.append(gold_mismatches(gold, latest, ["field", "scheme_id"]))
     if distinct:

@@ -121,6 +121,13 @@ def test_audit_rules(spark):
     quality.gate(found.limit(0))
 
 
+def test_blank_inputs_are_refused(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, " \n\u2003"), (4, " a ")], "id int, t string")
+    assert sorted((r["key"], r["detail"]) for r in quality.blank(rows, "id", "t").collect()) == [("1", "0 blank characters"), ("2", "0 blank characters"), ("3", "3 blank characters")]
+    with pytest.raises(quality.AuditFailed, match="blank_input"):
+        quality.gate(quality.blank(rows, "id", "t"))
+
+
 def test_upsert_twice_is_once(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
