@@ -348,3 +348,35 @@ def test_trace(spark):
     t = trace.trace(stage1=F.lit(1), stage5=F.struct(F.lit("x").alias("a")))
     row = spark.range(1).select(trace.is_complete(t).alias("c"), trace.to_text(t).alias("j")).first()
     assert not row["c"] and json.loads(row["j"])["stage5"] == {"a": "x"} and json.loads(row["j"])["stage2"] is None
+
+
+def test_a_block_product_is_bounded_in_memory(spark, monkeypatch):
+    """No product passes TILE queries to what keeps its rows, whatever the blocks' size, and ties at the k-th distance go by id."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = np.append(rng.integers(-3, 4, (60, 3)), np.ones((60, 1)), 1)  # whole numbers, so that products are exact
+    rows = [(n, [float(x) for x in base[n % 60]]) for n in range(600)]  # ten rows at each distance
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(2)
+    asked = df.where("id < 100").select(F.col("id").alias("qid"), "embedding")
+    sizes = spark.sparkContext.accumulator(0)
+    plain = vectors._products
+
+    def watched(corpus, queries, columns, own, filtered, skip_self, keep):
+        def seen(distance, ids):
+            sizes.add(int(len(distance) > vectors.TILE))
+            return keep(distance, ids)
+
+        return plain(corpus, queries, columns, own, filtered, skip_self, seen)
+
+    monkeypatch.setattr(vectors, "_products", watched)
+    monkeypatch.setattr(vectors, "TILE", 16)
+    got = {}
+    for r in vectors.nearest(df, asked, 15).collect():
+        got.setdefault(r["qid"], {})[r["rank"]] = r["id"]
+    size = np.sqrt((base * base).sum(1))
+    every = 1 - base @ base.T / np.outer(size, size)
+    for q, found in got.items():
+        want = sorted(range(600), key=lambda i: (every[q % 60, i % 60], i))[:15]
+        assert [found[n] for n in range(1, 16)] == want
+    assert len(got) == 100 and sizes.value == 0
