@@ -18,9 +18,11 @@ last, so that they are seldom keys.
 
 What is asked for is components, so a group of g copies need not become g * g
 pairs. First the sets of a key are compared with a few of them alone (CENTERS stars, by
-the first STAR_KEYS shared keys of a set), which makes most of a group one component; then only
-sets of one key that are still in different components are compared. A link within
-a component changes nothing. Keys that a single set has are
+the first STAR_KEYS shared keys of a set), which makes most of a group one component; then
+sets of one key in different components, those of the closest fingerprints before the others
+(CLOSE), which joins groups whose members have a few links each among many that are
+just not similar; at last all sets of one key that are still in different components. A link within
+a component changes nothing, so the rounds before the last bear on speed alone. Keys that a single set has are
 left out before anything is joined, and equal sets are one node: a hash of 64 bits,
 with a second one beside it that tells sets of one hash apart.
 """
@@ -45,6 +47,8 @@ CENTERS, STAR_KEYS = 6, 8
 FACTORS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 #: Deviations that similar sets' fingerprints may differ by beyond what is expected, and what sets of n shingles are allowed beyond large ones, over the root of n.
 DEVIATIONS, SMALL = 6, 0.12
+#: The same for pairs that are compared in rounds before the others, the closest first: of these more are similar.
+CLOSE = (-2, -1)
 PRINTS = [f"f{i}" for i in range(len(FACTORS))]
 
 
@@ -89,7 +93,7 @@ def _fingerprint(own) -> list[int]:
     return np.packbits(bits * 2 > len(own)).view(">i8").tolist()
 
 
-def most_bits(least: float, n: Column) -> Column:
+def most_bits(least: float, n: Column, deviations: float = DEVIATIONS) -> Column:
     """Bits of a fingerprint that two sets of similarity ``least`` may differ in, the smaller of ``n`` shingles.
 
     Their cosine is 2 t / (1 + t) or more, so a bit differs with the angle's share of a
@@ -98,7 +102,7 @@ def most_bits(least: float, n: Column) -> Column:
     """
     size = 64 * len(FACTORS)
     share = F.least(F.lit(0.5), math.acos(2 * least / (1 + least)) / math.pi + SMALL / F.sqrt(n))
-    return size * share + DEVIATIONS * F.sqrt(size * share * (1 - share))
+    return size * share + deviations * F.sqrt(size * share * (1 - share))
 
 
 def near(a: list[Column], b: list[Column], bits: Column) -> Column:
@@ -222,14 +226,14 @@ def _whole(least: float, n: str) -> Column:
     return F.ceil(F.col(n) * (2 * least / (1 + least)) - 1e-9)
 
 
-def _fits(least: float, exact: bool) -> Column:
+def _fits(least: float, exact: bool, deviations: float = DEVIATIONS) -> Column:
     """Whether sets x and y (y no larger) that share a key at their places may be similar enough, by sizes, places and fingerprints."""
     enough = (F.col("n_x") + F.col("n_y")) * (least / (1 + least)) - 1e-9
     room = 1 + F.least(F.col("n_x") - F.col("at_x") - 1, F.col("n_y") - F.col("at_y") - 1)
     smaller = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("y") < F.col("x")))
     prints = [[F.col(f"{f}_{s}") for f in PRINTS] for s in "xy"]
     fits = smaller & (F.col("n_y") >= F.col("n_x") * least - 1e-9) & (room >= enough)
-    return fits if exact else fits & near(*prints, most_bits(least, F.col("n_y")))
+    return fits if exact else fits & near(*prints, most_bits(least, F.col("n_y"), deviations))
 
 
 def _side(rows: DataFrame, name: str, *keep: str) -> DataFrame:
@@ -261,9 +265,9 @@ def _stars(shared: DataFrame, least: float, exact: bool) -> tuple[DataFrame, Dat
     return pairs[0].unionAll(pairs[1]).distinct().select(F.col("x").alias("a"), F.col("y").alias("b")), few
 
 
-def _across(shared: DataFrame, stars: DataFrame, least: float, exact: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs of sets that share a key and are in different components of ``stars`` (node, root); and the stored table they come from."""
-    rooted = shared.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _across(shared: DataFrame, stars: DataFrame, least: float, exact: bool, deviations: float = DEVIATIONS) -> tuple[DataFrame, DataFrame]:
+    """Pairs of sets that share a key and are in different components of ``stars`` (node, root); and the stored table of the keys they share, with ``root``."""
+    rooted = shared.drop("root").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # keys whose sets are all in one component have nothing left to compare
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
     held = stored(rooted.join(open_keys, "key", "left_semi"), "near-open")
@@ -272,7 +276,7 @@ def _across(shared: DataFrame, stars: DataFrame, least: float, exact: bool) -> t
     size = F.floor(F.log(F.col("n").cast("double")) / -math.log(least) + 1e-9).cast("int") if least < 1 else F.col("n")
     x = _side(left.withColumn("class", F.explode(F.array(size, size - 1))), "x", "_key", "class", F.col("root").alias("root_x"))
     y = _side(left.where(F.col("at") <= F.col("n") - _whole(least, "n")).withColumn("class", size), "y", "_key", "class", F.col("root").alias("root_y"))
-    return _pruned(x.join(y, ["_key", "class"]).where((F.col("root_x") != F.col("root_y")) & _fits(least, exact)), least), held
+    return _pruned(x.join(y, ["_key", "class"]).where((F.col("root_x") != F.col("root_y")) & _fits(least, exact, deviations)), least), held
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> tuple[DataFrame, list[DataFrame]]:
@@ -307,11 +311,17 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     links, made = _links(pairs, nodes, docs, id_col, text_col, words, least)
     first = stored(links, "near-links")
     discard(few, *made)
-    pairs, left = _across(shared, components(first, "near-star"), least, exact)
-    rest, made = _links(pairs, nodes, docs, id_col, text_col, words, least)
-    discard(left)
-    roots = components(first.unionAll(rest), "near-star")
-    discard(*made, shared, first)
+    found, linked = [first], first
+    for deviations in (*CLOSE, None):
+        only = (False, deviations) if deviations is not None else (exact,)
+        pairs, opened = _across(shared, components(linked, "near-star"), least, *only)
+        links, made = _links(pairs, nodes, docs, id_col, text_col, words, least)
+        found.append(stored(links, "near-links"))
+        linked = linked.unionAll(found[-1])
+        discard(*made, shared)
+        shared = opened  # keys whose sets are in one component stay closed
+    roots = components(linked, "near-star")
+    discard(shared, *found)
 
     rooted = nodes.select("node", "_least").join(roots, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root"))
     least_of = rooted.groupBy("root").agg(F.min("_least").alias("component_id")).select(F.bitwise_not("root").alias("_root"), "component_id")

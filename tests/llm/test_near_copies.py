@@ -127,3 +127,29 @@ def test_sets_of_one_hash_are_told_apart(spark, monkeypatch):
     plain = near_copies._told_apart
     monkeypatch.setattr(near_copies, "_told_apart", lambda df: plain(df.selectExpr("doc_id", "node % 4 AS node", "twin", "n", *near_copies.PRINTS, "keys")))
     assert {r["doc_id"] for r in near_copies.dedup(rows).collect()} == brute_kept(texts) == set(range(0, 20, 2))
+
+
+def test_a_group_of_few_links_is_no_square_of_pairs(spark, monkeypatch):
+    """Texts with some words of their own each, most pairs of them just not similar and some similar: the closest are compared first, which leaves few others."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = {}
+    for n in range(240):
+        own = list(base)
+        for at in rng.sample(range(150), 1 if n % 12 == 0 else 2):
+            own[at] = f"own{n}x{at}"
+        texts[n] = " ".join(own)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    links, compared = near_copies._links, []
+
+    def counted(pairs, *rest):
+        compared[-1] += pairs.count()
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_links", counted)
+    monkeypatch.setattr(near_copies, "CENTERS", 1)  # stars alone join less of it
+    for rounds in (near_copies.CLOSE, ()):
+        monkeypatch.setattr(near_copies, "CLOSE", rounds)
+        compared.append(0)
+        assert {r["doc_id"] for r in near_copies.dedup(rows).collect()} == brute_kept(texts)
+    assert compared[0] * 2 < compared[1], compared
