@@ -8,7 +8,7 @@ from factloom.catalogue import query
 from factloom.config import Settings, Source
 from factloom.functions import text as T
 from factloom.operators import answer, guards, history, resolve, validate
-from factloom.session import table
+from factloom.session import staged, table
 
 c = F.col
 
@@ -346,7 +346,7 @@ def full_trace(spark, sf):
     taken = F.array(trace.top_chunk(F.lit(1), F.lit("c"), F.lit("s"), F.lit("f"), F.lit("v"), F.lit(0.25), F.lit("u")))
     wrote = F.when(c("turn") % 3 == 0, trace.generation(F.lit(SOURCES[0].url), F.struct(F.lit(True).alias("passed")), F.lit(1)))
     whole = trace.trace(**trace.recorded({"trace": {"stage1": {"documents": 2}, "stage2": "none"}}), stage5=trace.retrieval(c("chain"), c("resolution"), taken), stage6=wrote)
-    text = rows.select("conv_id", "turn", trace.to_text(whole).alias("t"))
+    text = staged(rows.select("conv_id", "turn", trace.to_text(whole).alias("t")), "traces")  # made once, not for each path that is read of it
     guard = F.get_json_object("t", "$.stage5.guard_decisions[*].guard")
     n = F.size(F.from_json(F.get_json_object("t", "$.stage5.guard_decisions"), "array<struct<guard:string,triggered:boolean>>"))
     last = F.element_at(F.from_json(F.get_json_object("t", "$.stage5.guard_decisions"), "array<struct<guard:string,triggered:boolean>>"), -1)

@@ -130,64 +130,102 @@ def matched(low: Column, patterns, words) -> Column:
 
 
 def advice(text: Column) -> Column:
-    return let(lowered(text), lambda low: holds(low, ADVICE))
+    return let(lowered(text), _advice)
+
+
+def _advice(low: Column) -> Column:
+    return holds(low, ADVICE)
 
 
 def performance(text: Column) -> Column:
-    return let(lowered(text), lambda low: holds(low, PERFORMANCE) | matched(low, PERFORMANCE_PATTERNS, RETURN_MARKS))
+    return let(lowered(text), _performance)
+
+
+def _performance(low: Column) -> Column:
+    return holds(low, PERFORMANCE) | matched(low, PERFORMANCE_PATTERNS, RETURN_MARKS)
 
 
 def foreign_name(text: Column, names=FOREIGN) -> Column:
     """The first name in list order that stands as a word, else null."""
+    return let(lowered(text), lambda low: _foreign_name(low, names))
+
+
+def _foreign_name(low: Column, names=FOREIGN) -> Column:
     # a literal pattern a name, which a task compiles once; only texts that one of them hits are asked for which
-    one = lambda low: F.coalesce(*[F.when(low.rlike(any_of([rf"\b{literal(n)}\b"])), n) for n in names])
-    return let(lowered(text), lambda low: F.when(matched(low, [rf"\b{literal(n)}\b" for n in names], names), one(low)))
+    one = F.coalesce(*[F.when(low.rlike(any_of([rf"\b{literal(n)}\b"])), n) for n in names])
+    return F.when(_foreign(low, names), one)
+
+
+def _foreign(low: Column, names=FOREIGN) -> Column:
+    return matched(low, [rf"\b{literal(n)}\b" for n in names], names)
 
 
 def structural_intent(text: Column, names=FOREIGN) -> Column:
     """out_of_scope, advice, performance or factual, by grammar rather than phrases."""
-    return let(
-        lowered(text),
-        lambda low: F.when(matched(low, [rf"\b{literal(n)}\b" for n in names], names), "out_of_scope")
-        .when(matched(low, ADVICE_SIGNALS, ADVICE_MARKS), "advice")
-        .when(matched(low, PERFORMANCE_SIGNALS, PERFORMANCE_MARKS), "performance")
-        .otherwise("factual"),
-    )
+    return let(lowered(text), lambda low: _structural_intent(low, names))
+
+
+def _structural_intent(low: Column, names=FOREIGN) -> Column:
+    return F.when(_foreign(low, names), "out_of_scope").when(matched(low, ADVICE_SIGNALS, ADVICE_MARKS), "advice").when(matched(low, PERFORMANCE_SIGNALS, PERFORMANCE_MARKS), "performance").otherwise("factual")
+
+
+def gives_advice(text: Column, names=FOREIGN) -> Column:
+    """Whether a text has an advice phrase, or is advice by its structure; the signals are asked before the names, which rule few texts out."""
+    return let(lowered(text), lambda low: _advice(low) | (matched(low, ADVICE_SIGNALS, ADVICE_MARKS) & ~_foreign(low, names)))
 
 
 def second_opinion(text: Column, classifier=None) -> Column:
     """Layer two: ``classifier`` (Column to Column, null where it fails) before the structural one."""
-    own = structural_intent(text)
+    return let(lowered(text), lambda low: _second_opinion(text, low, classifier))
+
+
+def _second_opinion(text: Column, low: Column, classifier) -> Column:
+    own = _structural_intent(low)
     return F.coalesce(classifier(text), own) if classifier is not None else own
 
 
 def two_layer_advice(text: Column, classifier=None) -> Column:
     """struct(blocked, reason): both layers must say advice."""
-    return _two_layer(advice(text), second_opinion(text, classifier), "advice", F.lit(False))
+    return let(lowered(text), lambda low: _two_layer_advice(text, low, classifier))
+
+
+def _two_layer_advice(text: Column, low: Column, classifier) -> Column:
+    return _two_layer(_advice(low), _second_opinion(text, low, classifier), "advice", False)
 
 
 def two_layer_performance(text: Column, classifier=None) -> Column:
     """As for advice, but without a classifier layer one alone blocks."""
-    return _two_layer(performance(text), second_opinion(text, classifier), "performance", F.lit(classifier is None))
+    return let(lowered(text), lambda low: _two_layer_performance(text, low, classifier))
+
+
+def _two_layer_performance(text: Column, low: Column, classifier) -> Column:
+    return _two_layer(_performance(low), _second_opinion(text, low, classifier), "performance", classifier is None)
 
 
-def _two_layer(first: Column, second: Column, label: str, alone: Column) -> Column:
-    def decide(both: Column) -> Column:
-        one, two = both["one"], both["two"]
-        reason = (
-            F.when(~one, f"{label} phrases: no match")
-            .when(alone, f"{label} phrases: match; no classifier, blocked on phrases alone")
-            .when(two == label, f"{label} phrases: match; second layer agreed")
-            .otherwise(F.concat(F.lit(f"{label} phrases: match; second layer said "), two))
-        )
-        return F.struct((one & (alone | (two == label))).alias("blocked"), reason.alias("reason"))
+def _two_layer(first: Column, second: Column, label: str, alone: bool) -> Column:
+    """The second layer is asked only where the first says yes and does not decide alone."""
 
-    return let(F.struct(first.alias("one"), second.alias("two")), decide)
+    def decide(one: Column) -> Column:
+        blocked, none = F.struct(F.lit(True).alias("blocked"), F.lit(f"{label} phrases: match; no classifier, blocked on phrases alone").alias("reason")), F.struct(F.lit(False).alias("blocked"), F.lit(f"{label} phrases: no match").alias("reason"))
+        if alone:
+            return F.when(one, blocked).otherwise(none)
+
+        def told(two: Column) -> Column:
+            reason = F.when(two == label, f"{label} phrases: match; second layer agreed").otherwise(F.concat(F.lit(f"{label} phrases: match; second layer said "), two))
+            return F.struct((two == label).alias("blocked"), reason.alias("reason"))
+
+        return F.when(one, let(second, told)).otherwise(none)
+
+    return let(first, decide)
 
 
 def out_of_corpus(text: Column, resolved: Column, names=FOREIGN) -> Column:
     """struct(hit, detail): a foreign name hits; else a resolved entity clears; else a scope word hits."""
-    told = F.struct(foreign_name(text, names).alias("name"), (~resolved & holds(lowered(text), SCOPE_WORDS)).alias("word"))
+    return let(lowered(text), lambda low: _out_of_corpus(low, resolved, names))
+
+
+def _out_of_corpus(low: Column, resolved: Column, names) -> Column:
+    told = F.struct(_foreign_name(low, names).alias("name"), (~resolved & holds(low, SCOPE_WORDS)).alias("word"))
     return let(told, lambda t: F.struct((t["name"].isNotNull() | t["word"]).alias("hit"), F.when(t["name"].isNotNull(), t["name"]).when(t["word"], "nothing in scope matched").alias("detail")))
 
 
@@ -197,7 +235,10 @@ def scope_refusal(scheme_names: list[str]) -> str:
 
 def guard_chain(text: Column, resolved: Column, classifier=None, names=FOREIGN) -> Column:
     """array of struct(guard, triggered, reason, loggable) up to the first that triggers: pii, advice, performance, out_of_corpus."""
-    found = F.struct(pii(text)["kind"].alias("kind"), two_layer_advice(text, classifier).alias("a"), two_layer_performance(text, classifier).alias("p"), out_of_corpus(text, resolved, names).alias("s"))
+
+    def asked(low: Column) -> Column:
+        """What every guard says; the text is collapsed and lower-cased once for all of them."""
+        return F.struct(pii(text)["kind"].alias("kind"), _two_layer_advice(text, low, classifier).alias("a"), _two_layer_performance(text, low, classifier).alias("p"), _out_of_corpus(low, resolved, names).alias("s"))
 
     def decision(guard: str, triggered: Column, reason: Column, loggable: bool = True) -> Column:
         return F.struct(F.lit(guard).alias("guard"), F.coalesce(triggered, F.lit(False)).alias("triggered"), reason.alias("reason"), F.lit(loggable).alias("loggable"))
@@ -209,7 +250,7 @@ def guard_chain(text: Column, resolved: Column, classifier=None, names=FOREIGN)
         first = F.array_position(F.transform(every, lambda d: d["triggered"]), True)
         return F.when(first > 0, F.slice(every, F.lit(1), first.cast("int"))).otherwise(every)
 
-    return let(let(found, chain), cut)
+    return let(let(let(lowered(text), asked), chain), cut)
 
 
 def refusal_type(chain: Column) -> Column:

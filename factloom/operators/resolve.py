@@ -72,7 +72,8 @@ def _result(state: Column, low: Column, foreign, in_scope: list[str] | Column) -
         kept = F.filter(state["schemes"], lambda s: F.array_contains(in_scope, s))
     else:
         kept = F.filter(state["schemes"], lambda s: s.isin(in_scope)) if in_scope else none
-    kept = F.when(foreign_name(low, foreign).isNull(), kept).otherwise(none)
+    # names are asked for only where there is something to empty
+    kept = let(kept, lambda own: F.when((F.size(own) > 0) & foreign_name(low, foreign).isNull(), own).otherwise(none))
 
     def shape(ids: Column) -> Column:
         one, known = F.size(ids) == 1, F.size(ids) > 0

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import UPDATED_PREFIX, fact_tokens, last_updated, let, normalized_url, sentence_count, squeezed, urls
-from factloom.operators.guards import advice, pii, structural_intent
+from factloom.operators.guards import gives_advice, pii
 
 CHECKS = ("citation_present", "citation_allowed", "grounded", "evidence_scheme_match", "scheme_named", "no_advice", "no_pii", "sentence_budget", "has_last_updated")
 #: A failure of one of these discards the answer without a retry.
@@ -55,7 +55,7 @@ def checks(answer: Column, query: Column, evidence: Column, resolution: Column,
         "grounded": F.size(ungrounded(answer, evidence, query)) == 0,
         "evidence_scheme_match": F.size(evidence_conflicts(evidence, resolution)) == 0,
         "scheme_named": F.coalesce(scheme_named(answer, resolution, prefix), F.lit(False)),
-        "no_advice": ~advice(answer) & (structural_intent(answer) != "advice"),
+        "no_advice": ~gives_advice(answer),
         "no_pii": pii(answer).isNull(),
         "sentence_budget": sentence_count(answer) <= max_sentences,
         "has_last_updated": F.contains(F.lower(F.coalesce(answer, F.lit(""))), F.lit(UPDATED_PREFIX.lower())),

@@ -380,3 +380,18 @@ def test_a_block_product_is_bounded_in_memory(spark, monkeypatch):
         want = sorted(range(600), key=lambda i: (every[q % 60, i % 60], i))[:15]
         assert [found[n] for n in range(1, 16)] == want
     assert len(got) == 100 and sizes.value == 0
+
+
+def test_a_second_layer_is_asked_only_where_the_first_says_yes(spark):
+    from factloom.operators import guards
+
+    rows = spark.createDataFrame([("what is the exit load",)], "q string")
+    never = lambda text: F.raise_error(F.lit("asked")).cast("string")
+    got = rows.select(guards.guard_chain(F.col("q"), F.lit(True), never).alias("c"), guards.two_layer_advice(F.col("q"), never)["blocked"].alias("a"), guards.two_layer_performance(F.col("q"), never)["blocked"].alias("p")).first()
+    assert [d["triggered"] for d in got["c"]] == [False] * 4 and got["a"] is False and got["p"] is False
+
+
+def test_a_trace_is_made_once(spark, sf):
+    from factloom.catalogue.answering import full_trace
+
+    assert all("/traces-" in f for f in full_trace(spark, sf).inputFiles())
