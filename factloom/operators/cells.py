@@ -27,6 +27,8 @@ from factloom.session import staged
 
 #: Rows that centroids are fitted on, most centroids, rows of a block, and cells that a query visits first.
 SAMPLE, MOST_CELLS, BLOCK, PROBES = 20_000, 4_096, 1_024, 4
+#: Rows or queries whose angles to all centroids are worked out at once: a task's matrices have SLICE times MOST_CELLS numbers at most.
+SLICE = 512
 #: Parts in which the queries of a cell are dealt.
 DEALT = 8
 #: Angles that roundoff may be off by.
@@ -49,6 +51,13 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), dim)
 
 
+def _slices(batches):
+    """Up to SLICE rows of each batch at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def fit_centroids(vectors: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Directions of ``cells`` clusters at most (spherical k-means, started far apart)."""
     units, zero = _units(vectors)
@@ -102,9 +111,7 @@ def build(corpus: DataFrame, id_col: str = "id", vector_col: str = "embedding",
     def assign(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             units, zero = _units(_matrix(batch.column(2)))
             cell, angle = np.full(len(units), ZERO, np.int32), np.zeros(len(units))
             if len(told.value):
@@ -161,9 +168,7 @@ def _visits(index: Index, asked: DataFrame, first: bool, block: int) -> DataFram
 
         centroids, low, high, has_zero = told.value
         full = high >= 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             units, zero = _units(_matrix(batch.column(1)))
             angle = _angles(units, centroids) if len(centroids) else np.zeros((len(units), 0))
             probes = np.zeros(angle.shape, bool)

@@ -70,3 +70,19 @@ def test_empty(spark):
     assert cells.search(cells.build(some.withColumnRenamed("qid", "id")), none.withColumnRenamed("id", "qid"), 3).collect() == []
     with pytest.raises(Exception, match="numbers|length|shape|matmul"):
         cells.search(cells.build(some.withColumnRenamed("qid", "id")), spark.createDataFrame([(1, [1.0])], "qid long, embedding array<double>"), 3).collect()
+
+
+def test_angles_are_worked_out_for_a_bounded_number_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    data = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in enumerate(rng.normal(size=(3000, 4)))], "id long, embedding array<double>").coalesce(1)
+    asked = data.select(F.col("id").alias("qid"), "embedding")
+    long = spark.sparkContext.accumulator(0)
+    plain = cells._angles
+
+    def watched(units, centroids):
+        long.add(int(len(units) > 512))
+        return plain(units, centroids)
+
+    monkeypatch.setattr(cells, "_angles", watched)
+    found = cells.search(cells.build(data), asked, 3).collect()
+    assert len(found) == 9000 and long.value == 0
