@@ -61,7 +61,7 @@ def historical_counts(spark, sf):
 def payloads(spark, sf):
     """Page payloads as JSON, one for each supplier: its master data, its part types as holdings, its nation's history."""
     held = holdings(spark, sf).groupBy("scheme", "sector", "instrument").agg(F.max("weight").alias("weight"), F.min("pos").alias("pos"))
-    lists = held.groupBy("scheme").agg(F.array_sort(F.collect_list(F.struct("pos", "sector", "instrument", "weight"))).alias("h"))
+    lists = held.groupBy("scheme").agg(F.sort_array(F.collect_list(F.struct("pos", "sector", "instrument", "weight"))).alias("h"))
     rows = table(spark, sf, "supplier").join(lists, c("s_suppkey") == c("scheme"), "left").join(F.broadcast(table(spark, sf, "nation")), c("s_nationkey") == c("n_nationkey"))
     k = c("s_suppkey")
     day = F.format_string("20%02d-%02d-%02dT20:00:00.000Z", k % 20 + 5, k % 12 + 1, k % 28 + 1)
@@ -124,7 +124,7 @@ def fact_documents(spark, sf):
     url = F.concat(F.lit("https://facts.example/"), c("scheme_id"))
     keys = [r[0] for r in chunking.REGISTRY]
     as_map = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*[c(k).cast("string") for k in keys]))
-    return facts.documents(made.withColumn("source_url", url), facts.facts_text(url)).withColumns({"facts": as_map, "doc_id": c("scheme_id")})
+    return facts.documents(made.withColumn("source_url", url), facts.facts_lines(url)).withColumns({"facts": as_map, "doc_id": c("scheme_id")})
 
 
 def _inr_sql(v: str) -> str:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Every white-space run, as str.split and the re module's \\s see it.
 WS = r"(?U)\s+"
+#: The characters of WS, for trims.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: what counts as a URL in a text.
 URL = r"https?://[^\s)\]}>\"']+"
 #: Fixed value: what counts as a fact token, longest forms first.
@@ -35,7 +37,7 @@ def let(value: Column, f) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -57,7 +59,7 @@ def normalized(c: Column) -> Column:
 
 
 def cleaned(c: Column) -> Column:
-    return strip(F.translate(c, "\n\r", " "))
+    return strip(F.replace(F.replace(c, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(" ")))
 
 
 def or_else(c: Column, *others: Column) -> Column:

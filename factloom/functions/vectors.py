@@ -15,7 +15,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
+    return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

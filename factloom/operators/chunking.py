@@ -48,9 +48,12 @@ def resolved_label(label: Column, house: Column) -> Column:
     return F.replace(label, F.lit("{amc_name}"), F.coalesce(F.nullif(house, F.lit("")), F.lit("the AMC")))
 
 
-def registry_values(docs: DataFrame, rules=REGISTRY) -> DataFrame:
+def registry_values(docs: DataFrame, rules=REGISTRY, compared: bool = True) -> DataFrame:
     """Documents (scheme_id, text, amc_name, facts: map) by registry rules: from_facts, from_text, value (facts first), disagrees.
 
+    Unless both are ``compared``, only value is told, and a text is searched only for
+    what the facts do not have.
+
     The rules are configuration, so their product with the documents is an array of
     one struct a rule in each row: patterns are literals (but where a label holds
     the house's name) and nothing is joined.
@@ -59,10 +62,15 @@ def registry_values(docs: DataFrame, rules=REGISTRY) -> DataFrame:
     def rule(pos: int, field: str, section: str, label: str, value_type: str, scope: str, is_fact: bool, value_pattern: str) -> Column:
         shown = resolved_label(F.lit(label), F.col("amc_name")) if "{" in label else F.lit(label)
         found = labelled_value(F.col("text"), shown if "{" in label else label, value_pattern)
-        values = {"pos": F.lit(pos), "field": F.lit(field), "section": F.lit(section), "label": shown, "value_type": F.lit(value_type), "scope": F.lit(scope), "is_fact": F.lit(is_fact), "from_facts": F.try_element_at("facts", F.lit(field)), "from_text": found}
+        known = F.try_element_at("facts", F.lit(field))
+        values = {"pos": F.lit(pos), "field": F.lit(field), "section": F.lit(section), "label": shown, "value_type": F.lit(value_type), "scope": F.lit(scope), "is_fact": F.lit(is_fact)}
+        values |= {"from_facts": known, "from_text": found} if compared else {"value": strip(F.coalesce(known, found))}
         return F.struct(*[v.alias(n) for n, v in values.items()])
 
-    rows = docs.withColumn("_rule", F.explode(F.array(*[rule(i, *r) for i, r in enumerate(rules)]))).select(*[c for c in docs.columns if c not in RULE], *[f"_rule.{n}" for n in RULE])
+    added = RULE if compared else (*RULE[:-2], "value")
+    rows = docs.withColumn("_rule", F.explode(F.array(*[rule(i, *r) for i, r in enumerate(rules)]))).select(*[c for c in docs.columns if c not in added], *[f"_rule.{n}" for n in added])
+    if not compared:
+        return rows
     both = F.col("from_facts").isNotNull() & F.col("from_text").isNotNull()
     return rows.withColumns({"value": strip(F.coalesce("from_facts", "from_text")), "disagrees": both & (collapse(F.col("from_facts")) != collapse(F.col("from_text")))})
 
@@ -84,7 +92,7 @@ def bodies(docs: DataFrame, rules=REGISTRY, holdings_mode: str = "sector_summary
         values = [section, name, value, body, kind, scope, fact, lit(old), lit(None).cast("date") if date is None else date, lit(n), pos]
         return rows.select(*base, *[v.alias(a) for v, a in zip(values, BODY[4:], strict=True)])
 
-    told = registry_values(docs, rules).where(present(c("value")))
+    told = registry_values(docs, rules, compared=False).where(present(c("value")))
     known = family(0, told, c("section"), c("field"), c("value"), fact_body(c("scheme_name"), c("label"), c("scope"), c("value")), c("value_type"), c("pos"), c("scope"), c("is_fact"))
     old = docs.select(*base, F.posexplode(F.filter("exit_load_history", lambda h, i: i > 0)).alias("pos", "h"))
     old = family(
@@ -147,7 +155,7 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
 
 
 def pieces(text: Column, settings: Settings, tokenizer=None) -> Column:
-    """Array of pieces: the text where it is within the budget, else the recursive split, with the default or a given tokenizer (str to int)."""
+    """Array of pieces: the text where it is within the budget, else the recursive split, with the default or a given tokenizer (str to int); null of null."""
     import re
 
     size, overlap, separators = settings.chunk_tokens, settings.overlap_tokens, settings.separators
@@ -155,7 +163,7 @@ def pieces(text: Column, settings: Settings, tokenizer=None) -> Column:
 
     @F.pandas_udf("array<string>")
     def split(texts):
-        return texts.map(lambda t: split_recursively(t, size, overlap, separators, count))
+        return texts.map(lambda t: split_recursively(t, size, overlap, separators, count), na_action="ignore")
 
     return split(text)
 
@@ -167,18 +175,18 @@ def chunks(body_rows: DataFrame, categories: DataFrame, settings: Settings, *kee
     is left out and is the orphan check's to report. ``keep`` are columns of the bodies
     (or ``piece`` or ``category``) that come last.
     """
-    short = token_count(F.col("body")) <= settings.chunk_tokens
-    # rows are told apart before the Python function, which would see them all
-    whole = body_rows.where(short).withColumn("_pieces", F.array("body"))
-    cut = body_rows.where(~short).withColumn("_pieces", pieces(F.col("body"), settings))
-    rows = whole.unionByName(cut).select("*", F.posexplode("_pieces").alias("piece", "text")).drop("_pieces", "body")
+    # bodies are made and counted once; the Python function sees nulls for those within the budget
+    rows = body_rows.withColumn("_tokens", token_count(F.col("body")))
+    rows = rows.withColumn("_cut", pieces(F.when(F.col("_tokens") > settings.chunk_tokens, F.col("body")), settings))
+    rows = rows.withColumn("_tokens", F.when(F.col("_cut").isNull(), F.col("_tokens")))
+    rows = rows.select("*", F.posexplode(F.coalesce("_cut", F.array("body"))).alias("piece", "text")).drop("_cut", "body")
     nth = F.row_number().over(Window.partitionBy("scheme_id", "section", "field").orderBy("family", "pos", "piece")) - 1
     rows = rows.join(categories, "scheme_id").withColumn("_nth", nth)
     template = settings.prefix_template.replace("%", "%%").replace("{scheme_name}", "%1$s").replace("{category}", "%2$s").replace("{text}", "%3$s")
     return rows.select(
         F.concat_ws("_", "scheme_id", "section", "field", "_nth").alias("chunk_id"), "doc_id", "scheme_id", "section", "field", "text",
         F.format_string(template, "scheme_name", "category", "text").alias("embed_input"),
-        "source_url", "value", "value_type", "scope", "effective_date", "historical", "is_fact", token_count(F.col("text")).alias("token_count"), *keep,
+        "source_url", "value", "value_type", "scope", "effective_date", "historical", "is_fact", F.coalesce("_tokens", token_count(F.col("text"))).alias("token_count"), *keep,
     )
 
 

@@ -33,13 +33,13 @@ def parsed(rows: DataFrame, json_col: str) -> DataFrame:
 def _falling(rows: Column, key) -> Column:
     """Rows by falling key, equal ones in their order."""
     at = F.transform(rows, lambda x, i: F.struct((-key(x)).alias("k"), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(at), lambda s: s["x"])
+    return F.transform(F.sort_array(at), lambda s: s["x"])
 
 
 def _sector_sums(rows: Column) -> Column:
     """array of struct(sector, weight_pct) in order of first appearance: rows are sorted by sector and each run is summed in one pass."""
     run = "struct<sector:string,first:int,weight_pct:double>"
-    by_sector = F.array_sort(F.transform(rows, lambda h, i: F.struct(h["sector"].alias("sector"), i.alias("first"), h["weight_pct"].alias("weight_pct"))))
+    by_sector = F.sort_array(F.transform(rows, lambda h, i: F.struct(h["sector"].alias("sector"), i.alias("first"), h["weight_pct"].alias("weight_pct"))))
     start = F.struct(F.lit(None).cast(run).alias("now"), F.array().cast(f"array<{run}>").alias("done"))
 
     def step(state: Column, h: Column) -> Column:
@@ -50,7 +50,7 @@ def _sector_sums(rows: Column) -> Column:
         return F.when(now["sector"] == h["sector"], same).otherwise(other)
 
     runs = F.aggregate(by_sector, start, step, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["now"])))
-    in_order = F.array_sort(F.transform(runs, lambda r: F.struct(r["first"].alias("first"), r["sector"].alias("sector"), r["weight_pct"].alias("weight_pct"))))
+    in_order = F.sort_array(F.transform(runs, lambda r: F.struct(r["first"].alias("first"), r["sector"].alias("sector"), r["weight_pct"].alias("weight_pct"))))
     return F.transform(in_order, lambda r: F.struct(r["sector"].alias("sector"), r["weight_pct"].alias("weight_pct")))
 
 
@@ -77,12 +77,9 @@ def facts(rows: DataFrame, id_col: str = "scheme_id", fallback_tax_note: str = M
     """One row of display facts for each payload row (columns of PAYLOAD and the id)."""
     c, lit = F.col, F.lit
     holdings = F.filter("holdings", lambda h: h.isNotNull())
-    rows_of = F.transform(
-        holdings,
-        lambda h: F.struct(
-            cleaned(h["company_name"]).alias("company"), or_else(cleaned(h["sector_name"]), lit("Unspecified")).alias("sector"), or_else(cleaned(h["instrument_name"]), cleaned(h["nature_name"])).alias("instrument"), h["corpus_per"].alias("weight_pct")
-        ),
-    )
+    names = F.transform(holdings, lambda h: F.struct(*[cleaned(h[f"{n}_name"]).alias(n) for n in ("company", "sector", "instrument", "nature")], h["corpus_per"].alias("weight_pct")))
+    rows_of = F.transform(names, lambda h: F.struct(h["company"].alias("company"), or_else(h["sector"], lit("Unspecified")).alias("sector"), or_else(h["instrument"], h["nature"]).alias("instrument"), h["weight_pct"].alias("weight_pct")))
+    rows, rows_of = rows.withColumn("_held", rows_of), c("_held")  # read three times, cleaned once
     known = F.filter(rows_of, lambda h: h["weight_pct"].isNotNull())
     sectors = _sector_sums(known)
     history = F.transform(F.filter("historic_exit_loads", lambda h: h.isNotNull()), lambda h: F.struct(cleaned(h["as_on_date"]).alias("as_on_date"), without_exit_load_label(h["note"]).alias("note")))
@@ -145,6 +142,11 @@ def weight_text(weight: Column) -> Column:
 
 
 def facts_text(url: Column) -> Column:
+    """The facts' lines, normalised."""
+    return normalized(facts_lines(url))
+
+
+def facts_lines(url: Column) -> Column:
     """The facts' lines ``label: value`` in order, over the columns of ``facts``; lists give a line for each entry."""
     c, lit = F.col, F.lit
 
@@ -205,7 +207,7 @@ def facts_text(url: Column) -> Column:
         many(holdings),
         many(sectors),
     ]
-    return normalized(F.concat_ws("\n", *lines))  # concat_ws leaves out null lines
+    return F.concat_ws("\n", *lines)  # concat_ws leaves out null lines
 
 
 def documents(rows: DataFrame, text: Column) -> DataFrame:

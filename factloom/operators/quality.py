@@ -19,9 +19,19 @@ def failures(rows: DataFrame, rule: str, key: Column, bad: Column, detail: Colum
     return rows.where(F.coalesce(bad, F.lit(False))).select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
 
 
+def all_failures(rows: DataFrame, key: Column, checks: list[tuple[str, Column, Column]]) -> DataFrame:
+    """``failures`` of several checks (rule, bad, detail) of the same rows, which are read once."""
+    found = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(rule).alias("rule"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))) for rule, bad, detail in checks]
+    return rows.select(F.explode(F.array_compact(F.array(*found))).alias("_found")).select("_found.rule", "_found.key", "_found.detail")
+
+
 def blank(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Rows whose input for the embedder is null or nothing but white space of any kind."""
-    return failures(rows, "blank_input", F.col(key), F.col(text).isNull() | (strip(F.col(text)) == ""), F.concat(F.coalesce(F.length(text), F.lit(0)), F.lit(" blank characters")))
+    return failures(rows, "blank_input", F.col(key), *_blank(text))
+
+
+def _blank(text: str) -> tuple[Column, Column]:
+    return F.col(text).isNull() | (strip(F.col(text)) == ""), F.concat(F.coalesce(F.length(text), F.lit(0)), F.lit(" blank characters"))
 
 
 def together(parts: list[DataFrame]) -> DataFrame:
@@ -84,18 +94,17 @@ def audit(chunks: DataFrame, allowlist: DataFrame, budget: int, markers: tuple[s
     labels = F.create_map(*[F.lit(x) for r in REGISTRY if "{" not in r[2] for x in (r[0], r[2])])
     label = F.try_element_at(labels, c("field"))
     latest = chunks.where(~c("historical")).groupBy("field", "scheme_id").agg(F.max_by("value", "chunk_id").alias("value"))
-    parts = [
-        failures(chunks, "token_budget", key, c("token_count") > budget, F.concat(c("token_count"), F.lit(" tokens"))),
-        noisy(chunks, "chunk_id", "text", markers),
-        failures(chunks, "label_value_atomic", key, c("is_fact") & label.isNotNull() & ~F.contains("text", label), F.lit("label split from value")),
-        failures(chunks, "label_value_atomic", key, c("is_fact") & (c("value") != "") & ~F.contains("text", c("value")), F.lit("value absent from text")),
-        failures(stray, "allowlist", key, F.lit(True), c("source_url")),
-        failures(chunks, "scope", key, (c("scope") == "amc") & ~c("field").isin("amc_aum_total", "amc_incorporation_date"), F.lit("unexpected amc scope")),
-        failures(chunks, "scope", key, (c("field") == "amc_aum_total") & (c("scope") != "amc"), F.lit("must have scope amc")),
-        repeated_keys(chunks, "chunk_id"),
+    checks = [
+        ("token_budget", c("token_count") > budget, F.concat(c("token_count"), F.lit(" tokens"))),
+        *[("noise", c("text").contains(m), F.lit(m)) for m in markers],
+        ("label_value_atomic", c("is_fact") & label.isNotNull() & ~F.contains("text", label), F.lit("label split from value")),
+        ("label_value_atomic", c("is_fact") & (c("value") != "") & ~F.contains("text", c("value")), F.lit("value absent from text")),
+        ("scope", (c("scope") == "amc") & ~c("field").isin("amc_aum_total", "amc_incorporation_date"), F.lit("unexpected amc scope")),
+        ("scope", (c("field") == "amc_aum_total") & (c("scope") != "amc"), F.lit("must have scope amc")),
     ]
     if "embed_input" in chunks.columns:
-        parts.append(blank(chunks, "chunk_id", "embed_input"))
+        checks.append(("blank_input", *_blank("embed_input")))
+    parts = [all_failures(chunks, key, checks), failures(stray, "allowlist", key, F.lit(True), c("source_url")), repeated_keys(chunks, "chunk_id")]
     if gold is not None:
         parts.append(gold_mismatches(gold, latest, ["field", "scheme_id"]))
     if distinct:

@@ -68,22 +68,26 @@ def embed(rows: DataFrame, text: str, dim: int = 64, name: str = "embedding", em
     if embedder is not None:
         return rows.withColumn(name, embedder(F.col(text)))
 
-    @F.pandas_udf("array<float>")
+    @F.arrow_udf("array<float>")
     def hashed(texts):
         import re
         import zlib
 
         import numpy as np
-
-        def one(t):
-            v = np.zeros(dim, np.float32)
-            for w in re.findall(r"\w+", (t or "").lower()):
-                h = zlib.crc32(w.encode())
-                v[h % dim] += 1.0 if h & (1 << 31) else -1.0
-            size = np.sqrt(v @ v)
-            return (v / size if size else v).tolist()
-
-        return texts.map(one)
+        import pyarrow as pa
+
+        words = [re.findall(r"\w+", (t or "").lower()) for t in texts.to_pylist()]
+        known: dict[str, int] = {}
+        for own in words:
+            for w in own:
+                if w not in known:
+                    known[w] = zlib.crc32(w.encode())
+        h = np.array([known[w] for own in words for w in own], np.int64)
+        place = np.repeat(np.arange(len(words)), np.array([len(own) for own in words], np.int64)) * dim + h % dim
+        v = np.bincount(place, np.where(h >> 31, 1.0, -1.0), len(words) * dim).astype(np.float32).reshape(-1, dim)
+        size = np.sqrt(np.einsum("ij,ij->i", v, v))
+        v /= np.where(size == 0, np.float32(1), size)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dim), pa.int32()), pa.array(v.ravel()))
 
     return rows.withColumn(name, hashed(F.col(text)))
 

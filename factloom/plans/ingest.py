@@ -65,10 +65,9 @@ def ingest(docs: DataFrame, settings: Settings = Settings(), dim: int = 64, embe
     """
     if settings.strategy == "semantic" and not settings.semantic_available:
         raise ValueError("strategy is semantic but it is not available")
-    watch = watch or Watch()
-    docs = staged(watch.rows("documents", docs, chunking.stat_figures()), "documents")
+    docs = staged(watch.rows("documents", docs, chunking.stat_figures()) if watch else docs, "documents")
     made = _merged(docs, settings, dim, embedder) if settings.strategy == "semantic" else _cut(docs, settings)
-    chunks = staged(watch.rows("chunks", made, chunk_figures(settings)), "chunks")  # every rule of the audit reads them
+    chunks = staged(watch.rows("chunks", made, chunk_figures(settings)) if watch else made, "chunks")  # every rule of the audit reads them
     sources = allowlist if allowlist is not None else docs.select(F.col("source_url").alias("url"))
     quality.gate(quality.audit(chunks, sources, settings.chunk_tokens))
     return store.embed(chunks, "embed_input", dim, embedder=embedder)
